@@ -92,8 +92,8 @@ def outlier_report(flagged: DataFrame, flag: str = "outlier", by: Sequence[str]
 def align_columns(df: DataFrame, cols: Sequence[str], fill=0) -> DataFrame:
     """Select ``cols`` in order; a missing column becomes the constant
     ``fill``, extra columns are dropped."""
-    have = set(df.columns)
-    return df.select(*[F.coalesce(F.col(c), F.lit(fill)).alias(c) if c in have
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return df.select(*[F.coalesce(F.col(c), F.lit(fill).cast(types[c])).alias(c) if c in types
                        else F.lit(fill).alias(c) for c in cols])
 
 
@@ -131,11 +131,13 @@ def ordered_categories(df: DataFrame, col: str, order: Sequence, pos: str = "pos
 # ---------------------------------------------------------------- P13
 def topcode(df: DataFrame, col: str, upper_q: float = 0.9995, floor: float | None = 0.0,
             by: Sequence[str] = (), out: str | None = None) -> DataFrame:
-    """Cap at the exact ``upper_q`` quantile (linear interpolation) and floor."""
+    """Cap at the exact ``upper_q`` quantile (linear interpolation, computed
+    without gathering a group into one task) and floor."""
     by = _list(by)
     out = out or col
-    q = F.percentile(F.col(col), F.lit(float(upper_q))).alias("_q")
-    st = df.groupBy(*by).agg(q) if by else df.agg(q)
+    from assay_spark.operators.profile import exact_quantiles
+
+    st = exact_quantiles(df, col, [upper_q], by).select(*by, F.col("q0").alias("_q"))
     d = _attach(df, st, by)
     v = F.least(F.col(col), F.col("_q"))
     if floor is not None:

@@ -23,20 +23,21 @@ def _vectors() -> str:
             "label AS stratum FROM embeddings")
 
 
-def _strat_split(src: str, seed: int = 42, pct: int = 20, by: str = "") -> str:
-    """CTE body: rows of ``src`` (row_id, stratum, ...) with a 'split' column
-    from the exact largest-remainder stratified split."""
+def _strat_split(src: str, seed: int = 42, pct: int = 20, by: str = "", id_col: str = "row_id",
+                 stratum: str = "stratum", key: tuple = ("row_id",), tiebreak: str = "row_id") -> str:
+    """Subquery: rows of ``src`` with a 'split' column from the exact
+    largest-remainder stratified split (partitioned by ``by`` if given)."""
     g = f"{by}, " if by else ""
     part = f"PARTITION BY {by}" if by else ""
-    join_by = f"{by}, stratum" if by else "stratum"
+    join_by = f"{by}, {stratum}" if by else stratum
     return f"""
-    (WITH e AS (SELECT *, {H('row_id', seed=seed)} AS h FROM ({src})),
-     cnt AS (SELECT {g}stratum, count(*) AS sn FROM e GROUP BY {g}stratum),
+    (WITH e AS (SELECT *, {H(*key, seed=seed)} AS h FROM ({src})),
+     cnt AS (SELECT {g}{stratum}, count(*) AS sn FROM e GROUP BY {g}{stratum}),
      q AS (SELECT *, (tot * {pct} + 99) // 100 AS m FROM (SELECT *, sum(sn) OVER ({part}) AS tot FROM cnt)),
      q2 AS (SELECT *, (m * sn) // tot AS fl, (m * sn) % tot AS rem FROM q),
-     a AS (SELECT {g}stratum, fl + CASE WHEN row_number() OVER ({part} ORDER BY rem DESC, stratum)
+     a AS (SELECT {g}{stratum}, fl + CASE WHEN row_number() OVER ({part} ORDER BY rem DESC, {stratum})
                   <= m - sum(fl) OVER ({part}) THEN 1 ELSE 0 END AS alloc FROM q2),
-     r AS (SELECT *, row_number() OVER (PARTITION BY {join_by} ORDER BY h, row_id) AS rk FROM e)
+     r AS (SELECT *, row_number() OVER (PARTITION BY {join_by} ORDER BY h, {tiebreak}) AS rk FROM e)
      SELECT r.* EXCLUDE (h, rk), CASE WHEN rk <= alloc THEN 'test' ELSE 'train' END AS split
      FROM r JOIN a USING ({join_by}))"""
 
@@ -71,3 +72,170 @@ FROM {pred}"""
 
 
 ORACLE["flagship_knn_eval"] = _metrics(_knn_pred(_standardized(_strat_split(_vectors()))))
+
+
+# ====================================================================== step 1
+_LINE_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_LINE_LONG = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS value FROM lineitem"
+                                for c in _LINE_NUM)
+
+ORACLE["profile_describe"] = f"""
+SELECT "column", count(value) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
+       round(min(value), 6) AS min, round(max(value), 6) AS max,
+       round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS q50,
+       round(quantile_cont(value, 0.75), 6) AS q75
+FROM ({_LINE_LONG}) GROUP BY "column"
+"""
+
+_DOCS = """(SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic
+            FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+
+ORACLE["null_report"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS non_null, count(*) - count({c}) AS nulls, '{t}' AS dtype FROM {_DOCS}"
+    for c, t in [("doc_id", "bigint"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint"),
+                 ("quality", "int"), ("toxic", "int")])
+
+ORACLE["attach_target"] = f"SELECT doc_id, lang, quality, toxic FROM {_DOCS}"
+
+ORACLE["skew_kurt_adj"] = """
+SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std_pop,
+       round(stddev_samp(value), 6) AS std_samp, round(skewness(value), 6) AS skew_adj,
+       round(kurtosis(value), 6) AS kurt_adj
+FROM events GROUP BY event_type"""
+
+ORACLE["quantile_topcode"] = """
+WITH q AS (SELECT event_type, quantile_cont(value, 0.9995) AS q FROM events GROUP BY event_type)
+SELECT e.event_id, e.event_type, round(e.value, 6) AS value,
+       round(greatest(0.0, least(e.value, q.q)), 6) AS value_capped
+FROM events e JOIN q USING (event_type)"""
+
+ORACLE["quantiles"] = "SELECT event_type, count(value) AS n, " + ", ".join(
+    f"round(quantile_cont(value, {q}), 6) AS q{i}" for i, q in enumerate([0.0, 0.1, 0.25, 0.5, 0.9, 0.9995, 1.0])
+) + " FROM events GROUP BY event_type"
+
+ORACLE["zscore_flag"] = """
+WITH s AS (SELECT event_type, avg(value) AS mu, stddev_pop(value) AS sd FROM events GROUP BY event_type),
+f AS (SELECT e.event_type, coalesce(abs((e.value - s.mu) / s.sd) > 3.5, false) AS o FROM events e JOIN s USING (event_type))
+SELECT event_type, count_if(o) AS outliers, count(*) AS n, round(count_if(o) / count(*), 6) AS share
+FROM f GROUP BY event_type"""
+
+ORACLE["cap_filter"] = "SELECT event_type, count(*) AS n FROM events WHERE value <= 100.0 GROUP BY event_type"
+
+ORACLE["histogram_bins"] = """
+WITH mm AS (SELECT event_type, min(value) AS lo, max(value) AS hi, (max(value) - min(value)) / 25.0 AS w
+            FROM events GROUP BY event_type),
+b AS (SELECT e.event_type, CAST(CASE WHEN mm.w = 0 THEN 0 ELSE least(floor((e.value - mm.lo) / mm.w), 24) END AS INTEGER) AS bin
+      FROM events e JOIN mm USING (event_type) WHERE e.value IS NOT NULL),
+c AS (SELECT event_type, bin, count(*) AS cnt FROM b GROUP BY ALL),
+g AS (SELECT event_type, CAST(unnest(range(0, 25)) AS INTEGER) AS bin, lo, w FROM mm)
+SELECT g.event_type, g.bin, round(g.lo + g.bin * g.w, 6) AS lo, round(g.lo + (g.bin + 1) * g.w, 6) AS hi,
+       coalesce(c.cnt, 0) AS count
+FROM g LEFT JOIN c USING (event_type, bin)"""
+
+ORACLE["box_stats"] = """
+WITH q AS (SELECT event_type, count(value) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
+                  quantile_cont(value, 0.75) AS q3 FROM events GROUP BY event_type),
+f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lf, q3 + 1.5 * (q3 - q1) AS uf FROM q),
+w AS (SELECT e.event_type, min(CASE WHEN e.value BETWEEN f.lf AND f.uf THEN e.value END) AS whisker_lo,
+             max(CASE WHEN e.value BETWEEN f.lf AND f.uf THEN e.value END) AS whisker_hi,
+             count_if(NOT (e.value BETWEEN f.lf AND f.uf)) AS outliers
+      FROM events e JOIN f USING (event_type) GROUP BY e.event_type)
+SELECT q.event_type, q.n, round(q.q1, 6) AS q1, round(q.median, 6) AS median, round(q.q3, 6) AS q3,
+       round(w.whisker_lo, 6) AS whisker_lo, round(w.whisker_hi, 6) AS whisker_hi, w.outliers
+FROM q JOIN w USING (event_type)"""
+
+ORACLE["corr_matrix"] = " UNION ALL ".join(
+    f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr({a}, {b}), 6) AS corr FROM lineitem"
+    for i, a in enumerate(_LINE_NUM) for b in _LINE_NUM[i:])
+
+ORACLE["label_map"] = """
+SELECT c_custkey, c_mktsegment, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'Auto' WHEN 'BUILDING' THEN 'Building'
+       WHEN 'FURNITURE' THEN 'Furniture' WHEN 'MACHINERY' THEN 'Machinery' END AS label FROM customer"""
+
+ORACLE["align_columns"] = """
+SELECT l_orderkey, l_linenumber, round(l_quantity, 6) AS l_quantity, CAST(0.0 AS DOUBLE) AS l_missing, round(l_tax, 6) AS l_tax
+FROM lineitem"""
+
+ORACLE["log_axis"] = """
+WITH s AS (SELECT CASE WHEN p_size >= 50 THEN 'Infinite' ELSE CAST(p_size AS VARCHAR) END AS numsamp,
+                  avg(p_retailprice / 1000.0) AS mean FROM part GROUP BY 1),
+l AS (SELECT *, CASE WHEN TRY_CAST(numsamp AS DOUBLE) > 0 THEN ln(TRY_CAST(numsamp AS DOUBLE)) END AS lnx FROM s)
+SELECT numsamp, round(mean, 6) AS mean, round(coalesce(lnx, max(lnx) OVER () + 0.5), 6) AS x FROM l"""
+
+ORACLE["any_nan"] = """
+SELECT label AS stratum, bool_or(len(list_filter(CAST(embedding AS DOUBLE[]), lambda v: isnan(v) OR v IS NULL)) > 0) AS any_nan
+FROM embeddings GROUP BY label"""
+
+ORACLE["shape_report"] = """
+SELECT label AS stratum, count(*) AS rows, CAST(min(len(embedding)) AS INTEGER) AS min_len,
+       CAST(max(len(embedding)) AS INTEGER) AS max_len FROM embeddings GROUP BY label"""
+
+ORACLE["numeric_only"] = "SELECT c_custkey, c_nationkey, round(c_acctbal, 6) AS c_acctbal FROM customer"
+
+ORACLE["drop_all_null_rows"] = f"SELECT doc_id, quality, toxic FROM {_DOCS} WHERE quality IS NOT NULL OR toxic IS NOT NULL"
+
+# ====================================================================== step 2
+_ORD_TOP = f"""(SELECT o_orderkey, o_orderpriority, row_number() OVER (ORDER BY {H('o_orderkey')}, o_orderkey) AS draw_rank
+               FROM orders)"""
+
+ORACLE["sample_n"] = f"SELECT o_orderkey, o_orderpriority, draw_rank FROM {_ORD_TOP} WHERE draw_rank <= 1800"
+
+ORACLE["split_exact"] = f"""
+SELECT o_orderkey, CASE WHEN rk <= (count(*) OVER () * 20 + 99) // 100 THEN 'test' ELSE 'train' END AS split
+FROM (SELECT o_orderkey, row_number() OVER (ORDER BY {H('o_orderkey')}, o_orderkey) AS rk FROM orders)"""
+
+ORACLE["stratified_split"] = "SELECT o_orderkey, o_orderpriority, split FROM " + _strat_split(
+    "SELECT o_orderkey, o_orderpriority FROM orders", id_col="o_orderkey", stratum="o_orderpriority",
+    key=("o_orderkey",), tiebreak="o_orderkey")
+
+ORACLE["stratified_sample"] = f"""
+WITH d AS (SELECT doc_id, lang, {H('doc_id')} AS h FROM documents),
+c AS (SELECT lang, 100 // count(*) OVER () AS m FROM (SELECT DISTINCT lang FROM d)),
+r AS (SELECT d.doc_id, d.lang, c.m, row_number() OVER (PARTITION BY d.lang ORDER BY h, doc_id) AS draw
+      FROM d JOIN c USING (lang))
+SELECT doc_id, lang, draw FROM r WHERE draw <= m"""
+
+ORACLE["stratified_sample_replace"] = f"""
+WITH d AS (SELECT doc_id, lang, {H('doc_id')} AS h FROM documents),
+c AS (SELECT lang, count(*) AS sn, 100 // count(*) OVER () AS m FROM d GROUP BY lang),
+dr AS (SELECT lang, draw, 1 + {H('lang', 'draw', seed=42 + 7919)} % sn AS pos
+       FROM (SELECT lang, sn, unnest(range(1, m + 1)) AS draw FROM c)),
+r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY h, doc_id) AS pos FROM d)
+SELECT r.doc_id, r.lang, dr.draw FROM r JOIN dr USING (lang, pos)"""
+
+
+def _grid_draw(replace: bool) -> str:
+    cells = "(SELECT unnest([100, 200]) AS rec) CROSS JOIN (SELECT unnest(range(1, 6)) AS sub)"
+    base = f"""
+    g AS (SELECT v.*, c.rec, c.sub, {H('row_id', 'rec', 'sub')} AS h
+          FROM (SELECT vec_id AS row_id, label AS stratum FROM embeddings) v CROSS JOIN ({cells}) c),
+    cnt AS (SELECT rec, sub, stratum, count(*) AS sn, rec // count(*) OVER (PARTITION BY rec, sub) AS m
+            FROM g GROUP BY rec, sub, stratum),
+    r AS (SELECT g.*, row_number() OVER (PARTITION BY rec, sub, stratum ORDER BY h, row_id) AS rk FROM g)"""
+    if not replace:
+        return f"""(WITH {base}
+        SELECT r.row_id, r.stratum, r.rec, r.sub, r.rk AS draw FROM r JOIN cnt USING (rec, sub, stratum)
+        WHERE r.rk <= cnt.m)"""
+    return f"""(WITH {base},
+        dr AS (SELECT rec, sub, stratum, draw, 1 + {H('stratum', 'draw', 'rec', 'sub', seed=42 + 7919)} % sn AS rk
+               FROM (SELECT *, unnest(range(1, m + 1)) AS draw FROM cnt WHERE m > 0))
+        SELECT r.row_id, r.stratum, r.rec, r.sub, dr.draw FROM r JOIN dr USING (rec, sub, stratum, rk))"""
+
+
+ORACLE["subsamples_grid"] = "SELECT rec, sub, row_id, stratum, draw, split FROM " + _strat_split(
+    "SELECT * FROM " + _grid_draw(False), seed=43, by="rec, sub", key=("row_id", "rec", "sub"),
+    tiebreak="row_id, rec, sub")
+
+ORACLE["exclude_drawn"] = f"SELECT o_orderkey, o_orderpriority FROM {_ORD_TOP} WHERE draw_rank > 1800"
+
+ORACLE["overlap_report"] = f"""
+WITH s AS (SELECT * FROM {_strat_split("SELECT * FROM " + _grid_draw(True), seed=43, by="rec, sub",
+                                        key=("row_id", "draw", "rec", "sub"), tiebreak="row_id, draw, rec, sub")}),
+p AS (SELECT rec, sub, row_id, max(CASE WHEN split = 'train' THEN 1 ELSE 0 END) AS tr,
+             max(CASE WHEN split = 'test' THEN 1 ELSE 0 END) AS te FROM s GROUP BY ALL)
+SELECT rec, sub, CAST(sum(tr) AS BIGINT) AS train_ids, CAST(sum(te) AS BIGINT) AS test_ids,
+       CAST(sum(tr * te) AS BIGINT) AS both_ids FROM p GROUP BY rec, sub"""
+
+ORACLE["dedupe_first"] = """
+SELECT user_id, event_type, min(event_id) AS event_id, round(arg_min(value, event_id), 6) AS value
+FROM events GROUP BY user_id, event_type"""

@@ -59,3 +59,189 @@ def knn_eval(spark: SparkSession, sf_dir: str, k: int = 5, test_pct: int = 20, s
 @query("flagship_knn_eval")
 def flagship_knn_eval(spark, sf_dir):
     return knn_eval(spark, sf_dir)
+
+
+# ====================================================================== step 1: profile, filters
+from assay_spark.operators import profile as PR  # noqa: E402
+from assay_spark.operators import select as SE  # noqa: E402
+
+LINE_NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("profile_describe")
+def profile_describe(spark, sf_dir):
+    return rounded(PR.profile(table(spark, sf_dir, "lineitem"), LINE_NUM))
+
+
+def labelled_docs(spark, sf_dir) -> DataFrame:
+    """Documents with their labels attached (J1); unlabelled ones get nulls."""
+    from assay_spark.operators.joins import attach_target
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    return attach_target(d, table(spark, sf_dir, "labels"), ["doc_id"])
+
+
+@query("null_report")
+def null_report(spark, sf_dir):
+    return PR.null_report(labelled_docs(spark, sf_dir))
+
+
+@query("attach_target")
+def attach_target_q(spark, sf_dir):
+    return labelled_docs(spark, sf_dir).select("doc_id", "lang", "quality", "toxic")
+
+
+@query("skew_kurt_adj")
+def skew_kurt_adj(spark, sf_dir):
+    return rounded(PR.moments(table(spark, sf_dir, "events"), "value", by=["event_type"]))
+
+
+@query("quantile_topcode")
+def quantile_topcode(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    return rounded(SE.topcode(ev, "value", 0.9995, 0.0, by=["event_type"], out="value_capped"))
+
+
+@query("quantiles")
+def quantiles(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    q = PR.exact_quantiles(ev, "value", [0.0, 0.1, 0.25, 0.5, 0.9, 0.9995, 1.0], by=["event_type"])
+    return rounded(q)
+
+
+@query("zscore_flag")
+def zscore_flag(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    flagged = SE.zscore_flag(ev, "value", 3.5, by=["event_type"])
+    return rounded(SE.outlier_report(flagged, by=["event_type"]))
+
+
+@query("cap_filter")
+def cap_filter(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    return SE.cap_filter(ev, "value", 100.0).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("histogram_bins")
+def histogram_bins(spark, sf_dir):
+    return rounded(PR.histogram(table(spark, sf_dir, "events"), "value", 25, by=["event_type"]))
+
+
+@query("box_stats")
+def box_stats(spark, sf_dir):
+    return rounded(PR.box_stats(table(spark, sf_dir, "events"), "value", by=["event_type"]))
+
+
+@query("corr_matrix")
+def corr_matrix(spark, sf_dir):
+    return rounded(PR.corr_matrix(table(spark, sf_dir, "lineitem"), LINE_NUM))
+
+
+SEGMENT_LABELS = {"AUTOMOBILE": "Auto", "BUILDING": "Building", "FURNITURE": "Furniture", "MACHINERY": "Machinery"}
+
+
+@query("label_map")
+def label_map(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return SE.map_labels(c, "c_mktsegment", SEGMENT_LABELS, out="label")
+
+
+@query("align_columns")
+def align_columns(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return rounded(SE.align_columns(li, ["l_orderkey", "l_linenumber", "l_quantity", "l_missing", "l_tax"], fill=0.0))
+
+
+def shots_like(spark, sf_dir) -> DataFrame:
+    """Stand-in shot series: a string size label with one non-numeric level."""
+    p = table(spark, sf_dir, "part")
+    lab = F.when(F.col("p_size") >= 50, F.lit("Infinite")).otherwise(F.col("p_size").cast("string"))
+    return p.select(lab.alias("numsamp"), (F.col("p_retailprice") / 1000.0).alias("mse"))
+
+
+@query("log_axis")
+def log_axis(spark, sf_dir):
+    s = shots_like(spark, sf_dir).groupBy("numsamp").agg(F.avg("mse").alias("mean"))
+    return rounded(SE.log_axis(s, "numsamp", out="x"))
+
+
+@query("any_nan")
+def any_nan(spark, sf_dir):
+    return SE.any_nan(vectors(spark, sf_dir), "x", by=["stratum"])
+
+
+@query("shape_report")
+def shape_report(spark, sf_dir):
+    return PR.shape_report(vectors(spark, sf_dir), by=["stratum"], vec="x")
+
+
+@query("numeric_only")
+def numeric_only(spark, sf_dir):
+    return rounded(SE.numeric_only(table(spark, sf_dir, "customer")))
+
+
+@query("drop_all_null_rows")
+def drop_all_null_rows(spark, sf_dir):
+    d = labelled_docs(spark, sf_dir).select("doc_id", "quality", "toxic")
+    return SE.drop_all_null_rows(d, subset=["quality", "toxic"])
+
+
+# ====================================================================== step 2: sampling
+@query("sample_n")
+def sample_n(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return SA.sample_n(o, "o_orderkey", 1800, seed=42)
+
+
+@query("split_exact")
+def split_exact(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    return SA.split_exact(o, "o_orderkey", 20, seed=42)
+
+
+@query("stratified_split")
+def stratified_split(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return SA.stratified_split(o, "o_orderkey", "o_orderpriority", 20, seed=42)
+
+
+@query("stratified_sample")
+def stratified_sample(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return SA.stratified_sample(d, "doc_id", "lang", 100, seed=42)
+
+
+@query("stratified_sample_replace")
+def stratified_sample_replace(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return SA.stratified_sample(d, "doc_id", "lang", 100, seed=42, replace=True)
+
+
+GRID_SIZES = (100, 200)
+GRID_REPEATS = 5
+
+
+@query("subsamples_grid")
+def subsamples_grid(spark, sf_dir):
+    v = vectors(spark, sf_dir).select("row_id", "stratum")
+    return SA.subsamples(v, "row_id", "stratum", GRID_SIZES, GRID_REPEATS, seed=42)
+
+
+@query("exclude_drawn")
+def exclude_drawn(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    drawn = SA.sample_n(o, "o_orderkey", 1800, seed=42)
+    return SA.exclude_drawn(o, drawn, "o_orderkey")
+
+
+@query("overlap_report")
+def overlap_report(spark, sf_dir):
+    v = vectors(spark, sf_dir).select("row_id", "stratum")
+    cells = SA.subsamples(v, "row_id", "stratum", GRID_SIZES, GRID_REPEATS, seed=42, replace=True)
+    return SA.overlap(cells, "row_id", ["rec", "sub"])
+
+
+@query("dedupe_first")
+def dedupe_first(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    return rounded(SA.dedupe_first(ev, ["user_id", "event_type"], "event_id"))
