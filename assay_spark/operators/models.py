@@ -20,6 +20,7 @@ from typing import Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,14 +135,35 @@ def estimator(name: str, features: str = "_f", label: str = "_y", seed: int = 42
 ML_MODELS = ("forest", "gbt", "bagging", "tree", "ols", "ridge")
 
 
-def fit(train: DataFrame, name: str, vec: str = "x", y: str = "y", seed: int = 42, **kw):
-    """L1: mean-impute -> vector -> regressor, as an ML Pipeline."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import Imputer, SQLTransformer
+class FittedModel:
+    """L1 pipeline: mean-impute the vector (means of the training rows) ->
+    ML vector -> fitted regressor.  ``transform`` applies the same steps to
+    any table with the vector column."""
 
-    to_vec = SQLTransformer(statement=f"SELECT *, array_to_vector({vec}) AS _f, CAST({y} AS DOUBLE) AS _y FROM __THIS__")
-    stages = [to_vec, estimator(name, seed=seed, **kw)]
-    return Pipeline(stages=stages).fit(train)
+    def __init__(self, model, fill: list[float], vec: str):
+        self.model, self.fill, self.vec = model, fill, vec
+        self.stages = [model]
+
+    def _prep(self, df: DataFrame) -> DataFrame:
+        fill = F.array(*[F.lit(float(v)) for v in self.fill])
+        x = F.zip_with(F.col(self.vec), fill, lambda a, m: F.coalesce(a, m))
+        return df.withColumn("_f", array_to_vector(x))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(self._prep(df))
+
+
+def fit(train: DataFrame, name: str, vec: str = "x", y: str = "y", seed: int = 42, **kw) -> FittedModel:
+    """L1: mean imputation fitted on train, then the named regressor.  The
+    fill vector has one value per feature (bounded by the width)."""
+    means = (train.select(F.posexplode(vec).alias("_i", "_v")).groupBy("_i").agg(F.avg("_v").alias("_m"))
+             .orderBy("_i").collect())
+    fill = [float(r["_m"]) if r["_m"] is not None else 0.0 for r in means]
+    fm = FittedModel(None, fill, vec)
+    d = fm._prep(train).withColumn("_y", F.col(y).cast("double"))
+    fm.model = estimator(name, seed=seed, **kw).fit(d)
+    fm.stages = [fm.model]
+    return fm
 
 
 def predict(model, df: DataFrame, keep: Sequence[str], out: str = "y_hat") -> DataFrame:
@@ -177,6 +199,8 @@ def evaluate(cells: DataFrame, by: Sequence[str], algorithms: Sequence[str] = GR
     from assay_spark.operators.report import regression_metrics
 
     by = _list(by)
+    # every algorithm reads the same cells: materialise them once
+    cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
     train = cells.filter(F.col(split) == "train")
     test = cells.filter(F.col(split) == "test")
     truth = test.select(*by, id_col, F.col(y).cast("double").alias("y"))

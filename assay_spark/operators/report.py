@@ -95,15 +95,17 @@ def bar_table(pairs: DataFrame, labels: dict[str, str], order: Sequence[str],
 
 
 # ---------------------------------------------------------------- T1, A17
-def leaderboard(results: DataFrame, n: int = 10, metric: str = "mse", tiebreak: str = "algorithm",
+def leaderboard(results: DataFrame, n: int = 10, metric: str = "mse", tiebreak: Sequence[str] = ("algorithm",),
                 by: Sequence[str] = ()) -> DataFrame:
     """The ``n`` best rows (lowest metric) overall, or per group with ``by``.
-    Global form is a top-n (TakeOrderedAndProject); the per-group form is a
-    window over the results table, whose size is cells x algorithms."""
+    Global form is a top-n (TakeOrderedAndProject: each task keeps n rows);
+    the per-group form is a window over the results table, whose size is
+    cells x algorithms."""
     by = _list(by)
+    order = [F.col(metric).asc_nulls_last()] + [F.col(t) for t in _list(tiebreak)]
     if not by:
-        return results.orderBy(F.col(metric).asc_nulls_last(), F.col(tiebreak)).limit(n)
-    w = Window.partitionBy(*by).orderBy(F.col(metric).asc_nulls_last(), F.col(tiebreak))
+        return results.orderBy(*order).limit(n)
+    w = Window.partitionBy(*by).orderBy(*order)
     return results.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= n)
 
 

@@ -239,3 +239,213 @@ SELECT rec, sub, CAST(sum(tr) AS BIGINT) AS train_ids, CAST(sum(te) AS BIGINT) A
 ORACLE["dedupe_first"] = """
 SELECT user_id, event_type, min(event_id) AS event_id, round(arg_min(value, event_id), 6) AS value
 FROM events GROUP BY user_id, event_type"""
+
+
+# ====================================================================== step 3
+import math as _math  # noqa: E402
+
+_V = "(SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS x, CAST(label AS DOUBLE) AS y, label AS stratum FROM embeddings)"
+
+
+def _vh(n: int) -> str:
+    return f"(SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[])[1:{n}] AS x FROM embeddings)"
+
+
+def _long_sql(src: str, keys: str, vec: str) -> str:
+    return (f"SELECT {keys}, CAST(generate_subscripts({vec}, 1) - 1 AS INTEGER) AS i, "
+            f"round(unnest({vec}), 6) AS value FROM {src}")
+
+
+def _pairs(z: str, n: int) -> str:
+    return (f"flatten(list_transform(range(1, {n}), lambda a: "
+            f"list_transform(range(a + 1, {n + 1}), lambda b: {z}[a] * {z}[b])))")
+
+
+ORACLE["standardize"] = f"""
+WITH d AS (SELECT row_id, unnest(x) AS v, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS i FROM {_V}),
+s AS (SELECT i, avg(v) AS mu, stddev_pop(v) AS sd FROM d GROUP BY i)
+SELECT row_id, i, round(CASE WHEN sd = 0 THEN 0.0 ELSE (v - mu) / sd END, 6) AS value FROM d JOIN s USING (i)"""
+
+ORACLE["standardize_cols"] = "WITH s AS (SELECT l_returnflag, " + ", ".join(
+    f"avg({c}) AS mu_{c}, stddev_pop({c}) AS sd_{c}" for c in _LINE_NUM) + " FROM lineitem GROUP BY l_returnflag) " \
+    "SELECT l_orderkey, l_linenumber, l_returnflag, " + ", ".join(
+    f"round(CASE WHEN sd_{c} = 0 THEN 0.0 ELSE ({c} - mu_{c}) / sd_{c} END, 6) AS {c}_z" for c in _LINE_NUM) + \
+    " FROM lineitem JOIN s USING (l_returnflag)"
+
+ORACLE["impute_mean"] = f"""
+SELECT doc_id, lang, round(coalesce(CAST(quality AS DOUBLE), avg(CAST(quality AS DOUBLE)) OVER (PARTITION BY lang)), 6) AS quality
+FROM {_DOCS}"""
+
+_SPLIT_V = _strat_split("SELECT * FROM " + _V)
+
+ORACLE["scale_to_bound"] = f"""
+WITH s AS (SELECT * FROM {_SPLIT_V}),
+m AS (SELECT max(list_max(list_transform(x, lambda v: abs(v)))) AS s FROM s WHERE split = 'train'),
+z AS (SELECT s.row_id, s.split, list_transform(s.x, lambda v: v * CASE WHEN m.s = 0 THEN 0.0 ELSE 6.0 / m.s END) AS x FROM s, m)
+{_long_sql('z', 'row_id, split', 'x')}"""
+
+ORACLE["max_abs"] = f"SELECT stratum, round(max(list_max(list_transform(x, lambda v: abs(v)))), 6) AS max_abs FROM {_V} GROUP BY stratum"
+
+ORACLE["correlators_pairs"] = f"""
+WITH c AS (SELECT row_id, list_concat(x, {_pairs('x', 8)}) AS c FROM {_vh(8)})
+{_long_sql('c', 'row_id', 'c')}"""
+
+ORACLE["pairs_long"] = f"""
+SELECT row_id, CAST(a - 1 AS INTEGER) AS i, CAST(b - 1 AS INTEGER) AS j, round(x[a] * x[b], 6) AS product
+FROM {_vh(8)} v, range(1, 9) r1(a), range(1, 9) r2(b) WHERE a < b"""
+
+_Z3 = "list_filter(x, lambda v, i: (i - 1) % 3 = 2)"
+ORACLE["expand_modes"] = " UNION ALL ".join(
+    f"SELECT * FROM (WITH r AS (SELECT row_id, {expr} AS r FROM {_vh(9)}) {_long_sql('r', 'row_id', 'r')}) "
+    f"CROSS JOIN (SELECT '{mode}' AS mode)"
+    for mode, expr in [
+        ("s", "x"),
+        ("ss", "flatten(list_transform(range(1, 10), lambda a: list_transform(x, lambda q: x[a] * q)))"),
+        ("z", _Z3),
+        ("zz", _pairs(_Z3, 3)),
+        ("szz", f"list_concat(x, {_pairs(_Z3, 3)})"),
+    ])
+
+_W2 = (2 * _math.pi) ** 2
+_STEP_VALUES = ", ".join(f"({k + 1}, {repr((0.0 + 0.4 * (k + 1)) / 2.0)})" for k in range(10))
+ORACLE["response_features"] = f"""
+WITH s AS (SELECT v.row_id, t.step, list_transform(v.x, lambda a: 1.0 - {repr(2.0 * _W2)} / ({repr(_W2)} + a * a)
+                  * pow(sin(sqrt({repr(_W2)} + a * a) * t.th), 2)) AS z
+           FROM {_vh(18)} v, (VALUES {_STEP_VALUES}) t(step, th)),
+c AS (SELECT row_id, CAST(step AS INTEGER) AS step, list_concat(z, {_pairs('z', 18)}) AS c FROM s)
+SELECT row_id, step, count(*) AS n, round(sum(v), 6) AS sum, round(sum(v * v), 6) AS sumsq,
+       round(min(v), 6) AS min, round(max(v), 6) AS max
+FROM (SELECT row_id, step, unnest(c) AS v FROM c) GROUP BY row_id, step"""
+
+ORACLE["shot_noise"] = f"""
+WITH e AS (SELECT row_id, unnest(x) AS e, generate_subscripts(x, 1) - 1 AS i FROM {_vh(8)}),
+g AS (SELECT e.*, s.shots, l.loop FROM e, (SELECT unnest([0, 10, 50]) AS shots) s, (SELECT unnest([1, 2]) AS loop) l),
+dr AS (SELECT row_id, shots, loop, i, e, unnest(range(1, shots + 1)) AS j FROM g WHERE shots > 0),
+k AS (SELECT row_id, shots, loop, i, count_if(CAST({H('row_id', 'shots', 'loop', 'i', 'j')} AS DOUBLE)
+             / CAST(1152921504606846976 AS DOUBLE) < (1.0 + e) / 2.0) AS k
+      FROM dr GROUP BY row_id, shots, loop, i, e)
+SELECT row_id, shots, loop, CAST(i AS INTEGER) AS i, round(CAST(2 AS DOUBLE) * k / shots - 1.0, 6) AS value FROM k
+UNION ALL
+SELECT row_id, shots, loop, CAST(i AS INTEGER) AS i, round(e, 6) AS value FROM g WHERE shots = 0"""
+
+ORACLE["transpose"] = f"""
+SELECT CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS row_id, row_id AS col_id, round(unnest(x), 6) AS value FROM {_V}"""
+
+ORACLE["embed_map"] = f"SELECT row_id, round(list_sum(list_transform(x, lambda v: tanh(v))), 6) AS sum, CAST(len(x) AS INTEGER) AS n FROM {_V}"
+
+# ====================================================================== step 4
+ORACLE["rbf_kernel"] = f"""
+WITH v AS (SELECT row_id, x FROM {_V}),
+c AS (SELECT row_id AS centre_id, x AS cx FROM (SELECT *, row_number() OVER (ORDER BY {H('row_id', seed=7)}, row_id) AS rk FROM v) WHERE rk <= 16)
+SELECT v.row_id, c.centre_id, round(exp(list_sum(list_transform(list_zip(v.x, c.cx), lambda q: (q[1] - q[2]) * (q[1] - q[2])))
+       * {repr(-1.0 / (2.0 * 2.0 ** 2))}), 6) AS k
+FROM v, c"""
+
+_PLAIN_SPLIT = f"""(SELECT row_id, x, y, CASE WHEN rk <= (count(*) OVER () * 20 + 99) // 100 THEN 'test' ELSE 'train' END AS split
+    FROM (SELECT *, row_number() OVER (ORDER BY {H('row_id')}, row_id) AS rk FROM {_V}))"""
+
+ORACLE["knn_regression"] = f"SELECT row_id, y, round(y_hat, 6) AS y_hat FROM {_knn_pred(_PLAIN_SPLIT)}"
+
+ORACLE["knn_join"] = f"""
+WITH z AS (SELECT * FROM {_PLAIN_SPLIT}),
+p AS (SELECT t.row_id, r.row_id AS nn_id,
+             list_sum(list_transform(list_zip(t.x, r.x), lambda q: (q[1] - q[2]) * (q[1] - q[2]))) AS d
+      FROM z t JOIN z r ON t.split = 'test' AND r.split = 'train'),
+nn AS (SELECT *, CAST(row_number() OVER (PARTITION BY row_id ORDER BY d, nn_id) AS INTEGER) AS nn_rank FROM p)
+SELECT row_id, nn_rank, nn_id, round(d, 6) AS nn_dist2 FROM nn WHERE nn_rank <= 5"""
+
+ORACLE["assign_centroids"] = f"""
+WITH d AS (SELECT stratum, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM {_V}),
+c AS (SELECT stratum AS cluster, list(mu ORDER BY i) AS cx FROM (SELECT stratum, i, avg(v) AS mu FROM d GROUP BY ALL) GROUP BY stratum),
+p AS (SELECT v.row_id, c.cluster, list_sum(list_transform(list_zip(v.x, c.cx), lambda q: (q[1] - q[2]) * (q[1] - q[2]))) AS d
+      FROM {_V} v, c)
+SELECT row_id, CAST(arg_min(cluster, (d, cluster)) AS INTEGER) AS cluster, round(min(d), 6) AS dist2 FROM p GROUP BY row_id"""
+
+# ====================================================================== step 5
+_PART_PRED = """(SELECT p.p_partkey, p.p_brand, p.p_size, p.p_retailprice AS y, m.y_hat
+   FROM part p JOIN (SELECT p_size, avg(p_retailprice) AS y_hat FROM part GROUP BY p_size) m USING (p_size))"""
+
+ORACLE["regression_metrics"] = f"""
+SELECT p_brand, round(avg((y_hat - y) * (y_hat - y)), 6) AS mse, round(avg(abs(y_hat - y)), 6) AS mae,
+       round(1 - sum((y_hat - y) * (y_hat - y)) / (count(*) * var_pop(y)), 6) AS r2, count(*) AS n,
+       round(sqrt(avg((y_hat - y) * (y_hat - y))), 6) AS rmse, round(avg(abs((y_hat - y) / nullif(y, 0.0))), 6) AS mape
+FROM {_PART_PRED} GROUP BY p_brand"""
+
+ORACLE["fit_line"] = f"""
+SELECT p_brand, round(regr_slope(y_hat, y), 6) AS slope, round(regr_intercept(y_hat, y), 6) AS intercept,
+       round(regr_r2(y_hat, y), 6) AS r2, CAST(regr_count(y_hat, y) AS BIGINT) AS n
+FROM {_PART_PRED} GROUP BY p_brand"""
+
+ORACLE["rollup_scores"] = """
+SELECT c_nationkey, c_mktsegment, round(avg(c_acctbal), 6) AS mean, round(stddev_samp(c_acctbal), 6) AS std,
+       count(c_acctbal) AS n FROM customer GROUP BY ALL"""
+
+ORACLE["rollup_metric_model"] = """
+SELECT l_returnflag AS metric, l_linestatus AS model, round(avg(l_discount), 6) AS mean,
+       round(stddev_samp(l_discount), 6) AS std, count(l_discount) AS n FROM lineitem GROUP BY ALL"""
+
+ORACLE["summary_join"] = """
+SELECT c_mktsegment, round(avg(c_acctbal), 6) AS value_mean, round(stddev_samp(c_acctbal), 6) AS value_std
+FROM customer GROUP BY c_mktsegment"""
+
+_PAIRS = """(SELECT CAST(c_nationkey AS VARCHAR) AS n_key, c_mktsegment AS model, avg(c_acctbal) AS mean,
+             stddev_samp(c_acctbal) AS std FROM customer GROUP BY c_nationkey, c_mktsegment)"""
+
+ORACLE["pair_mean_std"] = f"SELECT n_key, model, round(mean, 6) AS mean, round(std, 6) AS std FROM {_PAIRS}"
+
+ORACLE["bar_table"] = f"""
+SELECT n_key, model, round(mean, 6) AS mean, round(std, 6) AS std,
+       CASE model WHEN 'AUTOMOBILE' THEN 'Auto' WHEN 'BUILDING' THEN 'Building' WHEN 'FURNITURE' THEN 'Furniture'
+                  WHEN 'MACHINERY' THEN 'Machinery' END AS label,
+       CAST(CASE model WHEN 'FURNITURE' THEN 1 WHEN 'AUTOMOBILE' THEN 2 WHEN 'MACHINERY' THEN 3 WHEN 'BUILDING' THEN 4 END AS INTEGER) AS model_pos,
+       round(std * f, 6) AS err, round(mean + std * f, 6) AS upper, round(mean - std * f, 6) AS lower
+FROM (SELECT *, CASE WHEN model = 'MACHINERY' THEN 2.0 ELSE 1.0 END AS f FROM {_PAIRS})
+WHERE model IN ('FURNITURE', 'AUTOMOBILE', 'MACHINERY', 'BUILDING')"""
+
+_PART_RES = "(SELECT p_size AS cell, p_brand AS algorithm, avg(p_retailprice) / 1000.0 AS mse FROM part GROUP BY ALL)"
+
+ORACLE["leaderboard"] = f"SELECT cell, algorithm, round(mse, 6) AS mse FROM {_PART_RES} ORDER BY mse, algorithm, cell LIMIT 10"
+
+ORACLE["leaderboard_per_cell"] = f"""
+SELECT cell, algorithm, round(mse, 6) AS mse, pos FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY cell ORDER BY mse, algorithm) AS INTEGER) AS pos FROM {_PART_RES})
+WHERE pos <= 3"""
+
+ORACLE["best_model"] = f"SELECT cell, arg_min(algorithm, (mse, algorithm)) AS best_algorithm, round(min(mse), 6) AS best_mse FROM {_PART_RES} GROUP BY cell"
+
+ORACLE["shot_curve"] = """
+WITH s AS (SELECT CASE WHEN p_size >= 50 THEN 'Infinite' ELSE CAST(p_size AS VARCHAR) END AS shots,
+                  avg(p_retailprice / 1000.0) AS mean, stddev_samp(p_retailprice / 1000.0) AS std, count(*) AS n
+           FROM part GROUP BY 1),
+l AS (SELECT *, CASE WHEN TRY_CAST(shots AS DOUBLE) > 0 THEN ln(TRY_CAST(shots AS DOUBLE)) END AS lnx FROM s)
+SELECT shots, round(mean, 6) AS mean, round(std, 6) AS std, n, round(coalesce(lnx, max(lnx) OVER () + 0.5), 6) AS x FROM l"""
+
+ORACLE["scores_long"] = """
+SELECT p_partkey, 'mse' AS metric, p_brand AS model, CAST(r AS INTEGER) AS run,
+       round(CASE r WHEN 1 THEN p_retailprice ELSE CAST(p_size AS DOUBLE) END, 6) AS score
+FROM part, (SELECT unnest([1, 2]) AS r)
+UNION ALL SELECT p_partkey, 'mae', p_type, 1, round(p_retailprice / 2.0, 6) FROM part"""
+
+ORACLE["union_results"] = """
+SELECT p_brand AS algorithm, round(avg(p_retailprice), 6) AS mse, 'brand' AS source, CAST(NULL AS INTEGER) AS numsamp FROM part GROUP BY p_brand
+UNION ALL
+SELECT p_type, round(avg(p_retailprice), 6), NULL, max(p_size) FROM part GROUP BY p_type"""
+
+ORACLE["results_frame"] = """
+SELECT p_partkey, 'size' AS "Algorithm", round(CAST(p_size AS DOUBLE), 6) AS "MSE" FROM part
+UNION ALL SELECT p_partkey, 'price', round(p_retailprice, 6) FROM part"""
+
+ORACLE["to_long"] = """
+SELECT c_custkey, 'nation' AS col_name, round(CAST(c_nationkey AS DOUBLE), 6) AS value FROM customer
+UNION ALL SELECT c_custkey, 'acctbal', round(c_acctbal, 6) FROM customer"""
+
+ORACLE["to_wide"] = """
+SELECT l_returnflag AS metric, round(avg(CASE WHEN l_linestatus = 'F' THEN l_discount END), 6) AS "F",
+       round(avg(CASE WHEN l_linestatus = 'O' THEN l_discount END), 6) AS "O" FROM lineitem GROUP BY l_returnflag"""
+
+ORACLE["distinct_labels"] = "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem"
+
+# ====================================================================== step 6
+ORACLE["ols_single"] = """
+SELECT p_brand, round(regr_intercept(p_retailprice, p_size), 6) AS intercept,
+       round(regr_slope(p_retailprice, p_size), 6) AS slope, count(*) AS n FROM part GROUP BY p_brand"""

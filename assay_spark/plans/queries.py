@@ -245,3 +245,414 @@ def overlap_report(spark, sf_dir):
 def dedupe_first(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
     return rounded(SA.dedupe_first(ev, ["user_id", "event_type"], "event_id"))
+
+
+# ====================================================================== step 3: features
+from assay_spark.functions import arrays as AR  # noqa: E402
+from assay_spark.operators import reshape as RS  # noqa: E402
+from assay_spark.plans.catalog import vectors_head  # noqa: E402
+
+
+def _long(df: DataFrame, keys, vec: str) -> DataFrame:
+    return df.select(*keys, F.posexplode(vec).alias("i", "value")).withColumn("i", F.col("i").cast("int"))
+
+
+def split_vectors(spark, sf_dir) -> DataFrame:
+    return SA.stratified_split(vectors(spark, sf_dir), "row_id", "stratum", 20, seed=42)
+
+
+@query("standardize")
+def standardize(spark, sf_dir):
+    z = FE.standardize(vectors(spark, sf_dir), "x")
+    return rounded(_long(z, ["row_id"], "x"))
+
+
+@query("standardize_cols")
+def standardize_cols(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", *LINE_NUM)
+    z = FE.standardize_cols(li, LINE_NUM, by=["l_returnflag"])
+    return rounded(z.select("l_orderkey", "l_linenumber", "l_returnflag", *[c + "_z" for c in LINE_NUM]))
+
+
+@query("impute_mean")
+def impute_mean(spark, sf_dir):
+    d = labelled_docs(spark, sf_dir).select("doc_id", "lang", F.col("quality").cast("double").alias("quality"))
+    return rounded(FE.impute_mean(d, ["quality"], by=["lang"]))
+
+
+@query("scale_to_bound")
+def scale_to_bound(spark, sf_dir):
+    s = FE.scale_to(split_vectors(spark, sf_dir), "x", 6.0, fit_on=F.col("split") == "train")
+    return rounded(_long(s, ["row_id", "split"], "x"))
+
+
+@query("max_abs")
+def max_abs(spark, sf_dir):
+    return rounded(FE.max_abs(vectors(spark, sf_dir), "x", by=["stratum"]))
+
+
+@query("correlators_pairs")
+def correlators_pairs(spark, sf_dir):
+    c = FE.correlators(vectors_head(spark, sf_dir, 8), "x", order=2, out="corr")
+    return rounded(_long(c, ["row_id"], "corr"))
+
+
+@query("pairs_long")
+def pairs_long(spark, sf_dir):
+    return rounded(FE.pairs_long(vectors_head(spark, sf_dir, 8), "row_id", "x"))
+
+
+@query("expand_modes")
+def expand_modes(spark, sf_dir):
+    v = vectors_head(spark, sf_dir, 9)
+    parts = [_long(FE.expand(v, "x", m, components=3), ["row_id"], "readout").withColumn("mode", F.lit(m))
+             for m in FE.READOUT_MODES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return rounded(out)
+
+
+RESPONSE_SITES = 18
+RESPONSE_STEPS = FE.response_steps(0.0, 4.3, 0.4)
+
+
+@query("response_features")
+def response_features(spark, sf_dir):
+    """Full 1710-long response embedding of 18 inputs (10 steps x 171),
+    summarised per (row, step) so the comparison reads every value."""
+    e = FE.response_features(vectors_head(spark, sf_dir, RESPONSE_SITES), "x", t_end=4.3, step=0.4, order=2)
+    per = RESPONSE_SITES + RESPONSE_SITES * (RESPONSE_SITES - 1) // 2
+    lng = _long(e, ["row_id"], "embedding").withColumn("step", (F.col("i") / per).cast("int") + 1)
+    return rounded(lng.groupBy("row_id", "step").agg(
+        F.count("value").alias("n"), F.sum("value").alias("sum"), F.sum(F.col("value") ** 2).alias("sumsq"),
+        F.min("value").alias("min"), F.max("value").alias("max")))
+
+
+SHOTS = (0, 10, 50)
+
+
+@query("shot_noise")
+def shot_noise(spark, sf_dir):
+    v = vectors_head(spark, sf_dir, 8)
+    n = FE.add_shot_noise(v, "row_id", "x", SHOTS, loops=2, seed=42)
+    return rounded(_long(n, ["row_id", "shots", "loop"], "noisy"))
+
+
+@query("transpose")
+def transpose(spark, sf_dir):
+    """Coordinate form of the transposed feature x sample matrix."""
+    t = RS.to_entries(vectors(spark, sf_dir), "row_id", "x", "row", "value")
+    return rounded(t.select(F.col("row").alias("row_id"), F.col("row_id").alias("col_id"), "value"))
+
+
+@query("pca")
+def pca(spark, sf_dir):
+    s = split_vectors(spark, sf_dir)
+    p = FE.pca(s, "x", 4, fit_on=F.col("split") == "train")
+    return rounded(p.select("row_id", "split", *[F.col("pca")[i].alias(f"pc{i + 1}") for i in range(4)]))
+
+
+@query("pca_variance")
+def pca_variance(spark, sf_dir):
+    return rounded(FE.pca_variance(vectors(spark, sf_dir), "x", 8))
+
+
+def _tanh(x):
+    import numpy as np
+    return np.tanh(x)
+
+
+@query("embed_map")
+def embed_map(spark, sf_dir):
+    e = FE.embed(vectors(spark, sf_dir).select("row_id", "x"), "x", _tanh, 64)
+    return rounded(e.select("row_id", AR.vsum("embedding").alias("sum"), F.size("embedding").alias("n")))
+
+
+# ====================================================================== step 4: distances and clusters
+RBF_LENGTH = 2.0
+
+
+@query("rbf_kernel")
+def rbf_kernel(spark, sf_dir):
+    v = vectors(spark, sf_dir).select("row_id", "x")
+    centres = SA.sample_n(v, "row_id", 16, seed=7).select(F.col("row_id").alias("centre_id"), "x")
+    return rounded(K.rbf_kernel(v, centres, RBF_LENGTH, "row_id", "x"))
+
+
+def _plain_split(spark, sf_dir):
+    return SA.split_exact(vectors(spark, sf_dir), "row_id", 20, seed=42)
+
+
+@query("knn_regression")
+def knn_regression(spark, sf_dir):
+    s = _plain_split(spark, sf_dir)
+    p = K.knn_regression(s.filter("split = 'test'"), s.filter("split = 'train'"), k=5)
+    return rounded(p)
+
+
+@query("knn_join")
+def knn_join(spark, sf_dir):
+    s = _plain_split(spark, sf_dir)
+    return rounded(K.knn_join(s.filter("split = 'test'"), s.filter("split = 'train'"), k=5, y=None))
+
+
+def class_centroids(spark, sf_dir) -> DataFrame:
+    st = FE.vector_stats(vectors(spark, sf_dir), "x", by=["stratum"])
+    return st.select(F.col("stratum").alias("cluster"), F.col("_mu").alias("centroid"))
+
+
+@query("assign_centroids")
+def assign_centroids(spark, sf_dir):
+    a = K.assign(vectors(spark, sf_dir).select("row_id", "x"), class_centroids(spark, sf_dir), "x")
+    return rounded(a.select("row_id", "cluster", "dist2"))
+
+
+@query("kmeans")
+def kmeans(spark, sf_dir):
+    from assay_spark.operators.cluster import cluster
+    return cluster(vectors(spark, sf_dir), "x", k=5, seed=42).select("row_id", "cluster")
+
+
+@query("elbow")
+def elbow(spark, sf_dir):
+    from assay_spark.operators.cluster import elbow as _elbow
+    return rounded(_elbow(vectors(spark, sf_dir), "x", range(1, 10), seed=42))
+
+
+# ====================================================================== step 5: scores
+def part_predictions(spark, sf_dir) -> DataFrame:
+    """Stand-in predictions: each part's price predicted by the mean price of
+    its size class (predictions table schema: keys, y, y_hat)."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", F.col("p_retailprice").alias("y"))
+    m = p.groupBy("p_size").agg(F.avg("y").alias("y_hat"))
+    return p.join(m, "p_size")
+
+
+@query("regression_metrics")
+def regression_metrics(spark, sf_dir):
+    return rounded(RP.regression_metrics(part_predictions(spark, sf_dir), by=["p_brand"], extended=True))
+
+
+@query("fit_line")
+def fit_line(spark, sf_dir):
+    return rounded(RP.fit_line(part_predictions(spark, sf_dir), by=["p_brand"]))
+
+
+@query("rollup_scores")
+def rollup_scores(spark, sf_dir):
+    return rounded(RP.rollup(table(spark, sf_dir, "customer"), ["c_nationkey", "c_mktsegment"], "c_acctbal"))
+
+
+def lineitem_scores(spark, sf_dir) -> DataFrame:
+    """Stand-in long score table (metric, model, score)."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_returnflag").alias("metric"), F.col("l_linestatus").alias("model"),
+                     F.col("l_discount").alias("score"))
+
+
+@query("rollup_metric_model")
+def rollup_metric_model(spark, sf_dir):
+    return rounded(RP.rollup(lineitem_scores(spark, sf_dir), ["metric", "model"], "score"))
+
+
+@query("summary_join")
+def summary_join(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    means = c.groupBy("c_mktsegment").agg(F.avg("c_acctbal").alias("value"))
+    stds = c.groupBy("c_mktsegment").agg(F.stddev_samp("c_acctbal").alias("value"))
+    return rounded(RP.summary_join(means, stds, ["c_mktsegment"]))
+
+
+def mean_std_keys(spark, sf_dir) -> DataFrame:
+    """Stand-in summary rows keyed '{n}mse' / '{n}std' per model."""
+    r = RP.rollup(table(spark, sf_dir, "customer"), ["c_nationkey", "c_mktsegment"], "c_acctbal")
+    k = F.col("c_nationkey").cast("string")
+    return (r.select(F.concat(k, F.lit("mse")).alias("key"), F.col("c_mktsegment").alias("model"),
+                     F.col("mean").alias("value"))
+            .unionByName(r.select(F.concat(k, F.lit("std")).alias("key"), F.col("c_mktsegment").alias("model"),
+                                  F.col("std").alias("value"))))
+
+
+@query("pair_mean_std")
+def pair_mean_std(spark, sf_dir):
+    return rounded(RP.pair_mean_std(mean_std_keys(spark, sf_dir)))
+
+
+BAR_ORDER = ["FURNITURE", "AUTOMOBILE", "MACHINERY", "BUILDING"]
+
+
+@query("bar_table")
+def bar_table(spark, sf_dir):
+    pairs = RP.pair_mean_std(mean_std_keys(spark, sf_dir))
+    factors = spark.createDataFrame([("MACHINERY", 2.0)], "model string, factor double")
+    return rounded(RP.bar_table(pairs, SEGMENT_LABELS, BAR_ORDER, factors))
+
+
+def part_results(spark, sf_dir) -> DataFrame:
+    """Stand-in RESULTS table: cell = size class, algorithm = brand,
+    mse = mean price (thousands)."""
+    p = table(spark, sf_dir, "part")
+    return p.groupBy(F.col("p_size").alias("cell"), F.col("p_brand").alias("algorithm")).agg(
+        (F.avg("p_retailprice") / 1000.0).alias("mse"))
+
+
+@query("leaderboard")
+def leaderboard(spark, sf_dir):
+    return rounded(RP.leaderboard(part_results(spark, sf_dir), 10, "mse", ["algorithm", "cell"]))
+
+
+@query("leaderboard_per_cell")
+def leaderboard_per_cell(spark, sf_dir):
+    return rounded(RP.leaderboard(part_results(spark, sf_dir), 3, "mse", ["algorithm"], by=["cell"]))
+
+
+@query("best_model")
+def best_model(spark, sf_dir):
+    return rounded(RP.best_model(part_results(spark, sf_dir), ["cell"]))
+
+
+@query("shot_curve")
+def shot_curve(spark, sf_dir):
+    return rounded(RP.shot_curve(shots_like(spark, sf_dir), "numsamp", "mse"))
+
+
+@query("scores_long")
+def scores_long(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    nested = p.select("p_partkey", F.create_map(
+        F.lit("mse"), F.create_map(F.col("p_brand"), F.array(F.col("p_retailprice"), F.col("p_size").cast("double"))),
+        F.lit("mae"), F.create_map(F.col("p_type"), F.array(F.col("p_retailprice") / 2.0))).alias("scores"))
+    return rounded(RS.scores_long(nested, "scores", keep=["p_partkey"]))
+
+
+@query("union_results")
+def union_results(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    a = p.groupBy(F.col("p_brand").alias("algorithm")).agg(F.avg("p_retailprice").alias("mse")) \
+        .withColumn("source", F.lit("brand"))
+    b = p.groupBy(F.col("p_type").alias("algorithm")).agg(F.avg("p_retailprice").alias("mse"),
+                                                          F.max("p_size").alias("numsamp"))
+    return rounded(a.unionByName(b, allowMissingColumns=True))
+
+
+@query("results_frame")
+def results_frame(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select(
+        "p_partkey", F.array(F.lit("size"), F.lit("price")).alias("Algorithm"),
+        F.array(F.col("p_size").cast("double"), F.col("p_retailprice")).alias("MSE"))
+    return rounded(RS.results_frame(p, ["Algorithm", "MSE"], keep=["p_partkey"]))
+
+
+@query("to_long")
+def to_long(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("double").alias("nation"),
+                                                 F.col("c_acctbal").alias("acctbal"))
+    return rounded(RS.to_long(c, ["c_custkey"], ["nation", "acctbal"]))
+
+
+@query("to_wide")
+def to_wide(spark, sf_dir):
+    lng = lineitem_scores(spark, sf_dir).groupBy("metric", "model").agg(F.avg("score").alias("score"))
+    return rounded(RS.to_wide(lng, ["metric"], "model", "score", ["F", "O"]))
+
+
+@query("distinct_labels")
+def distinct_labels(spark, sf_dir):
+    return RP.distinct_labels(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"])
+
+
+# ====================================================================== step 6: models
+from assay_spark.operators import importance as IM  # noqa: E402
+from assay_spark.operators import models as MO  # noqa: E402
+
+
+@query("ols_single")
+def ols_single(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_brand", F.array(F.col("p_size").cast("double")).alias("x"),
+                                            F.col("p_retailprice").alias("y"))
+    co = MO.fit_grouped(p, ["p_brand"], "x", "y")
+    return rounded(co.select("p_brand", "intercept", F.col("coef")[0].alias("slope"), "n"))
+
+
+@query("fit_grouped")
+def fit_grouped(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_returnflag", F.array("l_quantity", "l_discount", "l_tax").alias("x"), F.col("l_extendedprice").alias("y"))
+    co = MO.fit_grouped(li, ["l_returnflag"], "x", "y")
+    return rounded(co.select("l_returnflag", "intercept", F.posexplode("coef").alias("j", "coef")))
+
+
+def _model_report(spark, sf_dir, name, **kw):
+    s = split_vectors(spark, sf_dir)
+    rep = MO.fit_report(s.filter("split = 'train'"), s.filter("split = 'test'"), name, seed=42, **kw)
+    return rounded(rep)
+
+
+@query("forest")
+def forest(spark, sf_dir):
+    return _model_report(spark, sf_dir, "forest")
+
+
+@query("gbt")
+def gbt(spark, sf_dir):
+    return _model_report(spark, sf_dir, "gbt")
+
+
+@query("bagging")
+def bagging(spark, sf_dir):
+    return _model_report(spark, sf_dir, "bagging")
+
+
+@query("tree")
+def tree(spark, sf_dir):
+    return _model_report(spark, sf_dir, "tree")
+
+
+@query("ols_ml")
+def ols_ml(spark, sf_dir):
+    return _model_report(spark, sf_dir, "ols")
+
+
+@query("rbf_ridge")
+def rbf_ridge(spark, sf_dir):
+    return rounded(MO.evaluate(split_vectors(spark, sf_dir), [], ["rbf_ridge"], rff_length=RBF_LENGTH))
+
+
+@query("rank_linear")
+def rank_linear(spark, sf_dir):
+    s = split_vectors(spark, sf_dir).filter("split = 'train'")
+    return rounded(IM.rank_features(s, "linear", 10))
+
+
+@query("rank_tree")
+def rank_tree(spark, sf_dir):
+    s = split_vectors(spark, sf_dir).filter("split = 'train'")
+    return rounded(IM.rank_features(s, "tree", 10, numTrees=100))
+
+
+@query("rank_permutation")
+def rank_permutation(spark, sf_dir):
+    s = split_vectors(spark, sf_dir).filter("split = 'train'")
+    return rounded(IM.rank_features(s, "permutation", 10, dim=64, model="ols"))
+
+
+def grid_cells(spark, sf_dir) -> DataFrame:
+    """Every (rec, sub) subsample with its stratified split, features
+    standardised per cell on that cell's train rows."""
+    v = vectors(spark, sf_dir)
+    cells = SA.subsamples(v.select("row_id", "stratum"), "row_id", "stratum", GRID_SIZES, GRID_REPEATS, seed=42)
+    cells = cells.join(v.select("row_id", "x", "y"), "row_id")
+    return FE.standardize(cells, "x", by=["rec", "sub"], fit_on=F.col("split") == "train")
+
+
+@query("evaluate_grid")
+def evaluate_grid(spark, sf_dir):
+    res = MO.evaluate(grid_cells(spark, sf_dir), ["rec", "sub"], ["ols", "ridge", "knn", "mean"])
+    return rounded(res)
+
+
+@query("rollup_grid")
+def rollup_grid(spark, sf_dir):
+    res = MO.evaluate(grid_cells(spark, sf_dir), ["rec", "sub"], ["ridge", "knn", "mean"])
+    return rounded(RP.rollup(res, ["rec", "algorithm"], "mse"))
