@@ -83,3 +83,14 @@ def correlators(x, order: int = 2, n: int | None = None) -> Column:
 
 def any_nan(x) -> Column:
     return F.exists(_c(x), lambda v: F.isnan(v) | v.isNull())
+
+
+def entries(x, i_name: str = "i", v_name: str = "value") -> Column:
+    """Generator of (position, value) rows of an array, 0-based int positions.
+
+    Use with ``select(..., entries(...))`` in place of ``posexplode``: it
+    reads the array expression once, where posexplode over a computed array
+    re-evaluates it for every position (measured ~80x slower on 1710-long
+    arrays).
+    """
+    return F.inline(F.transform(_c(x), lambda v, i: F.struct(i.alias(i_name), v.alias(v_name))))

@@ -91,7 +91,7 @@ def impute_mean(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
 def impute_mean_vec(df: DataFrame, vec: str, by: Sequence[str] = (), fit_on: Column | None = None) -> DataFrame:
     """Vector form: null entries become that dimension's mean over non-nulls."""
     by = _list(by)
-    src = _fit_rows(df, fit_on).select(*by, F.posexplode(vec).alias("_i", "_x"))
+    src = _fit_rows(df, fit_on).select(*by, A.entries(vec, "_i", "_x"))
     st = src.groupBy(*by, "_i").agg(F.avg("_x").alias("_m"))
     st = st.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_i", "_m"))).alias("_ms"))
     d = _attach(df, st, by)
@@ -130,8 +130,8 @@ def correlators(df: DataFrame, vec: str, order: int = 2, out: str = "corr") -> D
 def pairs_long(df: DataFrame, id_col: str, vec: str) -> DataFrame:
     """Long form of J10: (id, i, j, product) for i < j -- a self-join of one
     row's entries, done inside the row (no shuffle)."""
-    e = df.select(id_col, F.posexplode(vec).alias("i", "zi"), F.col(vec).alias("_v"))
-    e = e.select(id_col, "i", "zi", F.posexplode(F.slice("_v", F.col("i") + 2, 1 << 30)).alias("_o", "zj"))
+    e = df.select(id_col, A.entries(vec, "i", "zi"), F.col(vec).alias("_v"))
+    e = e.select(id_col, "i", "zi", A.entries(F.slice("_v", F.col("i") + 2, 1 << 30), "_o", "zj"))
     return e.select(id_col, F.col("i").cast("int").alias("i"),
                     (F.col("i") + F.col("_o") + 1).cast("int").alias("j"),
                     (F.col("zi") * F.col("zj")).alias("product"))
@@ -152,7 +152,8 @@ def expand(df: DataFrame, vec: str, mode: str, components: int = 3, out: str = "
     if mode not in READOUT_MODES:
         raise ValueError(f"mode must be one of {READOUT_MODES}")
     v = F.col(vec)
-    zs = F.filter(v, lambda x, i: (i % components) == (components - 1))
+    d = df.withColumn("_zs", F.filter(v, lambda x, i: (i % components) == (components - 1)))
+    zs = F.col("_zs")
     expr = {
         "s": v,
         "ss": A.outer_product(v),
@@ -160,7 +161,7 @@ def expand(df: DataFrame, vec: str, mode: str, components: int = 3, out: str = "
         "zz": A.pair_products(zs),
         "szz": F.concat(v, A.pair_products(zs)),
     }[mode]
-    return df.withColumn(out, expr)
+    return d.withColumn(out, expr).drop("_zs")
 
 
 # ---------------------------------------------------------------- F9
@@ -190,15 +191,19 @@ def response_features(df: DataFrame, vec: str, omega: float = 2 * math.pi, t_end
         return F.transform(v, lambda x: F.lit(1.0) - F.lit(2.0 * w2) / (F.lit(w2) + x * x)
                            * F.pow(F.sin(F.sqrt(F.lit(w2) + x * x) * F.lit(t / 2.0)), 2))
 
-    zcol = [z_at(t) for t in ts]
+    # Each step's z is its own column: the pair products read it 2 x n(n-1)/2
+    # times, and Catalyst keeps a non-cheap projection it would otherwise have
+    # to inline (and recompute) at every read.
+    names = [f"_z{k}" for k in range(len(ts))]
+    d = df.withColumns({n: z_at(t) for n, t in zip(names, ts)})
+    zcol = [F.col(n) for n in names]
     if order == 1:
-        return df.withColumn(out, F.flatten(F.array(*zcol)))
-    if layout == "interleaved":
-        blocks = [F.concat(z, A.pair_products(z)) for z in zcol]
-        return df.withColumn(out, F.flatten(F.array(*blocks)))
-    singles = F.flatten(F.array(*zcol))
-    pairs = F.flatten(F.array(*[A.pair_products(z) for z in zcol]))
-    return df.withColumn(out, F.concat(singles, pairs))
+        res = F.flatten(F.array(*zcol))
+    elif layout == "interleaved":
+        res = F.flatten(F.array(*[F.concat(z, A.pair_products(z)) for z in zcol]))
+    else:
+        res = F.concat(F.flatten(F.array(*zcol)), F.flatten(F.array(*[A.pair_products(z) for z in zcol])))
+    return d.withColumn(out, res).drop(*names)
 
 
 # ---------------------------------------------------------------- F10

@@ -13,6 +13,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assay_spark.functions import arrays as A
 from assay_spark.functions.keys import draw_int
 from assay_spark.operators.sampling import _attach, _list, rank_within
 
@@ -32,9 +33,9 @@ def linear_attribution(df: DataFrame, coefs: DataFrame, by: Sequence[str] = (),
     """Mean |beta_j (x_j - mean_j)| per feature j (and group), with the
     means taken over the rows scored.  Output (by, feature, importance)."""
     by = _list(by)
-    e = df.select(*by, F.posexplode(vec).alias("feature", "_x"))
+    e = df.select(*by, A.entries(vec, "feature", "_x"))
     mu = e.groupBy(*by, "feature").agg(F.avg("_x").alias("_mu"))
-    b = coefs.select(*by, F.posexplode("coef").alias("feature", "_beta"))
+    b = coefs.select(*by, A.entries("coef", "feature", "_beta"))
     e = _attach(e, mu, by + ["feature"])
     e = _attach(e, b, by + ["feature"])
     return (e.groupBy(*by, "feature")

@@ -2,7 +2,7 @@
 assignment (J7, J8, C2, L7).
 
 kNN is exact and never materialises the test x train pair table.  Train rows
-of a cell are packed into blocks of about ``block_rows`` (hash of id), each
+of a cell are packed into blocks of about max(``block_rows``, sqrt(n)) rows (hash of id), each
 test row meets each block of its cell once, keeps its k best candidates of
 that block with array functions (JVM side), and a window keeps the k best
 over blocks.  Join keys are (cell, block); when a cell is hot AQE's skew-join
@@ -25,7 +25,11 @@ MAX_BROADCAST_CENTRES = 100_000
 
 def _blocks(train: DataFrame, by: list, id_col: str, x: str, y: str | None, block_rows: int) -> DataFrame:
     n = train.groupBy(*by).agg(F.count(F.lit(1)).alias("_tn"))
-    n = n.withColumn("_nb", F.greatest(F.lit(1), F.ceil(F.col("_tn") / F.lit(block_rows))).cast("int"))
+    # ~sqrt(n) rows per block (at least block_rows): blocks stay small enough
+    # to spread a cell over many tasks, and few enough that replicating each
+    # test row once per block stays cheap.
+    size = F.greatest(F.lit(float(block_rows)), F.sqrt(F.col("_tn")))
+    n = n.withColumn("_nb", F.greatest(F.lit(1), F.ceil(F.col("_tn") / size)).cast("int"))
     t = _attach(train, n.drop("_tn"), by)
     t = t.withColumn("_blk", F.pmod(draw_int(id_col, seed=17), F.col("_nb")).cast("int"))
     item = [F.col(x).alias("x"), F.col(id_col).cast("long").alias("id")]
@@ -36,7 +40,7 @@ def _blocks(train: DataFrame, by: list, id_col: str, x: str, y: str | None, bloc
 
 
 def knn_join(test: DataFrame, train: DataFrame, k: int = 5, by: Sequence[str] = (), id_col: str = "row_id",
-             x: str = "x", y: str | None = "y", block_rows: int = 2048) -> DataFrame:
+             x: str = "x", y: str | None = "y", block_rows: int = 256) -> DataFrame:
     """For every test row, its ``k`` nearest train rows of the same cell.
 
     Output: cell keys, test id, ``nn_rank`` 1..k, ``nn_id``, ``nn_dist2``
@@ -62,7 +66,7 @@ def knn_join(test: DataFrame, train: DataFrame, k: int = 5, by: Sequence[str] =
 
 
 def knn_regression(test: DataFrame, train: DataFrame, k: int = 5, by: Sequence[str] = (),
-                   id_col: str = "row_id", x: str = "x", y: str = "y", block_rows: int = 2048) -> DataFrame:
+                   id_col: str = "row_id", x: str = "x", y: str = "y", block_rows: int = 256) -> DataFrame:
     """k-NN regression (uniform weights): y_hat = mean of the k neighbours' y.
     Output: cell keys, id, y (truth), y_hat."""
     by = _list(by)

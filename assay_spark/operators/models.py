@@ -156,7 +156,7 @@ class FittedModel:
 def fit(train: DataFrame, name: str, vec: str = "x", y: str = "y", seed: int = 42, **kw) -> FittedModel:
     """L1: mean imputation fitted on train, then the named regressor.  The
     fill vector has one value per feature (bounded by the width)."""
-    means = (train.select(F.posexplode(vec).alias("_i", "_v")).groupBy("_i").agg(F.avg("_v").alias("_m"))
+    means = (train.select(A.entries(vec, "_i", "_v")).groupBy("_i").agg(F.avg("_v").alias("_m"))
              .orderBy("_i").collect())
     fill = [float(r["_m"]) if r["_m"] is not None else 0.0 for r in means]
     fm = FittedModel(None, fill, vec)

@@ -8,6 +8,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assay_spark.functions import arrays as A
 from assay_spark.operators.sampling import _list
 
 
@@ -19,14 +20,14 @@ def scores_long(df: DataFrame, scores: str = "scores", keep: Sequence[str] = ())
     keep = _list(keep)
     a = df.select(*keep, F.explode(scores).alias("metric", "_m"))
     b = a.select(*keep, "metric", F.explode("_m").alias("model", "_l"))
-    return b.select(*keep, "metric", "model", F.posexplode("_l").alias("_p", "score")).select(
+    return b.select(*keep, "metric", "model", A.entries("_l", "_p", "score")).select(
         *keep, "metric", "model", (F.col("_p") + 1).cast("int").alias("run"), "score")
 
 
 # ---------------------------------------------------------------- R2
 def to_entries(df: DataFrame, id_col: str, vec: str, i_name: str = "i", v_name: str = "value") -> DataFrame:
     """(id, vector) -> (id, i, value) with 0-based i."""
-    return df.select(id_col, F.posexplode(vec).alias(i_name, v_name)).withColumn(i_name, F.col(i_name).cast("int"))
+    return df.select(id_col, A.entries(vec, i_name, v_name))
 
 
 def transpose(df: DataFrame, id_col: str, vec: str, new_id: str = "row_id", out: str = "x") -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from typing import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,6 +51,8 @@ def knn_eval(spark: SparkSession, sf_dir: str, k: int = 5, test_pct: int = 20, s
     v = vectors(spark, sf_dir)
     s = SA.stratified_split(v, "row_id", "stratum", test_pct=test_pct, seed=seed)
     z = FE.standardize(s, "x", fit_on=F.col("split") == "train")
+    # test and train both read the standardised table: compute it once
+    z = z.persist(StorageLevel.MEMORY_AND_DISK)
     test = z.filter(F.col("split") == "test")
     train = z.filter(F.col("split") == "train")
     pred = K.knn_regression(test, train, k=k, id_col="row_id")
@@ -254,7 +257,7 @@ from assay_spark.plans.catalog import vectors_head  # noqa: E402
 
 
 def _long(df: DataFrame, keys, vec: str) -> DataFrame:
-    return df.select(*keys, F.posexplode(vec).alias("i", "value")).withColumn("i", F.col("i").cast("int"))
+    return df.select(*keys, AR.entries(vec, "i", "value"))
 
 
 def split_vectors(spark, sf_dir) -> DataFrame:
@@ -580,7 +583,7 @@ def fit_grouped(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(
         "l_returnflag", F.array("l_quantity", "l_discount", "l_tax").alias("x"), F.col("l_extendedprice").alias("y"))
     co = MO.fit_grouped(li, ["l_returnflag"], "x", "y")
-    return rounded(co.select("l_returnflag", "intercept", F.posexplode("coef").alias("j", "coef")))
+    return rounded(co.select("l_returnflag", "intercept", AR.entries("coef", "j", "coef")))
 
 
 def _model_report(spark, sf_dir, name, **kw):

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assay_spark.functions import arrays as A
+
 # Fixed file-name convention of the split files (kind, rec, sub, act, version):
 # {X|y}_{train|test}_{rec}rec_sub{sub}act{act}v{version}.csv
 CELL_NAME_PATTERN = r"([Xy])_(train|test)_([0-9]+)rec_sub([0-9]+)act([0-9]+)v([0-9]+)\.csv$"
@@ -57,7 +59,7 @@ def read_matrix(spark: SparkSession, glob: str, sample_col: str = "sample", out:
     lines = spark.read.text(glob).filter(F.length(F.trim("value")) > 0)
     parts = lines.select(F.split(F.col("value"), ",").alias("_p"))
     e = parts.select(F.col("_p")[0].cast("int").alias("_r"),
-                     F.posexplode(F.slice("_p", 2, 1 << 30)).alias("_s", "_v"))
+                     A.entries(F.slice("_p", 2, 1 << 30), "_s", "_v"))
     g = e.groupBy("_s").agg(F.sort_array(F.collect_list(F.struct("_r", F.col("_v").cast("double").alias("_v")))).alias("_l"))
     return g.select(F.col("_s").cast("long").alias(sample_col), F.transform("_l", lambda s: s["_v"]).alias(out))
 
