@@ -246,8 +246,7 @@ def _binomial_udf(seed: int):
     import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("array<double>")
-    def noisy(ids: pd.Series, shots: pd.Series, loop: pd.Series, vecs: pd.Series) -> pd.Series:
+    def noisy(ids, shots, loop, vecs):
         outv = []
         for rid, n, l, e in zip(ids, shots, loop, vecs):
             if e is None:
@@ -259,7 +258,10 @@ def _binomial_udf(seed: int):
             outv.append((2.0 * k / n - 1.0).tolist())
         return pd.Series(outv)
 
-    return noisy
+    # real annotation objects (this module uses postponed annotations)
+    noisy.__annotations__ = {"ids": pd.Series, "shots": pd.Series, "loop": pd.Series, "vecs": pd.Series,
+                             "return": pd.Series}
+    return pandas_udf("array<double>")(noisy)
 
 
 # ---------------------------------------------------------------- F4
