@@ -21,6 +21,8 @@ from assay_spark.functions.keys import draw_int
 from assay_spark.operators.sampling import _attach, _list
 
 MAX_BROADCAST_CENTRES = 100_000
+# hard cap on train rows packed into one block (one collected group)
+MAX_BLOCK_ROWS = 8192
 
 
 def _blocks(train: DataFrame, by: list, id_col: str, x: str, y: str | None, block_rows: int) -> DataFrame:
@@ -28,7 +30,7 @@ def _blocks(train: DataFrame, by: list, id_col: str, x: str, y: str | None, bloc
     # ~sqrt(n) rows per block (at least block_rows): blocks stay small enough
     # to spread a cell over many tasks, and few enough that replicating each
     # test row once per block stays cheap.
-    size = F.greatest(F.lit(float(block_rows)), F.sqrt(F.col("_tn")))
+    size = F.least(F.greatest(F.lit(float(block_rows)), F.sqrt(F.col("_tn"))), F.lit(float(MAX_BLOCK_ROWS)))
     n = n.withColumn("_nb", F.greatest(F.lit(1), F.ceil(F.col("_tn") / size)).cast("int"))
     t = _attach(train, n.drop("_tn"), by)
     t = t.withColumn("_blk", F.pmod(draw_int(id_col, seed=17), F.col("_nb")).cast("int"))
@@ -87,10 +89,13 @@ def rbf_kernel(df: DataFrame, centres: DataFrame, length: float, id_col: str = "
     if n_c > max_centres:
         raise ValueError(f"{n_c} centres exceed the broadcast bound {max_centres}; "
                          "draw a bounded centre set first (sample_n)")
-    c = F.broadcast(centres.select(F.col(centre_id).alias("centre_id"), F.col(x).alias("_cx")))
-    j = df.select(F.col(id_col).alias(id_col), F.col(x).alias("_ax")).crossJoin(c)
+    packed = centres.agg(F.sort_array(F.collect_list(
+        F.struct(F.col(centre_id).alias("c"), F.col(x).alias("v")))).alias("_cents"))
+    d = _attach(df.select(id_col, F.col(x).alias("_ax")), packed, [])
     g = F.lit(-1.0 / (2.0 * float(length) ** 2))
-    return j.select(id_col, "centre_id", F.exp(A.sq_dist("_ax", "_cx") * g).alias("k"))
+    kv = F.transform("_cents", lambda t: F.struct(t["c"].alias("centre_id"),
+                                                  F.exp(A.sq_dist(F.col("_ax"), t["v"]) * g).alias("k")))
+    return d.select(id_col, F.inline(kv))
 
 
 def assign(df: DataFrame, centroids: DataFrame, x: str = "x", cluster: str = "cluster",

@@ -228,3 +228,25 @@ def evaluate(cells: DataFrame, by: Sequence[str], algorithms: Sequence[str] = GR
     for o in outs[1:]:
         res = res.unionByName(o)
     return res.withColumn("source", F.lit(source))
+
+
+# ---------------------------------------------------------------- E7
+def evaluate_timed(cells: DataFrame, by: Sequence[str], algorithms: Sequence[str] = GROUPED, **kw) -> DataFrame:
+    """G1 with E7: each algorithm's scores are one action, timed on the
+    driver's wall clock and attached as ``fit_seconds``.  The scored rows
+    (cells x algorithms, bounded by the grid) are what comes back."""
+    import time
+
+    by = _list(by)
+    spark = cells.sparkSession
+    cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
+    rows, schema = [], None
+    for alg in algorithms:
+        df = evaluate(cells, by, [alg], **kw)
+        schema = schema or df.schema
+        t0 = time.perf_counter()
+        got = df.collect()
+        secs = time.perf_counter() - t0
+        rows += [tuple(r) + (secs,) for r in got]
+    from pyspark.sql.types import DoubleType, StructField, StructType
+    return spark.createDataFrame(rows, StructType(schema.fields + [StructField("fit_seconds", DoubleType())]))

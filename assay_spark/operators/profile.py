@@ -61,7 +61,7 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[s
     wide = piv.groupBy(*by).agg(*[F.max(F.when(F.col("qi") == i, F.col("_qv"))).alias(f"{prefix}{i}")
                                   for i in range(len(qs))])
     return _attach(bnd.select(*by, F.col("_n").alias("n")), wide, by) if by else \
-        bnd.select(F.col("_n").alias("n")).crossJoin(wide)
+        _attach(bnd.select(F.col("_n").alias("n")), wide, [])
 
 
 def quantile(df: DataFrame, col: str, q: float, by: Sequence[str] = ()) -> DataFrame:

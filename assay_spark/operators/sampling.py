@@ -107,7 +107,10 @@ def _attach(d: DataFrame, small: DataFrame, by: list) -> DataFrame:
     keys the table has exactly one row (a global aggregate), so a broadcast
     of it is bounded by construction."""
     if not by:
-        return d.crossJoin(F.broadcast(small))
+        # a global aggregate: exactly one row, so broadcasting it is bounded
+        # by construction; joined on a constant key (hash join, no pairs)
+        one = small.withColumn("_one", F.lit(1))
+        return d.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one", "inner").drop("_one")
     renamed = small
     for i, k in enumerate(by):
         renamed = renamed.withColumnRenamed(k, f"_g{i}")

@@ -100,8 +100,10 @@ def align_columns(df: DataFrame, cols: Sequence[str], fill=0) -> DataFrame:
 def align_long(df_long: DataFrame, ids: DataFrame, keep_list: DataFrame, id_col: str = "row_id",
                name: str = "col_name", value: str = "value", fill: float = 0.0) -> DataFrame:
     """Long-form P9: every (row, listed column) pair, value or ``fill``.
-    Rows x keep-list pairs come from joining ids with the bounded keep list."""
-    grid = ids.select(id_col).crossJoin(F.broadcast(keep_list.select(name)))
+    Each id is expanded over the packed keep list (bounded by the feature
+    count), then left-joined with the values on (id, name)."""
+    names = keep_list.agg(F.collect_list(name).alias("_names"))  # bounded by the feature count
+    grid = _attach(ids.select(id_col), names, []).select(id_col, F.explode("_names").alias(name))
     return (grid.join(df_long.select(id_col, name, value), [id_col, name], "left")
                 .withColumn(value, F.coalesce(F.col(value), F.lit(fill))))
 

@@ -449,3 +449,54 @@ ORACLE["distinct_labels"] = "SELECT DISTINCT l_returnflag, l_linestatus FROM lin
 ORACLE["ols_single"] = """
 SELECT p_brand, round(regr_intercept(p_retailprice, p_size), 6) AS intercept,
        round(regr_slope(p_retailprice, p_size), 6) AS slope, count(*) AS n FROM part GROUP BY p_brand"""
+
+
+# ====================================================================== inventory completions
+ORACLE["drop_null_columns"] = f"SELECT doc_id, lang, source, n_chars FROM {_DOCS}"
+
+ORACLE["where_all"] = """
+SELECT p_partkey, p_type, p_size, round(p_retailprice, 6) AS p_retailprice FROM part WHERE p_type = 'LARGE' AND p_size = 10"""
+
+ORACLE["tag"] = f"SELECT cell, algorithm, round(mse, 6) AS mse, 4 AS act, 100 AS rec, 'raw' AS source FROM {_PART_RES}"
+
+ORACLE["ordered_categories"] = """
+SELECT c_custkey, c_mktsegment, CAST(CASE c_mktsegment WHEN 'FURNITURE' THEN 1 WHEN 'AUTOMOBILE' THEN 2
+       WHEN 'MACHINERY' THEN 3 WHEN 'BUILDING' THEN 4 END AS INTEGER) AS pos
+FROM customer WHERE c_mktsegment IN ('FURNITURE', 'AUTOMOBILE', 'MACHINERY', 'BUILDING')"""
+
+ORACLE["cast_float"] = """
+SELECT l_orderkey, l_linenumber, round(CAST(CAST(l_extendedprice AS FLOAT) AS DOUBLE), 6) AS l_extendedprice FROM lineitem"""
+
+ORACLE["zip_arrays"] = f"""
+SELECT row_id, CAST(p - 1 AS INTEGER) AS pos, round(x[p], 6) AS a, round(x[60 + p], 6) AS b
+FROM {_V}, range(1, 5) r(p)"""
+
+ORACLE["join_predictions"] = f"SELECT p_partkey, round(y_hat, 6) AS y_hat, round(y, 6) AS y FROM {_PART_PRED}"
+
+ORACLE["mean_abs"] = " UNION ALL ".join(
+    f"SELECT '{c}_z' AS col_name, round(avg(abs(({c} - mu) / sd)), 6) AS mean_abs "
+    f"FROM lineitem, (SELECT avg({c}) AS mu, stddev_pop({c}) AS sd FROM lineitem)" for c in _LINE_NUM)
+
+ORACLE["top_features"] = """
+SELECT p_type, feature, round(importance, 6) AS importance, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY p_type ORDER BY importance DESC, feature) AS INTEGER) AS rank
+  FROM (SELECT p_type, p_brand AS feature, avg(p_retailprice) AS importance FROM part GROUP BY ALL))
+WHERE rank <= 3"""
+
+ORACLE["head_rows"] = "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY o_orderkey LIMIT 100"
+
+ORACLE["except_rows"] = f"""
+SELECT o_orderkey, o_orderpriority FROM orders
+EXCEPT ALL SELECT o_orderkey, o_orderpriority FROM {_ORD_TOP} WHERE draw_rank <= 1800"""
+
+ORACLE["concat_vectors"] = f"""
+WITH c AS (SELECT row_id, list_concat(x[1:4], x[61:64]) AS c FROM {_V})
+{_long_sql('c', 'row_id', 'c')}"""
+
+ORACLE["one_body"] = f"""
+WITH s AS (SELECT v.row_id, t.step, list_transform(v.x, lambda a: 1.0 - {repr(2.0 * _W2)} / ({repr(_W2)} + a * a)
+                  * pow(sin(sqrt({repr(_W2)} + a * a) * t.th), 2)) AS z
+           FROM {_vh(18)} v, (VALUES {_STEP_VALUES}) t(step, th))
+SELECT row_id, CAST(step AS INTEGER) AS step, count(*) AS n, round(sum(v), 6) AS sum, round(min(v), 6) AS min,
+       round(max(v), 6) AS max
+FROM (SELECT row_id, step, unnest(z) AS v FROM s) GROUP BY row_id, step"""

@@ -659,3 +659,111 @@ def evaluate_grid(spark, sf_dir):
 def rollup_grid(spark, sf_dir):
     res = MO.evaluate(grid_cells(spark, sf_dir), ["rec", "sub"], ["ridge", "knn", "mean"])
     return rounded(RP.rollup(res, ["rec", "algorithm"], "mse"))
+
+
+# ====================================================================== inventory completions
+@query("drop_null_columns")
+def drop_null_columns(spark, sf_dir):
+    return SE.drop_null_columns(labelled_docs(spark, sf_dir))
+
+
+@query("where_all")
+def where_all(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size", "p_retailprice")
+    return rounded(SE.where_all(p, p_type="LARGE", p_size=10))
+
+
+@query("tag")
+def tag(spark, sf_dir):
+    return rounded(SE.tag(part_results(spark, sf_dir), act=4, rec=100, source="raw"))
+
+
+@query("ordered_categories")
+def ordered_categories(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return SE.ordered_categories(c, "c_mktsegment", BAR_ORDER, pos="pos")
+
+
+@query("cast_float")
+def cast_float(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    c = SE.cast_cols(li, ["l_extendedprice"], "float")
+    return rounded(SE.cast_cols(c, ["l_extendedprice"], "double"))
+
+
+@query("attach_label")
+def attach_label(spark, sf_dir):
+    from assay_spark.operators.cluster import cluster
+    from assay_spark.operators.joins import attach_label as _attach_label
+
+    v = vectors(spark, sf_dir)
+    labels = cluster(v, "x", k=5, seed=42).select("row_id", "cluster")
+    return _attach_label(v.select("row_id", "stratum"), labels, ["row_id"])
+
+
+@query("zip_arrays")
+def zip_arrays(spark, sf_dir):
+    from assay_spark.operators.joins import zip_arrays as _zip
+
+    v = vectors(spark, sf_dir).select("row_id", F.slice("x", 1, 4).alias("a"), F.slice("x", 61, 4).alias("b"))
+    z = _zip(v, "a", "b", out="pairs")
+    return rounded(z.select("row_id", AR.entries("pairs", "pos", "p")).select(
+        "row_id", "pos", F.col("p.a").alias("a"), F.col("p.b").alias("b")))
+
+
+@query("join_predictions")
+def join_predictions(spark, sf_dir):
+    pr = part_predictions(spark, sf_dir)
+    truth = table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("y"))
+    return rounded(RP.join_predictions(pr.select("p_partkey", "y_hat"), truth, ["p_partkey"]))
+
+
+@query("mean_abs")
+def mean_abs(spark, sf_dir):
+    z = FE.standardize_cols(table(spark, sf_dir, "lineitem"), LINE_NUM)
+    lng = RS.to_long(z, [], [c + "_z" for c in LINE_NUM])
+    return rounded(PR.mean_abs(lng, "col_name", "value"))
+
+
+@query("top_features")
+def top_features(spark, sf_dir):
+    from assay_spark.operators.importance import top_features as _top
+
+    p = table(spark, sf_dir, "part")
+    imp = p.groupBy("p_type", F.col("p_brand").alias("feature")).agg(F.avg("p_retailprice").alias("importance"))
+    return rounded(_top(imp, 3, by=["p_type"]))
+
+
+@query("head_rows")
+def head_rows(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return SA.head_rows(o, "o_orderkey", 100)
+
+
+@query("except_rows")
+def except_rows(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    drawn = SA.sample_n(o, "o_orderkey", 1800, seed=42).drop("draw_rank")
+    return o.exceptAll(drawn)
+
+
+@query("concat_vectors")
+def concat_vectors(spark, sf_dir):
+    v = vectors(spark, sf_dir).select("row_id", F.slice("x", 1, 4).alias("a"), F.slice("x", 61, 4).alias("b"))
+    return rounded(_long(RS.concat_vectors(v, ["a", "b"], out="x"), ["row_id"], "x"))
+
+
+@query("one_body")
+def one_body(spark, sf_dir):
+    """One-body readout: singles only, 18 x 10 = 180 values per row."""
+    e = FE.response_features(vectors_head(spark, sf_dir, RESPONSE_SITES), "x", t_end=4.3, step=0.4, order=1)
+    lng = _long(e, ["row_id"], "embedding").withColumn("step", (F.col("i") / RESPONSE_SITES).cast("int") + 1)
+    return rounded(lng.groupBy("row_id", "step").agg(
+        F.count("value").alias("n"), F.sum("value").alias("sum"), F.min("value").alias("min"),
+        F.max("value").alias("max")))
+
+
+@query("evaluate_timed")
+def evaluate_timed(spark, sf_dir):
+    res = MO.evaluate_timed(split_vectors(spark, sf_dir), [], ["ols", "knn", "mean"])
+    return rounded(res)
