@@ -34,36 +34,48 @@ def _list(x) -> list:
 
 
 def rank_within(df: DataFrame, by: Sequence[str], order_col: str, tiebreak: Sequence[str],
-                limit=None, out: str = "rank", bucket_bits: int = BUCKET_BITS) -> DataFrame:
+                limit=None, out: str = "rank", bucket_bits: int = BUCKET_BITS,
+                group_fn=None) -> DataFrame:
     """Exact 1-based rank of each row inside its ``by`` group, ordered by
     (``order_col``, ``tiebreak``...).  ``order_col`` must be a non-negative
     bigint below 2**60 (a draw key).
 
     ``limit``: None (rank every row), an int, or the name of a column that is
     constant inside each group; rows ranked past it are dropped.
+
+    ``group_fn``: optional function of the small per-group table
+    (``by`` + ``_gn`` = group size, derived from the bucket counts) returning
+    it with extra per-group columns (an allocation, a draw size); those
+    columns, and ``_gn``, reach the rows through the same join as the bucket
+    offsets, so group sizes cost no extra pass over the data.  ``limit`` may
+    name one of them.
     """
     by = _list(by)
     tiebreak = _list(tiebreak)
-    lim_col = limit if isinstance(limit, str) else None
     d = df.withColumn("_b", F.shiftright(F.col(order_col), KEY_BITS - bucket_bits))
-    keys = by + ([lim_col] if lim_col else [])
-    counts = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    extra: list[str] = []
+    if group_fn is not None:
+        groups = counts.groupBy(*by).agg(F.sum("_n").alias("_gn"))
+        groups = group_fn(groups)
+        extra = [c for c in groups.columns if c not in by]
+        counts = _attach(counts, groups, by)
+    w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    lim = None
     if limit is not None:
-        lim = F.col(lim_col) if lim_col else F.lit(int(limit))
+        lim = F.col(limit) if isinstance(limit, str) else F.lit(int(limit))
         counts = counts.filter(F.col("_before") < lim)
-    renamed = {k: f"_k{i}" for i, k in enumerate(keys)}
+    renamed = {k: f"_k{i}" for i, k in enumerate(by)}
     counts = counts.select(*[F.col(k).alias(v) for k, v in renamed.items()],
-                           F.col("_b").alias("_cb"), "_before")
+                           F.col("_b").alias("_cb"), "_before", *extra)
     conds = [F.col(k).eqNullSafe(F.col(v)) for k, v in renamed.items()]
     conds.append(F.col("_b") == F.col("_cb"))
     joined = d.join(counts, reduce(lambda a, b: a & b, conds), "inner")
     joined = joined.drop(*renamed.values(), "_cb")
     wr = Window.partitionBy(*by, "_b").orderBy(F.col(order_col), *[F.col(t) for t in tiebreak])
     ranked = joined.withColumn(out, F.col("_before") + F.row_number().over(wr))
-    if limit is not None:
-        lim = F.col(lim_col) if lim_col else F.lit(int(limit))
+    if lim is not None:
         ranked = ranked.filter(F.col(out) <= lim)
     return ranked.drop("_b", "_before")
 
@@ -94,12 +106,10 @@ def split_exact(df: DataFrame, id_col: str, test_pct: int = 20, seed: int = 42,
     arithmetic) with the smallest key are 'test', the rest 'train'."""
     by = _list(by)
     d = with_draw_key(df, id_col, seed)
-    sizes = (d.groupBy(*by).agg(F.count(F.lit(1)).alias("_gn"))
-             .withColumn("_m", F.expr(f"(_gn * {int(test_pct)} + 99) div 100")))
-    d = _attach(d, sizes.drop("_gn"), by)
-    r = rank_within(d, by, "_h", [id_col], out="_r")
+    r = rank_within(d, by, "_h", [id_col], out="_r",
+                    group_fn=lambda g: g.withColumn("_m", F.expr(f"(_gn * {int(test_pct)} + 99) div 100")))
     return (r.withColumn(out, F.when(F.col("_r") <= F.col("_m"), F.lit("test")).otherwise(F.lit("train")))
-             .drop("_h", "_r", "_m"))
+             .drop("_h", "_r", "_m", "_gn"))
 
 
 def _attach(d: DataFrame, small: DataFrame, by: list) -> DataFrame:
@@ -140,16 +150,15 @@ def allocate(counts: DataFrame, by: list, stratum: str, n_col: str, test_pct: in
 def stratified_split(df: DataFrame, id_col: str, stratum: str, test_pct: int = 20, seed: int = 42,
                      by: Sequence[str] = (), out: str = "split", key_cols: Sequence[str] | None = None) -> DataFrame:
     """Exact stratified split: each stratum gives its largest-remainder share
-    of the ``ceil(test_pct * n / 100)`` test rows, chosen by draw key."""
+    of the ``ceil(test_pct * n / 100)`` test rows, chosen by draw key.  The
+    stratum sizes come from the rank's bucket counts (two passes in all)."""
     by = _list(by)
     key_cols = _list(key_cols) or [id_col]
     d = df.withColumn("_h", draw_int(*key_cols, seed=seed))
-    counts = d.groupBy(*by, stratum).agg(F.count(F.lit(1)).alias("_sn"))
-    alloc = allocate(counts, by, stratum, "_sn", test_pct).drop("_sn")
-    d = _attach(d, alloc, by + [stratum])
-    r = rank_within(d, by + [stratum], "_h", key_cols, out="_r")
+    r = rank_within(d, by + [stratum], "_h", key_cols, out="_r",
+                    group_fn=lambda g: allocate(g, by, stratum, "_gn", test_pct))
     return (r.withColumn(out, F.when(F.col("_r") <= F.col("alloc"), F.lit("test")).otherwise(F.lit("train")))
-             .drop("_h", "_r", "alloc"))
+             .drop("_h", "_r", "alloc", "_gn"))
 
 
 # ---------------------------------------------------------------- M4
@@ -168,18 +177,19 @@ def stratified_sample(df: DataFrame, id_col: str, stratum: str, n: int, seed: in
     by = _list(by)
     salt = _list(salt)
     d = df.withColumn("_h", draw_int(id_col, *salt, seed=seed))
-    counts = d.groupBy(*by, stratum).agg(F.count(F.lit(1)).alias("_sn"))
-    counts = counts.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    counts = counts.withColumn("_m", (F.lit(int(n)) / F.col("_k")).cast("long"))
     if not replace:
-        if strict:
-            counts = counts.withColumn(
-                "_m", F.when(F.col("_sn") >= F.col("_m"), F.col("_m")).otherwise(
+        def share(g):
+            g = g.withColumn("_m", (F.lit(int(n)) / F.count(F.lit(1)).over(Window.partitionBy(*by))).cast("long"))
+            if strict:
+                g = g.withColumn("_m", F.when(F.col("_gn") >= F.col("_m"), F.col("_m")).otherwise(
                     F.raise_error(F.concat(F.lit("stratum smaller than its draw: "),
                                            F.col(stratum).cast("string")))).cast("long"))
-        d = _attach(d, counts.select(*by, stratum, "_m"), by + [stratum])
-        r = rank_within(d, by + [stratum], "_h", [id_col], limit="_m", out="draw")
-        return r.drop("_h", "_m")
+            return g
+        r = rank_within(d, by + [stratum], "_h", [id_col], limit="_m", out="draw", group_fn=share)
+        return r.drop("_h", "_m", "_gn")
+    counts = d.groupBy(*by, stratum).agg(F.count(F.lit(1)).alias("_sn"))
+    counts = counts.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    counts = counts.withColumn("_m", (F.lit(int(n)) / F.col("_k")).cast("long"))
     # with replacement: positions are drawn per (group, stratum, j)
     draws = counts.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_m").cast("int"))))
     draws = draws.filter(F.col("_m") > 0)
@@ -215,12 +225,14 @@ def _stratified_share(g: DataFrame, id_col: str, stratum: str, seed: int, replac
     """``stratified_sample`` where the draw size is the per-row ``rec`` column."""
     by = ["rec", "sub"]
     d = g.withColumn("_h", draw_int(id_col, "rec", "sub", seed=seed))
+    if not replace:
+        share = lambda t: t.withColumn(
+            "_m", (F.col("rec") / F.count(F.lit(1)).over(Window.partitionBy(*by))).cast("long"))
+        return rank_within(d, by + [stratum], "_h", [id_col], limit="_m", out="draw",
+                           group_fn=share).drop("_h", "_m", "_gn")
     counts = d.groupBy(*by, stratum).agg(F.count(F.lit(1)).alias("_sn"))
     counts = counts.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy(*by)))
     counts = counts.withColumn("_m", (F.col("rec") / F.col("_k")).cast("long"))
-    if not replace:
-        d = _attach(d, counts.select(*by, stratum, "_m"), by + [stratum])
-        return rank_within(d, by + [stratum], "_h", [id_col], limit="_m", out="draw").drop("_h", "_m")
     draws = counts.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_m").cast("int"))))
     draws = draws.filter(F.col("_m") > 0)
     draws = draws.withColumn(
