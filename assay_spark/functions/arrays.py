@@ -94,3 +94,24 @@ def entries(x, i_name: str = "i", v_name: str = "value") -> Column:
     arrays).
     """
     return F.inline(F.transform(_c(x), lambda v, i: F.struct(i.alias(i_name), v.alias(v_name))))
+
+
+def lower_bound(arr, v, max_len: int) -> Column:
+    """Number of entries of the ascending array ``arr`` strictly below ``v``
+    (binary search in ceil(log2(max_len + 1)) fixed steps; ``max_len``
+    bounds the array length)."""
+    import math
+
+    a, x = _c(arr), _c(v)
+    steps = max(1, math.ceil(math.log2(max_len + 1)))
+    init = F.struct(F.lit(0).alias("lo"), F.size(a).alias("hi"))
+
+    def step(acc, _):
+        lo, hi = acc["lo"], acc["hi"]
+        mid = ((lo + hi) / 2).cast("int")
+        open_ = lo < hi
+        right = open_ & (F.try_element_at(a, mid + 1) < x)
+        return F.struct(F.when(right, mid + 1).otherwise(lo).alias("lo"),
+                        F.when(open_ & ~right, mid).otherwise(hi).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda acc: acc["lo"])

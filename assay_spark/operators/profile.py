@@ -1,11 +1,11 @@
 """Profiles: describe, null report, adjusted moments, exact quantiles,
 histogram, box statistics, correlation, shape (A1-A4, A9-A12, A15, A16).
 
-Exact quantiles without one task holding a whole group: approximate
-boundaries split each group into ~256 value buckets, per-bucket counts give
-cumulative offsets, and only the buckets that hold a wanted rank are opened
--- and even those as (value, count) pairs, so heavy duplicates collapse.
-The result equals linear-interpolation ``quantile_cont``.
+Exact quantiles without one task holding a whole group: a sketch bounds
+where each wanted rank can be, rows below that value interval are only
+counted (partial aggregation) and rows inside it travel as (value, count)
+pairs, so heavy duplicates collapse.  The result equals linear-interpolation
+``quantile_cont``.
 """
 
 from __future__ import annotations
@@ -20,48 +20,85 @@ from assay_spark.operators.sampling import _attach, _list
 
 
 # ---------------------------------------------------------------- A4
+QUANTILE_ACCURACY = 10000
+
+
 def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[str] = (),
-                    buckets: int = 256, prefix: str = "q") -> DataFrame:
+                    accuracy: int = QUANTILE_ACCURACY, prefix: str = "q", extra_aggs=None) -> DataFrame:
     """Per group: one column per q (named ``{prefix}{index}``) holding the
-    linear-interpolated quantile, plus ``n`` non-null values."""
+    exact linear-interpolated quantile (``quantile_cont``), plus ``n``.
+
+    Pass 1 is one aggregate: n, any ``extra_aggs(v)`` and an approximate
+    sketch read at q -/+ 2/accuracy.  Spark bounds the sketch's rank error by
+    n/accuracy, so the exact q-th value lies inside that value interval.
+    Pass 2 maps each row, per wanted q, to "below the interval" (counted,
+    collapsed map-side) or its value if inside (kept as (value, count)); rows
+    above are dropped.  The exact rank is then found among ~4n/accuracy
+    candidate values per group (plus the max below / min above, since rank
+    conventions can put a wanted rank one step outside).  No task ever holds
+    a whole group.
+    """
     by = _list(by)
     qs = [float(q) for q in qs]
+    eps = 2.0 / accuracy
     d = df.select(*by, F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    probs = [i / buckets for i in range(1, buckets)]
-    bnd = d.groupBy(*by).agg(F.percentile_approx("_v", probs, 10 * buckets).alias("_bnd"),
-                             F.count(F.lit(1)).alias("_n"))
-    bnd = bnd.withColumn("_bnd", F.array_distinct("_bnd"))
-    rows = _attach(d, bnd.drop("_n"), by)
-    rows = rows.withColumn("_bk", F.size(F.filter("_bnd", lambda b: b < F.col("_v")))).drop("_bnd")
-    cnt = rows.groupBy(*by, "_bk").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*by).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    cnt = cnt.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    # wanted ranks (1-based): floor and ceil of 1 + (n - 1) q
-    tgt = bnd.select(*by, "_n")
-    tgt = tgt.withColumn("_t", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("qi"), F.lit(q).alias("q"), F.lit(lohi).alias("lohi")) for i, q in enumerate(qs)
-        for lohi in (0, 1)])))
+    probs = [p for q in qs for p in (max(0.0, q - eps), min(1.0, q + eps))]
+    more = list(extra_aggs(F.col("_v"))) if extra_aggs else []
+    head = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"),
+                              F.percentile_approx("_v", probs, accuracy).alias("_iv"), *more)
+    more_names = [c for c in head.columns if c not in by + ["_n", "_iv"]]
+    iv = head.select(*by, "_n", *[F.col("_iv")[2 * i].alias(f"_lo{i}") for i in range(len(qs))],
+                     *[F.col("_iv")[2 * i + 1].alias(f"_hi{i}") for i in range(len(qs))])
+    rows = _attach(d, iv.drop("_n"), by)
+    # per row and wanted q: kind 0 below the interval, 1 inside, 2 above
+    per_q = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("qi"),
+                 F.when(F.col("_v") < F.col(f"_lo{i}"), 0).when(F.col("_v") <= F.col(f"_hi{i}"), 1)
+                  .otherwise(2).alias("kind"), F.col("_v").alias("v"))
+        for i in range(len(qs))]))
+    m = rows.select(*by, per_q.alias("_m")).select(*by, "_m.qi", "_m.kind", "_m.v")
+    # one aggregate, collapsed map-side: a single row for "below" and "above"
+    # (count, max below, min above), one row per distinct value inside
+    vkey = F.when(F.col("kind") == 1, F.col("v"))
+    agg = m.groupBy(*by, "qi", "kind", vkey.alias("vk")).agg(
+        F.count(F.lit(1)).alias("_c"), F.max("v").alias("_mx"), F.min("v").alias("_mn"))
+    edge = agg.groupBy(*by, "qi").agg(
+        F.sum(F.when(F.col("kind") == 0, F.col("_c")).otherwise(0)).alias("_below"),
+        F.max(F.when(F.col("kind") == 0, F.col("_mx"))).alias("_max_below"),
+        F.min(F.when(F.col("kind") == 2, F.col("_mn"))).alias("_min_above"),
+        F.sum(F.when(F.col("kind") == 1, F.col("_c")).otherwise(0)).alias("_inside"))
+    cand = agg.filter(F.col("kind") == 1).select(*by, "qi", F.col("vk").alias("v"), "_c")
+    wv = Window.partitionBy(*by, "qi").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    cand = cand.withColumn("_cum", F.sum("_c").over(wv)).withColumn("_prev", F.col("_cum") - F.col("_c"))
+    # wanted 1-based ranks: floor and ceil of 1 + (n - 1) q
+    tq = head.select(*by, "_n", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("qi"), F.lit(q).alias("q"), F.lit(lohi).alias("lohi"))
+        for i, q in enumerate(qs) for lohi in (0, 1)])).alias("_t"))
     pos = (F.col("_n") - 1) * F.col("_t.q")
-    tgt = tgt.select(*by, "_n", F.col("_t.qi").alias("qi"), F.col("_t.lohi").alias("lohi"),
-                     (pos - F.floor(pos)).alias("_frac"),
-                     (F.when(F.col("_t.lohi") == 0, F.floor(pos)).otherwise(F.ceil(pos)) + 1).cast("long").alias("_r"))
-    tgt = _attach(tgt, cnt, by).filter((F.col("_before") < F.col("_r")) & (F.col("_r") <= F.col("_before") + F.col("_c")))
-    tgt = tgt.select(*by, "qi", "lohi", "_frac", "_bk", (F.col("_r") - F.col("_before")).alias("_rin"))
-    need = tgt.select(*by, "_bk").distinct()
-    vals = _attach(rows, need.withColumn("_need", F.lit(True)), by + ["_bk"])
-    vc = vals.groupBy(*by, "_bk", "_v").agg(F.count(F.lit(1)).alias("_vc"))
-    wv = Window.partitionBy(*by, "_bk").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    vc = vc.withColumn("_cum", F.sum("_vc").over(wv)).withColumn("_prev", F.col("_cum") - F.col("_vc"))
-    hit = _attach(tgt, vc, by + ["_bk"]).filter((F.col("_prev") < F.col("_rin")) & (F.col("_rin") <= F.col("_cum")))
-    piv = hit.groupBy(*by, "qi").agg(
-        F.max(F.when(F.col("lohi") == 0, F.col("_v"))).alias("_lo"),
-        F.max(F.when(F.col("lohi") == 1, F.col("_v"))).alias("_hi"),
+    tq = tq.select(*by, F.col("_t.qi").alias("qi"), F.col("_t.lohi").alias("lohi"), (pos - F.floor(pos)).alias("_frac"),
+                   (F.when(F.col("_t.lohi") == 0, F.floor(pos)).otherwise(F.ceil(pos)) + 1).cast("long").alias("_r"))
+    tq = tq.join(edge, by + ["qi"], "left").withColumn("_rin", F.col("_r") - F.coalesce(F.col("_below"), F.lit(0)))
+    hit = (tq.join(cand, by + ["qi"], "inner")
+             .filter((F.col("_prev") < F.col("_rin")) & (F.col("_rin") <= F.col("_cum")))
+             .select(*by, "qi", "lohi", F.col("v").alias("_hv")))
+    # the sketch can place a wanted rank at most one rank outside its interval
+    # (rank conventions differ by one); those ranks are the max below / min above
+    val = (F.when(F.col("_rin") == 0, F.col("_max_below"))
+            .when(F.col("_rin") == F.coalesce(F.col("_inside"), F.lit(0)) + 1, F.col("_min_above"))
+            .otherwise(F.col("_hv")))
+    tv = tq.join(hit, by + ["qi", "lohi"], "left").withColumn("_tv", val)
+    piv = tv.groupBy(*by, "qi").agg(
+        F.max(F.when(F.col("lohi") == 0, F.col("_tv"))).alias("_lo"),
+        F.max(F.when(F.col("lohi") == 1, F.col("_tv"))).alias("_hi"),
         F.max("_frac").alias("_frac"))
-    piv = piv.withColumn("_qv", F.col("_lo") + F.col("_frac") * (F.col("_hi") - F.col("_lo")))
+    qv = F.col("_lo") + F.col("_frac") * (F.col("_hi") - F.col("_lo"))
+    # the bound above makes a miss impossible; fail rather than guess
+    qv = F.when(F.col("_lo").isNotNull() & F.col("_hi").isNotNull(), qv).otherwise(
+        F.raise_error(F.lit("exact quantile outside the sketch interval")).cast("double"))
+    piv = piv.withColumn("_qv", qv)
     wide = piv.groupBy(*by).agg(*[F.max(F.when(F.col("qi") == i, F.col("_qv"))).alias(f"{prefix}{i}")
                                   for i in range(len(qs))])
-    return _attach(bnd.select(*by, F.col("_n").alias("n")), wide, by) if by else \
-        _attach(bnd.select(F.col("_n").alias("n")), wide, [])
+    return _attach(head.select(*by, F.col("_n").alias("n"), *more_names), wide, by)
 
 
 def quantile(df: DataFrame, col: str, q: float, by: Sequence[str] = ()) -> DataFrame:
@@ -77,12 +114,11 @@ def profile(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataF
         F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])).alias("_e"))
     long = long.select(*by, "_e.column", "_e.value")
     g = by + ["column"]
-    basic = long.groupBy(*g).agg(F.count("value").alias("count"), F.avg("value").alias("mean"),
-                                 F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-                                 F.max("value").alias("max"))
-    qs = exact_quantiles(long, "value", [0.25, 0.5, 0.75], g).select(
-        *g, F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"))
-    return basic.join(qs, g, "left")
+    basic = lambda v: [F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+                       F.min(v).alias("min"), F.max(v).alias("max")]
+    q = exact_quantiles(long, "value", [0.25, 0.5, 0.75], g, extra_aggs=basic)
+    return q.select(*g, F.col("n").alias("count"), "mean", "std", "min", "max",
+                    F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"))
 
 
 # ---------------------------------------------------------------- A2

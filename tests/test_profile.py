@@ -35,7 +35,7 @@ def test_exact_quantiles_match_numpy(spark, seed):
     rows += [("c", 7.0)]
     df = spark.createDataFrame(rows, "g string, v double").repartition(7)
     qs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.9995, 1.0]
-    got = {r["g"]: r for r in PR.exact_quantiles(df, "v", qs, by=["g"], buckets=32).collect()}
+    got = {r["g"]: r for r in PR.exact_quantiles(df, "v", qs, by=["g"], accuracy=50).collect()}
     for g in "abc":
         vals = np.array([v for k, v in rows if k == g])
         assert got[g]["n"] == len(vals)
@@ -96,3 +96,15 @@ def test_missing_column_fails(spark):
     df = spark.createDataFrame([(1.0,)], "x double")
     with pytest.raises(AnalysisException):
         PR.moments(df, "nope").collect()
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.integers(-5, 30), min_size=1, max_size=300), st.floats(0.0, 1.0), st.sampled_from([10, 50, 1000]))
+def test_exact_quantile_property(spark, vals, q, acc):
+    df = spark.createDataFrame([(float(v),) for v in vals], "v double")
+    got = PR.exact_quantiles(df, "v", [q], accuracy=acc).first()["q0"]
+    assert got == pytest.approx(float(np.quantile(np.array(vals, dtype=float), q)), rel=1e-9, abs=1e-9)
