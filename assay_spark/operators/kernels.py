@@ -1,12 +1,14 @@
 """Distance operators: exact k-nearest neighbours, RBF kernel, centroid
 assignment (J7, J8, C2, L7).
 
-kNN is exact and never materialises the test x train pair table.  Train rows
-of a cell are packed into blocks of about max(``block_rows``, sqrt(n)) rows (hash of id), each
-test row meets each block of its cell once, keeps its k best candidates of
-that block with array functions (JVM side), and a window keeps the k best
-over blocks.  Join keys are (cell, block); when a cell is hot AQE's skew-join
-split gives each task a slice of the test rows against one block.
+kNN is exact and never materialises the test x train pair table.  It is a
+block nested loop with bounded groups on both sides: train rows of a cell
+fall into blocks of about max(``block_rows``, sqrt(n)) rows (capped at
+MAX_BLOCK_ROWS), test rows into chunks of ``chunk_rows``; Spark shuffles
+both to (cell, chunk, block) keys, each cogroup computes its chunk x block
+distance matrix with numpy and keeps every test row's k best, and a window
+keeps the k best over blocks.  A hot cell just has more keys, so no task
+sees more than one chunk and one block.
 """
 
 from __future__ import annotations
@@ -25,54 +27,86 @@ MAX_BROADCAST_CENTRES = 100_000
 MAX_BLOCK_ROWS = 8192
 
 
-def _blocks(train: DataFrame, by: list, id_col: str, x: str, y: str | None, block_rows: int) -> DataFrame:
-    n = train.groupBy(*by).agg(F.count(F.lit(1)).alias("_tn"))
-    # ~sqrt(n) rows per block (at least block_rows): blocks stay small enough
-    # to spread a cell over many tasks, and few enough that replicating each
-    # test row once per block stays cheap.
+def _sizes(test: DataFrame, train: DataFrame, by: list, block_rows: int, chunk_rows: int) -> DataFrame:
+    """Per cell: number of train blocks and test chunks."""
+    tn = train.groupBy(*by).agg(F.count(F.lit(1)).alias("_tn"))
+    qn = test.groupBy(*by).agg(F.count(F.lit(1)).alias("_qn"))
+    s = tn.join(qn, by, "inner") if by else tn.withColumn("_one", F.lit(1)).join(
+        qn.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    # ~sqrt(n) rows per block (at least block_rows, at most MAX_BLOCK_ROWS):
+    # enough blocks to spread a cell over many tasks, few enough that the
+    # replication of test rows over blocks stays cheap
     size = F.least(F.greatest(F.lit(float(block_rows)), F.sqrt(F.col("_tn"))), F.lit(float(MAX_BLOCK_ROWS)))
-    n = n.withColumn("_nb", F.greatest(F.lit(1), F.ceil(F.col("_tn") / size)).cast("int"))
-    t = _attach(train, n.drop("_tn"), by)
-    t = t.withColumn("_blk", F.pmod(draw_int(id_col, seed=17), F.col("_nb")).cast("int"))
-    item = [F.col(x).alias("x"), F.col(id_col).cast("long").alias("id")]
-    if y is not None:
-        item.append(F.col(y).cast("double").alias("y"))
-    blocks = t.groupBy(*by, "_blk", "_nb").agg(F.collect_list(F.struct(*item)).alias("_items"))
-    return blocks
+    return s.select(*by, F.greatest(F.lit(1), F.ceil(F.col("_tn") / size)).cast("int").alias("_nb"),
+                    F.greatest(F.lit(1), F.ceil(F.col("_qn") / F.lit(float(chunk_rows)))).cast("int").alias("_nc"))
 
 
 def knn_join(test: DataFrame, train: DataFrame, k: int = 5, by: Sequence[str] = (), id_col: str = "row_id",
-             x: str = "x", y: str | None = "y", block_rows: int = 256) -> DataFrame:
+             x: str = "x", y: str | None = "y", block_rows: int = 256, chunk_rows: int = 256) -> DataFrame:
     """For every test row, its ``k`` nearest train rows of the same cell.
 
     Output: cell keys, test id, ``nn_rank`` 1..k, ``nn_id``, ``nn_dist2``
     (squared Euclidean) and ``nn_y``.  Ties on distance go to the smaller id.
     """
+    import numpy as np
+    import pandas as pd
+
     by = _list(by)
-    blocks = _blocks(train, by, id_col, x, y, block_rows)
-    nb = blocks.select(*by, "_nb").distinct()
-    q = _attach(test.select(*by, F.col(id_col).alias("_qid"), F.col(x).alias("_qx")), nb, by)
-    q = q.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))).drop("_nb")
-    j = q.join(blocks.drop("_nb"), by + ["_blk"], "inner")
-    cand_fields = lambda t: [A.sq_dist(F.col("_qx"), t["x"]).alias("d"), t["id"].alias("id")] + (
-        [t["y"].alias("y")] if y is not None else [])
-    cand = F.slice(F.sort_array(F.transform(F.col("_items"), lambda t: F.struct(*cand_fields(t)))), 1, k)
-    c = j.select(*by, "_qid", F.explode(cand).alias("_c"))
-    w = Window.partitionBy(*by, "_qid").orderBy(F.col("_c.d"), F.col("_c.id"))
-    c = c.withColumn("nn_rank", F.row_number().over(w)).filter(F.col("nn_rank") <= k)
-    cols = [*by, F.col("_qid").alias(id_col), "nn_rank", F.col("_c.id").alias("nn_id"),
-            F.col("_c.d").alias("nn_dist2")]
+    sizes = _sizes(test, train, by, block_rows, chunk_rows)
+    ycol = [F.col(y).cast("double").alias("_y")] if y is not None else [F.lit(None).cast("double").alias("_y")]
+    tr = _attach(train.select(*by, F.col(id_col).cast("long").alias("_id"), F.col(x).alias("_x"), *ycol), sizes, by)
+    tr = tr.withColumn("_blk", F.pmod(draw_int("_id", seed=17), F.col("_nb")).cast("int"))
+    tr = tr.withColumn("_chk", F.explode(F.sequence(F.lit(0), F.col("_nc") - 1))).drop("_nb", "_nc")
+    te = _attach(test.select(*by, F.col(id_col).cast("long").alias("_id"), F.col(x).alias("_x")), sizes, by)
+    te = te.withColumn("_chk", F.pmod(draw_int("_id", seed=19), F.col("_nc")).cast("int"))
+    te = te.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))).drop("_nb", "_nc")
+
+    key_fields = [f for f in tr.schema.fields if f.name in by]
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in key_fields] +
+                       ["_qid long", "nn_id long", "nn_dist2 double", "nn_y double"])
+    cols = by + ["_qid", "nn_id", "nn_dist2", "nn_y"]
+
+    def nearest(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if len(q) == 0 or len(t) == 0:
+            return pd.DataFrame(columns=cols)
+        qx = np.stack(q["_x"].to_numpy()).astype(float)
+        tx = np.stack(t["_x"].to_numpy()).astype(float)
+        tid = t["_id"].to_numpy()
+        ty = t["_y"].to_numpy(dtype=float)
+        kk = min(k, len(t))
+        out = []
+        for lo in range(0, len(q), 64):  # bounds the (rows x block x dims) buffer
+            d = ((qx[lo:lo + 64, None, :] - tx[None, :, :]) ** 2).sum(axis=2)
+            for r in range(d.shape[0]):
+                order = np.lexsort((tid, d[r]))[:kk]
+                out.append(pd.DataFrame({"_qid": q["_id"].iat[lo + r], "nn_id": tid[order],
+                                         "nn_dist2": d[r, order], "nn_y": ty[order]}))
+        res = pd.concat(out, ignore_index=True)
+        for c in by:
+            res[c] = q[c].iat[0]
+        return res[cols]
+
+    # cogroup keys match by position; the train side's are renamed because
+    # both sides may come from one DataFrame (a split)
+    trk = tr.select(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(by)], "_chk", "_blk", "_id", "_x", "_y")
+    cand = (te.groupBy(*by, "_chk", "_blk")
+              .cogroup(trk.groupBy(*[f"_t{i}" for i in range(len(by))], "_chk", "_blk"))
+              .applyInPandas(nearest, schema))
+    w = Window.partitionBy(*by, "_qid").orderBy(F.col("nn_dist2"), F.col("nn_id"))
+    c = cand.withColumn("nn_rank", F.row_number().over(w)).filter(F.col("nn_rank") <= k)
+    out = [*by, F.col("_qid").alias(id_col), "nn_rank", "nn_id", "nn_dist2"]
     if y is not None:
-        cols.append(F.col("_c.y").alias("nn_y"))
-    return c.select(*cols)
+        out.append("nn_y")
+    return c.select(*out)
 
 
 def knn_regression(test: DataFrame, train: DataFrame, k: int = 5, by: Sequence[str] = (),
-                   id_col: str = "row_id", x: str = "x", y: str = "y", block_rows: int = 256) -> DataFrame:
+                   id_col: str = "row_id", x: str = "x", y: str = "y", block_rows: int = 256,
+                   chunk_rows: int = 256) -> DataFrame:
     """k-NN regression (uniform weights): y_hat = mean of the k neighbours' y.
     Output: cell keys, id, y (truth), y_hat."""
     by = _list(by)
-    nn = knn_join(test, train, k, by, id_col, x, y, block_rows)
+    nn = knn_join(test, train, k, by, id_col, x, y, block_rows, chunk_rows)
     pred = nn.groupBy(*by, id_col).agg(F.avg("nn_y").alias("y_hat"))
     truth = test.select(*by, id_col, F.col(y).cast("double").alias("y"))
     return truth.join(pred, by + [id_col], "left")

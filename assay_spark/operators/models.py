@@ -20,12 +20,12 @@ from typing import Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assay_spark.functions import arrays as A
 from assay_spark.operators.sampling import _attach, _list
+from assay_spark.session import materialize
 
 # ---------------------------------------------------------------- L9
 def gram(df: DataFrame, by: Sequence[str], vec: str = "x", y: str = "y", intercept: bool = True) -> DataFrame:
@@ -199,8 +199,10 @@ def evaluate(cells: DataFrame, by: Sequence[str], algorithms: Sequence[str] = GR
     from assay_spark.operators.report import regression_metrics
 
     by = _list(by)
-    # every algorithm reads the same cells: materialise them once
-    cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
+    # every algorithm reads the same cells: materialise them once, eagerly --
+    # the branches below run as parallel stages of one job and would each
+    # recompute a cache that is not filled yet
+    cells = materialize(cells)
     train = cells.filter(F.col(split) == "train")
     test = cells.filter(F.col(split) == "test")
     truth = test.select(*by, id_col, F.col(y).cast("double").alias("y"))
@@ -239,7 +241,7 @@ def evaluate_timed(cells: DataFrame, by: Sequence[str], algorithms: Sequence[str
 
     by = _list(by)
     spark = cells.sparkSession
-    cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
+    cells = materialize(cells)
     rows, schema = [], None
     for alg in algorithms:
         df = evaluate(cells, by, [alg], **kw)

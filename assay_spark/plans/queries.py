@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +19,7 @@ from assay_spark.operators import kernels as K
 from assay_spark.operators import report as RP
 from assay_spark.operators import sampling as SA
 from assay_spark.plans.catalog import table, vectors
+from assay_spark.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -52,7 +52,7 @@ def knn_eval(spark: SparkSession, sf_dir: str, k: int = 5, test_pct: int = 20, s
     s = SA.stratified_split(v, "row_id", "stratum", test_pct=test_pct, seed=seed)
     z = FE.standardize(s, "x", fit_on=F.col("split") == "train")
     # test and train both read the standardised table: compute it once
-    z = z.persist(StorageLevel.MEMORY_AND_DISK)
+    z = materialize(z)
     test = z.filter(F.col("split") == "test")
     train = z.filter(F.col("split") == "train")
     pred = K.knn_regression(test, train, k=k, id_col="row_id")

@@ -77,3 +77,17 @@ def write_stage(df: DataFrame, name: str, mode: str = "overwrite") -> DataFrame:
     path = os.path.join(checkpoint_dir(spark), "stages", name)
     df.write.mode(mode).parquet(path)
     return spark.read.parquet(path)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Persist (memory, spilling to disk) and fill the cache now.
+
+    For an intermediate read by several branches of one job: without the
+    eager fill, the branches run as parallel stages and each computes the
+    not-yet-cached data.  Lost blocks are recomputed from lineage.
+    """
+    from pyspark import StorageLevel
+
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out.count()
+    return out

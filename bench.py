@@ -41,8 +41,9 @@ def main() -> None:
     names = sys.argv[1:] or HEADLINE
     spark = get_spark(f"local[{cpus}]", shuffle_partitions=cpus,
                       extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEM", "16g")})
-    # warm-up: JVM class loading and the Python worker pool
+    # warm-up: JVM class loading and the Python worker pool (Arrow UDF path)
     QUERIES["rollup_scores"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    spark.range(64).repartition(cpus).mapInPandas(lambda it: it, "id long").write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
     for name in names:
         t0 = time.perf_counter()
