@@ -207,9 +207,13 @@ def evaluate(cells: DataFrame, by: Sequence[str], algorithms: Sequence[str] = GR
     test = cells.filter(F.col(split) == "test")
     truth = test.select(*by, id_col, F.col(y).cast("double").alias("y"))
     outs = []
+    linear = [a for a in algorithms if a in ("ols", "ridge")]
+    # one Gram table (cells x p², bounded by the grid and the width) serves
+    # every linear fit; it is filled once because each fit reads it
+    g = materialize(gram(train, by, vec, y)) if len(linear) > 1 else (gram(train, by, vec, y) if linear else None)
     for alg in algorithms:
         if alg in ("ols", "ridge"):
-            co = fit_grouped(train, by, vec, y, reg=0.0 if alg == "ols" else ridge)
+            co = solve_gram(g, by, reg=0.0 if alg == "ols" else ridge)
             pred = predict_linear(test, co, by, vec).select(*by, id_col, F.col(y).cast("double").alias("y"), "y_hat")
         elif alg == "rbf_ridge":
             dim = cells.select(F.max(F.size(vec))).first()[0]

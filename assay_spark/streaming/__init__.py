@@ -1,0 +1,7 @@
+"""No streaming operators.
+
+The workflow this library covers reads finished tables only: there is no
+watermark, event-time window, state or late data anywhere in it.  Every
+operator here is a batch DataFrame transformation; a micro-batch caller can
+still apply them per batch from ``foreachBatch``.
+"""
