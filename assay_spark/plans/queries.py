@@ -767,3 +767,20 @@ def one_body(spark, sf_dir):
 def evaluate_timed(spark, sf_dir):
     res = MO.evaluate_timed(split_vectors(spark, sf_dir), [], ["ols", "knn", "mean"])
     return rounded(res)
+
+
+SWEEP_SHOTS = (0, 10, 100, 1000)
+
+
+@query("shot_sweep")
+def shot_sweep(spark, sf_dir):
+    """Shot-noise experiment end to end: expectations in [-1, 1] (vectors
+    scaled to bound 1), finite-shot estimates for every (shots, loop) cell
+    (1000 shots through the binomial path), one split and grouped
+    ridge / kNN / mean evaluation per cell, then MSE mean and spread per
+    shot count on a log axis."""
+    v = FE.scale_to(split_vectors(spark, sf_dir), "x", 1.0, fit_on=F.col("split") == "train")
+    noisy = FE.add_shot_noise(v, "row_id", "x", SWEEP_SHOTS, loops=2, seed=42, out="xn")
+    cells = noisy.select("shots", "loop", "row_id", "split", F.col("xn").alias("x"), "y")
+    res = MO.evaluate(cells, ["shots", "loop"], ["ridge", "knn", "mean"])
+    return rounded(RP.shot_curve(res.withColumnRenamed("shots", "numsamp"), "numsamp", "mse", by=["algorithm"]))
