@@ -80,14 +80,11 @@ def write_stage(df: DataFrame, name: str, mode: str = "overwrite") -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Persist (memory, spilling to disk) and fill the cache now.
+    """Compute ``df`` once, now, into the shared checkpoint folder.
 
-    For an intermediate read by several branches of one job: without the
-    eager fill, the branches run as parallel stages and each computes the
-    not-yet-cached data.  Lost blocks are recomputed from lineage.
+    For an intermediate read by several branches of one job: without an
+    eager fill the branches run as parallel stages and each recomputes it.
+    A reliable checkpoint (not a cache) holds no executor or driver heap
+    across queries, survives executor loss and cuts the lineage.
     """
-    from pyspark import StorageLevel
-
-    out = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out.count()
-    return out
+    return cut_lineage(df, eager=True)
