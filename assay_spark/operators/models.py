@@ -3,10 +3,10 @@
 Two paths:
 
 - grouped (L9, one Spark job for every cell): least squares / ridge from
-  per-cell Gram sums.  Each row contributes the outer product of its
-  augmented vector; ``Summarizer.sum`` adds them with partial aggregation, so
-  a hot cell costs one p x p accumulator per task, never its rows.  Only the
-  p x p solve runs in pandas, one small row per cell.  kNN (J8) and random
+  per-cell Gram sums.  Each task folds its rows into one partial X'X per
+  cell with a BLAS product; Spark adds the partials per cell, so a hot cell
+  costs one p x p accumulator per task, never its rows.  Only the p x p
+  solve runs per cell, one small row each.  kNN (J8) and random
   Fourier ridge (L8) reuse the same machinery.
 - Spark ML estimators (forest, boosted trees, bagging, tree, OLS) for one
   training table at a time; the grid loop over cells is over parameter keys,
@@ -30,16 +30,50 @@ from assay_spark.session import materialize
 # ---------------------------------------------------------------- L9
 def gram(df: DataFrame, by: Sequence[str], vec: str = "x", y: str = "y", intercept: bool = True) -> DataFrame:
     """Per group: n, sum(y²), X'X (flattened, row-major) and X'y of the
-    augmented vector [1, x] (or x)."""
+    augmented vector [1, x] (or x).
+
+    Each task folds its rows into one partial (X'X, X'y) per group with a
+    BLAS product over an Arrow batch -- no per-row p² arrays, so a
+    1710-wide embedding costs one 1710² accumulator per task and group.
+    Spark then adds the partials per group (a handful of rows per group,
+    whatever the group's size).
+    """
+    import numpy as np
+    import pandas as pd
+
     by = _list(by)
-    xa = F.concat(F.array(F.lit(1.0)), F.col(vec)) if intercept else F.col(vec)
-    d = df.select(*by, xa.alias("_xa"), F.col(y).cast("double").alias("_y"))
-    d = d.select(*by, array_to_vector(A.outer_product("_xa")).alias("_xx"),
-                 array_to_vector(F.transform("_xa", lambda v: v * F.col("_y"))).alias("_xy"),
-                 (F.col("_y") * F.col("_y")).alias("_yy"))
-    aggs = [Summarizer.sum(F.col("_xx")).alias("_sxx"), Summarizer.sum(F.col("_xy")).alias("_sxy"),
-            F.sum("_yy").alias("syy"), F.count(F.lit(1)).alias("n")]
-    g = d.groupBy(*by).agg(*aggs) if by else d.agg(*aggs)
+    key_fields = [f for f in df.schema.fields if f.name in by]
+    d = df.select(*by, F.col(vec).alias("_x"), F.col(y).cast("double").alias("_y"))
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in key_fields] +
+                       ["n long", "syy double", "xtx array<double>", "xty array<double>"])
+
+    def partials(batches):
+        acc: dict = {}
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            groups = pdf.groupby(by, sort=False, dropna=False) if by else [((), pdf)]
+            for key, g in groups:
+                key = key if isinstance(key, tuple) else (key,)
+                x = np.stack(g["_x"].to_numpy()).astype(float)
+                if intercept:
+                    x = np.hstack([np.ones((x.shape[0], 1)), x])
+                yv = g["_y"].to_numpy(dtype=float)
+                part = (len(g), float(yv @ yv), x.T @ x, x.T @ yv)
+                if key in acc:
+                    a = acc[key]
+                    acc[key] = (a[0] + part[0], a[1] + part[1], a[2] + part[2], a[3] + part[3])
+                else:
+                    acc[key] = part
+        if acc:
+            rows = [dict(zip(by, k), n=v[0], syy=v[1], xtx=v[2].ravel().tolist(), xty=v[3].tolist())
+                    for k, v in acc.items()]
+            yield pd.DataFrame(rows, columns=by + ["n", "syy", "xtx", "xty"])
+
+    part = d.mapInPandas(partials, schema)
+    aggs = [F.sum("n").alias("n"), F.sum("syy").alias("syy"),
+            Summarizer.sum(array_to_vector("xtx")).alias("_sxx"), Summarizer.sum(array_to_vector("xty")).alias("_sxy")]
+    g = part.groupBy(*by).agg(*aggs) if by else part.agg(*aggs)
     return g.select(*by, "n", "syy", vector_to_array("_sxx").alias("xtx"), vector_to_array("_sxy").alias("xty"))
 
 
