@@ -167,6 +167,8 @@ def estimator(name: str, features: str = "_f", label: str = "_y", seed: int = 42
 
 
 ML_MODELS = ("forest", "gbt", "bagging", "tree", "ols", "ridge")
+# concurrent per-cell fits submitted by the grid evaluation
+ML_PARALLEL_FITS = 4
 
 
 class FittedModel:
@@ -223,6 +225,33 @@ def fit_report(train: DataFrame, test: DataFrame, name: str, id_col: str = "row_
 GROUPED = ("ols", "ridge", "knn", "rbf_ridge", "mean")
 
 
+def _evaluate_ml(cells: DataFrame, by: list, name: str, id_col: str, vec: str, y: str, split: str,
+                 seed: int, **kw) -> DataFrame:
+    """A Spark ML estimator per cell: one distributed fit per cell key (the
+    key list is the grid, collected -- bounded by the grid, not the data)."""
+    from functools import reduce as _reduce
+
+    from assay_spark.operators.report import regression_metrics
+
+    from concurrent.futures import ThreadPoolExecutor
+
+    keys = [tuple(r) for r in cells.select(*by).distinct().collect()] if by else [()]
+
+    def one(key):
+        cond = _reduce(lambda a, b: a & b, [F.col(c) == F.lit(v) for c, v in zip(by, key)], F.lit(True))
+        cell = cells.filter(cond)
+        model = fit(cell.filter(F.col(split) == "train"), name, vec, y, seed, **kw)
+        pred = predict(model, cell.filter(F.col(split) == "test"),
+                       [*by, id_col, F.col(y).cast("double").alias("y")])
+        return regression_metrics(pred, by).withColumn("algorithm", F.lit(name))
+
+    # each fit is its own distributed job; submitting several at once lets
+    # the scheduler interleave them instead of running small jobs one by one
+    with ThreadPoolExecutor(max_workers=ML_PARALLEL_FITS) as pool:
+        parts = list(pool.map(one, keys))
+    return _reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def evaluate(cells: DataFrame, by: Sequence[str], algorithms: Sequence[str] = GROUPED, id_col: str = "row_id",
              vec: str = "x", y: str = "y", split: str = "split", k: int = 5, ridge: float = 1.0,
              rff_features: int = 128, rff_length: float = 1.0, seed: int = 42, source: str = "raw") -> DataFrame:
@@ -257,6 +286,9 @@ def evaluate(cells: DataFrame, by: Sequence[str], algorithms: Sequence[str] = GR
             pred = predict_linear(te, co, by, "rff").select(*by, id_col, F.col(y).cast("double").alias("y"), "y_hat")
         elif alg == "knn":
             pred = knn_regression(test, train, k, by, id_col, vec, y)
+        elif alg in ML_MODELS:
+            outs.append(_evaluate_ml(cells, by, alg, id_col, vec, y, split, seed))
+            continue
         elif alg == "mean":
             mu = train.groupBy(*by).agg(F.avg(F.col(y).cast("double")).alias("y_hat")) if by else \
                 train.agg(F.avg(F.col(y).cast("double")).alias("y_hat"))

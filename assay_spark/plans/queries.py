@@ -784,3 +784,37 @@ def shot_sweep(spark, sf_dir):
     cells = noisy.select("shots", "loop", "row_id", "split", F.col("xn").alias("x"), "y")
     res = MO.evaluate(cells, ["shots", "loop"], ["ridge", "knn", "mean"])
     return rounded(RP.shot_curve(res.withColumnRenamed("shots", "numsamp"), "numsamp", "mse", by=["algorithm"]))
+
+
+COMPARE_SITES = 8
+
+
+@query("compare_sources")
+def compare_sources(spark, sf_dir):
+    """The reference's headline comparison on every subsample cell: raw
+    features vs the full response embedding (singles + pairs per step) vs
+    the one-body embedding, each scored by grouped ridge / kNN / mean, rolled
+    up to MSE mean and spread per (size, source, algorithm)."""
+    v = vectors_head(spark, sf_dir, COMPARE_SITES)
+    cells = SA.subsamples(v.select("row_id", "stratum"), "row_id", "stratum", GRID_SIZES, GRID_REPEATS, seed=42)
+    cells = cells.join(v.select("row_id", "x", "y"), "row_id")
+    cells = FE.scale_to(cells, "x", 6.0, by=["rec", "sub"], fit_on=F.col("split") == "train")
+    cells = materialize(cells)  # three sources read it
+    sources = {
+        "raw": cells,
+        "embedding": FE.response_features(cells, "x", order=2, out="x"),
+        "one_body": FE.response_features(cells, "x", order=1, out="x"),
+    }
+    res = None
+    for name, c in sources.items():
+        r = MO.evaluate(c, ["rec", "sub"], ["ridge", "knn", "mean"], source=name)
+        res = r if res is None else res.unionByName(r)
+    return rounded(RP.rollup(res, ["rec", "source", "algorithm"], "mse"))
+
+
+@query("evaluate_forest_grid")
+def evaluate_forest_grid(spark, sf_dir):
+    """Forest per subsample cell (one distributed fit per cell) next to the
+    grouped models, as the reference's evaluation scripts run it."""
+    res = MO.evaluate(grid_cells(spark, sf_dir), ["rec", "sub"], ["forest", "ridge"])
+    return rounded(res)
