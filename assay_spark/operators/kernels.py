@@ -31,8 +31,7 @@ def _sizes(test: DataFrame, train: DataFrame, by: list, block_rows: int, chunk_r
     """Per cell: number of train blocks and test chunks."""
     tn = train.groupBy(*by).agg(F.count(F.lit(1)).alias("_tn"))
     qn = test.groupBy(*by).agg(F.count(F.lit(1)).alias("_qn"))
-    s = tn.join(qn, by, "inner") if by else tn.withColumn("_one", F.lit(1)).join(
-        qn.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    s = tn.join(qn, by, "inner") if by else _attach(tn, qn, [])
     # ~sqrt(n) rows per block (at least block_rows, at most MAX_BLOCK_ROWS):
     # enough blocks to spread a cell over many tasks, few enough that the
     # replication of test rows over blocks stays cheap

@@ -114,13 +114,13 @@ def split_exact(df: DataFrame, id_col: str, test_pct: int = 20, seed: int = 42,
 
 def _attach(d: DataFrame, small: DataFrame, by: list) -> DataFrame:
     """Join a per-group table (one row per group) onto rows.  With no group
-    keys the table has exactly one row (a global aggregate), so a broadcast
-    of it is bounded by construction."""
+    keys the table has exactly one row (a global aggregate) and becomes a
+    scalar subquery instead of a join."""
     if not by:
-        # a global aggregate: exactly one row, so broadcasting it is bounded
-        # by construction; joined on a constant key (hash join, no pairs)
-        one = small.withColumn("_one", F.lit(1))
-        return d.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one", "inner").drop("_one")
+        # a global aggregate has exactly one row: attach it as a scalar
+        # subquery (computed once, inlined as a value) -- no join at all
+        sub = small.select(F.struct(*[F.col(c) for c in small.columns]).alias("_s")).scalar()
+        return d.withColumns({c: sub[c] for c in small.columns})
     renamed = small
     for i, k in enumerate(by):
         renamed = renamed.withColumnRenamed(k, f"_g{i}")
