@@ -54,7 +54,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="assay-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        try:  # a core setting: some deployments refuse runtime changes
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001
+            pass
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
