@@ -500,3 +500,29 @@ WITH s AS (SELECT v.row_id, t.step, list_transform(v.x, lambda a: 1.0 - {repr(2.
 SELECT row_id, CAST(step AS INTEGER) AS step, count(*) AS n, round(sum(v), 6) AS sum, round(min(v), 6) AS min,
        round(max(v), 6) AS max
 FROM (SELECT row_id, step, unnest(z) AS v FROM s) GROUP BY row_id, step"""
+
+
+_GRID_CELLS = f"""(WITH c AS (SELECT * FROM {_strat_split("SELECT * FROM " + _grid_draw(False), seed=43, by="rec, sub",
+                                                       key=("row_id", "rec", "sub"), tiebreak="row_id, rec, sub")}),
+  j AS (SELECT c.rec, c.sub, c.row_id, c.split, v.x, v.y FROM c JOIN {_V} v USING (row_id)),
+  d AS (SELECT rec, sub, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM j WHERE split = 'train'),
+  st AS (SELECT rec, sub, list(mu ORDER BY i) AS mu, list(sd ORDER BY i) AS sd
+         FROM (SELECT rec, sub, i, avg(v) AS mu, stddev_pop(v) AS sd FROM d GROUP BY ALL) GROUP BY rec, sub)
+  SELECT j.rec, j.sub, j.row_id, j.split, j.y,
+         list_transform(j.x, lambda v, i: CASE WHEN st.sd[i] = 0 THEN 0.0 ELSE (v - st.mu[i]) / st.sd[i] END) AS x
+  FROM j JOIN st USING (rec, sub))"""
+
+ORACLE["evaluate_grid_knn"] = f"""
+WITH z AS (SELECT * FROM {_GRID_CELLS}),
+p AS (SELECT t.rec, t.sub, t.row_id, t.y, r.y AS ny, r.row_id AS nid,
+             list_sum(list_transform(list_zip(t.x, r.x), lambda q: (q[1] - q[2]) * (q[1] - q[2]))) AS d
+      FROM z t JOIN z r ON t.rec = r.rec AND t.sub = r.sub AND t.split = 'test' AND r.split = 'train'),
+nn AS (SELECT *, row_number() OVER (PARTITION BY rec, sub, row_id ORDER BY d, nid) AS kk FROM p),
+knn AS (SELECT rec, sub, row_id, any_value(y) AS y, avg(ny) AS y_hat FROM nn WHERE kk <= 5 GROUP BY ALL),
+mu AS (SELECT rec, sub, avg(y) AS y_hat FROM z WHERE split = 'train' GROUP BY ALL),
+mean AS (SELECT z.rec, z.sub, z.row_id, z.y, mu.y_hat FROM z JOIN mu USING (rec, sub) WHERE z.split = 'test'),
+pred AS (SELECT *, 'knn' AS algorithm FROM knn UNION ALL SELECT *, 'mean' AS algorithm FROM mean)
+SELECT rec, sub, round(avg((y_hat - y) * (y_hat - y)), 6) AS mse, round(avg(abs(y_hat - y)), 6) AS mae,
+       round(1 - sum((y_hat - y) * (y_hat - y)) / (count(y_hat) * var_pop(y)), 6) AS r2, count(y_hat) AS n,
+       algorithm, 'raw' AS source
+FROM pred GROUP BY rec, sub, algorithm"""

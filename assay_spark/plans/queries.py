@@ -818,3 +818,11 @@ def evaluate_forest_grid(spark, sf_dir):
     grouped models, as the reference's evaluation scripts run it."""
     res = MO.evaluate(grid_cells(spark, sf_dir), ["rec", "sub"], ["forest", "ridge"])
     return rounded(res)
+
+
+@query("evaluate_grid_knn")
+def evaluate_grid_knn(spark, sf_dir):
+    """The grid path with the SQL-checkable models: every (rec, sub) cell
+    drawn and split, standardised on its train rows, scored by kNN and by the
+    train mean, metrics per cell."""
+    return rounded(MO.evaluate(grid_cells(spark, sf_dir), ["rec", "sub"], ["knn", "mean"]))
