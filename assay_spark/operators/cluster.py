@@ -9,8 +9,6 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay_spark.operators.sampling import _list
-
 
 def kmeans(df: DataFrame, vec: str = "x", k: int = 5, seed: int = 42, max_iter: int = 20):
     from pyspark.ml.clustering import KMeans
