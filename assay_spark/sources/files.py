@@ -24,8 +24,9 @@ CELL_NAME_PATTERN = r"([Xy])_(train|test)_([0-9]+)rec_sub([0-9]+)act([0-9]+)v([0
 def read_wide(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
               id_col: str | None = None) -> DataFrame:
     """Headered CSV with a declared schema (no inference pass).  With
-    ``id_col`` missing from the file, a row id is derived from the file and
-    byte offset, stable across runs."""
+    ``id_col`` missing from the file, a unique row id is added with
+    ``monotonically_increasing_id`` (its values depend on how the files are
+    split into tasks; write the table out once if ids must persist)."""
     r = spark.read.option("header", True)
     r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
     df = r.csv(path)
