@@ -17,16 +17,28 @@ def kmeans(df: DataFrame, vec: str = "x", k: int = 5, seed: int = 42, max_iter:
     return KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="_f", predictionCol="_cl").fit(d)
 
 
+def complete_dims(df: DataFrame, vec: str) -> list[int]:
+    """0-based dimensions of ``vec`` with no null or NaN in any row (one
+    aggregate; the answer is bounded by the vector width)."""
+    from assay_spark.functions.arrays import entries
+
+    flags = (df.select(entries(vec, "_i", "_v")).groupBy("_i")
+               .agg(F.bool_or(F.col("_v").isNull() | F.isnan("_v")).alias("_bad")))
+    return sorted(r["_i"] for r in flags.filter(~F.col("_bad")).select("_i").collect())
+
+
 def cluster(df: DataFrame, vec: str = "x", k: int = 5, seed: int = 42, out: str = "cluster",
             max_iter: int = 20) -> DataFrame:
-    """Label every row with its k-means cluster (rows with a null or
-    NaN entry cannot be clustered and are left out, as in the reference)."""
-    from assay_spark.functions.arrays import any_nan
-
-    clean = df.filter(F.col(vec).isNotNull() & ~any_nan(vec))
-    model = kmeans(clean, vec, k, seed, max_iter)
-    return (model.transform(clean.withColumn("_f", array_to_vector(vec)))
-            .withColumn(out, F.col("_cl").cast("int")).drop("_f", "_cl"))
+    """Label every row with its k-means cluster, clustering on the
+    dimensions that are complete in every row (the reference drops feature
+    columns holding nulls, then labels all rows).  Only the feature vector
+    is used: no earlier label, no target."""
+    keep = complete_dims(df, vec)
+    idx = F.array(*[F.lit(i + 1) for i in keep])
+    d = df.withColumn("_xc", F.transform(idx, lambda i: F.element_at(F.col(vec), i)))
+    model = kmeans(d, "_xc", k, seed, max_iter)
+    return (model.transform(d.withColumn("_f", array_to_vector("_xc")))
+            .withColumn(out, F.col("_cl").cast("int")).drop("_f", "_cl", "_xc"))
 
 
 def centroids(df: DataFrame, vec: str = "x", k: int = 5, seed: int = 42) -> DataFrame:

@@ -203,24 +203,49 @@ def stratified_sample(df: DataFrame, id_col: str, stratum: str, n: int, seed: in
 
 # ---------------------------------------------------------------- M5
 def subsamples(df: DataFrame, id_col: str, stratum: str, sizes: Iterable[int], repeats: int,
-               seed: int = 42, replace: bool = False, test_pct: int = 20) -> DataFrame:
+               seed: int = 42, replace: bool = True, test_pct: int = 20, disjoint: bool = False) -> DataFrame:
     """All repeated stratified draws in one job: for every size ``rec`` and
     subsample ``sub`` in 1..repeats, an equal-per-stratum draw of ``rec``
     rows, then an exact stratified test/train split inside the cell.
 
-    Each row is tagged with every (rec, sub) cell it may enter (a projection
-    inside the scan stage, not a join); the bucketed rank prunes rows past
-    each stratum's share before anything is sorted.
+    ``replace=True`` (the default, as the reference draws) may repeat a row
+    inside a cell; ``draw`` then tells the copies apart.  ``disjoint=True``
+    draws without replacement *and* without overlap between the subsamples
+    of one size: rows are ranked once per (size, stratum) and rank r goes to
+    subsample ceil(r / m) -- exact, one pass, no sequential removal.
+
+    Each row is tagged with every cell it may enter (a projection inside the
+    scan stage, not a join); the bucketed rank prunes rows past each
+    stratum's share before anything is sorted.
     """
-    grid = F.array(*[F.struct(F.lit(int(r)).alias("rec"), F.lit(int(s)).alias("sub"))
-                     for r in sizes for s in range(1, repeats + 1)])
-    g = df.withColumn("_cell", F.explode(grid)).select("*", "_cell.rec", "_cell.sub").drop("_cell")
-    drawn = _stratified_share(g, id_col, stratum, seed, replace)
+    sizes = [int(r) for r in sizes]
+    if disjoint:
+        g = df.withColumn("rec", F.explode(F.array(*[F.lit(r) for r in sizes])))
+        drawn = _disjoint_share(g, id_col, stratum, repeats, seed)
+        replace = False
+    else:
+        grid = F.array(*[F.struct(F.lit(r).alias("rec"), F.lit(int(s)).alias("sub"))
+                         for r in sizes for s in range(1, repeats + 1)])
+        g = df.withColumn("_cell", F.explode(grid)).select("*", "_cell.rec", "_cell.sub").drop("_cell")
+        drawn = _stratified_share(g, id_col, stratum, seed, replace)
     key_cols = [id_col] if not replace else [id_col, "draw"]
     return stratified_split(drawn, id_col, stratum, test_pct=test_pct, seed=seed + 1,
                             by=["rec", "sub"], key_cols=key_cols + ["rec", "sub"])
 
 
+def _disjoint_share(g: DataFrame, id_col: str, stratum: str, repeats: int, seed: int) -> DataFrame:
+    """``repeats`` disjoint equal-per-stratum draws of ``rec`` rows each."""
+    d = g.withColumn("_h", draw_int(id_col, "rec", seed=seed))
+    share = lambda t: t.withColumn(
+        "_m", (F.col("rec") / F.count(F.lit(1)).over(Window.partitionBy("rec"))).cast("long")
+    ).withColumn("_lim", F.col("_m") * F.lit(int(repeats)))
+    r = rank_within(d, ["rec", stratum], "_h", [id_col], limit="_lim", out="_r", group_fn=share)
+    r = r.filter(F.col("_m") > 0)
+    r = r.withColumn("sub", (F.floor((F.col("_r") - 1) / F.col("_m")) + 1).cast("int"))
+    r = r.withColumn("draw", F.col("_r") - (F.col("sub") - 1) * F.col("_m"))
+    return r.drop("_h", "_m", "_lim", "_r", "_gn")
+
+
 def _stratified_share(g: DataFrame, id_col: str, stratum: str, seed: int, replace: bool) -> DataFrame:
     """``stratified_sample`` where the draw size is the per-row ``rec`` column."""
     by = ["rec", "sub"]

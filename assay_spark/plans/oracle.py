@@ -526,3 +526,16 @@ SELECT rec, sub, round(avg((y_hat - y) * (y_hat - y)), 6) AS mse, round(avg(abs(
        round(1 - sum((y_hat - y) * (y_hat - y)) / (count(y_hat) * var_pop(y)), 6) AS r2, count(y_hat) AS n,
        algorithm, 'raw' AS source
 FROM pred GROUP BY rec, sub, algorithm"""
+
+
+_DISJOINT_DRAW = f"""(WITH g AS (SELECT v.*, c.rec, {H('row_id', 'rec')} AS h
+          FROM (SELECT vec_id AS row_id, label AS stratum FROM embeddings) v CROSS JOIN (SELECT unnest([100, 200]) AS rec) c),
+    cnt AS (SELECT rec, stratum, rec // count(*) OVER (PARTITION BY rec) AS m FROM g GROUP BY rec, stratum),
+    r AS (SELECT g.*, row_number() OVER (PARTITION BY rec, stratum ORDER BY h, row_id) AS rk FROM g)
+    SELECT r.row_id, r.stratum, r.rec, CAST((r.rk - 1) // cnt.m + 1 AS INTEGER) AS sub,
+           r.rk - ((r.rk - 1) // cnt.m) * cnt.m AS draw
+    FROM r JOIN cnt USING (rec, stratum) WHERE cnt.m > 0 AND r.rk <= cnt.m * 5)"""
+
+ORACLE["subsamples_disjoint"] = "SELECT rec, sub, row_id, stratum, draw, split FROM " + _strat_split(
+    "SELECT * FROM " + _DISJOINT_DRAW, seed=43, by="rec, sub", key=("row_id", "rec", "sub"),
+    tiebreak="row_id, rec, sub")

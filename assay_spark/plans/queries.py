@@ -227,7 +227,7 @@ GRID_REPEATS = 5
 @query("subsamples_grid")
 def subsamples_grid(spark, sf_dir):
     v = vectors(spark, sf_dir).select("row_id", "stratum")
-    return SA.subsamples(v, "row_id", "stratum", GRID_SIZES, GRID_REPEATS, seed=42)
+    return SA.subsamples(v, "row_id", "stratum", GRID_SIZES, GRID_REPEATS, seed=42, replace=False)
 
 
 @query("exclude_drawn")
@@ -644,7 +644,8 @@ def grid_cells(spark, sf_dir) -> DataFrame:
     """Every (rec, sub) subsample with its stratified split, features
     standardised per cell on that cell's train rows."""
     v = vectors(spark, sf_dir)
-    cells = SA.subsamples(v.select("row_id", "stratum"), "row_id", "stratum", GRID_SIZES, GRID_REPEATS, seed=42)
+    cells = SA.subsamples(v.select("row_id", "stratum"), "row_id", "stratum", GRID_SIZES, GRID_REPEATS, seed=42,
+                          replace=False)
     cells = cells.join(v.select("row_id", "x", "y"), "row_id")
     return FE.standardize(cells, "x", by=["rec", "sub"], fit_on=F.col("split") == "train")
 
@@ -796,7 +797,8 @@ def compare_sources(spark, sf_dir):
     the one-body embedding, each scored by grouped ridge / kNN / mean, rolled
     up to MSE mean and spread per (size, source, algorithm)."""
     v = vectors_head(spark, sf_dir, COMPARE_SITES)
-    cells = SA.subsamples(v.select("row_id", "stratum"), "row_id", "stratum", GRID_SIZES, GRID_REPEATS, seed=42)
+    cells = SA.subsamples(v.select("row_id", "stratum"), "row_id", "stratum", GRID_SIZES, GRID_REPEATS, seed=42,
+                          replace=False)
     cells = cells.join(v.select("row_id", "x", "y"), "row_id")
     cells = FE.scale_to(cells, "x", 6.0, by=["rec", "sub"], fit_on=F.col("split") == "train")
     cells = materialize(cells)  # three sources read it
@@ -826,3 +828,10 @@ def evaluate_grid_knn(spark, sf_dir):
     drawn and split, standardised on its train rows, scored by kNN and by the
     train mean, metrics per cell."""
     return rounded(MO.evaluate(grid_cells(spark, sf_dir), ["rec", "sub"], ["knn", "mean"]))
+
+
+@query("subsamples_disjoint")
+def subsamples_disjoint(spark, sf_dir):
+    """Disjoint repeated draws (no row in two subsamples of one size)."""
+    v = vectors(spark, sf_dir).select("row_id", "stratum")
+    return SA.subsamples(v, "row_id", "stratum", GRID_SIZES, GRID_REPEATS, seed=42, disjoint=True)

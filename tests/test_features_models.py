@@ -152,3 +152,17 @@ def test_pair_mean_std_keeps_orphans(spark):
 def test_pairs_helper_order(spark):
     df = spark.createDataFrame([([1.0, 2.0, 3.0],)], "v array<double>")
     assert df.select(A.pair_products("v")).first()[0] == [2.0, 3.0, 6.0]
+
+
+def test_cluster_skips_incomplete_dimension(spark):
+    from assay_spark.operators.cluster import cluster, complete_dims
+
+    rng = np.random.default_rng(6)
+    m = np.vstack([rng.normal(0, 0.1, size=(20, 2)), rng.normal(5, 0.1, size=(20, 2))])
+    m = np.column_stack([m, np.where(np.arange(40) == 3, np.nan, 1.0)])
+    df = vec_df(spark, m)
+    assert complete_dims(df, "x") == [0, 1]
+    lab = {r["row_id"]: r["cluster"] for r in cluster(df, "x", k=2, seed=1).collect()}
+    assert len(lab) == 40
+    assert len({lab[i] for i in range(20)}) == 1 and len({lab[i] for i in range(20, 40)}) == 1
+    assert lab[0] != lab[20]

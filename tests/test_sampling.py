@@ -109,3 +109,16 @@ def test_exclude_drawn_and_dedupe(spark):
     dup = spark.createDataFrame([(1, "a", 5.0), (2, "a", 6.0), (0, "b", 1.0)], "row_id long, k string, v double")
     d = {r["k"]: r["row_id"] for r in SA.dedupe_first(dup, ["k"], "row_id").collect()}
     assert d == {"a": 1, "b": 0}
+
+
+def test_disjoint_subsamples(spark):
+    cells = SA.subsamples(strata200(spark), "row_id", "stratum", [20, 50], 3, seed=8, disjoint=True)
+    sizes = {(r["rec"], r["sub"]): r["count"] for r in cells.groupBy("rec", "sub").count().collect()}
+    assert sizes == {(rec, sub): rec for rec in (20, 50) for sub in (1, 2, 3)}
+    per_size = cells.groupBy("rec", "row_id").count()
+    assert per_size.filter("count > 1").count() == 0
+
+
+def test_default_draw_is_with_replacement(spark):
+    cells = SA.subsamples(strata200(spark), "row_id", "stratum", [100], 2, seed=1)
+    assert "draw" in cells.columns and cells.groupBy("rec", "sub").count().first()["count"] == 100
