@@ -90,7 +90,7 @@ def test_tiny_stratum(spark):
 
 
 def test_subsamples_grid_and_overlap(spark):
-    cells = SA.subsamples(strata200(spark), "row_id", "stratum", [50, 100], 3, seed=4)
+    cells = SA.subsamples(strata200(spark), "row_id", "stratum", [50, 100], 3, seed=4, replace=False)
     sizes = {(r["rec"], r["sub"]): r["count"] for r in cells.groupBy("rec", "sub").count().collect()}
     assert sizes == {(rec, sub): rec for rec in (50, 100) for sub in (1, 2, 3)}
     tests = cells.filter("split = 'test'").groupBy("rec", "sub").count().collect()
