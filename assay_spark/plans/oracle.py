@@ -116,7 +116,7 @@ ORACLE["quantiles"] = "SELECT event_type, count(value) AS n, " + ", ".join(
 ORACLE["zscore_flag"] = """
 WITH s AS (SELECT event_type, avg(value) AS mu, stddev_pop(value) AS sd FROM events GROUP BY event_type),
 f AS (SELECT e.event_type, coalesce(abs((e.value - s.mu) / s.sd) > 3.5, false) AS o FROM events e JOIN s USING (event_type))
-SELECT event_type, count_if(o) AS outliers, count(*) AS n, round(count_if(o) / count(*), 6) AS share
+SELECT event_type, CAST(count_if(o) AS BIGINT) AS outliers, count(*) AS n, round(count_if(o) / count(*), 6) AS share
 FROM f GROUP BY event_type"""
 
 ORACLE["cap_filter"] = "SELECT event_type, count(*) AS n FROM events WHERE value <= 100.0 GROUP BY event_type"
@@ -138,7 +138,7 @@ WITH q AS (SELECT event_type, count(value) AS n, quantile_cont(value, 0.25) AS q
 f AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lf, q3 + 1.5 * (q3 - q1) AS uf FROM q),
 w AS (SELECT e.event_type, min(CASE WHEN e.value BETWEEN f.lf AND f.uf THEN e.value END) AS whisker_lo,
              max(CASE WHEN e.value BETWEEN f.lf AND f.uf THEN e.value END) AS whisker_hi,
-             count_if(NOT (e.value BETWEEN f.lf AND f.uf)) AS outliers
+             CAST(count_if(NOT (e.value BETWEEN f.lf AND f.uf)) AS BIGINT) AS outliers
       FROM events e JOIN f USING (event_type) GROUP BY e.event_type)
 SELECT q.event_type, q.n, round(q.q1, 6) AS q1, round(q.median, 6) AS median, round(q.q3, 6) AS q3,
        round(w.whisker_lo, 6) AS whisker_lo, round(w.whisker_hi, 6) AS whisker_hi, w.outliers
@@ -199,13 +199,13 @@ ORACLE["stratified_sample_replace"] = f"""
 WITH d AS (SELECT doc_id, lang, {H('doc_id')} AS h FROM documents),
 c AS (SELECT lang, count(*) AS sn, 100 // count(*) OVER () AS m FROM d GROUP BY lang),
 dr AS (SELECT lang, draw, 1 + {H('lang', 'draw', seed=42 + 7919)} % sn AS pos
-       FROM (SELECT lang, sn, unnest(range(1, m + 1)) AS draw FROM c)),
+       FROM (SELECT lang, sn, CAST(unnest(range(1, m + 1)) AS INTEGER) AS draw FROM c)),
 r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY h, doc_id) AS pos FROM d)
 SELECT r.doc_id, r.lang, dr.draw FROM r JOIN dr USING (lang, pos)"""
 
 
 def _grid_draw(replace: bool) -> str:
-    cells = "(SELECT unnest([100, 200]) AS rec) CROSS JOIN (SELECT unnest(range(1, 6)) AS sub)"
+    cells = "(SELECT unnest([100, 200]) AS rec) CROSS JOIN (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS sub)"
     base = f"""
     g AS (SELECT v.*, c.rec, c.sub, {H('row_id', 'rec', 'sub')} AS h
           FROM (SELECT vec_id AS row_id, label AS stratum FROM embeddings) v CROSS JOIN ({cells}) c),
