@@ -9,8 +9,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assay_spark import constants as C
 
-def kmeans(df: DataFrame, vec: str = "x", k: int = 5, seed: int = 42, max_iter: int = 20):
+
+def kmeans(df: DataFrame, vec: str = "x", k: int = C.CLUSTERS, seed: int = 42, max_iter: int = 20):
     from pyspark.ml.clustering import KMeans
 
     d = df.withColumn("_f", array_to_vector(vec))
@@ -27,7 +29,7 @@ def complete_dims(df: DataFrame, vec: str) -> list[int]:
     return sorted(r["_i"] for r in flags.filter(~F.col("_bad")).select("_i").collect())
 
 
-def cluster(df: DataFrame, vec: str = "x", k: int = 5, seed: int = 42, out: str = "cluster",
+def cluster(df: DataFrame, vec: str = "x", k: int = C.CLUSTERS, seed: int = 42, out: str = "cluster",
             max_iter: int = 20) -> DataFrame:
     """Label every row with its k-means cluster, clustering on the
     dimensions that are complete in every row (the reference drops feature
@@ -41,13 +43,13 @@ def cluster(df: DataFrame, vec: str = "x", k: int = 5, seed: int = 42, out: str
             .withColumn(out, F.col("_cl").cast("int")).drop("_f", "_cl", "_xc"))
 
 
-def centroids(df: DataFrame, vec: str = "x", k: int = 5, seed: int = 42) -> DataFrame:
+def centroids(df: DataFrame, vec: str = "x", k: int = C.CLUSTERS, seed: int = 42) -> DataFrame:
     model = kmeans(df, vec, k, seed)
     rows = [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]
     return df.sparkSession.createDataFrame(rows, "cluster int, centroid array<double>")
 
 
-def elbow(df: DataFrame, vec: str = "x", ks: Sequence[int] = range(1, 10), seed: int = 42) -> DataFrame:
+def elbow(df: DataFrame, vec: str = "x", ks: Sequence[int] = C.ELBOW_KS, seed: int = 42) -> DataFrame:
     """Within-cluster sum of squares for each k.  Spark's k-means refuses
     k = 1; that cost is the total sum of squared deviations, sum_d n·var_pop."""
     from assay_spark.operators.features import vector_stats

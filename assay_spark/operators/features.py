@@ -15,6 +15,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assay_spark import constants as C
 from assay_spark.functions import arrays as A
 from assay_spark.functions.keys import KEY_BITS, draw_int
 from assay_spark.operators.sampling import _attach, _list
@@ -108,7 +109,7 @@ def max_abs(df: DataFrame, vec: str, by: Sequence[str] = (), fit_on: Column | No
     return src.groupBy(*by).agg(e) if by else src.agg(e)
 
 
-def scale_to(df: DataFrame, vec: str, bound: float = 6.0, by: Sequence[str] = (),
+def scale_to(df: DataFrame, vec: str, bound: float = C.SCALE_BOUND, by: Sequence[str] = (),
              fit_on: Column | None = None, out: str | None = None) -> DataFrame:
     """Scale the whole block so its global max-abs (of the ``fit_on`` rows)
     becomes ``bound``: x / s * bound.  ``fit_on=None`` with a split column in
@@ -170,8 +171,8 @@ def response_steps(t_start: float, t_end: float, step: float) -> list[float]:
     return [t_start + step * (k + 1) for k in range(n)]
 
 
-def response_features(df: DataFrame, vec: str, omega: float = 2 * math.pi, t_end: float = 4.3,
-                      step: float = 0.4, t_start: float = 0.0, order: int = 2,
+def response_features(df: DataFrame, vec: str, omega: float = C.DRIVE_OMEGA, t_end: float = C.QUANTUM_T_END,
+                      step: float = C.QUANTUM_STEP, t_start: float = 0.0, order: int = 2,
                       layout: str = "interleaved", out: str = "embedding") -> DataFrame:
     """Time-sampled driven-response features.
 

@@ -18,6 +18,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assay_spark import constants as C
 from assay_spark.functions import arrays as A
 from assay_spark.functions.keys import draw_int
 from assay_spark.operators.sampling import _attach, _list
@@ -40,7 +41,7 @@ def _sizes(test: DataFrame, train: DataFrame, by: list, block_rows: int, chunk_r
                     F.greatest(F.lit(1), F.ceil(F.col("_qn") / F.lit(float(chunk_rows)))).cast("int").alias("_nc"))
 
 
-def knn_join(test: DataFrame, train: DataFrame, k: int = 5, by: Sequence[str] = (), id_col: str = "row_id",
+def knn_join(test: DataFrame, train: DataFrame, k: int = C.KNN_K, by: Sequence[str] = (), id_col: str = "row_id",
              x: str = "x", y: str | None = "y", block_rows: int = 256, chunk_rows: int = 256) -> DataFrame:
     """For every test row, its ``k`` nearest train rows of the same cell.
 
@@ -99,7 +100,7 @@ def knn_join(test: DataFrame, train: DataFrame, k: int = 5, by: Sequence[str] =
     return c.select(*out)
 
 
-def knn_regression(test: DataFrame, train: DataFrame, k: int = 5, by: Sequence[str] = (),
+def knn_regression(test: DataFrame, train: DataFrame, k: int = C.KNN_K, by: Sequence[str] = (),
                    id_col: str = "row_id", x: str = "x", y: str = "y", block_rows: int = 256,
                    chunk_rows: int = 256) -> DataFrame:
     """k-NN regression (uniform weights): y_hat = mean of the k neighbours' y.

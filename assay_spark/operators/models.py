@@ -23,6 +23,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assay_spark import constants as C
 from assay_spark.functions import arrays as A
 from assay_spark.operators.sampling import _attach, _list
 from assay_spark.session import materialize
@@ -151,7 +152,7 @@ def estimator(name: str, features: str = "_f", label: str = "_y", seed: int = 42
 
     common = dict(featuresCol=features, labelCol=label, predictionCol="_pred")
     if name == "forest":
-        return RandomForestRegressor(numTrees=kw.get("numTrees", 300), maxDepth=kw.get("maxDepth", 30),
+        return RandomForestRegressor(numTrees=kw.get("numTrees", C.FOREST_TREES), maxDepth=kw.get("maxDepth", C.FOREST_DEPTH),
                                      seed=seed, **common)
     if name == "gbt":
         return GBTRegressor(maxIter=kw.get("maxIter", 100), maxDepth=kw.get("maxDepth", 3), seed=seed, **common)
@@ -253,7 +254,7 @@ def _evaluate_ml(cells: DataFrame, by: list, name: str, id_col: str, vec: str, y
 
 
 def evaluate(cells: DataFrame, by: Sequence[str], algorithms: Sequence[str] = GROUPED, id_col: str = "row_id",
-             vec: str = "x", y: str = "y", split: str = "split", k: int = 5, ridge: float = 1.0,
+             vec: str = "x", y: str = "y", split: str = "split", k: int = C.KNN_K, ridge: float = 1.0,
              rff_features: int = 128, rff_length: float = 1.0, seed: int = 42, source: str = "raw") -> DataFrame:
     """G1: every cell x algorithm fitted on the cell's train rows and scored
     on its test rows, all in one job.  Output (RESULTS): cell keys, source,

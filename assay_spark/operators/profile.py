@@ -15,6 +15,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from assay_spark import constants as C
 from assay_spark.functions.moments import kurt_adj, skew_adj
 from assay_spark.operators.sampling import _attach, _list
 
@@ -142,7 +143,7 @@ def moments(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 # ---------------------------------------------------------------- A10
-def histogram(df: DataFrame, col: str, bins: int = 25, by: Sequence[str] = ()) -> DataFrame:
+def histogram(df: DataFrame, col: str, bins: int = C.HISTOGRAM_BINS, by: Sequence[str] = ()) -> DataFrame:
     """Equal-width bins over [min, max] (last bin closed) with empty bins
     kept: columns bin (0-based), lo, hi, count."""
     by = _list(by)

@@ -20,6 +20,7 @@ from typing import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assay_spark import constants as C
 from assay_spark.functions.keys import KEY_BITS, draw_int
 
 BUCKET_BITS = 12
@@ -100,7 +101,7 @@ def head_rows(df: DataFrame, order_col: str, n: int) -> DataFrame:
 
 
 # ---------------------------------------------------------------- M2
-def split_exact(df: DataFrame, id_col: str, test_pct: int = 20, seed: int = 42,
+def split_exact(df: DataFrame, id_col: str, test_pct: int = C.TEST_PCT, seed: int = 42,
                 by: Sequence[str] = (), out: str = "split") -> DataFrame:
     """Exact split: per group, ``ceil(test_pct * n / 100)`` rows (integer
     arithmetic) with the smallest key are 'test', the rest 'train'."""
@@ -147,7 +148,7 @@ def allocate(counts: DataFrame, by: list, stratum: str, n_col: str, test_pct: in
 
 
 # ---------------------------------------------------------------- M3
-def stratified_split(df: DataFrame, id_col: str, stratum: str, test_pct: int = 20, seed: int = 42,
+def stratified_split(df: DataFrame, id_col: str, stratum: str, test_pct: int = C.TEST_PCT, seed: int = 42,
                      by: Sequence[str] = (), out: str = "split", key_cols: Sequence[str] | None = None) -> DataFrame:
     """Exact stratified split: each stratum gives its largest-remainder share
     of the ``ceil(test_pct * n / 100)`` test rows, chosen by draw key.  The
@@ -203,7 +204,7 @@ def stratified_sample(df: DataFrame, id_col: str, stratum: str, n: int, seed: in
 
 # ---------------------------------------------------------------- M5
 def subsamples(df: DataFrame, id_col: str, stratum: str, sizes: Iterable[int], repeats: int,
-               seed: int = 42, replace: bool = True, test_pct: int = 20, disjoint: bool = False) -> DataFrame:
+               seed: int = 42, replace: bool = True, test_pct: int = C.TEST_PCT, disjoint: bool = False) -> DataFrame:
     """All repeated stratified draws in one job: for every size ``rec`` and
     subsample ``sub`` in 1..repeats, an equal-per-stratum draw of ``rec``
     rows, then an exact stratified test/train split inside the cell.

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assay_spark import constants as C
 from assay_spark.functions import arrays as A
 from assay_spark.operators.sampling import _attach, _list
 
@@ -67,7 +68,7 @@ def where_all(df: DataFrame, **equals) -> DataFrame:
 
 
 # ---------------------------------------------------------------- P7, A15
-def zscore_flag(df: DataFrame, col: str, t: float = 3.5, by: Sequence[str] = (), out: str = "outlier",
+def zscore_flag(df: DataFrame, col: str, t: float = C.ZSCORE_THRESHOLD, by: Sequence[str] = (), out: str = "outlier",
                 drop: bool = False) -> DataFrame:
     """|x - mean| / population std > t.  Statistics are a one-row-per-group
     aggregate joined back.  ``drop=True`` removes flagged rows instead."""
@@ -131,7 +132,7 @@ def ordered_categories(df: DataFrame, col: str, order: Sequence, pos: str = "pos
 
 
 # ---------------------------------------------------------------- P13
-def topcode(df: DataFrame, col: str, upper_q: float = 0.9995, floor: float | None = 0.0,
+def topcode(df: DataFrame, col: str, upper_q: float = C.TOPCODE_QUANTILE, floor: float | None = C.TOPCODE_FLOOR,
             by: Sequence[str] = (), out: str | None = None) -> DataFrame:
     """Cap at the exact ``upper_q`` quantile (linear interpolation, computed
     without gathering a group into one task) and floor."""

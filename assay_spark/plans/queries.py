@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assay_spark import constants as C
 from assay_spark.operators import features as FE
 from assay_spark.operators import kernels as K
 from assay_spark.operators import report as RP
@@ -317,14 +318,14 @@ def expand_modes(spark, sf_dir):
 
 
 RESPONSE_SITES = 18
-RESPONSE_STEPS = FE.response_steps(0.0, 4.3, 0.4)
+RESPONSE_STEPS = FE.response_steps(0.0, C.QUANTUM_T_END, C.QUANTUM_STEP)
 
 
 @query("response_features")
 def response_features(spark, sf_dir):
     """Full 1710-long response embedding of 18 inputs (10 steps x 171),
     summarised per (row, step) so the comparison reads every value."""
-    e = FE.response_features(vectors_head(spark, sf_dir, RESPONSE_SITES), "x", t_end=4.3, step=0.4, order=2)
+    e = FE.response_features(vectors_head(spark, sf_dir, RESPONSE_SITES), "x", order=2)
     per = RESPONSE_SITES + RESPONSE_SITES * (RESPONSE_SITES - 1) // 2
     lng = _long(e, ["row_id"], "embedding").withColumn("step", (F.col("i") / per).cast("int") + 1)
     return rounded(lng.groupBy("row_id", "step").agg(
@@ -757,7 +758,7 @@ def concat_vectors(spark, sf_dir):
 @query("one_body")
 def one_body(spark, sf_dir):
     """One-body readout: singles only, 18 x 10 = 180 values per row."""
-    e = FE.response_features(vectors_head(spark, sf_dir, RESPONSE_SITES), "x", t_end=4.3, step=0.4, order=1)
+    e = FE.response_features(vectors_head(spark, sf_dir, RESPONSE_SITES), "x", order=1)
     lng = _long(e, ["row_id"], "embedding").withColumn("step", (F.col("i") / RESPONSE_SITES).cast("int") + 1)
     return rounded(lng.groupBy("row_id", "step").agg(
         F.count("value").alias("n"), F.sum("value").alias("sum"), F.min("value").alias("min"),
