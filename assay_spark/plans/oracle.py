@@ -539,3 +539,41 @@ _DISJOINT_DRAW = f"""(WITH g AS (SELECT v.*, c.rec, {H('row_id', 'rec')} AS h
 ORACLE["subsamples_disjoint"] = "SELECT rec, sub, row_id, stratum, draw, split FROM " + _strat_split(
     "SELECT * FROM " + _DISJOINT_DRAW, seed=43, by="rec, sub", key=("row_id", "rec", "sub"),
     tiebreak="row_id, rec, sub")
+
+
+def _resp(z: str, th: str) -> str:
+    return (f"list_transform({z}, lambda a: 1.0 - {repr(2.0 * _W2)} / ({repr(_W2)} + a * a) "
+            f"* pow(sin(sqrt({repr(_W2)} + a * a) * {th}), 2))")
+
+
+_CMP_CELLS = f"""(WITH c AS (SELECT * FROM {_strat_split("SELECT * FROM " + _grid_draw(False), seed=43, by="rec, sub",
+                                                      key=("row_id", "rec", "sub"), tiebreak="row_id, rec, sub")}),
+  j AS (SELECT c.rec, c.sub, c.row_id, c.split, v.x, e.y FROM c JOIN {_vh(8)} v USING (row_id)
+        JOIN (SELECT vec_id AS row_id, CAST(label AS DOUBLE) AS y FROM embeddings) e USING (row_id)),
+  m AS (SELECT rec, sub, max(list_max(list_transform(x, lambda v: abs(v)))) AS s FROM j WHERE split = 'train' GROUP BY ALL),
+  sc AS (SELECT j.rec, j.sub, j.row_id, j.split, j.y,
+                list_transform(j.x, lambda v: v * CASE WHEN m.s = 0 THEN 0.0 ELSE 6.0 / m.s END) AS x
+         FROM j JOIN m USING (rec, sub)),
+  st AS (SELECT sc.*, t.step, {_resp('sc.x', 't.th')} AS z FROM sc, (VALUES {_STEP_VALUES}) t(step, th)),
+  emb AS (SELECT rec, sub, row_id, split, y, flatten(list(list_concat(z, {_pairs('z', 8)}) ORDER BY step)) AS x
+          FROM st GROUP BY rec, sub, row_id, split, y),
+  one AS (SELECT rec, sub, row_id, split, y, flatten(list(z ORDER BY step)) AS x FROM st GROUP BY rec, sub, row_id, split, y)
+  SELECT *, 'raw' AS source FROM sc
+  UNION ALL SELECT *, 'embedding' FROM emb
+  UNION ALL SELECT *, 'one_body' FROM one)"""
+
+ORACLE["compare_sources_knn"] = f"""
+WITH z AS (SELECT * FROM {_CMP_CELLS}),
+p AS (SELECT t.rec, t.sub, t.source, t.row_id, t.y, r.y AS ny, r.row_id AS nid,
+             list_sum(list_transform(list_zip(t.x, r.x), lambda q: (q[1] - q[2]) * (q[1] - q[2]))) AS d
+      FROM z t JOIN z r ON t.rec = r.rec AND t.sub = r.sub AND t.source = r.source
+                       AND t.split = 'test' AND r.split = 'train'),
+nn AS (SELECT *, row_number() OVER (PARTITION BY rec, sub, source, row_id ORDER BY d, nid) AS kk FROM p),
+knn AS (SELECT rec, sub, source, row_id, any_value(y) AS y, avg(ny) AS y_hat FROM nn WHERE kk <= 5 GROUP BY ALL),
+mu AS (SELECT rec, sub, source, avg(y) AS y_hat FROM z WHERE split = 'train' GROUP BY ALL),
+mean AS (SELECT z.rec, z.sub, z.source, z.row_id, z.y, mu.y_hat FROM z JOIN mu USING (rec, sub, source)
+         WHERE z.split = 'test'),
+pred AS (SELECT *, 'knn' AS algorithm FROM knn UNION ALL SELECT *, 'mean' AS algorithm FROM mean),
+res AS (SELECT rec, sub, source, algorithm, avg((y_hat - y) * (y_hat - y)) AS mse FROM pred GROUP BY ALL)
+SELECT rec, source, algorithm, round(avg(mse), 6) AS mean, round(stddev_samp(mse), 6) AS std, count(mse) AS n
+FROM res GROUP BY rec, source, algorithm"""

@@ -791,17 +791,12 @@ def shot_sweep(spark, sf_dir):
 COMPARE_SITES = 8
 
 
-@query("compare_sources")
-def compare_sources(spark, sf_dir):
-    """The reference's headline comparison on every subsample cell: raw
-    features vs the full response embedding (singles + pairs per step) vs
-    the one-body embedding, each scored by grouped ridge / kNN / mean, rolled
-    up to MSE mean and spread per (size, source, algorithm)."""
+def _compare(spark, sf_dir, algorithms) -> DataFrame:
     v = vectors_head(spark, sf_dir, COMPARE_SITES)
     cells = SA.subsamples(v.select("row_id", "stratum"), "row_id", "stratum", GRID_SIZES, GRID_REPEATS, seed=42,
                           replace=False)
     cells = cells.join(v.select("row_id", "x", "y"), "row_id")
-    cells = FE.scale_to(cells, "x", 6.0, by=["rec", "sub"], fit_on=F.col("split") == "train")
+    cells = FE.scale_to(cells, "x", C.SCALE_BOUND, by=["rec", "sub"], fit_on=F.col("split") == "train")
     cells = materialize(cells)  # three sources read it
     sources = {
         "raw": cells,
@@ -810,11 +805,26 @@ def compare_sources(spark, sf_dir):
     }
     res = None
     for name, c in sources.items():
-        r = MO.evaluate(c, ["rec", "sub"], ["ridge", "knn", "mean"], source=name)
+        r = MO.evaluate(c, ["rec", "sub"], algorithms, source=name)
         res = r if res is None else res.unionByName(r)
     return rounded(RP.rollup(res, ["rec", "source", "algorithm"], "mse"))
 
 
+@query("compare_sources")
+def compare_sources(spark, sf_dir):
+    """The reference's headline comparison on every subsample cell: raw
+    features vs the full response embedding (singles + pairs per step) vs
+    the one-body embedding, each scored by grouped ridge / kNN / mean, rolled
+    up to MSE mean and spread per (size, source, algorithm)."""
+    return _compare(spark, sf_dir, ["ridge", "knn", "mean"])
+
+
+@query("compare_sources_knn")
+def compare_sources_knn(spark, sf_dir):
+    """The same comparison with the SQL-checkable models (kNN, train mean)."""
+    return _compare(spark, sf_dir, ["knn", "mean"])
+
+
 @query("evaluate_forest_grid")
 def evaluate_forest_grid(spark, sf_dir):
     """Forest per subsample cell (one distributed fit per cell) next to the
