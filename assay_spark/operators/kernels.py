@@ -76,7 +76,10 @@ def knn_join(test: DataFrame, train: DataFrame, k: int = C.KNN_K, by: Sequence[s
         kk = min(k, len(t))
         out = []
         for lo in range(0, len(q), 64):  # bounds the (rows x block x dims) buffer
-            d = ((qx[lo:lo + 64, None, :] - tx[None, :, :]) ** 2).sum(axis=2)
+            # summed left to right (cumsum), not pairwise: equal distances
+            # then round identically to a sequential SQL sum, so ties break
+            # by id the same way everywhere
+            d = np.cumsum((qx[lo:lo + 64, None, :] - tx[None, :, :]) ** 2, axis=2)[:, :, -1]
             for r in range(d.shape[0]):
                 order = np.lexsort((tid, d[r]))[:kk]
                 out.append(pd.DataFrame({"_qid": q["_id"].iat[lo + r], "nn_id": tid[order],

@@ -577,3 +577,34 @@ pred AS (SELECT *, 'knn' AS algorithm FROM knn UNION ALL SELECT *, 'mean' AS alg
 res AS (SELECT rec, sub, source, algorithm, avg((y_hat - y) * (y_hat - y)) AS mse FROM pred GROUP BY ALL)
 SELECT rec, source, algorithm, round(avg(mse), 6) AS mean, round(stddev_samp(mse), 6) AS std, count(mse) AS n
 FROM res GROUP BY rec, source, algorithm"""
+
+
+ORACLE["shot_sweep_exact"] = f"""
+WITH s AS (SELECT * FROM {_SPLIT_V}),
+m AS (SELECT max(list_max(list_transform(x, lambda v: abs(v)))) AS s FROM s WHERE split = 'train'),
+sc AS (SELECT s.row_id, s.split, s.y, list_transform(s.x, lambda v: v * CASE WHEN m.s = 0 THEN 0.0 ELSE 1.0 / m.s END) AS x
+       FROM s, m),
+e AS (SELECT row_id, split, y, unnest(x) AS e, generate_subscripts(x, 1) - 1 AS i FROM sc),
+g AS (SELECT e.*, sh.shots, l.loop FROM e, (SELECT unnest([0, 10, 50]) AS shots) sh, (SELECT unnest([1, 2]) AS loop) l),
+dr AS (SELECT row_id, shots, loop, i, e, unnest(range(1, shots + 1)) AS j FROM g WHERE shots > 0),
+k AS (SELECT row_id, shots, loop, i, count_if(CAST({H('row_id', 'shots', 'loop', 'i', 'j')} AS DOUBLE)
+             / CAST(1152921504606846976 AS DOUBLE) < (1.0 + e) / 2.0) AS k
+      FROM dr GROUP BY row_id, shots, loop, i, e),
+nv AS (SELECT row_id, shots, loop, i, CAST(2 AS DOUBLE) * k / shots - 1.0 AS v FROM k
+       UNION ALL SELECT row_id, shots, loop, i, e FROM g WHERE shots = 0),
+z AS (SELECT nv.shots, nv.loop, nv.row_id, sc.split, sc.y, list(nv.v ORDER BY nv.i) AS x
+      FROM nv JOIN sc USING (row_id) GROUP BY nv.shots, nv.loop, nv.row_id, sc.split, sc.y),
+p AS (SELECT t.shots, t.loop, t.row_id, t.y, r.y AS ny, r.row_id AS nid,
+             list_sum(list_transform(list_zip(t.x, r.x), lambda q: (q[1] - q[2]) * (q[1] - q[2]))) AS d
+      FROM z t JOIN z r ON t.shots = r.shots AND t.loop = r.loop AND t.split = 'test' AND r.split = 'train'),
+nn AS (SELECT *, row_number() OVER (PARTITION BY shots, loop, row_id ORDER BY d, nid) AS kk FROM p),
+knn AS (SELECT shots, loop, row_id, any_value(y) AS y, avg(ny) AS y_hat FROM nn WHERE kk <= 5 GROUP BY ALL),
+mu AS (SELECT shots, loop, avg(y) AS y_hat FROM z WHERE split = 'train' GROUP BY ALL),
+mean AS (SELECT z.shots, z.loop, z.row_id, z.y, mu.y_hat FROM z JOIN mu USING (shots, loop) WHERE z.split = 'test'),
+pred AS (SELECT *, 'knn' AS algorithm FROM knn UNION ALL SELECT *, 'mean' AS algorithm FROM mean),
+res AS (SELECT shots, loop, algorithm, avg((y_hat - y) * (y_hat - y)) AS mse FROM pred GROUP BY ALL),
+cur AS (SELECT algorithm, CAST(shots AS VARCHAR) AS shots, avg(mse) AS mean, stddev_samp(mse) AS std, count(mse) AS n
+        FROM res GROUP BY algorithm, shots),
+l AS (SELECT *, CASE WHEN TRY_CAST(shots AS DOUBLE) > 0 THEN ln(TRY_CAST(shots AS DOUBLE)) END AS lnx FROM cur)
+SELECT algorithm, shots, round(mean, 6) AS mean, round(std, 6) AS std, n,
+       round(coalesce(lnx, max(lnx) OVER () + 0.5), 6) AS x FROM l"""

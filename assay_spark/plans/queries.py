@@ -772,6 +772,15 @@ def evaluate_timed(spark, sf_dir):
 
 
 SWEEP_SHOTS = (0, 10, 100, 1000)
+SWEEP_SHOTS_EXACT = (0, 10, 50)
+
+
+def _sweep(spark, sf_dir, shots, algorithms) -> DataFrame:
+    v = FE.scale_to(split_vectors(spark, sf_dir), "x", 1.0, fit_on=F.col("split") == "train")
+    noisy = FE.add_shot_noise(v, "row_id", "x", shots, loops=2, seed=42, out="xn")
+    cells = noisy.select("shots", "loop", "row_id", "split", F.col("xn").alias("x"), "y")
+    res = MO.evaluate(cells, ["shots", "loop"], algorithms)
+    return rounded(RP.shot_curve(res.withColumnRenamed("shots", "numsamp"), "numsamp", "mse", by=["algorithm"]))
 
 
 @query("shot_sweep")
@@ -781,11 +790,14 @@ def shot_sweep(spark, sf_dir):
     (1000 shots through the binomial path), one split and grouped
     ridge / kNN / mean evaluation per cell, then MSE mean and spread per
     shot count on a log axis."""
-    v = FE.scale_to(split_vectors(spark, sf_dir), "x", 1.0, fit_on=F.col("split") == "train")
-    noisy = FE.add_shot_noise(v, "row_id", "x", SWEEP_SHOTS, loops=2, seed=42, out="xn")
-    cells = noisy.select("shots", "loop", "row_id", "split", F.col("xn").alias("x"), "y")
-    res = MO.evaluate(cells, ["shots", "loop"], ["ridge", "knn", "mean"])
-    return rounded(RP.shot_curve(res.withColumnRenamed("shots", "numsamp"), "numsamp", "mse", by=["algorithm"]))
+    return _sweep(spark, sf_dir, SWEEP_SHOTS, ["ridge", "knn", "mean"])
+
+
+@query("shot_sweep_exact")
+def shot_sweep_exact(spark, sf_dir):
+    """The shot sweep on the md5-draw path (up to 50 shots) with the
+    SQL-checkable models (kNN, train mean)."""
+    return _sweep(spark, sf_dir, SWEEP_SHOTS_EXACT, ["knn", "mean"])
 
 
 COMPARE_SITES = 8
