@@ -8,8 +8,9 @@ Skew: a window partitioned by the group alone would put a hot group (say a
 third of all rows) into one task.  ``rank_within`` instead splits every group
 into 4096 hash buckets, counts rows per bucket (partial aggregation, only
 counts are shuffled), turns the counts into per-bucket offsets, and ranks
-inside (group, bucket) only.  With a row limit, buckets wholly past the limit
-are dropped by the join before the window runs.
+inside (group, bucket) only.  With a row limit, each group's last needed
+bucket (one row per group) filters the rows map-side, so only the kept
+buckets are ever shuffled.
 """
 
 from __future__ import annotations
@@ -67,6 +68,10 @@ def rank_within(df: DataFrame, by: Sequence[str], order_col: str, tiebreak: Sequ
     if limit is not None:
         lim = F.col(limit) if isinstance(limit, str) else F.lit(int(limit))
         counts = counts.filter(F.col("_before") < lim)
+        # prune rows map-side before any shuffle: each group's last needed
+        # bucket is one row per group (a scalar without group keys)
+        last = counts.groupBy(*by).agg(F.max("_b").alias("_bmax")) if by else counts.agg(F.max("_b").alias("_bmax"))
+        d = _attach(d, last, by).filter(F.col("_b") <= F.col("_bmax")).drop("_bmax")
     renamed = {k: f"_k{i}" for i, k in enumerate(by)}
     counts = counts.select(*[F.col(k).alias(v) for k, v in renamed.items()],
                            F.col("_b").alias("_cb"), "_before", *extra)
