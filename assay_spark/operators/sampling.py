@@ -8,9 +8,10 @@ Skew: a window partitioned by the group alone would put a hot group (say a
 third of all rows) into one task.  ``rank_within`` instead splits every group
 into 4096 hash buckets, counts rows per bucket (partial aggregation, only
 counts are shuffled), turns the counts into per-bucket offsets, and ranks
-inside (group, bucket) only.  With a row limit, each group's last needed
-bucket (one row per group) filters the rows map-side, so only the kept
-buckets are ever shuffled.
+inside (group, bucket) only.  With a row limit, rows past it are dropped
+map-side before anything is shuffled: without group keys the offsets (at
+most 4096 rows, a proven bound) are broadcast; with group keys each group's
+last needed bucket (one row per group) filters the rows first.
 """
 
 from __future__ import annotations
@@ -68,15 +69,22 @@ def rank_within(df: DataFrame, by: Sequence[str], order_col: str, tiebreak: Sequ
     if limit is not None:
         lim = F.col(limit) if isinstance(limit, str) else F.lit(int(limit))
         counts = counts.filter(F.col("_before") < lim)
-        # prune rows map-side before any shuffle: each group's last needed
-        # bucket is one row per group (a scalar without group keys)
-        last = counts.groupBy(*by).agg(F.max("_b").alias("_bmax")) if by else counts.agg(F.max("_b").alias("_bmax"))
-        d = _attach(d, last, by).filter(F.col("_b") <= F.col("_bmax")).drop("_bmax")
+        if by:
+            # prune rows map-side before any shuffle: each group's last
+            # needed bucket is one row per group.  (Joining the rows to the
+            # offsets directly could plan a shuffle of every row when the
+            # groups x buckets table is too big to broadcast.)
+            last = counts.groupBy(*by).agg(F.max("_b").alias("_bmax"))
+            d = _attach(d, last, by).filter(F.col("_b") <= F.col("_bmax")).drop("_bmax")
     renamed = {k: f"_k{i}" for i, k in enumerate(by)}
     counts = counts.select(*[F.col(k).alias(v) for k, v in renamed.items()],
                            F.col("_b").alias("_cb"), "_before", *extra)
     conds = [F.col(k).eqNullSafe(F.col(v)) for k, v in renamed.items()]
     conds.append(F.col("_b") == F.col("_cb"))
+    if not by:
+        # without group keys the offsets have at most 2**bucket_bits rows:
+        # a proven bound, so broadcast them and prune/attach map-side
+        counts = F.broadcast(counts)
     joined = d.join(counts, reduce(lambda a, b: a & b, conds), "inner")
     joined = joined.drop(*renamed.values(), "_cb")
     wr = Window.partitionBy(*by, "_b").orderBy(F.col(order_col), *[F.col(t) for t in tiebreak])
