@@ -608,3 +608,10 @@ cur AS (SELECT algorithm, CAST(shots AS VARCHAR) AS shots, avg(mse) AS mean, std
 l AS (SELECT *, CASE WHEN TRY_CAST(shots AS DOUBLE) > 0 THEN ln(TRY_CAST(shots AS DOUBLE)) END AS lnx FROM cur)
 SELECT algorithm, shots, round(mean, 6) AS mean, round(std, 6) AS std, n,
        round(coalesce(lnx, max(lnx) OVER () + 0.5), 6) AS x FROM l"""
+
+
+ORACLE["rank_linear_single"] = """
+WITH s AS (SELECT p_brand, regr_slope(p_retailprice, p_size) AS b, avg(CAST(p_size AS DOUBLE)) AS mu FROM part GROUP BY p_brand)
+SELECT p.p_brand, CAST(0 AS INTEGER) AS feature, round(avg(abs(s.b * (CAST(p.p_size AS DOUBLE) - s.mu))), 6) AS importance,
+       CAST(1 AS INTEGER) AS rank
+FROM part p JOIN s USING (p_brand) GROUP BY p.p_brand"""

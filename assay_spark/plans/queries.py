@@ -858,3 +858,14 @@ def subsamples_disjoint(spark, sf_dir):
     """Disjoint repeated draws (no row in two subsamples of one size)."""
     v = vectors(spark, sf_dir).select("row_id", "stratum")
     return SA.subsamples(v, "row_id", "stratum", GRID_SIZES, GRID_REPEATS, seed=42, disjoint=True)
+
+
+@query("rank_linear_single")
+def rank_linear_single(spark, sf_dir):
+    """Exact linear attribution with one regressor per brand: grouped least
+    squares, mean |beta (x - mean x)| per feature, top feature per brand."""
+    p = table(spark, sf_dir, "part").select("p_brand", F.array(F.col("p_size").cast("double")).alias("x"),
+                                            F.col("p_retailprice").alias("y"))
+    co = MO.fit_grouped(p, ["p_brand"], "x", "y")
+    imp = IM.linear_attribution(p, co, ["p_brand"], "x")
+    return rounded(IM.top_features(imp, 1, by=["p_brand"]))
