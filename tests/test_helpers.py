@@ -51,3 +51,12 @@ def test_embed_and_lineage(spark):
     assert got[3] == [4.0, 6.0]
     c = cut_lineage(df.filter("row_id > 4"))
     assert c.count() == 5 and materialize(df).count() == 10
+
+
+def test_evaluate_train_resplit(spark):
+    rows = [(i, c, "test" if i % 5 == 0 else "train", [float(i % 7), 1.0], float(i % 7)) for c in (1, 2)
+            for i in range(50)]
+    cells = spark.createDataFrame(rows, "row_id long, cell int, split string, x array<double>, y double")
+    real = {r["cell"]: r["n"] for r in MO.evaluate(cells, ["cell"], ["mean"]).collect()}
+    inner = {r["cell"]: r["n"] for r in MO.evaluate(cells, ["cell"], ["mean"], score_on="train_resplit").collect()}
+    assert real == {1: 10, 2: 10} and inner == {1: 8, 2: 8}
