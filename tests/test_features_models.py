@@ -166,3 +166,18 @@ def test_cluster_skips_incomplete_dimension(spark):
     assert len(lab) == 40
     assert len({lab[i] for i in range(20)}) == 1 and len({lab[i] for i in range(20, 40)}) == 1
     assert lab[0] != lab[20]
+
+
+def test_knn_join_many_chunks_and_blocks(spark):
+    rng = np.random.default_rng(9)
+    m = rng.normal(size=(200, 4))
+    df = vec_df(spark, m)
+    test, train = df.filter("row_id < 60"), df.filter("row_id >= 60")
+    nn = K.knn_join(test, train, 3, [], y=None, block_rows=8, chunk_rows=7)
+    got = {}
+    for r in nn.collect():
+        got.setdefault(r["row_id"], []).append((r["nn_rank"], r["nn_id"]))
+    assert len(got) == 60
+    for i in range(60):
+        d = sorted(range(60, 200), key=lambda j: (float(((m[i] - m[j]) ** 2).sum()), j))[:3]
+        assert [j for _, j in sorted(got[i])] == d
