@@ -35,7 +35,7 @@ def query(name: str):
 
 
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Round every double column (and doubles inside arrays)."""
+    """Round every double / float column (array columns are left as they are)."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
@@ -824,7 +824,8 @@ def _compare(spark, sf_dir, algorithms) -> DataFrame:
 
 @query("compare_sources")
 def compare_sources(spark, sf_dir):
-    """The reference's headline comparison on every subsample cell: raw
+    """The reference's headline comparison on every subsample cell, over the
+    first 8 features max-abs scaled to +/-6 on each cell's train rows: raw
     features vs the full response embedding (singles + pairs per step) vs
     the one-body embedding, each scored by grouped ridge / kNN / mean, rolled
     up to MSE mean and spread per (size, source, algorithm)."""
