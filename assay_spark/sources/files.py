@@ -53,7 +53,7 @@ def read_cells(spark: SparkSession, glob: str, schema: T.StructType | str | None
 def read_matrix(spark: SparkSession, glob: str, sample_col: str = "sample", out: str = "x") -> DataFrame:
     """Headerless readout x sample matrix -> one vector per sample.
 
-    Each line must start with its readout number (``write_vectors`` writes
+    Each line must start with its readout number (``write_matrix`` writes
     it), because line order is not kept by a distributed scan.  Line =
     ``readout,v_sample0,v_sample1,...``.
     """
