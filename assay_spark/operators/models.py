@@ -29,15 +29,20 @@ from assay_spark.operators.sampling import _attach, _list
 from assay_spark.session import materialize
 
 # ---------------------------------------------------------------- L9
+GRAM_CHUNK = 1 << 15  # values per emitted partial row (256 KB of doubles)
+
+
 def gram(df: DataFrame, by: Sequence[str], vec: str = "x", y: str = "y", intercept: bool = True) -> DataFrame:
     """Per group: n, sum(y²), X'X (flattened, row-major) and X'y of the
     augmented vector [1, x] (or x).
 
-    Each task folds its rows into one partial (X'X, X'y) per group with a
-    BLAS product over an Arrow batch -- no per-row p² arrays, so a
-    1710-wide embedding costs one 1710² accumulator per task and group.
-    Spark then adds the partials per group (a handful of rows per group,
-    whatever the group's size).
+    Each task folds its rows into one partial [n, y'y, X'X, X'y] per group
+    with a BLAS product over Arrow batches -- no per-row p² arrays, so a
+    1710-wide embedding costs one 1710² accumulator per task and group.  The
+    partial is emitted in chunks of ``GRAM_CHUNK`` values; Spark sums chunks
+    per (group, chunk) and reassembles each group's p² values once.  No row,
+    buffer or vector ever holds more than one chunk until the final
+    per-group row the p x p solve needs.
     """
     import numpy as np
     import pandas as pd
@@ -46,7 +51,7 @@ def gram(df: DataFrame, by: Sequence[str], vec: str = "x", y: str = "y", interce
     key_fields = [f for f in df.schema.fields if f.name in by]
     d = df.select(*by, F.col(vec).alias("_x"), F.col(y).cast("double").alias("_y"))
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in key_fields] +
-                       ["n long", "syy double", "xtx array<double>", "xty array<double>"])
+                       ["_j int", "_p int", "_v array<double>"])
 
     def partials(batches):
         acc: dict = {}
@@ -66,16 +71,21 @@ def gram(df: DataFrame, by: Sequence[str], vec: str = "x", y: str = "y", interce
                     acc[key] = (a[0] + part[0], a[1] + part[1], a[2] + part[2], a[3] + part[3])
                 else:
                     acc[key] = part
-        if acc:
-            rows = [dict(zip(by, k), n=v[0], syy=v[1], xtx=v[2].ravel().tolist(), xty=v[3].tolist())
-                    for k, v in acc.items()]
-            yield pd.DataFrame(rows, columns=by + ["n", "syy", "xtx", "xty"])
+        for key, (n, syy, xtx, xty) in acc.items():
+            flat = np.concatenate([[float(n), syy], xtx.ravel(), xty])
+            rows = [dict(zip(by, key), _j=j, _p=int(xty.shape[0]), _v=flat[o:o + GRAM_CHUNK].tolist())
+                    for j, o in enumerate(range(0, flat.shape[0], GRAM_CHUNK))]
+            yield pd.DataFrame(rows, columns=by + ["_j", "_p", "_v"])
 
     part = d.mapInPandas(partials, schema)
-    aggs = [F.sum("n").alias("n"), F.sum("syy").alias("syy"),
-            Summarizer.sum(array_to_vector("xtx")).alias("_sxx"), Summarizer.sum(array_to_vector("xty")).alias("_sxy")]
-    g = part.groupBy(*by).agg(*aggs) if by else part.agg(*aggs)
-    return g.select(*by, "n", "syy", vector_to_array("_sxx").alias("xtx"), vector_to_array("_sxy").alias("xty"))
+    summed = part.groupBy(*by, "_j", "_p").agg(Summarizer.sum(array_to_vector("_v")).alias("_s"))
+    summed = summed.select(*by, "_j", "_p", vector_to_array("_s").alias("_v"))
+    whole = summed.groupBy(*by, "_p").agg(F.sort_array(F.collect_list(F.struct("_j", "_v"))).alias("_c"))
+    flat = F.flatten(F.transform("_c", lambda c: c["_v"]))
+    w = whole.select(*by, "_p", flat.alias("_f"))
+    pp = F.col("_p") * F.col("_p")
+    return w.select(*by, F.col("_f")[0].cast("long").alias("n"), F.col("_f")[1].alias("syy"),
+                    F.slice("_f", 3, pp).alias("xtx"), F.slice("_f", pp + 3, F.col("_p")).alias("xty"))
 
 
 def solve_gram(g: DataFrame, by: Sequence[str], reg: float = 0.0, intercept: bool = True) -> DataFrame:

@@ -181,3 +181,14 @@ def test_knn_join_many_chunks_and_blocks(spark):
     for i in range(60):
         d = sorted(range(60, 200), key=lambda j: (float(((m[i] - m[j]) ** 2).sum()), j))[:3]
         assert [j for _, j in sorted(got[i])] == d
+
+
+def test_gram_spans_several_chunks(spark):
+    rng = np.random.default_rng(11)
+    m = rng.normal(size=(300, 200))  # (1 + 200)² + 201 + 2 values: two chunks
+    beta = rng.normal(size=200)
+    y = m @ beta + 0.5 + rng.normal(scale=0.01, size=300)
+    co = MO.fit_grouped(vec_df(spark, m, y), [], reg=0.0).first()
+    b = np.linalg.lstsq(np.column_stack([np.ones(300), m]), y, rcond=None)[0]
+    assert co["n"] == 300 and co["intercept"] == pytest.approx(b[0], abs=1e-6)
+    assert co["coef"] == pytest.approx(list(b[1:]), abs=1e-6)
