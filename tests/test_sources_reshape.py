@@ -65,3 +65,13 @@ def test_read_wide_declared_schema(spark):
         f.write("MOLECULE,Act,D_1\nM1,6.1,0.5\nM2,5.9,\n")
     df = S.read_wide(spark, p, "MOLECULE string, Act double, D_1 double")
     assert df.filter(F.col("D_1").isNull()).count() == 1 and df.count() == 2
+
+
+def test_read_cells_column_subset_is_pruned_in_the_scan(spark):
+    d = tempfile.mkdtemp(prefix="prune-")
+    with open(os.path.join(d, "X_test_200rec_sub1act4v3.csv"), "w") as f:
+        f.write("idx,D_1,D_2,D_3\n0,1.0,2.0,3.0\n")
+    df = S.read_cells(spark, os.path.join(d, "*.csv"), schema="idx int, D_1 double, D_2 double, D_3 double",
+                      columns=["idx", "D_2"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<idx:int,D_2:double>" in plan
