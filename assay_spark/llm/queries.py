@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from assay_spark.llm.common import table
+from assay_spark.llm.pattern_pack import pack_documents
 from assay_spark.llm.piece_codec import piece_digests
+from assay_spark.llm.token_offsets import section_tokens
 
 
 def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +18,21 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_pattern_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5: all documents packed into sequences of at most 4096 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), max_len=4096, end_id=1)
+
+
+def op10_token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 10: tokens of every line of every whole text."""
+    return section_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                          public_tokenizers.PATTERN, rule="start")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_piece_codec": op2_piece_codec,
+    "op5_pattern_pack": op5_pattern_pack,
+    "op10_token_offsets": op10_token_offsets,
 }
 
 ORACLE: dict[str, str] = {}
