@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from assay_spark.llm.chat_tree import conversation_messages, format_trees, learned_text, read_back
 from assay_spark.llm.common import table
 from assay_spark.llm.pattern_pack import pack_documents
 from assay_spark.llm.piece_codec import piece_digests
+from assay_spark.llm.syncmers import fingerprint_edits
 from assay_spark.llm.token_offsets import section_tokens
 
 
@@ -23,6 +28,35 @@ def op5_pattern_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), max_len=4096, end_id=1)
 
 
+def op6_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 6: all conversations as reply trees, formatted; digests are read back from the output."""
+    own = spark.createDataFrame([(-7, k, role, "\\### Assistant: </turn> ok") for k, role in enumerate(("user", "assistant"))],
+                                "conv_id bigint, turn bigint, role string, text string")
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    messages = conversation_messages(given.unionByName(own))
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        for b in batches:
+            turns = [read_back(t) for t in b["formatted"]]
+            loss = [learned_text(t, s) for t, s in zip(b["formatted"], b["loss_spans"])]
+            yield pd.DataFrame({
+                "path": b["path"], "n_turns": [len(t) for t in turns],
+                "turns_sha256": [sha("".join(f"{r}\n{x}\n" for r, x in t)) for t in turns],
+                "loss_chars": [len(x) for x in loss], "loss_sha256": [sha(x) for x in loss],
+                "formatted_chars": [len(t) for t in b["formatted"]]})
+
+    read = format_trees(messages).select("path", "formatted", "loss_spans").mapInPandas(
+        digest, "path string, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    conv = F.when(F.substring_index("path", ":", 1) != "null", F.substring_index("path", ":", 1)).cast("bigint")
+    return read.select(conv.alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9: fingerprints of every whole text and of its edited text."""
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op10_token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 10: tokens of every line of every whole text."""
     return section_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
@@ -32,7 +66,25 @@ def op10_token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_piece_codec": op2_piece_codec,
     "op5_pattern_pack": op5_pattern_pack,
+    "op6_chat_tree": op6_chat_tree,
+    "op9_syncmers": op9_syncmers,
     "op10_token_offsets": op10_token_offsets,
 }
 
-ORACLE: dict[str, str] = {}
+_ESC = "replace(replace(replace({}, chr(92), chr(92) || 'b'), '<', chr(92) || 'l'), '>', chr(92) || 'g')"
+
+ORACLE: dict[str, str] = {
+    "op6_chat_tree": f"""
+        WITH t AS (
+            SELECT conv_id, turn, role AS r0, text AS t0 FROM conversations
+            UNION ALL SELECT -7, 0, 'user', chr(92) || '### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', chr(92) || '### Assistant: </turn> ok'),
+        u AS (SELECT conv_id, turn, r0, t0, coalesce(r0, '') AS role, coalesce(t0, '') AS text FROM t)
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r0 NULLS FIRST, t0 NULLS FIRST)) AS turns_sha256,
+               sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+               sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, ''
+                                 ORDER BY turn NULLS FIRST, r0 NULLS FIRST, t0 NULLS FIRST)) AS loss_sha256,
+               sum(length('<turn:' || {_ESC.format('role')} || '>.' || {_ESC.format('text')} || '</turn>.'))::BIGINT AS formatted_chars
+        FROM u GROUP BY conv_id""",
+}
