@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from assay_spark.llm.chat_tree import conversation_messages, format_trees, learned_text, read_back
 from assay_spark.llm.common import table
+from assay_spark.llm.jaccard_join import jaccard_components
 from assay_spark.llm.pattern_pack import pack_documents
 from assay_spark.llm.piece_codec import piece_digests
 from assay_spark.llm.syncmers import fingerprint_edits
@@ -23,6 +24,11 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3: components of documents whose 3-word shingle sets are 90 % alike or more."""
+    return jaccard_components(table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
 def op5_pattern_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 5: all documents packed into sequences of at most 4096 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), max_len=4096, end_id=1)
@@ -65,6 +71,7 @@ def op10_token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_piece_codec": op2_piece_codec,
+    "op3_jaccard_join": op3_jaccard_join,
     "op5_pattern_pack": op5_pattern_pack,
     "op6_chat_tree": op6_chat_tree,
     "op9_syncmers": op9_syncmers,
