@@ -10,15 +10,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assay_spark.llm.backoff_lm import score_documents
 from assay_spark.llm.chat_tree import conversation_messages, format_trees, learned_text, read_back
 from assay_spark.llm.common import table
 from assay_spark.llm.jaccard_join import jaccard_components
+from assay_spark.llm.lang_crf import fit_language_model, held_out, identify
 from assay_spark.llm.pattern_pack import pack_documents
 from assay_spark.llm.piece_codec import piece_digests
 from assay_spark.llm.syncmers import fingerprint_edits
 from assay_spark.llm.token_offsets import section_tokens
 
 
+def op1_lang_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1: the language of every whole text; learned without the held-out documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_language_model(docs.where(~held_out()))
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 2: ids of every whole text and their decoding, as digests."""
     return piece_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -29,6 +38,12 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), shingle=3, percent=90)
 
 
+def op4_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4: stupid-backoff score of every document, with counts of the other fold of all documents."""
+    scored = score_documents(table(spark, sf_dir, "documents"))
+    return scored.withColumn("lm_score", F.round("lm_score", 6))
+
+
 def op5_pattern_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 5: all documents packed into sequences of at most 4096 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), max_len=4096, end_id=1)
@@ -70,8 +85,10 @@ def op10_token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lang_crf": op1_lang_crf,
     "op2_piece_codec": op2_piece_codec,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_backoff_lm": op4_backoff_lm,
     "op5_pattern_pack": op5_pattern_pack,
     "op6_chat_tree": op6_chat_tree,
     "op9_syncmers": op9_syncmers,
@@ -80,7 +97,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _ESC = "replace(replace(replace({}, chr(92), chr(92) || 'b'), '<', chr(92) || 'l'), '>', chr(92) || 'g')"
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE: dict[str, str] = {
+    "op4_backoff_lm": f"""
+        WITH d AS (
+            SELECT doc_id, doc_id % 2 AS fold,
+                   list_transform(regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+'), lambda x: ('0x' || substr(md5(x), 1, 5))::INT) AS ids
+            FROM documents),
+        w AS (SELECT doc_id, fold, unnest(ids) AS w, generate_subscripts(ids, 1) AS pos FROM d),
+        g AS (SELECT doc_id, fold, pos, w, lag(w) OVER (PARTITION BY doc_id ORDER BY pos) AS v FROM w),
+        c1 AS (SELECT 1 - fold AS fold, w, count(*) AS c FROM w GROUP BY ALL),
+        c2 AS (SELECT 1 - fold AS fold, v, w, count(*) AS c FROM g WHERE v IS NOT NULL GROUP BY ALL),
+        n AS (SELECT 1 - fold AS fold, count(*) AS n FROM w GROUP BY ALL),
+        s AS (SELECT g.doc_id, CASE WHEN c2.c > 0 THEN ln(c2.c) - ln(cv.c)
+                     ELSE CASE WHEN g.v IS NULL THEN 0 ELSE ln(0.4) END + ln((coalesce(cw.c, 0) + 1) / (coalesce(n.n, 0) + 1048576)) END AS s
+              FROM g LEFT JOIN c2 ON c2.fold = g.fold AND c2.v = g.v AND c2.w = g.w
+                     LEFT JOIN c1 cv ON cv.fold = g.fold AND cv.w = g.v
+                     LEFT JOIN c1 cw ON cw.fold = g.fold AND cw.w = g.w
+                     LEFT JOIN n ON n.fold = g.fold)
+        SELECT d.doc_id, count(s.s) AS n_words, round(sum(s.s) / nullif(count(s.s), 0), 6) AS lm_score
+        FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id""",
     "op6_chat_tree": f"""
         WITH t AS (
             SELECT conv_id, turn, role AS r0, text AS t0 FROM conversations
