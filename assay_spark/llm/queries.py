@@ -17,8 +17,10 @@ from assay_spark.llm.jaccard_join import jaccard_components
 from assay_spark.llm.lang_crf import fit_language_model, held_out, identify
 from assay_spark.llm.pattern_pack import pack_documents
 from assay_spark.llm.piece_codec import piece_digests
+from assay_spark.llm.site_quality import judge
 from assay_spark.llm.syncmers import fingerprint_edits
 from assay_spark.llm.token_offsets import section_tokens
+from assay_spark.llm.vector_graph import near_duplicates
 
 
 def op1_lang_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +75,18 @@ def op6_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(conv.alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op7_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7: links and components of vectors of one label with cosine 0.93 or more."""
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8: quality and toxicity of every document, with its source as host and source/language as path."""
+    path = F.concat_ws("/", "source", "lang")
+    judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("source"), path)
+    return judged.drop("text_hash")
+
+
 def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 9: fingerprints of every whole text and of its edited text."""
     return fingerprint_edits(table(spark, sf_dir, "documents"))
@@ -91,6 +105,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_backoff_lm": op4_backoff_lm,
     "op5_pattern_pack": op5_pattern_pack,
     "op6_chat_tree": op6_chat_tree,
+    "op7_vector_graph": op7_vector_graph,
+    "op8_site_quality": op8_site_quality,
     "op9_syncmers": op9_syncmers,
     "op10_token_offsets": op10_token_offsets,
 }
