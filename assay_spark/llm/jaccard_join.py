@@ -7,10 +7,13 @@ Documents with equal shingle sets are one class.  Classes meet as follows.
    class can have.  Two linked sets then agree on a whole slice (pigeonhole), so
    the contents of a slice are pivots whose cells have radius 0.  Size classes
    are windows too: as ||x| - |y|| is at most the difference of x and y, a set
-   near a class's edge is replicated into the class below.  A set whose slices
-   include an empty one is hashed again with the next seed until none is empty;
-   the first seed at which either set of a pair stops serves the pair, so no
-   link is lost.
+   near a class's edge is replicated into the class below.  With g slices to
+   spare, g agree, and one of them is not empty unless both sets have g empty
+   slices; such sets are hashed again with the next seed, so the first seed at
+   which either set of a pair stops serves the pair.  Sets that never stop give
+   single shingles, by prefix filtering, so no link is lost.  Shingles that are
+   frequent in a sample of classes are kept out of the slices, which would else
+   meet in widespread passages; this changes the work, not the links.
 2. Regions.  The smallest set of a slice's content is its pivot; its cell holds
    all sets that share the content.  Sets within the radius of their pivot link
    to it, and need no comparison with each other: they are connected already.
@@ -36,16 +39,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay_spark.llm.common import CACHE_ENTRIES, stage, text_slices, worker_cache
 from assay_spark.llm.components import components
 
 #: Ratio of a size class's ends, seeds tried before single shingles serve as slices.
-CLASS_RATIO, SEEDS = 1.25, 40
-#: Sets and shingles of a region that one task compares.
-LEAF, LEAF_SHINGLES, ROUNDS = 128, 600_000, 2
+CLASS_RATIO, SEEDS = 1.25, 6
+#: Sets and shingles of a region that one task compares; levels of Voronoi cells; pivots per region and level.
+LEAF, LEAF_SHINGLES, ROUNDS, PIVOTS = 384, 800_000, 1, 8
+#: Classes in the sample that tells frequent shingles, and how many of them hold one.
+SAMPLE, FREQUENT = 4000, 8
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -101,31 +106,52 @@ def size_classes(limit: int) -> list[int]:
     return out
 
 
-def slice_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of a set's slices, for its size class and the one below if it lies in that window."""
+def slice_plan(low: int, high: int, percent: int) -> tuple[int, int]:
+    """(m, g) for sets of low to high - 1 shingles: slices, and the empty ones that call for the next seed.
+
+    Linked sets differ in fewer than m - g + 1 shingles, so at least g slices agree.
+    """
+    differ = (high - 1) * (100 - percent) // percent  # of two linked sets, the smaller in this class
+    if not differ:
+        return 0, 0  # only equal sets link
+    for g in range(1, differ + 2):
+        empty = (differ + g) * np.exp(-low / (differ + g))
+        if g > empty + 1.5 * np.sqrt(empty):
+            break
+    return differ + g, g
+
+
+def slice_keys(s: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarray:
+    """Keys of a set's slices, for its size class and those below in whose window it lies.
+
+    Frequent shingles are left out first: what two sets differ in, only shrinks.
+    """
     n = len(s)
     ends = size_classes(n)
     own = int(np.searchsorted(ends, n, side="right")) - 1
     low = int(np.searchsorted(ends, -(-n * percent // 100), side="right")) - 1
+    common = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s if len(frequent) else np.zeros(n, bool)
+    rare = s[~common]
     out = []
     for c in range(low, own + 1):
-        differ = (ends[c + 1] - 1) * (100 - percent) // percent  # of two linked sets, the smaller in class c
-        if not differ:
-            continue  # only equal sets link
-        m = differ + 1
+        m, g = slice_plan(ends[c], ends[c + 1], percent)
+        if not m:
+            continue
         for seed in range(SEEDS + 1):
             salt = np.array([c * 1000 + seed], np.uint64)
-            v = _mix(s + salt * _C)
-            if seed == SEEDS:
-                out.append(_mix(v ^ _B))
+            if seed == SEEDS or not len(rare):
+                # linked sets share one of their first shingles in any fixed order: rare ones, then frequent ones
+                first = np.concatenate([rare, s[common]])[:n - -(-n * percent // 100) + 1]
+                out.append(_mix(_mix(first + np.array([c * 1000 + SEEDS], np.uint64) * _C) ^ _B))
                 break
+            v = _mix(rare + salt * _C)
             at = ((v >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
             size = np.bincount(at, minlength=m)
             order = np.argsort(at, kind="stable")
             full = np.flatnonzero(size)
             total = np.add.reduceat(_mix(v[order] ^ _A), (np.cumsum(size) - size)[full])
             out.append(_mix(total + full.astype(np.uint64) * _C + salt))
-            if size.min():
+            if m - len(full) < g:
                 break
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -211,37 +237,35 @@ def _compare(leaves: DataFrame, percent: int) -> DataFrame:
     return leaves.withColumn("_bucket", F.pmod(F.xxhash64("leaf"), F.lit(buckets))).groupBy("_bucket").applyInPandas(run, "a string, b string")
 
 
-_ROW = "region string, node string, n bigint, near bigint, home bigint, levels bigint, members binary"
+def _measure(percent: int, keep: list[str]):
+    """Distances of sets (members, n) from pivots (pivot, np), for mapInPandas."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            same = np.array([_inside(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(b["members"], b["pivot"])], np.int64)
+            u = b["n"].to_numpy() + b["np"].to_numpy() - same if len(b) else same
+            yield b[keep].assign(near=100 * same >= percent * u, d=1 - same / np.maximum(u, 1))
+
+    return run
 
 
 def _split(rows: DataFrame, sizes: DataFrame, level: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Voronoi cells of random pivots of each region: (rows of the cells, links to pivots)."""
     r = 1 - percent / 100
     draw = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    pivots = rows.join(sizes, "region").where(draw < F.least(F.lit(24.0), 2 * F.col("cells")) / F.col("sets"))
-    pivots = pivots.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("node", "members"))).alias("pivots"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for x in b.itertuples(index=False):
-                s = np.frombuffer(x.members, "<u8")
-                if x.pivots is None or not len(x.pivots):
-                    out.append((f"{x.region}/", x.node, x.n, x.near, x.home, x.levels, x.members, None))
-                    continue
-                sets = [np.frombuffer(p["members"], "<u8") for p in x.pivots]
-                same = np.array([_inside(s, p) for p in sets])
-                d = 1 - same / (len(s) + np.array([len(p) for p in sets]) - same)
-                first = int(d.argmin())
-                for i in np.flatnonzero(d <= d[first] + 2 * r + 1e-9).tolist():
-                    u = len(s) + len(sets[i]) - same[i]
-                    linked = 100 * same[i] >= percent * u
-                    out.append((f"{x.region}/{i}", x.node, x.n, x.near | (linked << level), x.home | ((i == first) << level),
-                                x.levels | (1 << level), x.members, x.pivots[i]["node"] if linked else None))
-            yield pd.DataFrame(out, columns=["region", "node", "n", "near", "home", "levels", "members", "to"])
-
-    made = stage(rows.join(pivots, "region", "left").mapInPandas(run, _ROW + ", to string"), "cells")
-    return made.drop("to"), made.where("to IS NOT NULL").select(F.col("node").alias("a"), F.col("to").alias("b"))
+    pivots = rows.join(sizes, "region").where(draw < F.lit(float(PIVOTS)) / F.col("sets")).select(
+        "region", F.col("node").alias("pnode"), F.col("n").alias("np"), F.col("members").alias("pivot"))
+    d = rows.select("region", "node", "n", "members").join(pivots, "region").mapInPandas(
+        _measure(percent, ["region", "node", "pnode"]), "region string, node string, pnode string, near boolean, d double")
+    d = stage(d, "distances")
+    first = d.groupBy("region", "node").agg(F.min(F.struct("d", "pnode")).alias("home"))
+    cell = d.join(first, ["region", "node"]).where(F.col("d") <= F.col("home.d") + 2 * r + 1e-9).select(
+        "region", "node", "pnode", F.col("near").cast("bigint").alias("_near"), (F.col("pnode") == F.col("home.pnode")).cast("bigint").alias("_home"))
+    made = rows.join(cell, ["region", "node"], "left").select(  # a region that drew no pivot stays as it is
+        F.concat_ws("/", "region", "pnode").alias("region"), "node", "n",
+        F.col("near").bitwiseOR(F.shiftleft(F.coalesce("_near", F.lit(0).cast("bigint")), level)).alias("near"),
+        F.col("home").bitwiseOR(F.shiftleft(F.coalesce("_home", F.lit(0).cast("bigint")), level)).alias("home"),
+        F.col("levels").bitwiseOR(F.when(F.col("pnode").isNotNull(), F.lit(1 << level)).otherwise(F.lit(0)).cast("bigint")).alias("levels"), "members")
+    return stage(made, "cells"), d.where("near").select(F.col("node").alias("a"), F.col("pnode").alias("b"))
 
 
 def _sizes(rows: DataFrame) -> DataFrame:
@@ -282,7 +306,7 @@ def join_regions(rows: DataFrame, percent: int) -> list[DataFrame]:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                        percent: int = 90) -> DataFrame:
     """(id, n_shingles, component_id): components of links of at least ``percent`` % Jaccard similarity."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,10 +326,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     continue
                 if len(done) < 200_000:
                     done.add(k)
-                key.append(slice_keys(s, percent))
+                key.append(slice_keys(s, percent, often.value))
                 of.append(np.full(len(key[-1]), k, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key).view(np.int64)), pa.array(np.concatenate(of))], ["key", "k1"])
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in _sets(batches, "text", shingle):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["s"])
+
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, sets in _sets(batches, "text", shingle):
             yield pa.RecordBatch.from_arrays(
@@ -315,26 +343,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     sets = stage(docs.mapInArrow(keys, f"id {kind}, n bigint, k1 bigint, k2 bigint"), "sets")
     linked = docs.where("id IS NOT NULL")
-    # one shuffle by slice content serves the minimum and the join
-    met = linked.mapInArrow(slices, "key bigint, k1 bigint").repartition("key")
-    cells = met.groupBy("key").agg(F.min("k1").alias("p"), F.max("k1").alias("q")).where("p < q").select("key", "p")
-    star = stage(met.join(cells, "key").where("k1 != p").select("k1", "p").distinct(), "star")
-
+    # frequent shingles, from a sample of classes; any list gives the same links, a good one fewer comparisons
     nodes = sets.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("rep"))
+    nodes = stage(nodes, "nodes")
+    share = min(1.0, SAMPLE / max(1, nodes.count()))
+    some = nodes.where(F.pmod(F.col("k1"), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.col("rep").alias("id")).orderBy("id").limit(2 * SAMPLE)
+    often = linked.join(F.broadcast(some), "id").mapInArrow(each, "s bigint").groupBy("s").agg(F.count("*").alias("c"))
+    often = spark.sparkContext.broadcast(np.sort(often.where(F.col("c") >= FREQUENT).select("s").toArrow()["s"].to_numpy().view(np.uint64)))
+    # one shuffle by slice content
+    met = linked.mapInArrow(slices, "key bigint, k1 bigint")
+    met = met.withColumn("p", F.min("k1").over(Window.partitionBy("key"))).where("k1 != p")
+    star = stage(met.select("k1", "p").distinct(), "star")
+
     active = star.select("k1").unionByName(star.select(F.col("p").alias("k1"))).distinct()
     reps = nodes.join(active, "k1").select(F.col("rep").alias("id")).distinct()
     active_sets = linked.join(reps, "id", "left_semi").mapInArrow(members, "node string, k1 bigint, n bigint, members binary")
     active_sets = stage(active_sets.join(active, "k1", "left_semi").groupBy("node", "k1", "n").agg(F.first("members").alias("members")), "members")
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            same = np.array([_inside(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(b["members"], b["pivot"])], np.int64)
-            u = b["n"].to_numpy() + b["np"].to_numpy() - same if len(b) else same
-            yield pd.DataFrame({"region": b["pnode"], "node": b["node"], "near": 100 * same >= percent * u, "d": 1 - same / np.maximum(u, 1)})
-
     pivot = active_sets.select(F.col("k1").alias("p"), F.col("node").alias("pnode"), F.col("n").alias("np"), F.col("members").alias("pivot"))
-    cell = star.join(active_sets, "k1").join(pivot, "p").mapInPandas(measure, "region string, node string, near boolean, d double")
-    cell = stage(cell, "cells")
+    cell = star.join(active_sets, "k1").join(pivot, "p").mapInPandas(
+        _measure(percent, ["pnode", "node"]), "pnode string, node string, near boolean, d double")
+    cell = stage(cell.withColumnRenamed("pnode", "region"), "cells")
     beyond = cell.where("NOT near").groupBy("region").agg(F.min("d").alias("least"))
     window = cell.join(beyond, "region").where(~F.col("near") | (F.col("d") >= F.col("least") - (1 - percent / 100) - 1e-9))
     rows = window.join(active_sets, "node").select(
