@@ -225,28 +225,43 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fit([t for t, _ in rows], [x for _, x in rows])
 
 
+def _judged(batches: Iterator[pa.RecordBatch], model: LanguageModel, text_col: str):
+    """(slice, predictions, scores, words) of slices of documents."""
+    for b, texts in text_slices(batches, text_col, rows=1000):
+        lines = [lines_of(t) for t in texts]
+        per_doc = np.array([sum(map(len, x)) for x in lines])
+        pred, score = ["und"] * len(texts), np.zeros(len(texts))
+        if model.langs and per_doc.sum():
+            p = model.posteriors([w for x in lines for w in x])
+            doc = np.repeat(np.arange(len(texts)), per_doc)
+            mean = np.stack([np.bincount(doc, p[:, k], len(texts)) for k in range(p.shape[1])], 1) / np.maximum(per_doc, 1)[:, None]
+            for k in np.flatnonzero(per_doc).tolist():
+                if has_letter(lines[k]):
+                    best = int(mean[k].argmax())
+                    pred[k], score[k] = model.langs[best], min(1.0, float(mean[k, best]))
+        yield b, pred, score, per_doc.astype(np.int64)
+
+
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, n_words): the language of every whole text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, texts in text_slices(batches, text_col, rows=1000):
-            lines = [lines_of(t) for t in texts]
-            per_doc = np.array([sum(map(len, x)) for x in lines])
-            pred, score = ["und"] * len(texts), np.zeros(len(texts))
-            if model.langs and per_doc.sum():
-                p = model.posteriors([w for x in lines for w in x])
-                doc = np.repeat(np.arange(len(texts)), per_doc)
-                mean = np.stack([np.bincount(doc, p[:, k], len(texts)) for k in range(p.shape[1])], 1) / np.maximum(per_doc, 1)[:, None]
-                for k in np.flatnonzero(per_doc).tolist():
-                    if has_letter(lines[k]):
-                        best = int(mean[k].argmax())
-                        pred[k], score[k] = model.langs[best], min(1.0, float(mean[k, best]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred), pa.array(score), pa.array(per_doc.astype(np.int64))],
+        for b, pred, score, words in _judged(batches, model, text_col):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred), pa.array(score), pa.array(words)],
                                              [id_col, "lang_pred", "score", "n_words"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, n_words bigint")
 
 
+def accept(docs: DataFrame, model: LanguageModel, least: float, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text has a language of score ``least`` or more."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, pred, score, _ in _judged(batches, model, text_col):
+            yield b.filter(pa.array([x != "und" and s >= least for x, s in zip(pred, score)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def label_words(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, words array<struct<line, word, lang, p>>): the label of every word of code-switched texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
