@@ -9,8 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from assay_spark.llm.common import stage, table
-
-STAGES: list = []
+from assay_spark.llm.stages import language_stage, near_copy_stage, packing_stage, quality_stage
+
+STAGES = [
+    ("language_id", language_stage),
+    ("quality", quality_stage),
+    ("near_copies", near_copy_stage),
+    ("packing", packing_stage),
+]
 
 #: The stages hold trained models and a tokenizer, which SQL cannot express.
 ORACLE_SQL = None
