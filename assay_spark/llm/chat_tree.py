@@ -79,26 +79,29 @@ def learned_text(formatted: str, spans) -> str:
     return "".join(unescape(formatted[s["start"]:s["start"] + s["length"]]) for s in spans)
 
 
-def links(messages: DataFrame) -> list[DataFrame]:
-    """Doubled parent links, one written table per round.
+def links(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Doubled parent links by round, and where every message ends.
 
-    Columns: id, up (the message 2**round above, null past the root), top (the
-    highest message seen), n and s (messages and score from id to top).
+    A round holds (id, up) of the messages that have one 2**round above them.
+    The ends are (id, top, n, s): the root, and messages and score on the way.
+    Messages that have reached their root leave the rounds.
     """
     ids = messages.select(F.col("id").alias("up"), F.lit(True).alias("_is"))
-    now = messages.select("id", F.when(F.col("parent") != F.col("id"), F.col("parent")).alias("up"), "score").join(ids, "up", "left").select(
+    first = messages.select("id", F.when(F.col("parent") != F.col("id"), F.col("parent")).alias("up"), "score").join(ids, "up", "left").select(
         "id", F.when(F.col("_is"), F.col("up")).alias("up"), F.col("id").alias("top"), F.lit(1).cast("bigint").alias("n"), F.col("score").alias("s"))
-    levels = [stage(now, "links")]
-    while levels[-1].where(F.col("up").isNotNull()).limit(1).count():
-        if len(levels) > MAX_ROUNDS:
+    now, rounds, ends = stage(first, "links"), [], None
+    while True:
+        done, open_ = now.where("up IS NULL"), now.where("up IS NOT NULL")
+        ends = done if ends is None else ends.unionByName(done)
+        if not open_.limit(1).count():
+            return rounds, ends.drop("up")
+        if len(rounds) == MAX_ROUNDS:
             raise ValueError("the messages hold a cycle")
-        now = levels[-1]
-        higher = now.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top"), F.col("n").alias("_n"), F.col("s").alias("_s"))
-        now = now.join(higher, "up", "left").select(
-            "id", F.col("_up").alias("up"), F.coalesce("_top", "top").alias("top"),
-            (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"), (F.col("s") + F.coalesce("_s", F.lit(0.0))).alias("s"))
-        levels.append(stage(now, "links"))
-    return levels
+        rounds.append(open_.select("id", "up"))
+        higher = open_.unionByName(ends).select(
+            F.col("id").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top"), F.col("n").alias("_n"), F.col("s").alias("_s"))
+        now = stage(open_.join(higher, "up").select(
+            "id", F.col("_up").alias("up"), F.col("_top").alias("top"), (F.col("n") + F.col("_n")).alias("n"), (F.col("s") + F.col("_s")).alias("s")), "links")
 
 
 def best_leaves(messages: DataFrame, reached: DataFrame, branches: int) -> DataFrame:
@@ -119,11 +122,11 @@ def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
     messages = messages.select(
         "id", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    levels = links(messages)
-    chosen = stage(best_leaves(messages, levels[-1], branches), "leaves")
+    rounds, ends = links(messages)
+    chosen = stage(best_leaves(messages, ends, branches), "leaves")
     on_path = chosen.select("path", F.col("path").alias("id"), F.lit(0).cast("bigint").alias("back"))
-    for k, level in enumerate(levels[:-1]):
-        step = on_path.join(level.where(F.col("up").isNotNull()).select("id", "up"), "id").select(
+    for k, level in enumerate(rounds):
+        step = on_path.join(level, "id").select(
             "path", F.col("up").alias("id"), (F.col("back") + 2 ** k).alias("back"))
         on_path = stage(on_path.unionByName(step), "paths")
     turns = on_path.join(messages.select("id", "role", "text"), "id")
