@@ -13,7 +13,7 @@ roles and texts ``\\`` becomes ``\\b``, ``<`` becomes ``\\l`` and ``>`` becomes
 turn.  The loss mask is a list of (start, length) spans in code points, one per
 assistant text.
 
-A message whose parent is absent is a root.  Null roles and texts count as
+A message whose parent is absent, or itself, is a root.  Null roles and texts count as
 empty, null scores as 0.  Ids must be unique and not null; a cycle raises.  An
 empty table gives no conversations.  Extra columns are not carried.
 """
@@ -106,7 +106,7 @@ def links(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
 
 def best_leaves(messages: DataFrame, reached: DataFrame, branches: int) -> DataFrame:
     """(path, root, rank) of the best leaves of each tree."""
-    parents = messages.select(F.col("parent").alias("id")).where(F.col("id").isNotNull())
+    parents = messages.where("parent != id").select(F.col("parent").alias("id"))
     leaves = reached.join(parents, "id", "left_anti").withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     by = [F.desc("s"), F.asc("id")]
     for keys in (["top", "_salt"], ["top"]):  # a tree with very many leaves is ranked in parts first

@@ -380,4 +380,4 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = named.join(least, "root").select("k1", "k2", "component_id")
     out = sets.join(named, ["k1", "k2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                      F.coalesce("component_id", "id").cast(kind).alias("component_id"))
+                      F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).cast(kind).alias("component_id"))
