@@ -90,14 +90,19 @@ def impute_mean(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
 
 
 def impute_mean_vec(df: DataFrame, vec: str, by: Sequence[str] = (), fit_on: Column | None = None) -> DataFrame:
-    """Vector form: null entries become that dimension's mean over non-nulls."""
+    """Vector form: null entries become that dimension's mean over the
+    non-nulls of the ``fit_on`` rows; a dimension without any, and groups
+    without fit rows, keep 0.  The means are read (one table of groups x
+    dimensions) only if some vector holds a null."""
     by = _list(by)
+    if not df.where(F.exists(F.col(vec), lambda x: x.isNull())).limit(1).count():
+        return df
     src = _fit_rows(df, fit_on).select(*by, A.entries(vec, "_i", "_x"))
     st = src.groupBy(*by, "_i").agg(F.avg("_x").alias("_m"))
     st = st.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_i", "_m"))).alias("_ms"))
-    d = _attach(df, st, by)
-    return d.withColumn(vec, F.zip_with(F.col(vec), F.col("_ms"),
-                                        lambda x, s: F.coalesce(x, s["_m"]))).drop("_ms")
+    d = _attach(df, st, by, "left")
+    return d.withColumn(vec, F.transform(F.col(vec), lambda x, i: F.coalesce(
+        x, F.get(F.col("_ms"), i)["_m"], F.lit(0.0)))).drop("_ms")
 
 
 # ---------------------------------------------------------------- A12 / F3
@@ -122,6 +127,14 @@ def scale_to(df: DataFrame, vec: str, bound: float = C.SCALE_BOUND, by: Sequence
     return d.withColumn(out, F.transform(F.col(vec), lambda v: v * f)).drop("_s")
 
 
+# ---------------------------------------------------------------- P2 (vector form)
+def keep_dims(df: DataFrame, vec: str, keep: Sequence[int], out: str | None = None) -> DataFrame:
+    """Keep the listed dimensions (0-based) of a vector column, in the order
+    of the list; a dimension beyond a row's vector becomes null."""
+    dims = [F.get(F.col(vec), F.lit(int(i))) for i in keep]
+    return df.withColumn(out or vec, F.when(F.col(vec).isNotNull(), F.array(*dims)))
+
+
 # ---------------------------------------------------------------- F5, F7, J10
 def correlators(df: DataFrame, vec: str, order: int = 2, out: str = "corr") -> DataFrame:
     """Singles then all unordered pairs z_i z_j (i < j): n + n(n-1)/2 values."""
@@ -209,19 +222,23 @@ def response_features(df: DataFrame, vec: str, omega: float = C.DRIVE_OMEGA, t_e
 
 # ---------------------------------------------------------------- F10
 def add_shot_noise(df: DataFrame, id_col: str, vec: str, shots: Sequence[int], loops: int = 1,
-                   seed: int = 42, out: str = "noisy", exact_limit: int = 64) -> DataFrame:
+                   seed: int = 42, out: str = "noisy", method: str = "counted") -> DataFrame:
     """Finite-shot estimate of each expectation e in [-1, 1]: the mean of n
     independent ±1 outcomes with P(+1) = (1 + e)/2, i.e. 2k/n - 1 with k
     binomial.  n = 0 keeps e.  One output row per (row, shots, loop).
 
-    n <= ``exact_limit``: k counts md5-uniforms below p, in JVM expressions
-    (reproducible in SQL).  Larger n: a vectorised pandas UDF draws k from a
-    binomial seeded per (row, shots, loop).
+    One method serves the whole call, whatever the shot counts.  ``counted``:
+    k counts md5-uniforms below p, in JVM expressions (reproducible in SQL;
+    the work grows with n).  ``binomial``: a vectorised pandas UDF draws k
+    from a binomial seeded by the whole 64-bit row id, shots and loop.
     """
+    if method not in ("counted", "binomial"):
+        raise ValueError("method must be 'counted' or 'binomial'")
     grid = F.array(*[F.struct(F.lit(int(s)).alias("shots"), F.lit(int(l)).alias("loop"))
                      for s in shots for l in range(1, loops + 1)])
     g = df.withColumn("_g", F.explode(grid)).select("*", "_g.shots", "_g.loop").drop("_g")
-    big = [s for s in shots if s > exact_limit]
+    if method == "binomial":
+        return g.withColumn(out, _binomial_udf(seed)(F.col(id_col), F.col("shots"), F.col("loop"), F.col(vec)))
 
     def k_small(e, i):
         p = (F.lit(1.0) + e) / F.lit(2.0)
@@ -233,13 +250,7 @@ def add_shot_noise(df: DataFrame, id_col: str, vec: str, shots: Sequence[int], l
 
     exact_expr = F.transform(F.col(vec), lambda e, i: F.lit(2.0) * k_small(e, i) / F.col("shots") - 1.0)
     res = F.when(F.col("shots") == 0, F.col(vec)).otherwise(exact_expr)
-    lo = g.filter(F.col("shots") <= exact_limit).withColumn(out, res)
-    if not big:
-        return lo
-    # the Python path only sees the rows that need it
-    hi = g.filter(F.col("shots") > exact_limit).withColumn(
-        out, _binomial_udf(seed)(F.col(id_col), F.col("shots"), F.col("loop"), F.col(vec)))
-    return lo.unionByName(hi)
+    return g.withColumn(out, res)
 
 
 def _binomial_udf(seed: int):
@@ -254,7 +265,11 @@ def _binomial_udf(seed: int):
                 outv.append(None)
                 continue
             e = np.asarray(e, dtype=float)
-            rng = np.random.default_rng([seed, int(rid) & 0x7FFFFFFF, int(n), int(l)])
+            if n == 0:
+                outv.append(e.tolist())
+                continue
+            key = int(rid) & 0xFFFFFFFFFFFFFFFF
+            rng = np.random.default_rng([seed, key & 0xFFFFFFFF, key >> 32, int(n), int(l)])
             k = rng.binomial(int(n), np.clip((1.0 + e) / 2.0, 0.0, 1.0))
             outv.append((2.0 * k / n - 1.0).tolist())
         return pd.Series(outv)

@@ -43,6 +43,17 @@ def linear_attribution(df: DataFrame, coefs: DataFrame, by: Sequence[str] = (),
              .withColumn("feature", F.col("feature").cast("int")))
 
 
+# ---------------------------------------------------------------- F13 correlation
+def correlation_importance(df: DataFrame, vec: str = "x", y: str = "y") -> DataFrame:
+    """|Pearson correlation| of every dimension with the target, rounded to 9
+    decimals so that ties are ties on any engine; constant ones get 0.
+    Output (feature, importance)."""
+    e = df.select(F.col(y).cast("double").alias("_y"), A.entries(vec, "feature", "_x"))
+    c = F.corr("_x", "_y")
+    return e.groupBy(F.col("feature").cast("int").alias("feature")).agg(
+        F.round(F.coalesce(F.abs(F.nanvl(c, F.lit(0.0))), F.lit(0.0)), 9).alias("importance"))
+
+
 # ---------------------------------------------------------------- F12
 def tree_importance(train: DataFrame, vec: str = "x", y: str = "y", seed: int = 42, **kw) -> DataFrame:
     """Forest impurity importance per feature (a d-vector from the fitted model)."""
@@ -56,17 +67,19 @@ def tree_importance(train: DataFrame, vec: str = "x", y: str = "y", seed: int =
 
 # ---------------------------------------------------------------- F13 permutation
 def permutation_importance(model, df: DataFrame, dim: int, id_col: str = "row_id", vec: str = "x",
-                           y: str = "y", seed: int = 42, buckets: int = 64) -> DataFrame:
+                           y: str = "y", seed: int = 42, bucket_rows: int = 1 << 16) -> DataFrame:
     """MSE increase when feature j is replaced by its value in another row.
 
     Rows are replicated once per feature (d copies), and inside each
     (feature, hash bucket) two independent key orders are ranked and matched,
-    which is a uniform random permutation within the bucket; ``buckets`` keep
-    every window partition a 1/buckets slice of the data.  One
-    ``model.transform`` scores all copies.
+    which is a uniform random permutation within the bucket.  Buckets hold
+    about ``bucket_rows`` rows, so a row is its own donor about once in that
+    many (once per feature in smaller tables), however many rows there are.
+    One ``model.transform`` scores all copies.
     """
     from assay_spark.operators.models import predict
 
+    buckets = max(1, df.count() // bucket_rows)
     base = predict(model, df, [id_col, F.col(y).cast("double").alias("y")]).agg(
         F.avg((F.col("y_hat") - F.col("y")) ** 2).alias("_base"))
     rep = df.select(id_col, vec, F.col(y).cast("double").alias("y"),
@@ -91,6 +104,8 @@ def rank_features(train: DataFrame, method: str, n: int, vec: str = "x", y: str
     """Rank features by a named method and keep the top ``n``."""
     if method == "tree":
         imp = tree_importance(train, vec, y, seed, **kw)
+    elif method == "correlation":
+        imp = correlation_importance(train, vec, y)
     elif method == "linear":
         from assay_spark.operators.models import fit_grouped
         imp = linear_attribution(train, fit_grouped(train, [], vec, y), [], vec)

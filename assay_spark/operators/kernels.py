@@ -47,6 +47,9 @@ def knn_join(test: DataFrame, train: DataFrame, k: int = C.KNN_K, by: Sequence[s
 
     Output: cell keys, test id, ``nn_rank`` 1..k, ``nn_id``, ``nn_dist2``
     (squared Euclidean) and ``nn_y``.  Ties on distance go to the smaller id.
+    A test id that repeats within a cell (draws with replacement) is one
+    query; repeated train rows count as often as they occur.  Rows whose
+    vector is null or holds nulls must be imputed first.
     """
     import numpy as np
     import pandas as pd
@@ -57,7 +60,8 @@ def knn_join(test: DataFrame, train: DataFrame, k: int = C.KNN_K, by: Sequence[s
     tr = _attach(train.select(*by, F.col(id_col).cast("long").alias("_id"), F.col(x).alias("_x"), *ycol), sizes, by)
     tr = tr.withColumn("_blk", F.pmod(draw_int("_id", seed=17), F.col("_nb")).cast("int"))
     tr = tr.withColumn("_chk", F.explode(F.sequence(F.lit(0), F.col("_nc") - 1))).drop("_nb", "_nc")
-    te = _attach(test.select(*by, F.col(id_col).cast("long").alias("_id"), F.col(x).alias("_x")), sizes, by)
+    asked = test.select(*by, F.col(id_col).cast("long").alias("_id"), F.col(x).alias("_x")).dropDuplicates([*by, "_id"])
+    te = _attach(asked, sizes, by)
     te = te.withColumn("_chk", F.pmod(draw_int("_id", seed=19), F.col("_nc")).cast("int"))
     te = te.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))).drop("_nb", "_nc")
 

@@ -129,7 +129,8 @@ def fit_grouped(df: DataFrame, by: Sequence[str], vec: str = "x", y: str = "y",
 
 def predict_linear(df: DataFrame, coefs: DataFrame, by: Sequence[str], vec: str = "x", out: str = "y_hat") -> DataFrame:
     by = _list(by)
-    d = _attach(df, coefs.select(*by, F.col("intercept").alias("_b0"), F.col("coef").alias("_b")), by)
+    # rows of a cell without a fitted model keep a null prediction
+    d = _attach(df, coefs.select(*by, F.col("intercept").alias("_b0"), F.col("coef").alias("_b")), by, "left")
     return d.withColumn(out, F.col("_b0") + A.dot(vec, "_b")).drop("_b0", "_b")
 
 
@@ -275,6 +276,7 @@ def evaluate(cells: DataFrame, by: Sequence[str], algorithms: Sequence[str] = GR
     reference: the train rows alone are split again (exact 80/20 per cell)
     and the models are scored on that inner split; the real test rows are
     not used.  The default scores the real test split."""
+    from assay_spark.operators.features import impute_mean_vec
     from assay_spark.operators.kernels import knn_regression
     from assay_spark.operators.report import regression_metrics
     from assay_spark.operators.sampling import split_exact
@@ -288,7 +290,8 @@ def evaluate(cells: DataFrame, by: Sequence[str], algorithms: Sequence[str] = GR
     # every algorithm reads the same cells: materialise them once, eagerly --
     # the branches below run as parallel stages of one job and would each
     # recompute a cache that is not filled yet
-    cells = materialize(cells)
+    # L1: nulls become the mean of the cell's train rows, for every algorithm
+    cells = materialize(impute_mean_vec(cells, vec, by, F.col(split) == "train"))
     train = cells.filter(F.col(split) == "train")
     test = cells.filter(F.col(split) == "test")
     truth = test.select(*by, id_col, F.col(y).cast("double").alias("y"))
@@ -315,7 +318,7 @@ def evaluate(cells: DataFrame, by: Sequence[str], algorithms: Sequence[str] = GR
         elif alg == "mean":
             mu = train.groupBy(*by).agg(F.avg(F.col(y).cast("double")).alias("y_hat")) if by else \
                 train.agg(F.avg(F.col(y).cast("double")).alias("y_hat"))
-            pred = _attach(truth, mu, by)
+            pred = _attach(truth, mu, by, "left")
         else:
             raise ValueError(f"unknown grouped algorithm {alg}")
         outs.append(regression_metrics(pred, by).withColumn("algorithm", F.lit(alg)))
@@ -337,9 +340,9 @@ def evaluate_timed(cells: DataFrame, by: Sequence[str], algorithms: Sequence[str
     cells = materialize(cells)
     rows, schema = [], None
     for alg in algorithms:
+        t0 = time.perf_counter()  # Spark ML models fit while the plan is built
         df = evaluate(cells, by, [alg], **kw)
         schema = schema or df.schema
-        t0 = time.perf_counter()
         got = df.collect()
         secs = time.perf_counter() - t0
         rows += [tuple(r) + (secs,) for r in got]

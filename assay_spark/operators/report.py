@@ -18,7 +18,8 @@ from assay_spark.operators.sampling import _list
 # ---------------------------------------------------------------- A7, A8
 def regression_metrics(pred: DataFrame, by: Sequence[str] = (), y: str = "y", y_hat: str = "y_hat",
                        extended: bool = False) -> DataFrame:
-    """MSE, MAE, R² (= 1 - SSE / (n · var_pop(y))) and n per group; with
+    """MSE, MAE, R² (= 1 - SSE / (n · var_pop(y))) and n per group, all over
+    the rows that have a prediction; with
     ``extended`` also RMSE and MAPE (relative to the truth, zero truths
     skipped)."""
     by = _list(by)
@@ -26,7 +27,7 @@ def regression_metrics(pred: DataFrame, by: Sequence[str] = (), y: str = "y", y_
     aggs = [
         F.avg(e * e).alias("mse"),
         F.avg(F.abs(e)).alias("mae"),
-        (F.lit(1.0) - F.sum(e * e) / (F.count(e) * F.var_pop(F.col(y)))).alias("r2"),
+        (F.lit(1.0) - F.sum(e * e) / (F.count(e) * F.var_pop(F.when(e.isNotNull(), F.col(y))))).alias("r2"),
         F.count(e).alias("n"),
     ]
     if extended:

@@ -126,7 +126,7 @@ def split_exact(df: DataFrame, id_col: str, test_pct: int = C.TEST_PCT, seed: in
              .drop("_h", "_r", "_m", "_gn"))
 
 
-def _attach(d: DataFrame, small: DataFrame, by: list) -> DataFrame:
+def _attach(d: DataFrame, small: DataFrame, by: list, how: str = "inner") -> DataFrame:
     """Join a per-group table (one row per group) onto rows.  With no group
     keys the table has exactly one row (a global aggregate) and becomes a
     scalar subquery instead of a join."""
@@ -139,7 +139,7 @@ def _attach(d: DataFrame, small: DataFrame, by: list) -> DataFrame:
     for i, k in enumerate(by):
         renamed = renamed.withColumnRenamed(k, f"_g{i}")
     cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(by)])
-    return d.join(renamed, cond, "inner").drop(*[f"_g{i}" for i in range(len(by))])
+    return d.join(renamed, cond, how).drop(*[f"_g{i}" for i in range(len(by))])
 
 
 def allocate(counts: DataFrame, by: list, stratum: str, n_col: str, test_pct: int) -> DataFrame:

@@ -32,7 +32,13 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("label").alias("stratum"))
 
 
-def vectors_head(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    """FEATURES with the first ``n`` vector entries (pair expansions need a
-    small site count, as the reference's 18 selected descriptors)."""
-    return vectors(spark, sf_dir).withColumn("x", F.slice("x", 1, n))
+def ranked_vectors(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """FEATURES reduced to the ``n`` dimensions that rank highest by absolute
+    correlation with the target over the whole table (ties: smaller
+    dimension), in rank order.  The keep list has n numbers."""
+    from assay_spark.operators.features import keep_dims
+    from assay_spark.operators.importance import rank_features
+
+    v = vectors(spark, sf_dir)
+    top = rank_features(v, "correlation", n).orderBy("rank").select("feature").collect()
+    return keep_dims(v, "x", [r["feature"] for r in top])

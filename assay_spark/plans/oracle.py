@@ -248,7 +248,11 @@ _V = "(SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS x, CAST(label AS
 
 
 def _vh(n: int) -> str:
-    return f"(SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[])[1:{n}] AS x FROM embeddings)"
+    """The ``n`` dimensions with the largest |correlation| with the target, in rank order."""
+    return f"""(WITH _d AS (SELECT y, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM {_V}),
+     _c AS (SELECT i, CASE WHEN min(v) = max(v) OR min(y) = max(y) THEN 0.0 ELSE round(abs(corr(v, y)), 9) END AS c FROM _d GROUP BY i),
+     _k AS (SELECT list(i ORDER BY c DESC, i) AS keep FROM (SELECT * FROM _c ORDER BY c DESC, i LIMIT {n}))
+     SELECT v.row_id, list_transform(_k.keep, lambda q: v.x[q]) AS x FROM {_V} v, _k)"""
 
 
 def _long_sql(src: str, keys: str, vec: str) -> str:
@@ -287,23 +291,23 @@ z AS (SELECT s.row_id, s.split, list_transform(s.x, lambda v: v * CASE WHEN m.s
 ORACLE["max_abs"] = f"SELECT stratum, round(max(list_max(list_transform(x, lambda v: abs(v)))), 6) AS max_abs FROM {_V} GROUP BY stratum"
 
 ORACLE["correlators_pairs"] = f"""
-WITH c AS (SELECT row_id, list_concat(x, {_pairs('x', 8)}) AS c FROM {_vh(8)})
+WITH c AS (SELECT row_id, list_concat(x, {_pairs('x', 18)}) AS c FROM {_vh(18)})
 {_long_sql('c', 'row_id', 'c')}"""
 
 ORACLE["pairs_long"] = f"""
 SELECT row_id, CAST(a - 1 AS INTEGER) AS i, CAST(b - 1 AS INTEGER) AS j, round(x[a] * x[b], 6) AS product
-FROM {_vh(8)} v, range(1, 9) r1(a), range(1, 9) r2(b) WHERE a < b"""
+FROM {_vh(18)} v, range(1, 19) r1(a), range(1, 19) r2(b) WHERE a < b"""
 
 _Z3 = "list_filter(x, lambda v, i: (i - 1) % 3 = 2)"
 ORACLE["expand_modes"] = " UNION ALL ".join(
-    f"SELECT * FROM (WITH r AS (SELECT row_id, {expr} AS r FROM {_vh(9)}) {_long_sql('r', 'row_id', 'r')}) "
+    f"SELECT * FROM (WITH r AS (SELECT row_id, {expr} AS r FROM {_vh(18)}) {_long_sql('r', 'row_id', 'r')}) "
     f"CROSS JOIN (SELECT '{mode}' AS mode)"
     for mode, expr in [
         ("s", "x"),
-        ("ss", "flatten(list_transform(range(1, 10), lambda a: list_transform(x, lambda q: x[a] * q)))"),
+        ("ss", "flatten(list_transform(range(1, 19), lambda a: list_transform(x, lambda q: x[a] * q)))"),
         ("z", _Z3),
-        ("zz", _pairs(_Z3, 3)),
-        ("szz", f"list_concat(x, {_pairs(_Z3, 3)})"),
+        ("zz", _pairs(_Z3, 6)),
+        ("szz", f"list_concat(x, {_pairs(_Z3, 6)})"),
     ])
 
 _W2 = (2 * _math.pi) ** 2
@@ -313,12 +317,12 @@ WITH s AS (SELECT v.row_id, t.step, list_transform(v.x, lambda a: 1.0 - {repr(2.
                   * pow(sin(sqrt({repr(_W2)} + a * a) * t.th), 2)) AS z
            FROM {_vh(18)} v, (VALUES {_STEP_VALUES}) t(step, th)),
 c AS (SELECT row_id, CAST(step AS INTEGER) AS step, list_concat(z, {_pairs('z', 18)}) AS c FROM s)
-SELECT row_id, step, count(*) AS n, round(sum(v), 6) AS sum, round(sum(v * v), 6) AS sumsq,
+SELECT row_id, step, count(*) AS n, round(sum(v), 6) AS sum, round(sum(v * v), 6) AS sumsq, round(sum(v * pos), 6) AS wsum,
        round(min(v), 6) AS min, round(max(v), 6) AS max
-FROM (SELECT row_id, step, unnest(c) AS v FROM c) GROUP BY row_id, step"""
+FROM (SELECT row_id, step, unnest(c) AS v, generate_subscripts(c, 1) AS pos FROM c) GROUP BY row_id, step"""
 
 ORACLE["shot_noise"] = f"""
-WITH e AS (SELECT row_id, unnest(x) AS e, generate_subscripts(x, 1) - 1 AS i FROM {_vh(8)}),
+WITH e AS (SELECT row_id, unnest(x) AS e, generate_subscripts(x, 1) - 1 AS i FROM {_vh(18)}),
 g AS (SELECT e.*, s.shots, l.loop FROM e, (SELECT unnest([0, 10, 50]) AS shots) s, (SELECT unnest([1, 2]) AS loop) l),
 dr AS (SELECT row_id, shots, loop, i, e, unnest(range(1, shots + 1)) AS j FROM g WHERE shots > 0),
 k AS (SELECT row_id, shots, loop, i, count_if(CAST({H('row_id', 'shots', 'loop', 'i', 'j')} AS DOUBLE)
@@ -468,8 +472,8 @@ ORACLE["cast_float"] = """
 SELECT l_orderkey, l_linenumber, round(CAST(CAST(l_extendedprice AS FLOAT) AS DOUBLE), 6) AS l_extendedprice FROM lineitem"""
 
 ORACLE["zip_arrays"] = f"""
-SELECT row_id, CAST(p - 1 AS INTEGER) AS pos, round(x[p], 6) AS a, round(x[60 + p], 6) AS b
-FROM {_V}, range(1, 5) r(p)"""
+SELECT row_id, CAST(p - 1 AS INTEGER) AS pos, round(x[p], 6) AS a, round(x[32 + p], 6) AS b
+FROM {_V}, range(1, 33) r(p)"""
 
 ORACLE["join_predictions"] = f"SELECT p_partkey, round(y_hat, 6) AS y_hat, round(y, 6) AS y FROM {_PART_PRED}"
 
@@ -490,16 +494,16 @@ SELECT o_orderkey, o_orderpriority FROM orders
 EXCEPT ALL SELECT o_orderkey, o_orderpriority FROM {_ORD_TOP} WHERE draw_rank <= 1800"""
 
 ORACLE["concat_vectors"] = f"""
-WITH c AS (SELECT row_id, list_concat(x[1:4], x[61:64]) AS c FROM {_V})
+WITH c AS (SELECT row_id, list_concat(x[1:32], x[33:64]) AS c FROM {_V})
 {_long_sql('c', 'row_id', 'c')}"""
 
 ORACLE["one_body"] = f"""
 WITH s AS (SELECT v.row_id, t.step, list_transform(v.x, lambda a: 1.0 - {repr(2.0 * _W2)} / ({repr(_W2)} + a * a)
                   * pow(sin(sqrt({repr(_W2)} + a * a) * t.th), 2)) AS z
            FROM {_vh(18)} v, (VALUES {_STEP_VALUES}) t(step, th))
-SELECT row_id, CAST(step AS INTEGER) AS step, count(*) AS n, round(sum(v), 6) AS sum, round(min(v), 6) AS min,
-       round(max(v), 6) AS max
-FROM (SELECT row_id, step, unnest(z) AS v FROM s) GROUP BY row_id, step"""
+SELECT row_id, CAST(step AS INTEGER) AS step, count(*) AS n, round(sum(v), 6) AS sum, round(sum(v * pos), 6) AS wsum,
+       round(min(v), 6) AS min, round(max(v), 6) AS max
+FROM (SELECT row_id, step, unnest(z) AS v, generate_subscripts(z, 1) AS pos FROM s) GROUP BY row_id, step"""
 
 
 _GRID_CELLS = f"""(WITH c AS (SELECT * FROM {_strat_split("SELECT * FROM " + _grid_draw(False), seed=43, by="rec, sub",
@@ -615,3 +619,21 @@ WITH s AS (SELECT p_brand, regr_slope(p_retailprice, p_size) AS b, avg(CAST(p_si
 SELECT p.p_brand, CAST(0 AS INTEGER) AS feature, round(avg(abs(s.b * (CAST(p.p_size AS DOUBLE) - s.mu))), 6) AS importance,
        CAST(1 AS INTEGER) AS rank
 FROM part p JOIN s USING (p_brand) GROUP BY p.p_brand"""
+
+
+# ------------------------------------------------------------- sources and sinks
+_LINE_COLS = ", ".join(f"round({c}, 6) AS {c}" for c in _LINE_NUM)
+ORACLE["read_wide"] = f"SELECT l_orderkey, l_linenumber, {_LINE_COLS} FROM lineitem"
+_PART_CELLS = """(SELECT p_partkey, p_size, round(p_retailprice, 6) AS p_retailprice, CASE WHEN p_size <= 40 THEN 'train' ELSE 'test' END AS split,
+    CAST(200 AS INTEGER) AS rec, CAST(p_size % 4 AS INTEGER) AS sub, CAST(length(p_type) % 3 AS INTEGER) AS act, CAST(1 AS INTEGER) AS version
+    FROM part)"""
+ORACLE["read_cells"] = f"SELECT *, 'X' AS kind FROM {_PART_CELLS}"
+ORACLE["read_cells_columns"] = f"SELECT p_partkey, 'X' AS kind, split, rec, sub, act, version FROM {_PART_CELLS}"
+ORACLE["write_cells"] = f"SELECT * FROM {_PART_CELLS} WHERE act = 1"
+ORACLE["write_vectors"] = _long_sql(_V, "row_id", "x")
+ORACLE["matrix_roundtrip"] = _long_sql(f"(SELECT row_number() OVER (ORDER BY row_id) - 1 AS sample, x FROM {_V})", "sample", "x")
+ORACLE["from_scores"] = """
+SELECT c_custkey, r_name AS model, s.metric, CAST(s.run AS INTEGER) AS run, s.score
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+JOIN (VALUES ('mse', 'AFRICA', 1, CAST(0.5 AS DOUBLE)), ('mse', 'AFRICA', 2, 0.25), ('mse', 'ASIA', 1, 1.5), ('r2', 'ASIA', 1, 0.75),
+             ('r2', 'ASIA', 2, 0.125), ('r2', 'EUROPE', 1, 0.0625)) s(metric, model, run, score) ON s.model = r_name"""

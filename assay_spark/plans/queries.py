@@ -254,7 +254,11 @@ def dedupe_first(spark, sf_dir):
 # ====================================================================== step 3: features
 from assay_spark.functions import arrays as AR  # noqa: E402
 from assay_spark.operators import reshape as RS  # noqa: E402
-from assay_spark.plans.catalog import vectors_head  # noqa: E402
+from assay_spark.plans.catalog import ranked_vectors  # noqa: E402
+
+
+#: Dimensions kept by the ranking (the workflow's number of selected features).
+RANKED_DIMS = 18
 
 
 def _long(df: DataFrame, keys, vec: str) -> DataFrame:
@@ -297,18 +301,18 @@ def max_abs(spark, sf_dir):
 
 @query("correlators_pairs")
 def correlators_pairs(spark, sf_dir):
-    c = FE.correlators(vectors_head(spark, sf_dir, 8), "x", order=2, out="corr")
+    c = FE.correlators(ranked_vectors(spark, sf_dir, RANKED_DIMS), "x", order=2, out="corr")
     return rounded(_long(c, ["row_id"], "corr"))
 
 
 @query("pairs_long")
 def pairs_long(spark, sf_dir):
-    return rounded(FE.pairs_long(vectors_head(spark, sf_dir, 8), "row_id", "x"))
+    return rounded(FE.pairs_long(ranked_vectors(spark, sf_dir, RANKED_DIMS), "row_id", "x"))
 
 
 @query("expand_modes")
 def expand_modes(spark, sf_dir):
-    v = vectors_head(spark, sf_dir, 9)
+    v = ranked_vectors(spark, sf_dir, RANKED_DIMS)
     parts = [_long(FE.expand(v, "x", m, components=3), ["row_id"], "readout").withColumn("mode", F.lit(m))
              for m in FE.READOUT_MODES]
     out = parts[0]
@@ -324,13 +328,14 @@ RESPONSE_STEPS = FE.response_steps(0.0, C.QUANTUM_T_END, C.QUANTUM_STEP)
 @query("response_features")
 def response_features(spark, sf_dir):
     """Full 1710-long response embedding of 18 inputs (10 steps x 171),
-    summarised per (row, step) so the comparison reads every value."""
-    e = FE.response_features(vectors_head(spark, sf_dir, RESPONSE_SITES), "x", order=2)
+    summarised per (row, step), with a sum weighted by position, so the
+    comparison reads every value in its place."""
+    e = FE.response_features(ranked_vectors(spark, sf_dir, RESPONSE_SITES), "x", order=2)
     per = RESPONSE_SITES + RESPONSE_SITES * (RESPONSE_SITES - 1) // 2
     lng = _long(e, ["row_id"], "embedding").withColumn("step", (F.col("i") / per).cast("int") + 1)
     return rounded(lng.groupBy("row_id", "step").agg(
         F.count("value").alias("n"), F.sum("value").alias("sum"), F.sum(F.col("value") ** 2).alias("sumsq"),
-        F.min("value").alias("min"), F.max("value").alias("max")))
+        F.sum(F.col("value") * (F.col("i") % per + 1)).alias("wsum"), F.min("value").alias("min"), F.max("value").alias("max")))
 
 
 SHOTS = (0, 10, 50)
@@ -338,7 +343,7 @@ SHOTS = (0, 10, 50)
 
 @query("shot_noise")
 def shot_noise(spark, sf_dir):
-    v = vectors_head(spark, sf_dir, 8)
+    v = ranked_vectors(spark, sf_dir, RANKED_DIMS)
     n = FE.add_shot_noise(v, "row_id", "x", SHOTS, loops=2, seed=42)
     return rounded(_long(n, ["row_id", "shots", "loop"], "noisy"))
 
@@ -707,7 +712,7 @@ def attach_label(spark, sf_dir):
 def zip_arrays(spark, sf_dir):
     from assay_spark.operators.joins import zip_arrays as _zip
 
-    v = vectors(spark, sf_dir).select("row_id", F.slice("x", 1, 4).alias("a"), F.slice("x", 61, 4).alias("b"))
+    v = vectors(spark, sf_dir).select("row_id", F.slice("x", 1, 32).alias("a"), F.slice("x", 33, 32).alias("b"))
     z = _zip(v, "a", "b", out="pairs")
     return rounded(z.select("row_id", AR.entries("pairs", "pos", "p")).select(
         "row_id", "pos", F.col("p.a").alias("a"), F.col("p.b").alias("b")))
@@ -751,18 +756,19 @@ def except_rows(spark, sf_dir):
 
 @query("concat_vectors")
 def concat_vectors(spark, sf_dir):
-    v = vectors(spark, sf_dir).select("row_id", F.slice("x", 1, 4).alias("a"), F.slice("x", 61, 4).alias("b"))
+    v = vectors(spark, sf_dir).select("row_id", F.slice("x", 1, 32).alias("a"), F.slice("x", 33, 32).alias("b"))
     return rounded(_long(RS.concat_vectors(v, ["a", "b"], out="x"), ["row_id"], "x"))
 
 
 @query("one_body")
 def one_body(spark, sf_dir):
-    """One-body readout: singles only, 18 x 10 = 180 values per row."""
-    e = FE.response_features(vectors_head(spark, sf_dir, RESPONSE_SITES), "x", order=1)
+    """One-body readout: singles only, 18 x 10 = 180 values per row, summarised
+    with a sum weighted by position."""
+    e = FE.response_features(ranked_vectors(spark, sf_dir, RESPONSE_SITES), "x", order=1)
     lng = _long(e, ["row_id"], "embedding").withColumn("step", (F.col("i") / RESPONSE_SITES).cast("int") + 1)
     return rounded(lng.groupBy("row_id", "step").agg(
-        F.count("value").alias("n"), F.sum("value").alias("sum"), F.min("value").alias("min"),
-        F.max("value").alias("max")))
+        F.count("value").alias("n"), F.sum("value").alias("sum"), F.sum(F.col("value") * (F.col("i") % RESPONSE_SITES + 1)).alias("wsum"),
+        F.min("value").alias("min"), F.max("value").alias("max")))
 
 
 @query("evaluate_timed")
@@ -771,13 +777,13 @@ def evaluate_timed(spark, sf_dir):
     return rounded(res)
 
 
-SWEEP_SHOTS = (0, 10, 100, 1000)
+SWEEP_SHOTS = (0, *C.SHOT_COUNTS)
 SWEEP_SHOTS_EXACT = (0, 10, 50)
 
 
-def _sweep(spark, sf_dir, shots, algorithms) -> DataFrame:
+def _sweep(spark, sf_dir, shots, algorithms, method) -> DataFrame:
     v = FE.scale_to(split_vectors(spark, sf_dir), "x", 1.0, fit_on=F.col("split") == "train")
-    noisy = FE.add_shot_noise(v, "row_id", "x", shots, loops=2, seed=42, out="xn")
+    noisy = FE.add_shot_noise(v, "row_id", "x", shots, loops=2, seed=42, out="xn", method=method)
     cells = noisy.select("shots", "loop", "row_id", "split", F.col("xn").alias("x"), "y")
     res = MO.evaluate(cells, ["shots", "loop"], algorithms)
     return rounded(RP.shot_curve(res.withColumnRenamed("shots", "numsamp"), "numsamp", "mse", by=["algorithm"]))
@@ -787,24 +793,24 @@ def _sweep(spark, sf_dir, shots, algorithms) -> DataFrame:
 def shot_sweep(spark, sf_dir):
     """Shot-noise experiment end to end: expectations in [-1, 1] (vectors
     scaled to bound 1), finite-shot estimates for every (shots, loop) cell
-    (1000 shots through the binomial path), one split and grouped
+    (the workflow's ten shot counts, binomial draws), one split and grouped
     ridge / kNN / mean evaluation per cell, then MSE mean and spread per
     shot count on a log axis."""
-    return _sweep(spark, sf_dir, SWEEP_SHOTS, ["ridge", "knn", "mean"])
+    return _sweep(spark, sf_dir, SWEEP_SHOTS, ["ridge", "knn", "mean"], "binomial")
 
 
 @query("shot_sweep_exact")
 def shot_sweep_exact(spark, sf_dir):
     """The shot sweep on the md5-draw path (up to 50 shots) with the
     SQL-checkable models (kNN, train mean)."""
-    return _sweep(spark, sf_dir, SWEEP_SHOTS_EXACT, ["knn", "mean"])
+    return _sweep(spark, sf_dir, SWEEP_SHOTS_EXACT, ["knn", "mean"], "counted")
 
 
 COMPARE_SITES = 8
 
 
 def _compare(spark, sf_dir, algorithms) -> DataFrame:
-    v = vectors_head(spark, sf_dir, COMPARE_SITES)
+    v = ranked_vectors(spark, sf_dir, COMPARE_SITES)
     cells = SA.subsamples(v.select("row_id", "stratum"), "row_id", "stratum", GRID_SIZES, GRID_REPEATS, seed=42,
                           replace=False)
     cells = cells.join(v.select("row_id", "x", "y"), "row_id")
@@ -825,7 +831,7 @@ def _compare(spark, sf_dir, algorithms) -> DataFrame:
 @query("compare_sources")
 def compare_sources(spark, sf_dir):
     """The reference's headline comparison on every subsample cell, over the
-    first 8 features max-abs scaled to +/-6 on each cell's train rows: raw
+    eight highest-ranked features max-abs scaled to +/-6 on each cell's train rows: raw
     features vs the full response embedding (singles + pairs per step) vs
     the one-body embedding, each scored by grouped ridge / kNN / mean, rolled
     up to MSE mean and spread per (size, source, algorithm)."""
@@ -870,3 +876,93 @@ def rank_linear_single(spark, sf_dir):
     co = MO.fit_grouped(p, ["p_brand"], "x", "y")
     imp = IM.linear_attribution(p, co, ["p_brand"], "x")
     return rounded(IM.top_features(imp, 1, by=["p_brand"]))
+
+
+# ====================================================================== sources and sinks
+from assay_spark.sources import files as SRC  # noqa: E402
+
+
+def _folder(spark, name: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    import uuid
+
+    from assay_spark.session import checkpoint_dir
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/sources/{name}-{uuid.uuid4().hex}"
+
+
+def _part_cells(spark, sf_dir) -> DataFrame:
+    """The part table as a family of split files: keys from its columns."""
+    p = table(spark, sf_dir, "part")
+    keys = {"split": F.when(F.col("p_size") <= 40, "train").otherwise("test"), "rec": F.lit(200), "sub": F.col("p_size") % 4,
+            "act": F.length("p_type") % 3, "version": F.lit(1)}
+    return p.select("p_partkey", "p_size", "p_retailprice", *[v.cast("string" if k == "split" else "int").alias(k) for k, v in keys.items()])
+
+
+_PART_SCHEMA = "p_partkey long, p_size int, p_retailprice double"
+
+
+@query("read_wide")
+def read_wide(spark, sf_dir):
+    """lineitem's numeric columns written as headered CSV and scanned with a declared schema."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *LINE_NUM)
+    path = _folder(spark, "wide")
+    li.write.option("header", True).csv(path)
+    return rounded(SRC.read_wide(spark, path, li.schema))
+
+
+def _cell_files(spark, sf_dir) -> str:
+    path, d = _folder(spark, "cells"), _part_cells(spark, sf_dir)
+    name = SRC.cell_name("X", *[F.col(c) for c in ("split", "rec", "sub", "act", "version")])
+    SRC.write_cell_files(d.select("p_partkey", "p_size", "p_retailprice", name.alias("cell")), path)
+    return path + "/*"
+
+
+@query("read_cells")
+def read_cells(spark, sf_dir):
+    """A family of cell files written in one job and read in one scan, keys from the names."""
+    return rounded(SRC.read_cells(spark, _cell_files(spark, sf_dir), _PART_SCHEMA))
+
+
+@query("read_cells_columns")
+def read_cells_columns(spark, sf_dir):
+    """S3: the same scan of one column."""
+    return SRC.read_cells(spark, _cell_files(spark, sf_dir), _PART_SCHEMA, columns=["p_partkey"])
+
+
+@query("write_cells")
+def write_cells(spark, sf_dir):
+    """Keyed tables partitioned by their cell keys, and one cell family read back by pruning."""
+    path = _folder(spark, "keyed")
+    SRC.write_cells(_part_cells(spark, sf_dir), path, keys=("act", "rec", "sub", "version"))
+    back = spark.read.parquet(path).where("act = 1")
+    return rounded(back.select("p_partkey", "p_size", "p_retailprice", "split", *[F.col(c).cast("int").alias(c) for c in ("rec", "sub", "act", "version")]))
+
+
+@query("write_vectors")
+def write_vectors(spark, sf_dir):
+    """Vectors written and read back, as entries."""
+    path = _folder(spark, "vectors")
+    SRC.write_vectors(vectors(spark, sf_dir).select("row_id", "x", "stratum"), path, keys=("stratum",))
+    return rounded(_long(spark.read.parquet(path), ["row_id"], "x"))
+
+
+@query("matrix_roundtrip")
+def matrix_roundtrip(spark, sf_dir):
+    """Readout-major matrix text written (transposed) and read back, as entries by sample position."""
+    path = _folder(spark, "matrix")
+    SRC.write_matrix(vectors(spark, sf_dir), path, "row_id", "x")
+    return rounded(_long(SRC.read_matrix(spark, path), ["sample"], "x"))
+
+
+#: Scores of the S7 example: metric -> model (a region's name) -> list.
+SCORES = {"mse": {"AFRICA": [0.5, 0.25], "ASIA": [1.5], "EUROPE": []}, "r2": {"ASIA": [0.75, 0.125], "EUROPE": [0.0625]}}
+
+
+@query("from_scores")
+def from_scores(spark, sf_dir):
+    """A nested literal table as rows, joined to the customers' region."""
+    s = RS.scores_long(SRC.from_scores(spark, SCORES, "literal"), "scores", ["source"])
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
+    c = table(spark, sf_dir, "customer").withColumnRenamed("c_nationkey", "n_nationkey").join(n, "n_nationkey")
+    return rounded(c.select("c_custkey", F.col("r_name").alias("model")).join(s, "model").select("c_custkey", "model", "metric", "run", "score"))

@@ -8,6 +8,7 @@ checkpoint folder) always win.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,11 +49,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared (HDFS/object store) folder there.  Only when it
-    is unset -- local tests -- do we create one under the system temp dir.
+    A cluster names a shared (HDFS/object store) folder there, or the
+    application has called ``setCheckpointDir``.  Only a local session may do
+    without: it gets a folder under the system temp dir.  On a cluster the
+    executors could not share that folder, so an unset one is an error.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="assay-ckpt-")
         try:  # a core setting: some deployments refuse runtime changes
             spark.conf.set("spark.checkpoint.dir", d)

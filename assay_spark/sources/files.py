@@ -18,7 +18,8 @@ from assay_spark.functions import arrays as A
 
 # Fixed file-name convention of the split files (kind, rec, sub, act, version):
 # {X|y}_{train|test}_{rec}rec_sub{sub}act{act}v{version}.csv
-CELL_NAME_PATTERN = r"([Xy])_(train|test)_([0-9]+)rec_sub([0-9]+)act([0-9]+)v([0-9]+)\.csv$"
+# (a folder of that name, as Spark writes it, counts like a file)
+CELL_NAME_PATTERN = r"([Xy])_(train|test)_([0-9]+)rec_sub([0-9]+)act([0-9]+)v([0-9]+)\.csv(?:/[^/]*)?$"
 
 
 def read_wide(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
@@ -65,6 +66,18 @@ def read_matrix(spark: SparkSession, glob: str, sample_col: str = "sample", out:
     return g.select(F.col("_s").cast("long").alias(sample_col), F.transform("_l", lambda s: s["_v"]).alias(out))
 
 
+def cell_name(kind: str, split, rec, sub, act, version) -> "F.Column":
+    """The fixed file name of a cell, from its key columns."""
+    return F.concat(F.lit(f"{kind}_"), split, F.lit("_"), rec.cast("string"), F.lit("rec_sub"), sub.cast("string"),
+                    F.lit("act"), act.cast("string"), F.lit("v"), version.cast("string"), F.lit(".csv"))
+
+
+def write_cell_files(df: DataFrame, path: str, name: str = "cell", mode: str = "overwrite") -> None:
+    """S5 as CSV: one folder per cell name (column ``name``) below ``path``, in one
+    job; ``read_cells(spark, path + "/*")`` reads the family back."""
+    df.write.mode(mode).partitionBy(name).option("header", True).csv(path)
+
+
 def write_cells(df: DataFrame, path: str, keys: Sequence[str] = ("act", "rec", "sub", "version"),
                 fmt: str = "parquet", mode: str = "overwrite") -> None:
     """Keyed tables, partitioned by the cell keys."""

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from assay_spark.plans.queries import QUERIES
 from assay_spark.operators import models as MO
 from assay_spark.operators import sampling as SA
 
@@ -24,7 +25,7 @@ def test_no_cross_or_nested_loop_join_in_registered_queries(spark):
     skip = {"forest", "gbt", "bagging", "tree", "ols_ml", "elbow", "rank_tree", "rank_permutation", "pca",
             "pca_variance", "kmeans", "attach_label", "evaluate_timed", "evaluate_forest_grid", "compare_sources",
             "evaluate_grid", "rollup_grid", "shot_sweep", "flagship_knn_eval"}
-    for name, q in E.queries().items():
+    for name, q in QUERIES.items():
         if name in skip:
             continue
         p = _plan(q(spark, SF))

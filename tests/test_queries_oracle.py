@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from assay_spark.plans.oracle import ORACLE
+from assay_spark.plans.queries import QUERIES
 from assay_spark.plans.catalog import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -37,7 +39,7 @@ def test_entry_runs(spark):
     assert df.count() == 1 and set(df.columns) == {"mse", "mae", "r2", "n"}
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_duckdb(spark, duck, name):
     df = E.queries()[name](spark, SF)
     res = duck.execute(E.oracle_sql()[name])
@@ -46,6 +48,6 @@ def test_query_matches_duckdb(spark, duck, name):
     assert _rows(df.columns, [tuple(r) for r in df.collect()]) == _rows(ocols, res.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql()) - SLOW_ROWS_ONLY))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - SLOW_ROWS_ONLY))
 def test_rows_only_queries_run(spark, name):
     assert E.queries()[name](spark, SF).count() > 0
