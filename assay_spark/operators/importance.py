@@ -49,9 +49,9 @@ def correlation_importance(df: DataFrame, vec: str = "x", y: str = "y") -> DataF
     decimals so that ties are ties on any engine; constant ones get 0.
     Output (feature, importance)."""
     e = df.select(F.col(y).cast("double").alias("_y"), A.entries(vec, "feature", "_x"))
-    c = F.corr("_x", "_y")
+    c = F.covar_pop("_x", "_y") / F.nullif(F.stddev_pop("_x") * F.stddev_pop("_y"), F.lit(0.0))
     return e.groupBy(F.col("feature").cast("int").alias("feature")).agg(
-        F.round(F.coalesce(F.abs(F.nanvl(c, F.lit(0.0))), F.lit(0.0)), 9).alias("importance"))
+        F.round(F.coalesce(F.abs(c), F.lit(0.0)), 9).alias("importance"))
 
 
 # ---------------------------------------------------------------- F12
