@@ -36,12 +36,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def worker_cache(key: str, make):
-    """A value kept for the life of a Python worker (not only of one task)."""
+    """A value kept by a Python worker from task to task, until it needs another one.
+
+    A job of several operators thus holds one operator's cache at a time.
+    """
     holder = sys.modules.get("_assay_llm_worker")
     if holder is None:
         holder = sys.modules["_assay_llm_worker"] = types.ModuleType("_assay_llm_worker")
         holder.values = {}
     if key not in holder.values:
+        holder.values.clear()
         holder.values[key] = make()
     return holder.values[key]
 
