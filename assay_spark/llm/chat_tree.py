@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay_spark.llm.common import stage
+from assay_spark.llm.common import stage, unstage
 
 #: The escapes of the template.
 ESCAPES = (("\\", "\\b"), ("<", "\\l"), (">", "\\g"))
@@ -128,7 +128,9 @@ def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
     for k, level in enumerate(rounds):
         step = on_path.join(level, "id").select(
             "path", F.col("up").alias("id"), (F.col("back") + 2 ** k).alias("back"))
-        on_path = stage(on_path.unionByName(step), "paths")
+        before, on_path = on_path, stage(on_path.unionByName(step), "paths")
+        if k:
+            unstage(before)
     turns = on_path.join(messages.select("id", "role", "text"), "id")
     paths = turns.groupBy("path").agg(F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("at"), "role", "text"))).alias("turns"))
 

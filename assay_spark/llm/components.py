@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay_spark.llm.common import stage
+from assay_spark.llm.common import stage, unstage
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -41,7 +41,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         seen = tuple(mark)
         if not mark["n"]:
             break
-        now = stage(_small_star(_large_star(now).distinct()).distinct(), "stars")
+        before, now = now, stage(_small_star(_large_star(now).distinct()).distinct(), "stars")
+        unstage(before)
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

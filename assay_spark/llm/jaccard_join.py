@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay_spark.llm.common import CACHE_ENTRIES, stage, text_slices, worker_cache
+from assay_spark.llm.common import CACHE_ENTRIES, stage, text_slices, unstage, worker_cache
 from assay_spark.llm.components import components
 
 #: Ratio of a size class's ends, seeds tried before single shingles serve as slices.
@@ -369,11 +369,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = window.join(active_sets, "node").select(
         "region", "node", "n", F.col("near").cast("bigint").alias("near"), F.lit(0).cast("bigint").alias("home"),
         F.lit(0).cast("bigint").alias("levels"), "members")
-    edges = join_regions(stage(rows, "regions"), percent)
+    rows = stage(rows, "regions")
+    edges = join_regions(rows, percent)
     links = cell.where("near").select(F.col("node").alias("a"), F.col("region").alias("b"))
     for e in edges:
         links = links.unionByName(e)
     roots = stage(components(links), "roots")
+    unstage(star, active_sets, cell, rows)
 
     named = nodes.withColumn("node", F.concat_ws(":", "k1", "k2")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))

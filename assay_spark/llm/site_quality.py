@@ -39,6 +39,8 @@ EDGE = 1e-4
 #: Letters of a word's stem; stems are terms like whole words, as inflected and rare words share them.
 STEM = 5
 MEASURES = 11
+#: Texts of the sample that hold a term at least, for it to count.
+LEAST_TEXTS = 4
 
 
 def surface(text: str, words: list[str]) -> list[float]:
@@ -66,7 +68,8 @@ class Evidence:
     """Fitted models of the two targets over one feature row."""
 
     words: dict[str, int]
-    odds: dict[str, np.ndarray]
+    at: dict[str, int]
+    odds: np.ndarray
     mean: np.ndarray
     scale: np.ndarray
     weights: dict[str, np.ndarray]
@@ -78,7 +81,7 @@ class Evidence:
             own = terms(words)
             for w in self.words.keys() & own:
                 x[k, self.words[w]] = 1
-            x[k, len(self.words):] = surface(t, words) + odds_measures(own, self.odds)
+            x[k, len(self.words):] = surface(t, words) + odds_measures(self.odds[[self.at[w] for w in self.at.keys() & own]])
         return x
 
     def probabilities(self, texts: list[str]) -> dict[str, np.ndarray]:
@@ -88,48 +91,48 @@ class Evidence:
         return {t: np.clip(1 / (1 + np.exp(-np.clip(x @ w[1:] + w[0], -30, 30))), EDGE, 1 - EDGE) for t, w in self.weights.items()}
 
 
-def term_odds(sets: list[set[str]], y: np.ndarray, least: int = 3) -> dict[str, np.ndarray]:
-    """Log odds of the classes given each term that ``least`` documents hold; a column of ``y`` per target."""
-    counts: dict[str, np.ndarray] = {}
-    for s, lab in zip(sets, y):
-        row = np.append(lab, 1.0)
-        for w in s:
-            if w in counts:
-                counts[w] += row
-            else:
-                counts[w] = row.copy()
-    n1, n = y.sum(0), float(len(y))
-    return {w: np.log((c[:-1] + 0.5) / (n1 + 1) / ((c[-1] - c[:-1] + 0.5) / (n - n1 + 1))) for w, c in counts.items() if c[-1] >= least}
-
-
-def odds_measures(own: set[str], odds: dict[str, np.ndarray]) -> list[float]:
+class Sample:
+    """Term numbers of the sample's texts, so that counts are array sums."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.number: dict[str, int] = {}
+        new = self.number.setdefault
+        self.docs = [np.array([new(w, len(self.number)) for w in sorted(terms(_WORD.findall(t.lower())))], np.int64) for t in texts]
+        self.flat = np.concatenate([*self.docs, np.zeros(0, np.int64)])
+        self.row = np.repeat(np.arange(len(texts)), [len(d) for d in self.docs])
+
+    def counts(self, weight: np.ndarray) -> np.ndarray:
+        """Sum of a weight per text over the texts that hold each term."""
+        return np.bincount(self.flat, weight[self.row], len(self.number))
+
+    def odds(self, y: np.ndarray, use: np.ndarray) -> np.ndarray:
+        """Log odds of each target given each term, over the texts in use; NaN for terms of too few."""
+        n, seen = float(use.sum()), self.counts(use)[:, None]
+        one = np.stack([self.counts(use * col) for col in y.T], 1)
+        n1 = (y * use[:, None]).sum(0)
+        out = np.log((one + 0.5) / (n1 + 1) / ((seen - one + 0.5) / (n - n1 + 1)))
+        return np.where(seen >= LEAST_TEXTS, out, np.nan)
+
+    def telling(self, y: np.ndarray, top: int) -> np.ndarray:
+        """Numbers of the terms whose text counts differ most between the classes, by G-squared."""
+        n, n1 = float(len(y)), float(y.sum())
+        a, c = self.counts(y), self.counts(np.ones(len(y)))
+        g = np.zeros(len(c))
+        for seen, of in ((a, c * n1 / n), (c - a, c * (n - n1) / n), (n1 - a, (n - c) * n1 / n), (n - n1 - c + a, (n - c) * (n - n1) / n)):
+            g += np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(of, 1e-9)), 0)
+        g[c < LEAST_TEXTS] = -1
+        best = np.argsort(-g, kind="stable")[:top]
+        return best[g[best] >= 0]
+
+
+def odds_measures(found: np.ndarray) -> list[float]:
     """Largest, third largest, mean and smallest log odds of a text's terms, for each target."""
-    found = [odds[w] for w in own if w in odds]
-    if not found:
+    if not len(found):
         return [0.0] * (4 * len(TARGETS))
-    x = np.sort(np.array(found), 0)
+    x = np.sort(found, 0)
     return np.concatenate([x[-1], x[-min(3, len(x))], x.mean(0), x[0]]).tolist()
 
 
-def telling_words(sets: list[set[str]], y: np.ndarray, top: int, least: int = 5) -> list[str]:
-    """Words whose document counts differ most between the classes, by G-squared."""
-    one, all_ = Counter(), Counter()
-    for s, lab in zip(sets, y):
-        all_.update(s)
-        if lab:
-            one.update(s)
-    words = sorted(w for w, c in all_.items() if c >= least)
-    if not words:
-        return []
-    n1, n = float(y.sum()), float(len(y))
-    a = np.array([one[w] for w in words], float)
-    c = np.array([all_[w] for w in words], float)
-    g = np.zeros(len(words))
-    for seen, of in ((a, c * n1 / n), (c - a, c * (n - n1) / n), (n1 - a, (n - c) * n1 / n), (n - n1 - c + a, (n - c) * (n - n1) / n)):
-        g += np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(of, 1e-9)), 0)
-    return [words[k] for k in np.argsort(-g, kind="stable")[:top]]
-
-
 def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 2.0, rounds: int = 12) -> np.ndarray:
     x = np.concatenate([np.ones((len(x), 1)), x], 1)
     w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], l2)
@@ -147,25 +150,28 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 2.0, rounds: int = 12) -
 def fit_evidence(texts: list[str], labels: dict[str, np.ndarray], top: int = 150) -> Evidence:
     """Fit both models on the sample."""
     if any(len(set(y.tolist())) < 2 for y in labels.values()):
-        return Evidence({}, {}, np.zeros(0), np.ones(0), {})
-    sets = [terms(_WORD.findall(t.lower())) for t in texts]
-    words = sorted({w for y in labels.values() for w in telling_words(sets, y, top)})
-    y = np.stack([labels[t] for t in TARGETS], 1).astype(float)
-    ev = Evidence({w: k for k, w in enumerate(words)}, {}, np.zeros(0), np.ones(0), {})
+        return Evidence({}, {}, np.zeros((0, len(TARGETS))), np.zeros(0), np.ones(0), {})
+    sample, y = Sample(texts), np.stack([labels[t] for t in TARGETS], 1).astype(float)
+    chosen = sorted(set(np.concatenate([sample.telling(col, top) for col in y.T]).tolist()))
+    name = list(sample.number)
+    ev = Evidence({name[k]: j for j, k in enumerate(chosen)}, {}, np.zeros((0, len(TARGETS))), np.zeros(0), np.ones(0), {})
     x = ev.rows(texts)
     fold = np.arange(len(texts)) * 5 // len(texts)  # a text's log odds come from the other folds
     for f in range(5):
-        odds = term_odds([s for s, k in zip(sets, fold) if k != f], y[fold != f])
+        odds = sample.odds(y, (fold != f).astype(float))
         for k in np.flatnonzero(fold == f):
-            x[k, len(words) + MEASURES:] = odds_measures(sets[k], odds)
-    ev.odds = term_odds(sets, y)
+            own = odds[sample.docs[k]]
+            x[k, len(chosen) + MEASURES:] = odds_measures(own[~np.isnan(own[:, 0])])
+    odds = sample.odds(y, np.ones(len(texts)))
+    known = np.flatnonzero(~np.isnan(odds[:, 0]))
+    ev.at, ev.odds = {name[k]: j for j, k in enumerate(known.tolist())}, odds[known]
     ev.mean, ev.scale = x.mean(0), np.maximum(x.std(0), 1e-3)
     x = (x - ev.mean) / ev.scale
     ev.weights = {t: _logistic(x, y.astype(float)) for t, y in labels.items()}
     return ev
 
 
-def fit_on_sample(docs: DataFrame, labels: DataFrame, per_class: int = 1000, sample_chars: int = 20_000,
+def fit_on_sample(docs: DataFrame, labels: DataFrame, per_class: int = 1000, sample_chars: int = 10_000,
                   id_col: str = "doc_id", text_col: str = "text") -> Evidence:
     """Fit on a bounded, repeatable sample of the labelled rows of each class."""
     lab = labels.select(F.col(id_col).alias("id"), "quality", "toxic").where(
