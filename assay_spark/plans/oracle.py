@@ -9,6 +9,8 @@ Conventions shared with the Spark side:
 
 from __future__ import annotations
 
+from assay_spark import constants as _C
+
 ORACLE: dict[str, str] = {}
 
 
@@ -204,7 +206,7 @@ r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY h, doc_
 SELECT r.doc_id, r.lang, dr.draw FROM r JOIN dr USING (lang, pos)"""
 
 
-def _grid_draw(replace: bool) -> str:
+def _grid_draw() -> str:
     cells = "(SELECT unnest([100, 200]) AS rec) CROSS JOIN (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS sub)"
     base = f"""
     g AS (SELECT v.*, c.rec, c.sub, {H('row_id', 'rec', 'sub')} AS h
@@ -212,24 +214,31 @@ def _grid_draw(replace: bool) -> str:
     cnt AS (SELECT rec, sub, stratum, count(*) AS sn, rec // count(*) OVER (PARTITION BY rec, sub) AS m
             FROM g GROUP BY rec, sub, stratum),
     r AS (SELECT g.*, row_number() OVER (PARTITION BY rec, sub, stratum ORDER BY h, row_id) AS rk FROM g)"""
-    if not replace:
-        return f"""(WITH {base}
+    return f"""(WITH {base}
         SELECT r.row_id, r.stratum, r.rec, r.sub, r.rk AS draw FROM r JOIN cnt USING (rec, sub, stratum)
         WHERE r.rk <= cnt.m)"""
-    return f"""(WITH {base},
+
+
+def _replace_draw() -> str:
+    """The full grid with replacement: one rank per stratum, positions drawn per cell."""
+    sizes, repeats = list(_C.SUBSAMPLE_SIZES), _C.SUBSAMPLE_REPEATS
+    return f"""(WITH v AS (SELECT vec_id AS row_id, label AS stratum FROM embeddings),
+        r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {H('row_id')}, row_id) AS rk FROM v),
+        s AS (SELECT stratum, count(*) AS sn, count(*) OVER () AS k FROM v GROUP BY stratum),
+        c AS (SELECT * FROM (SELECT unnest({sizes}) AS rec) CROSS JOIN (SELECT CAST(unnest(range(1, {repeats + 1})) AS INTEGER) AS sub)),
         dr AS (SELECT rec, sub, stratum, draw, 1 + {H('stratum', 'draw', 'rec', 'sub', seed=42 + 7919)} % sn AS rk
-               FROM (SELECT *, unnest(range(1, m + 1)) AS draw FROM cnt WHERE m > 0))
-        SELECT r.row_id, r.stratum, r.rec, r.sub, dr.draw FROM r JOIN dr USING (rec, sub, stratum, rk))"""
+               FROM (SELECT s.*, c.*, unnest(range(1, c.rec // s.k + 1)) AS draw FROM s, c))
+        SELECT r.row_id, r.stratum, dr.rec, dr.sub, dr.draw FROM r JOIN dr USING (stratum, rk))"""
 
 
 ORACLE["subsamples_grid"] = "SELECT rec, sub, row_id, stratum, draw, split FROM " + _strat_split(
-    "SELECT * FROM " + _grid_draw(False), seed=43, by="rec, sub", key=("row_id", "rec", "sub"),
+    "SELECT * FROM " + _grid_draw(), seed=43, by="rec, sub", key=("row_id", "rec", "sub"),
     tiebreak="row_id, rec, sub")
 
 ORACLE["exclude_drawn"] = f"SELECT o_orderkey, o_orderpriority FROM {_ORD_TOP} WHERE draw_rank > 1800"
 
 ORACLE["overlap_report"] = f"""
-WITH s AS (SELECT * FROM {_strat_split("SELECT * FROM " + _grid_draw(True), seed=43, by="rec, sub",
+WITH s AS (SELECT * FROM {_strat_split("SELECT * FROM " + _replace_draw(), seed=43, by="rec, sub",
                                         key=("row_id", "draw", "rec", "sub"), tiebreak="row_id, draw, rec, sub")}),
 p AS (SELECT rec, sub, row_id, max(CASE WHEN split = 'train' THEN 1 ELSE 0 END) AS tr,
              max(CASE WHEN split = 'test' THEN 1 ELSE 0 END) AS te FROM s GROUP BY ALL)
@@ -506,7 +515,7 @@ SELECT row_id, CAST(step AS INTEGER) AS step, count(*) AS n, round(sum(v), 6) AS
 FROM (SELECT row_id, step, unnest(z) AS v, generate_subscripts(z, 1) AS pos FROM s) GROUP BY row_id, step"""
 
 
-_GRID_CELLS = f"""(WITH c AS (SELECT * FROM {_strat_split("SELECT * FROM " + _grid_draw(False), seed=43, by="rec, sub",
+_GRID_CELLS = f"""(WITH c AS (SELECT * FROM {_strat_split("SELECT * FROM " + _grid_draw(), seed=43, by="rec, sub",
                                                        key=("row_id", "rec", "sub"), tiebreak="row_id, rec, sub")}),
   j AS (SELECT c.rec, c.sub, c.row_id, c.split, v.x, v.y FROM c JOIN {_V} v USING (row_id)),
   d AS (SELECT rec, sub, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM j WHERE split = 'train'),
@@ -550,7 +559,7 @@ def _resp(z: str, th: str) -> str:
             f"* pow(sin(sqrt({repr(_W2)} + a * a) * {th}), 2))")
 
 
-_CMP_CELLS = f"""(WITH c AS (SELECT * FROM {_strat_split("SELECT * FROM " + _grid_draw(False), seed=43, by="rec, sub",
+_CMP_CELLS = f"""(WITH c AS (SELECT * FROM {_strat_split("SELECT * FROM " + _grid_draw(), seed=43, by="rec, sub",
                                                       key=("row_id", "rec", "sub"), tiebreak="row_id, rec, sub")}),
   j AS (SELECT c.rec, c.sub, c.row_id, c.split, v.x, e.y FROM c JOIN {_vh(8)} v USING (row_id)
         JOIN (SELECT vec_id AS row_id, CAST(label AS DOUBLE) AS y FROM embeddings) e USING (row_id)),

@@ -241,7 +241,7 @@ def exclude_drawn(spark, sf_dir):
 @query("overlap_report")
 def overlap_report(spark, sf_dir):
     v = vectors(spark, sf_dir).select("row_id", "stratum")
-    cells = SA.subsamples(v, "row_id", "stratum", GRID_SIZES, GRID_REPEATS, seed=42, replace=True)
+    cells = SA.subsamples(v, "row_id", "stratum", C.SUBSAMPLE_SIZES, C.SUBSAMPLE_REPEATS, seed=42, replace=True)
     return SA.overlap(cells, "row_id", ["rec", "sub"])
 
 
