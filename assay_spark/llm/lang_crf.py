@@ -208,14 +208,17 @@ def fit(texts: list[str], labels: list[str], rounds: int = 30, rate: float = 0.2
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, sample_chars: int) -> list:
     """A bounded, repeatable sample of labelled rows: [(text, lang)]."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()
-                      & (F.length(text_col) <= sample_chars)).select(
-        F.col(id_col).cast("string").alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
-    counts = rows.groupBy("l").agg(F.count("*").alias("n"))
-    draw = F.pmod(F.xxhash64("i"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    near = rows.join(counts, "l").where(draw < F.lit(2.0 * per_lang + 20) / F.col("n"))
-    first = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("i"), "t"))
-    return sorted((r["t"], r["l"]) for r in near.withColumn("k", first).where(F.col("k") <= per_lang).select("t", "l").collect())
+    ok = (F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & (F.length(text_col) <= sample_chars))
+    rows = docs.where(ok).select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t"))
+    # ids and languages alone are counted, joined and ranked; texts are read for the drawn ids
+    light = rows.select("i", "l")
+    counts = light.groupBy("l").agg(F.count("*").alias("n"))
+    key = F.xxhash64(F.col("i").cast("string"))
+    draw = F.pmod(key, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    near = light.join(F.broadcast(counts), "l").where(draw < F.lit(2.0 * per_lang + 20) / F.col("n"))  # a row per language
+    first = F.row_number().over(Window.partitionBy("l").orderBy(key, "i"))
+    drawn = near.withColumn("k", first).where(F.col("k") <= per_lang).select("i", "l").distinct()  # per_lang rows per language
+    return sorted((r["t"], r["l"]) for r in rows.join(F.broadcast(drawn), ["i", "l"]).select("t", "l").collect())
 
 
 def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
