@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from assay_spark.llm.common import CACHE_ENTRIES, text_slices, worker_cache
 
 BITS, FOLDS, HOT, ALPHA = 20, 2, 512, 0.4
-BUCKET_GRAMS = 1_000_000
+#: Bigrams of a bucket and documents of a block of partial sums, about.
+BUCKET_GRAMS, BLOCK_DOCS = 1_000_000, 8192
 
 
 class WordSlots:
@@ -117,6 +118,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         model = spark.sparkContext.broadcast((back, np.log(uni)))
     known = spark.sparkContext.broadcast(number)
     buckets = max(16, int(total.sum()) // BUCKET_GRAMS)
+    blocks = max(16, docs.count() // BLOCK_DOCS)
     ln_alpha = float(np.log(alpha))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,13 +180,21 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             s = ln_alpha + back[fold, w]
             s[seen] = np.log(c[seen]) - log_uni[fold[seen], v[seen]]
             sums = np.bincount(doc, s, len(ids))
-            by_id = pd.DataFrame({"id": ids, "s": sums, "n": 0}).groupby("id", dropna=False, as_index=False).sum()
-            out.append(by_id)
-        return pd.concat(out)
+            out.append(pd.DataFrame({"id": ids, "s": sums, "n": 0}))
+        sums = pd.concat(out).groupby("id", dropna=False, as_index=False).sum()
+        block = (sums["id"].fillna(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(blocks)
+        return pd.DataFrame([(int(k), [None if pd.isna(i) else int(i) for i in x["id"]], x["s"].tolist(), x["n"].tolist())
+                             for k, x in sums.groupby(block)], columns=["block", "ids", "s", "n"])
+
+    def add_up(g: pd.DataFrame) -> pd.DataFrame:
+        cat = lambda c: np.concatenate(list(g[c]))
+        ids = pd.array([None if pd.isna(i) else int(i) for x in g["ids"] for i in x], "Int64")
+        return pd.DataFrame({"id": ids, "s": cat("s"), "n": cat("n")}).groupby("id", dropna=False, as_index=False).sum()
 
     dealt = docs.mapInArrow(explode, "bucket bigint, ids array<bigint>, sizes array<int>, grams binary, sums array<double>")
-    parts = dealt.groupBy("bucket").applyInPandas(score, "id bigint, s double, n bigint")
-    sums = parts.groupBy("id").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    # a bucket's partial sums go back in one row per block of documents
+    parts = dealt.groupBy("bucket").applyInPandas(score, "block bigint, ids array<bigint>, s array<double>, n array<bigint>")
+    sums = parts.groupBy("block").applyInPandas(add_up, "id bigint, s double, n bigint")
     return sums.select(F.col("id").alias(id_col), F.col("n").alias("n_words"),
                        F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias("lm_score"))
 
