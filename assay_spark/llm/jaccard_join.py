@@ -11,9 +11,10 @@ Documents with equal shingle sets are one class.  Classes meet as follows.
    spare, g agree, and one of them is not empty unless both sets have g empty
    slices; such sets are hashed again with the next seed, so the first seed at
    which either set of a pair stops serves the pair.  Sets that never stop give
-   single shingles, by prefix filtering, so no link is lost.  Shingles that are
-   frequent in a sample of classes are kept out of the slices, which would else
-   meet in widespread passages; this changes the work, not the links.
+   single shingles, by prefix filtering, so no link is lost.  Shingles that
+   some 80 classes hold (by a sample of a tenth of them; the million most
+   frequent) are kept out of the slices, which would else meet in widespread
+   passages; this changes the work, not the links.
 2. Regions.  The smallest set of a slice's content is its pivot; its cell holds
    all sets that share the content.  Sets within the radius of their pivot link
    to it, and need no comparison with each other: they are connected already.
@@ -49,8 +50,8 @@ from assay_spark.llm.components import components
 CLASS_RATIO, SEEDS = 1.25, 6
 #: Sets and shingles of a region that one task compares; levels of Voronoi cells; pivots per region and level.
 LEAF, LEAF_SHINGLES, ROUNDS, PIVOTS = 384, 800_000, 1, 8
-#: Classes in the sample that tells frequent shingles, and how many of them hold one.
-SAMPLE, FREQUENT = 4000, 8
+#: One class in so many tells frequent shingles; how many of those hold one, and the most that are kept.
+SAMPLE_PART, FREQUENT, MOST = 10, 8, 1_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -343,13 +344,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     sets = stage(docs.mapInArrow(keys, f"id {kind}, n bigint, k1 bigint, k2 bigint"), "sets")
     linked = docs.where("id IS NOT NULL")
-    # frequent shingles, from a sample of classes; any list gives the same links, a good one fewer comparisons
-    nodes = sets.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    nodes = stage(nodes, "nodes")
-    share = min(1.0, SAMPLE / max(1, nodes.count()))
-    some = nodes.where(F.pmod(F.col("k1"), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.col("rep").alias("id")).orderBy("id").limit(2 * SAMPLE)
-    often = linked.join(F.broadcast(some), "id").mapInArrow(each, "s bigint").groupBy("s").agg(F.count("*").alias("c"))
-    often = spark.sparkContext.broadcast(np.sort(often.where(F.col("c") >= FREQUENT).select("s").toArrow()["s"].to_numpy().view(np.uint64)))
+    # frequent shingles, from a tenth of the classes; any list gives the same links, a good one fewer comparisons
+    nodes = stage(sets.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("rep")), "nodes")
+    some = F.pmod(F.xxhash64("id"), F.lit(SAMPLE_PART)) == 0
+    reps = nodes.select(F.col("rep").alias("id")).where(some)
+    often = linked.where(some).join(reps, "id", "left_semi").mapInArrow(each, "s bigint").groupBy("s").agg(F.count("*").alias("c"))
+    often = often.where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "s").limit(MOST).select("s").toArrow()  # MOST numbers
+    often = spark.sparkContext.broadcast(np.sort(often["s"].to_numpy().view(np.uint64)))
     # one shuffle by slice content
     met = linked.mapInArrow(slices, "key bigint, k1 bigint")
     met = met.withColumn("p", F.min("k1").over(Window.partitionBy("key"))).where("k1 != p")
