@@ -38,7 +38,7 @@ from assay_spark.llm.common import CACHE_ENTRIES, text_slices, worker_cache
 
 BITS, FOLDS, HOT, ALPHA = 20, 2, 512, 0.4
 #: Bigrams of a bucket and documents of a block of partial sums, about.
-BUCKET_GRAMS, BLOCK_DOCS = 1_000_000, 8192
+BUCKET_GRAMS, BLOCK_DOCS = 3_000_000, 8192
 
 
 class WordSlots:
@@ -91,6 +91,15 @@ def others(counts: np.ndarray) -> np.ndarray:
     return counts.sum(0, keepdims=True) - counts
 
 
+def _by_block(ids: list, s: np.ndarray, n: np.ndarray | None, blocks: int) -> list[tuple]:
+    """(block, ids, s, n) rows of partial sums, one per block of documents; n only where words were counted."""
+    sums = pd.DataFrame({"id": pd.array([None if pd.isna(i) else int(i) for i in ids], "Int64"), "s": s, "n": 0 if n is None else n})
+    sums = sums.groupby("id", dropna=False, as_index=False).sum()
+    block = (sums["id"].fillna(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(blocks)
+    return [(int(k), [None if pd.isna(i) else int(i) for i in x["id"]], x["s"].tolist(), None if n is None else x["n"].tolist())
+            for k, x in sums.groupby(block)]
+
+
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, folds: int = FOLDS,
                     hot: int = HOT, alpha: float = ALPHA) -> DataFrame:
     """(id, n_words, lm_score) of every document."""
@@ -160,36 +169,32 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def score(g: pd.DataFrame) -> pd.DataFrame:
         back, log_uni = model.value
         local = g[g["grams"].isna()]
-        out = [pd.DataFrame({"id": pd.array([i for x in local["ids"] for i in x], "Int64"),
-                             "s": np.concatenate([*local["sums"], np.zeros(0)]), "n": np.concatenate([*local["sizes"], np.zeros(0)]).astype(np.int64)})]
+        out = _by_block([i for x in local["ids"] for i in x], np.concatenate([*local["sums"], np.zeros(0)]),
+                        np.concatenate([*local["sizes"], np.zeros(0)]).astype(np.int64), blocks)
         g = g[~g["grams"].isna()]
         if len(g):
             width = -(-2 * bits // 8)
             raw = np.zeros((sum(len(x) for x in g["grams"]) // width, 8), np.uint8)
             raw[:, :width] = np.frombuffer(b"".join(g["grams"]), np.uint8).reshape(-1, width)
             gram = raw.view("<u8").ravel().astype(np.int64)
-            ids = pd.array([None if pd.isna(i) else int(i) for x in g["ids"] for i in x], "Int64")
-            sizes = np.concatenate(list(g["sizes"])).astype(np.int64)
-            doc = np.repeat(np.arange(len(ids)), sizes)
-            fold = np.repeat(np.array([0 if pd.isna(i) else int(i) % folds for i in ids], np.int64), sizes)
+            del raw
+            ids = [None if pd.isna(i) else int(i) for x in g["ids"] for i in x]
+            doc = np.repeat(np.arange(len(ids), dtype=np.int32), np.concatenate(list(g["sizes"])).astype(np.int64))
+            fold = np.array([(i or 0) % folds for i in ids], np.int8)[doc]
             table, at = np.unique(gram, return_inverse=True)  # this bucket's count table
             counts = np.bincount(at * folds + fold, minlength=len(table) * folds).reshape(-1, folds)
             c = counts.sum(1)[at] - counts[at, fold]
-            v, w = gram >> bits, gram & ((1 << bits) - 1)
-            seen = c > 0
-            s = ln_alpha + back[fold, w]
-            s[seen] = np.log(c[seen]) - log_uni[fold[seen], v[seen]]
-            sums = np.bincount(doc, s, len(ids))
-            out.append(pd.DataFrame({"id": ids, "s": sums, "n": 0}))
-        sums = pd.concat(out).groupby("id", dropna=False, as_index=False).sum()
-        block = (sums["id"].fillna(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)) % np.uint64(blocks)
-        return pd.DataFrame([(int(k), [None if pd.isna(i) else int(i) for i in x["id"]], x["s"].tolist(), x["n"].tolist())
-                             for k, x in sums.groupby(block)], columns=["block", "ids", "s", "n"])
+            del at, table, counts
+            s = ln_alpha + back[fold, gram & ((1 << bits) - 1)]
+            seen = np.flatnonzero(c)
+            s[seen] = np.log(c[seen]) - log_uni[fold[seen], gram[seen] >> bits]
+            out += _by_block(ids, np.bincount(doc, s, len(ids)), None, blocks)
+        return pd.DataFrame(out, columns=["block", "ids", "s", "n"])
 
     def add_up(g: pd.DataFrame) -> pd.DataFrame:
-        cat = lambda c: np.concatenate(list(g[c]))
         ids = pd.array([None if pd.isna(i) else int(i) for x in g["ids"] for i in x], "Int64")
-        return pd.DataFrame({"id": ids, "s": cat("s"), "n": cat("n")}).groupby("id", dropna=False, as_index=False).sum()
+        n = np.concatenate([np.zeros(len(i), np.int64) if n is None else n for i, n in zip(g["ids"], g["n"])])
+        return pd.DataFrame({"id": ids, "s": np.concatenate(list(g["s"])), "n": n}).groupby("id", dropna=False, as_index=False).sum()
 
     dealt = docs.mapInArrow(explode, "bucket bigint, ids array<bigint>, sizes array<int>, grams binary, sums array<double>")
     # a bucket's partial sums go back in one row per block of documents
