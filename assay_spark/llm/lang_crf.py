@@ -184,7 +184,7 @@ def fit(texts: list[str], labels: list[str], rounds: int = 30, rate: float = 0.2
     pairs = np.bincount(y[inner] * size + y[inner + 1], minlength=size * size).reshape(size, size)
     moments = [np.zeros_like(model.weights), np.zeros_like(model.weights), np.zeros((size, size)), np.zeros((size, size))]
     for step in range(1, rounds + 1):
-        e = model.weights[features].sum(1)
+        e = np.concatenate([model.weights[features[k:k + 20_000]].sum(1) for k in range(0, len(features), 20_000)])
         e = np.exp(e - e.max(1, keepdims=True))
         steps = np.empty((len(y), size))
         steps[chains.place] = e[at]
