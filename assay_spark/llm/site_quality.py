@@ -13,16 +13,18 @@ itself is left out of its path's rate.  Its posterior odds are the odds of its
 own evidence times those of its path over the global ones.
 
 A document is kept if its quality is 0.5 or more and its toxicity below 0.5.
-Null texts count as empty; null hosts or paths are a site of their own.  Without
-labelled rows of both classes the evidence is 0.5 for all.  Repeated rows count
-as documents of their own; extra columns are not carried.
+Each target is fitted on its own: one whose sample lacks a class (no labels, no
+toxic one among them) has evidence 0.5 for all and decides nothing, so without
+any fitted target all documents are kept.  Null texts count as empty; null hosts
+or paths are a site of their own.  Repeated rows count as documents of their
+own; extra columns are not carried.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -65,7 +67,7 @@ def terms(words: list[str]) -> set[str]:
 
 @dataclass
 class Evidence:
-    """Fitted models of the two targets over one feature row."""
+    """Fitted models over one feature row; ``weights`` has the targets whose sample held both classes."""
 
     words: dict[str, int]
     at: dict[str, int]
@@ -85,10 +87,11 @@ class Evidence:
         return x
 
     def probabilities(self, texts: list[str]) -> dict[str, np.ndarray]:
-        if not self.weights:
-            return {t: np.full(len(texts), 0.5) for t in TARGETS}
-        x = (self.rows(texts) - self.mean) / self.scale
-        return {t: np.clip(1 / (1 + np.exp(-np.clip(x @ w[1:] + w[0], -30, 30))), EDGE, 1 - EDGE) for t, w in self.weights.items()}
+        out = {t: np.full(len(texts), 0.5) for t in TARGETS}
+        if self.weights:
+            x = (self.rows(texts) - self.mean) / self.scale
+            out |= {t: np.clip(1 / (1 + np.exp(-np.clip(x @ w[1:] + w[0], -30, 30))), EDGE, 1 - EDGE) for t, w in self.weights.items()}
+        return out
 
 
 class Sample:
@@ -106,12 +109,12 @@ class Sample:
         return np.bincount(self.flat, weight[self.row], len(self.number))
 
     def odds(self, y: np.ndarray, use: np.ndarray) -> np.ndarray:
-        """Log odds of each target given each term, over the texts in use; NaN for terms of too few."""
+        """Log odds of each target given each term, over the texts in use; NaN for terms of too few, 0 for a target of one class."""
         n, seen = float(use.sum()), self.counts(use)[:, None]
         one = np.stack([self.counts(use * col) for col in y.T], 1)
         n1 = (y * use[:, None]).sum(0)
         out = np.log((one + 0.5) / (n1 + 1) / ((seen - one + 0.5) / (n - n1 + 1)))
-        return np.where(seen >= LEAST_TEXTS, out, np.nan)
+        return np.where(seen >= LEAST_TEXTS, np.where(y.min(0) < y.max(0), out, 0.0), np.nan)
 
     def telling(self, y: np.ndarray, top: int) -> np.ndarray:
         """Numbers of the terms whose text counts differ most between the classes, by G-squared."""
@@ -148,11 +151,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, l2: float = 2.0, rounds: int = 12) -
 
 
 def fit_evidence(texts: list[str], labels: dict[str, np.ndarray], top: int = 150) -> Evidence:
-    """Fit both models on the sample."""
-    if any(len(set(y.tolist())) < 2 for y in labels.values()):
+    """Fit a model for each target of which the sample holds both classes."""
+    both = [t for t in TARGETS if len(set(labels[t].tolist())) > 1]
+    if not both:
         return Evidence({}, {}, np.zeros((0, len(TARGETS))), np.zeros(0), np.ones(0), {})
     sample, y = Sample(texts), np.stack([labels[t] for t in TARGETS], 1).astype(float)
-    chosen = sorted(set(np.concatenate([sample.telling(col, top) for col in y.T]).tolist()))
+    chosen = sorted(set(np.concatenate([sample.telling(labels[t].astype(float), top) for t in both]).tolist()))
     name = list(sample.number)
     ev = Evidence({name[k]: j for j, k in enumerate(chosen)}, {}, np.zeros((0, len(TARGETS))), np.zeros(0), np.ones(0), {})
     x = ev.rows(texts)
@@ -167,7 +171,7 @@ def fit_evidence(texts: list[str], labels: dict[str, np.ndarray], top: int = 150
     ev.at, ev.odds = {name[k]: j for j, k in enumerate(known.tolist())}, odds[known]
     ev.mean, ev.scale = x.mean(0), np.maximum(x.std(0), 1e-3)
     x = (x - ev.mean) / ev.scale
-    ev.weights = {t: _logistic(x, y.astype(float)) for t, y in labels.items()}
+    ev.weights = {t: _logistic(x, labels[t].astype(float)) for t in both}
     return ev
 
 
@@ -211,8 +215,8 @@ def _odds(p: Column) -> Column:
     return p / (1 - p)
 
 
-def combine(evidence: DataFrame) -> DataFrame:
-    """Add host and path rates and posteriors of both targets to document evidence."""
+def combine(evidence: DataFrame, decide: Iterable[str] = TARGETS) -> DataFrame:
+    """Add host and path rates, posteriors of both targets and the decision by those in ``decide`` to document evidence."""
     sums = [F.sum(f"p_{t}").alias(f"s_{t}") for t in TARGETS]
     paths = evidence.groupBy("host", "path").agg(F.count("*").alias("n"), *sums)
     hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), *[F.sum(f"s_{t}").alias(f"h_{t}") for t in TARGETS])
@@ -232,7 +236,12 @@ def combine(evidence: DataFrame) -> DataFrame:
         out = out.withColumn(f"path_{t}", rest)
         odds = _odds(F.col(f"p_{t}")) * _odds(F.col(f"path_{t}")) / _odds(F.col(f"g_{t}"))
         out = out.withColumn(t, odds / (1 + odds))
-    return out.withColumn("keep", (F.col("quality") >= 0.5) & (F.col("toxic") < 0.5))
+    keep = F.lit(True)
+    if "quality" in decide:
+        keep = keep & (F.col("quality") >= 0.5)
+    if "toxic" in decide:
+        keep = keep & (F.col("toxic") < 0.5)
+    return out.withColumn("keep", keep)
 
 
 def judge(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -241,4 +250,4 @@ def judge(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col
     model = fit_on_sample(docs, labels, per_class=per_class, id_col=id_col, text_col=text_col)
     evidence = stage(document_evidence(docs, model, id_col, text_col, host, path), "evidence")
     cols = ["host", "path", "text_hash", "p_quality", "p_toxic", *[f"{k}_{t}" for k in ("host", "path") for t in TARGETS], "quality", "toxic", "keep"]
-    return combine(evidence).select(F.col("id").alias(id_col), *cols)
+    return combine(evidence, tuple(model.weights)).select(F.col("id").alias(id_col), *cols)
