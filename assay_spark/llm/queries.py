@@ -21,6 +21,7 @@ from assay_spark.llm.site_quality import judge
 from assay_spark.llm.syncmers import fingerprint_edits
 from assay_spark.llm.token_offsets import section_tokens
 from assay_spark.llm.vector_graph import near_duplicates
+from assay_spark.llm.word_lm import score_words
 
 
 def op1_lang_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +47,11 @@ def op4_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("lm_score", F.round("lm_score", 6))
 
 
+def backoff_lm_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff score of every document over whole words, with counts of all other documents."""
+    return score_words(table(spark, sf_dir, "documents")).withColumn("lm_score", F.round("lm_score", 6))
+
+
 def op5_pattern_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 5: all documents packed into sequences of at most 4096 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), max_len=4096, end_id=1)
@@ -109,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_site_quality": op8_site_quality,
     "op9_syncmers": op9_syncmers,
     "op10_token_offsets": op10_token_offsets,
+    "backoff_lm_words": backoff_lm_words,
 }
 
 _ESC = "replace(replace(replace({}, chr(92), chr(92) || 'b'), '<', chr(92) || 'l'), '>', chr(92) || 'g')"
@@ -134,6 +141,25 @@ ORACLE: dict[str, str] = {
                      LEFT JOIN n ON n.fold = g.fold)
         SELECT d.doc_id, count(s.s) AS n_words, round(sum(s.s) / nullif(count(s.s), 0), 6) AS lm_score
         FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id""",
+    "backoff_lm_words": f"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM d),
+        g AS (SELECT doc_id, pos, w, lag(w) OVER (PARTITION BY doc_id ORDER BY pos) AS v FROM w),
+        o1 AS (SELECT doc_id, w, count(*) AS c FROM w GROUP BY ALL),
+        c1 AS (SELECT w, sum(c) AS c FROM o1 GROUP BY ALL),
+        o2 AS (SELECT doc_id, v, w, count(*) AS c FROM g WHERE v IS NOT NULL GROUP BY ALL),
+        c2 AS (SELECT v, w, sum(c) AS c FROM o2 GROUP BY ALL),
+        n AS (SELECT doc_id, count(*) AS n FROM w GROUP BY ALL),
+        t AS (SELECT sum(c) AS n, count(*) AS v FROM c1),
+        s AS (SELECT g.doc_id, CASE WHEN c2.c > o2.c THEN ln(c2.c - o2.c) - ln(cv.c - ov.c)
+                     ELSE CASE WHEN g.v IS NULL THEN 0 ELSE ln(0.4) END + ln((cw.c - ow.c + 1) / (t.n - n.n + t.v)) END AS s
+              FROM g CROSS JOIN t JOIN n USING (doc_id)
+                     JOIN c1 cw ON cw.w = g.w JOIN o1 ow ON ow.doc_id = g.doc_id AND ow.w = g.w
+                     LEFT JOIN c1 cv ON cv.w = g.v LEFT JOIN o1 ov ON ov.doc_id = g.doc_id AND ov.w = g.v
+                     LEFT JOIN c2 ON c2.v = g.v AND c2.w = g.w
+                     LEFT JOIN o2 ON o2.doc_id = g.doc_id AND o2.v = g.v AND o2.w = g.w)
+        SELECT d.doc_id, count(s.s) AS n_words, round(sum(s.s) / nullif(count(s.s), 0), 6) AS lm_score
+        FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id""",
     "op6_chat_tree": f"""
         WITH t AS (
             SELECT conv_id, turn, role AS r0, text AS t0 FROM conversations

@@ -1,0 +1,339 @@
+"""Stupid-backoff scores over whole words, each document against all others.
+
+Words are told apart by 64 bits of their MD5; the vocabulary grows with the
+corpus.  Counts cover all documents less the scored one (exact leave-one-out):
+
+    S(w | v) = c(v w) / c(v)                 if c(v w) > 0
+             = alpha * (c(w) + 1) / (N + V)  otherwise
+
+with the second form without alpha for a text's first word; N is the number of
+the other documents' words, V that of distinct words of the whole corpus.  The
+score is the mean of ln S over the document's words.
+
+The ``hot`` words (frequent in a sample; the choice changes the work, not the
+result) and their bigrams are counted exactly in bounded tables and broadcast.
+Every occurrence of another word goes once to the bucket of that word, with the
+word after it, and once more where it follows a hot word or starts a text.  So
+a bucket has all counts of its words and of the bigrams it was dealt, and the
+document's own.  Only bigrams of two other words that back off need another
+bucket's word count; they go there in a second shuffle.
+
+A document without words (or null text) has n_words 0 and a null score.  Rows
+that repeat an id are one document, so are rows without an id.  Extra columns
+are not carried.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from assay_spark.llm.common import CACHE_ENTRIES, SLICE_ROWS, stage, worker_cache
+
+HOT, ALPHA = 512, 0.4
+#: Words of a bucket, documents of a block of sums and of the sample for hot words, about.
+BUCKET_WORDS, BLOCK_DOCS, SAMPLE_DOCS = 1_500_000, 8192, 20_000
+#: What a record says of its word: the next word is another / a hot one, it ends a text, follows a hot word, starts a text.
+NEXT, NEXT_HOT, END, AFTER_HOT, START = range(5)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+class WordHashes:
+    """64-bit hashes of words, remembered per worker."""
+
+    def __init__(self) -> None:
+        self.cache: dict[bytes, bytes] = {}
+
+    def of(self, text: str) -> np.ndarray:
+        words, cache = text.encode().lower().split(), self.cache
+        new = set(words).difference(cache)
+        if len(cache) + len(new) > CACHE_ENTRIES:
+            cache.clear()
+            new = set(words)
+        for w in new:
+            cache[w] = hashlib.md5(w).digest()[:8]
+        return np.frombuffer(b"".join(map(cache.__getitem__, words)), "<u8")
+
+
+def _slices(batches: Iterator[pa.RecordBatch], chars: int = 1_000_000) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, words, their documents, whether they start a text) of slices of documents."""
+    of = worker_cache("word-hashes", WordHashes).of
+    for b in batches:
+        at, ids, texts = 0, b.column(0).to_pylist(), b.column(1)
+        while at < b.num_rows:
+            start, size, words, doc, first = at, 0, [], [], []
+            while at < b.num_rows and at - start < SLICE_ROWS and size < chars:
+                for t in texts[at].as_py():
+                    size += len(t or "")
+                    w = of(t or "")
+                    if len(w):
+                        words.append(w)
+                        doc.append(np.full(len(w), at - start, np.int64))
+                        first.append(np.arange(len(w)) == 0)
+                at += 1
+            yield ids[start:at], np.concatenate([*words, np.zeros(0, "<u8")]), np.concatenate([*doc, np.zeros(0, np.int64)]), np.concatenate([*first, np.zeros(0, bool)])
+
+
+def _numbers(hot: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Places of words among the sorted hot ones, -1 for others."""
+    if not len(hot):
+        return np.full(len(words), -1)
+    at = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
+    return np.where(hot[at] == words, at, -1)
+
+
+def _own(group: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
+    """How often each (group, document) occurs, at each occurrence."""
+    _, at, n = np.unique(group * docs + doc, return_inverse=True, return_counts=True)
+    return n[at]
+
+
+def _bucket(words: np.ndarray, buckets: int) -> np.ndarray:
+    return ((words * _MIX) >> np.uint64(24)) % np.uint64(buckets)
+
+
+def _cuts(to: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of equal values."""
+    at = np.concatenate([[0], np.flatnonzero(to[1:] != to[:-1]) + 1, [len(to)]]).tolist()
+    return ((lo, hi) for lo, hi in zip(at, at[1:]) if hi > lo)
+
+
+def _ids(column) -> list:
+    return [None if pd.isna(i) else int(i) for x in column if x is not None for i in x]
+
+
+def _one_row_each(docs: DataFrame) -> DataFrame:
+    """(id, texts): the rows of a repeated id in one; rows without an id stay as they are."""
+    many = docs.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select("id")
+    alone = docs.select("id", F.array("text").alias("texts"))
+    if many.isEmpty():
+        return alone
+    many = stage(many, "repeated-ids")
+    together = docs.join(many, "id", "left_semi").groupBy("id").agg(F.collect_list(F.coalesce("text", F.lit(""))).alias("texts"))
+    return alone.join(many, "id", "left_anti").unionByName(together)
+
+
+def _hot_words(docs: DataFrame, n_docs: int, hot: int) -> np.ndarray:
+    """Sorted hashes of the most frequent words of a bounded sample of documents."""
+    part = docs.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(min(1.0, SAMPLE_DOCS / max(1, n_docs)) * (1 << 20)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for _, words, _, _ in _slices(batches):
+            total.update(dict(zip(*[x.tolist() for x in np.unique(words.astype("<i8"), return_counts=True)])))
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["w", "c"])
+
+    top = part.mapInArrow(run, "w bigint, c bigint").groupBy("w").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "w").limit(hot).collect()
+    return np.sort(np.array([r["w"] for r in top], np.int64).view(np.uint64))
+
+
+def _hot_counts(docs: DataFrame, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Counts of hot words and of their bigrams, over all rows and over those without an id, and the number of words."""
+    width = len(hot)
+    cells = width + width * width
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * cells + 1, np.int64)
+        for ids, words, doc, first in _slices(batches):
+            number, null = _numbers(hot, words), np.array([i is None for i in ids], np.int64)[doc]
+            total[-1] += len(words)
+            pair = np.flatnonzero((number[1:] >= 0) & (number[:-1] >= 0) & ~first[1:]) + 1
+            one = number >= 0
+            code = np.concatenate([number[one] + cells * null[one], width + number[pair - 1] * width + number[pair] + cells * null[pair]])
+            total += np.bincount(code, minlength=2 * cells + 1)
+        at = np.flatnonzero(total)
+        for lo in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[lo:lo + 100_000]), pa.array(total[at[lo:lo + 100_000]])], ["cell", "c"])
+
+    rows = docs.mapInArrow(run, "cell bigint, c bigint").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(2 * cells + 1, np.int64)
+    out[rows["cell"].to_numpy()] = rows["c"].to_numpy()
+    both = out[:-1].reshape(2, cells)
+    both[0] += both[1]
+    return both[:, :width], both[:, width:], int(out[-1])
+
+
+def score_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, alpha: float = ALPHA) -> DataFrame:
+    """(id, n_words, lm_score) of every document, by the counts of all others."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    n_docs = docs.count()
+    docs = _one_row_each(docs)
+    hot_words = _hot_words(docs, n_docs, hot)
+    one, two, n_words = _hot_counts(docs, hot_words)
+    known = spark.sparkContext.broadcast((hot_words, one, two))
+    width, buckets, blocks = len(hot_words), max(16, n_words // BUCKET_WORDS), max(16, n_docs // BLOCK_DOCS)
+    ln_alpha = float(np.log(alpha))
+
+    def others(number: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Counts of hot words in other documents; own is 0 for rows without an id."""
+        all_, null = known.value[1]
+        return all_[number] - np.where(own > 0, own, null[number])
+
+    schema = pa.schema([("bucket", pa.int64()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("data", pa.binary()),
+                        ("s", pa.list_(pa.float64())), ("n", pa.list_(pa.int64())), ("b", pa.list_(pa.int64()))])
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_, _, two_ = known.value
+        for turn, (ids, words, doc, first) in enumerate(_slices(batches)):
+            m, null = len(ids), np.array([i is None for i in ids])[doc]
+            number = _numbers(hot_, words)
+            is_hot, last = number >= 0, np.append(first[1:], True)
+            own = _own(np.unique(words, return_inverse=True)[1], doc, m)
+            # bigrams of two hot words, and hot words that start a text, are scored here
+            at = np.flatnonzero(is_hot[1:] & is_hot[:-1] & ~first[1:]) + 1
+            pair = number[at - 1] * width + number[at]
+            mine = np.where(null[at], two_[1][pair], _own(pair, doc[at], m)) if len(at) else np.zeros(0, np.int64)
+            own_ = np.where(null, 0, own)
+            c = two_[0][pair] - mine
+            seen = c > 0
+            s, b = np.zeros(m), np.zeros(m, np.int64)
+            hit, miss, begin = at[seen], at[~seen], np.flatnonzero(first & is_hot)
+            s += np.bincount(doc[hit], np.log(c[seen]) - np.log(others(number[hit - 1], own_[hit - 1])), m)
+            s += np.bincount(doc[miss], ln_alpha + np.log(others(number[miss], own_[miss]) + 1), m)
+            s += np.bincount(doc[begin], np.log(others(number[begin], own_[begin]) + 1), m)
+            b += np.bincount(doc[miss], minlength=m) + np.bincount(doc[begin], minlength=m)
+            rows: list[tuple] = [(turn * 7919 % buckets, ids, None, None, s, np.bincount(doc, minlength=m), b)]
+            cold = np.flatnonzero(~is_hot)
+            after = cold[~last[cold]]
+            to_cold, to_hot = after[~is_hot[after + 1]], after[is_hot[after + 1]]
+            end, start = cold[last[cold]], cold[first[cold]]
+            behind = cold[~first[cold]]
+            behind = behind[is_hot[behind - 1]]
+            none = lambda k: np.zeros(len(k), np.uint64)
+            parts = [(NEXT, to_cold, words[to_cold + 1], own_[to_cold + 1]), (NEXT_HOT, to_hot, number[to_hot + 1], own_[to_hot + 1]),
+                     (END, end, none(end), none(end)), (AFTER_HOT, behind, number[behind - 1], own_[behind - 1]), (START, start, none(start), none(start))]
+            kind = np.concatenate([np.full(len(p[1]), p[0], np.uint8) for p in parts])
+            where = np.concatenate([p[1] for p in parts])
+            y = np.concatenate([p[2].astype(np.uint64) for p in parts])
+            own_y = np.concatenate([p[3].astype(np.uint32) for p in parts])
+            x, of = words[where], doc[where]
+            to = _bucket(x, buckets)
+            order = np.lexsort((of, to))
+            x, y, own_y, kind, of, to = x[order], y[order], own_y[order], kind[order], of[order], to[order]
+            for lo, hi in _cuts(to):
+                there, size = np.unique(of[lo:hi], return_counts=True)
+                data = b"".join(a[lo:hi].tobytes() for a in (x, y, own_y, kind))
+                rows.append((int(to[lo]), [ids[i] for i in there.tolist()], size, data, None, None, None))
+            yield pa.RecordBatch.from_arrays([pa.array(col, t.type) for col, t in zip(zip(*rows), schema)], schema=schema)
+
+    def columns(data: list, *types) -> list[np.ndarray]:
+        """Columns of records packed column by column."""
+        each = sum(np.dtype(t).itemsize for t in types)
+        out: list[list] = [[] for _ in types]
+        for raw in data:
+            n, at = len(raw) // each, 0
+            for k, t in enumerate(types):
+                out[k].append(np.frombuffer(raw, t, n, at))
+                at += n * np.dtype(t).itemsize
+        return [np.concatenate([*c, np.zeros(0, t)]) for c, t in zip(out, types)]
+
+    #: bucket: where to; kind s: sums of documents, w: the bucket's words and their counts, q: words asked for
+    passed = ["bucket", "kind", "ids", "sizes", "data", "s", "n", "b"]
+
+    def count(g: pd.DataFrame) -> pd.DataFrame:
+        here = int(g["bucket"].iloc[0])
+        sums = g[g["data"].isna()]
+        out = [(here, "s", r.ids, None, None, r.s, r.n, r.b) for r in sums.itertuples()]
+        g = g[~g["data"].isna()]
+        if not len(g):
+            return pd.DataFrame(out, columns=passed)
+        x, y, own_y, kind = columns(list(g["data"]), "<u8", "<u8", "<u4", "u1")
+        ids = _ids(g["ids"])
+        m, null = len(ids), np.array([i is None for i in ids])
+        same = np.arange(m)
+        same[null] = np.argmax(null)  # rows without an id are one document
+        doc = np.repeat(same, np.concatenate(list(g["sizes"])).astype(np.int64))
+        del g
+        own_y = own_y.astype(np.int64)
+        xs, xi = np.unique(x, return_inverse=True)
+        occurs = kind <= END
+        c = np.bincount(xi[occurs], minlength=len(xs))
+        # every (word, document) occurs: own counts over occurrences, looked up at all records
+        code = xi * m + doc
+        codes, ci = np.unique(code, return_inverse=True)
+        own = np.bincount(ci[occurs], minlength=len(codes))[ci]
+        c_null = np.zeros(len(xs), np.int64)
+        if null.any():
+            c_null = np.bincount(xi[occurs & null[doc]], minlength=len(xs))
+        rest = c[xi] - own
+        del code, codes, ci, x
+        s, b = np.zeros(len(kind)), np.ones(len(kind), np.int64)
+        b[kind == END] = 0
+        gram = np.flatnonzero((kind == NEXT) | (kind == NEXT_HOT) | (kind == AFTER_HOT))
+        ys, yi = np.unique(y[gram], return_inverse=True)
+        key = (xi[gram] * 4 + kind[gram]) * len(ys) + yi
+        _, ki, kn = np.unique(key, return_inverse=True, return_counts=True)
+        left = kn[ki] - _own(ki, doc[gram], m)
+        del key, ki, kn, ys, yi
+        hit, miss = gram[left > 0], gram[left <= 0]
+        s[hit] = np.log(left[left > 0])
+        b[hit] = 0
+        front = kind[hit] == AFTER_HOT
+        s[hit[~front]] -= np.log(rest[hit[~front]])
+        s[hit[front]] -= np.log(others(y[hit[front]].astype(np.int64), own_y[hit[front]]))
+        s[miss] = ln_alpha
+        front, hot_next = miss[kind[miss] == AFTER_HOT], miss[kind[miss] == NEXT_HOT]
+        s[front] += np.log(rest[front] + 1)
+        s[hot_next] += np.log(others(y[hot_next].astype(np.int64), own_y[hot_next]) + 1)
+        start = kind == START
+        s[start] = np.log(rest[start] + 1)
+        ask = miss[kind[miss] == NEXT]
+        there = np.unique(doc)
+        out.append((here, "s", [ids[i] for i in there.tolist()], None, None, np.bincount(doc, s, m)[there],
+                    np.zeros(len(there), np.int64), np.bincount(doc, b, m).astype(np.int64)[there]))
+        some = c > 0
+        out.append((here, "w", None, None, b"".join(a[some].tobytes() for a in (xs, c.astype("<i8"), c_null.astype("<i8"))), None, None, None))
+        y, own_y, doc = y[ask], own_y[ask], doc[ask]
+        to = _bucket(y, buckets)
+        order = np.lexsort((doc, to))
+        y, own_y, doc, to = y[order], own_y[order], doc[order], to[order]
+        for lo, hi in _cuts(to):
+            there, size = np.unique(doc[lo:hi], return_counts=True)
+            out.append((int(to[lo]), "q", [ids[i] for i in there.tolist()], size, y[lo:hi].tobytes() + own_y[lo:hi].astype("<u4").tobytes(), None, None, None))
+        return pd.DataFrame(out, columns=passed)
+
+    def look_up(g: pd.DataFrame) -> pd.DataFrame:
+        sums, asked = g[g["kind"] == "s"], g[g["kind"] == "q"]
+        words, c, c_null = columns(list(g.loc[g["kind"] == "w", "data"]), "<u8", "<i8", "<i8")
+        cat = lambda col: np.concatenate([*col, np.zeros(0)])
+        ids, s, n, b = _ids(sums["ids"]), cat(sums["s"]), cat(sums["n"]), cat(sums["b"])
+        if len(asked):
+            y, own = columns(list(asked["data"]), "<u8", "<u4")
+            at, more = np.searchsorted(words, y), _ids(asked["ids"])
+            doc = np.repeat(np.arange(len(more)), np.concatenate(list(asked["sizes"])).astype(np.int64))
+            ln = np.log(c[at] - np.where(own > 0, own, c_null[at]) + 1)
+            s, ids = np.concatenate([s, np.bincount(doc, ln, len(more))]), ids + more
+            n, b = np.append(n, np.zeros(len(more))), np.append(b, np.zeros(len(more)))
+        t = pd.DataFrame({"id": pd.array(ids, "Int64"), "s": s, "n": n.astype(np.int64), "b": b.astype(np.int64)})
+        t = t.groupby("id", dropna=False, as_index=False).sum()
+        block = _bucket(t["id"].fillna(0).to_numpy(np.int64).view(np.uint64), blocks).astype(np.int64)
+        out = [(int(k), _ids([x["id"]]), x["s"].tolist(), x["n"].tolist(), x["b"].tolist(), None) for k, x in t.groupby(block)]
+        out.append((-1, None, None, None, None, len(words)))
+        return pd.DataFrame(out, columns=["block", "ids", "s", "n", "b", "vocab"]).astype({"vocab": "Int64"})
+
+    def add_up(g: pd.DataFrame) -> pd.DataFrame:
+        if g["block"].iloc[0] < 0:
+            return pd.DataFrame({"id": pd.array([None], "Int64"), "s": [0.0], "n": [0], "b": [0], "vocab": pd.array([int(g["vocab"].sum())], "Int64")})
+        t = pd.DataFrame({"id": pd.array(_ids(g["ids"]), "Int64"), **{k: np.concatenate(list(g[k])) for k in ("s", "n", "b")}})
+        t = t.groupby("id", dropna=False, as_index=False).sum()
+        t["vocab"] = pd.array([None] * len(t), "Int64")
+        return t
+
+    lists = "s array<double>, n array<bigint>, b array<bigint>"
+    dealt = docs.mapInArrow(explode, f"bucket bigint, ids array<bigint>, sizes array<int>, data binary, {lists}")
+    counted = dealt.groupBy("bucket").applyInPandas(count, f"bucket bigint, kind string, ids array<bigint>, sizes array<int>, data binary, {lists}")
+    looked = counted.groupBy("bucket").applyInPandas(look_up, f"block bigint, ids array<bigint>, {lists}, vocab bigint")
+    sums = stage(looked.groupBy("block").applyInPandas(add_up, "id bigint, s double, n bigint, b bigint, vocab bigint"), "lm-sums")
+    vocab = width + (sums.where("vocab IS NOT NULL").agg(F.sum("vocab")).first()[0] or 0)
+    ln_all = F.log(F.lit(float(n_words + vocab)) - F.col("n"))
+    return sums.where("vocab IS NULL").select(F.col("id").alias(id_col), F.col("n").alias("n_words"),
+                                              F.when(F.col("n") > 0, (F.col("s") - F.col("b") * ln_all) / F.col("n")).alias("lm_score"))

@@ -1,9 +1,14 @@
 """Operators do the whole job where an earlier form left part of it out."""
+import math
 import random
+from collections import Counter
 
 import pytest
 
+from assay_spark.llm import word_lm
+from assay_spark.llm.backoff_lm import WordSlots
 from assay_spark.llm.stages import quality_stage
+from assay_spark.llm.word_lm import score_words
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,3 +41,54 @@ def test_a_target_of_one_class_decides_nothing(spark, monkeypatch, kind):
         want = {k for k in range(240) if k % 4}
     assert len(left ^ want) <= 6
     assert kind != "empty" or left == want
+
+
+# --- LM scores over whole words ---
+
+def brute_words(rows, alpha=0.4):
+    docs = {}
+    for i, t in rows:
+        docs.setdefault(i, []).append((t or "").encode().lower().split())
+    one = {i: Counter(w for s in x for w in s) for i, x in docs.items()}
+    two = {i: Counter(p for s in x for p in zip(s, s[1:])) for i, x in docs.items()}
+    c1, c2 = sum(one.values(), Counter()), sum(two.values(), Counter())
+    n, out = sum(c1.values()), {}
+    for i, texts in docs.items():
+        own, total = sum(one[i].values()), 0.0
+        back = lambda w: math.log((c1[w] - one[i][w] + 1) / (n - own + len(c1)))
+        for s in texts:
+            for k, w in enumerate(s):
+                v = s[k - 1]
+                c = c2[v, w] - two[i][v, w] if k else 0
+                total += math.log(c) - math.log(c1[v] - one[i][v]) if c else (math.log(alpha) if k else 0) + back(w)
+        out[i] = (own, total / own if own else None)
+    return out
+
+
+@pytest.mark.parametrize("hot,bucket", [(512, 1_000_000), (2, 40), (0, 40)])
+def test_word_scores_equal_brute_force(spark, docs, empty, monkeypatch, hot, bucket):
+    monkeypatch.setattr(word_lm, "BUCKET_WORDS", bucket)
+    rng = random.Random(2)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    rows += [(100 + k % 55 if k % 9 else None, " ".join(rng.choice(["the", "a", "of", "x", f"w{rng.randrange(60)}"]) for _ in range(rng.randrange(40)))) for k in range(60)]
+    want = brute_words(rows)
+    got = score_words(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), hot=hot).collect()
+    assert len(got) == len(want)
+    for r in got:
+        n, s = want[r["doc_id"]]
+        assert r["n_words"] == n and (r["lm_score"] == s if s is None else abs(r["lm_score"] - s) < 1e-9), r
+    assert score_words(empty).count() == 0
+
+
+def test_words_of_one_slot_are_told_apart(spark):
+    slots, mate = WordSlots(20), {}
+    for k in range(10 ** 6):
+        slot = int(slots.of(f"w{k}")[0])
+        if slot in mate:
+            a, b = mate[slot], f"w{k}"
+            break
+        mate[slot] = f"w{k}"
+    rows = [(1, f"{a} x"), (2, f"{b} x"), (3, f"{a} x")]
+    got = {r["doc_id"]: r["lm_score"] for r in score_words(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1] == got[3] > got[2]
+    assert all(abs(got[i] - s) < 1e-9 for i, (_, s) in brute_words(rows).items())
