@@ -92,3 +92,11 @@ def test_words_of_one_slot_are_told_apart(spark):
     got = {r["doc_id"]: r["lm_score"] for r in score_words(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got[1] == got[3] > got[2]
     assert all(abs(got[i] - s) < 1e-9 for i, (_, s) in brute_words(rows).items())
+
+
+def test_no_id_parity_decides_the_scores(spark):
+    rows = [(2 * k, "the cat sat here") for k in range(6)] + [(20, "sat the here cat"), (21, "the cat sat here")]
+    got = {r["doc_id"]: r["lm_score"] for r in score_words(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[0] == got[2] == got[21]  # equal texts, equal scores
+    even = {r["doc_id"]: r["lm_score"] for r in score_words(spark.createDataFrame(rows[:-1], "doc_id bigint, text string")).collect()}
+    assert even[0] > even[20]  # the bigrams of ids of one parity are evidence
