@@ -8,6 +8,7 @@ import pytest
 from assay_spark.llm import word_lm
 from assay_spark.llm.backoff_lm import WordSlots
 from assay_spark.llm.stages import quality_stage
+from assay_spark.llm.syncmers import SHORT, fingerprint_edits
 from assay_spark.llm.word_lm import score_words
 
 SF = "/root/testdata/sf0.001"
@@ -100,3 +101,22 @@ def test_no_id_parity_decides_the_scores(spark):
     assert got[0] == got[2] == got[21]  # equal texts, equal scores
     even = {r["doc_id"]: r["lm_score"] for r in score_words(spark.createDataFrame(rows[:-1], "doc_id bigint, text string")).collect()}
     assert even[0] > even[20]  # the bigrams of ids of one parity are evidence
+
+
+# --- fingerprints ---
+
+def test_likeness_across_the_border_of_short_texts(spark):
+    text = " ".join(f"word{k}" for k in range(16))[:SHORT + 2]
+    rows = [(1, text), (2, text[:SHORT - 1]), (3, text + " and more words"), (4, None), (5, text), (6, "")]
+    got = {r["doc_id"]: r for r in fingerprint_edits(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1]["near_next"] > 0.7 and got[2]["near_next"] > 0.7
+    assert got[3]["near_edited"] > 0.4 and got[5]["near_edited"] > 0.4
+    assert got[1]["word_fingerprint"] is None and got[2]["word_fingerprint"][:40] == got[1]["fingerprint"][:40]
+
+
+def test_long_text_without_spaces(spark):
+    rng = random.Random(7)
+    text = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(3000))
+    rows = [(1, text), (2, "x" + text[:1500] + "y" + text[1500:]), (3, "z")]
+    got = {r["doc_id"]: r for r in fingerprint_edits(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[1]["near_next"] > 0.95 and got[1]["near_edited"] > 0.6 and got[2]["near_edited"] > 0.6
