@@ -48,16 +48,23 @@ def unstage(*tables: DataFrame) -> None:
 def worker_cache(key: str, make):
     """A value kept by a Python worker from task to task, until it needs another one.
 
-    A job of several operators thus holds one operator's cache at a time.
+    A job of several operators thus holds one operator's cache at a time.  The
+    value belongs to the module and name of ``make``, so operators that choose
+    the same key keep apart; a held value whose class ``make`` does not give is
+    an error.
     """
     holder = sys.modules.get("_assay_llm_worker")
     if holder is None:
         holder = sys.modules["_assay_llm_worker"] = types.ModuleType("_assay_llm_worker")
         holder.values = {}
-    if key not in holder.values:
+    owner = (make.__module__, make.__qualname__, key)
+    if owner not in holder.values:
         holder.values.clear()
-        holder.values[key] = make()
-    return holder.values[key]
+        holder.values[owner] = make()
+    held = holder.values[owner]
+    if isinstance(make, type) and type(held) is not make:
+        raise TypeError(f"cache {owner} holds a {type(held)}")
+    return held
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], text: str, rows: int = SLICE_ROWS,
