@@ -20,8 +20,12 @@ from assay_spark.llm.piece_codec import piece_digests
 from assay_spark.llm.site_quality import judge
 from assay_spark.llm.syncmers import fingerprint_edits
 from assay_spark.llm.token_offsets import section_tokens
+from assay_spark.llm.toxicity import fit_toxicity, score_toxicity
+from assay_spark.llm.toxicity import held_out as not_learned
 from assay_spark.llm.vector_graph import near_duplicates
+from assay_spark.llm.whitening import whiten_components
 from assay_spark.llm.word_lm import score_words
+from assay_spark.llm.word_runs import collapse_runs, echo_some, runs_digest, strongest_run
 
 
 def op1_lang_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +108,30 @@ def op10_token_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
                           public_tokenizers.PATTERN, rule="start")
 
 
+def op11_toxic_subwords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 11: the toxicity of every whole text; learned without the held-out documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs.where(~not_learned()), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    scored = score_toxicity(docs, model)
+    return scored.select("doc_id", not_learned().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 12: the first 16 whitened components of every usable vector (null deviation: beyond a long)."""
+    out = whiten_components(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", most=16)
+    return out.withColumn("deviation", F.col("deviation").try_cast("bigint"))
+
+
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 13: periodic runs of every whole text, some with a repeating end, and digests of what is left."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", echo_some(F.col("doc_id"), F.col("text")).alias("text"))
+    found = collapse_runs(docs).withColumn("best", strongest_run(F.col("runs")))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"), F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        runs_digest(F.col("runs")).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lang_crf": op1_lang_crf,
     "op2_piece_codec": op2_piece_codec,
@@ -116,6 +144,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_syncmers": op9_syncmers,
     "op10_token_offsets": op10_token_offsets,
     "backoff_lm_words": backoff_lm_words,
+    "op11_toxic_subwords": op11_toxic_subwords,
+    "op12_whitening": op12_whitening,
+    "op13_word_runs": op13_word_runs,
 }
 
 _ESC = "replace(replace(replace({}, chr(92), chr(92) || 'b'), '<', chr(92) || 'l'), '>', chr(92) || 'g')"
