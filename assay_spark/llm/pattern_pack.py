@@ -17,6 +17,7 @@ carried.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -33,14 +34,18 @@ from assay_spark.llm.common import CACHE_ENTRIES, stage, text_slices, worker_cac
 #: Patterns that take part in the fit, at most.
 FIT_PATTERNS = 30_000
 FIT_ROUNDS = 150
+#: New words that the library encodes at once.
+JOINED = 1000
 
 
 class WordIds:
-    """Ids of white-space-free chunks, remembered; the library sees each new chunk once.
+    """Ids of white-space-free chunks, remembered; the library sees each new word once.
 
     The vocabulary's pre-tokenizer drops white space and never joins across it,
     nor across a letter and a following mark, so a text's ids are those of its
-    chunks one after the other.
+    chunks one after the other, and a chunk's those of its word and its marks.
+    New words of letters go to the library many at a time: each ends with the
+    only token that has the vocabulary's word end, which parts the ids again.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,26 +54,56 @@ class WordIds:
 
         self.tok = Tokenizer.from_file(path)
         # Latin letters that lower-casing and composition leave single letters
-        self.chunks = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+(?=[.,;:!?| \n]|$)|[^ \n]+")
-        self.cache: dict[str, bytes] = {}
-
-    def learn(self, new: set[str]) -> None:
-        if len(self.cache) + len(new) > CACHE_ENTRIES:
-            self.cache.clear()
-        new = list(new)
-        for u, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False)):
-            self.cache[u] = np.array(e.ids, "<u4").tobytes()
+        letters = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+"
+        # and ASCII marks but the apostrophe, which begins a piece of its own
+        self.parts = re.compile(letters + r"(?=[!-&(-/:-@\[-`{-~]|$)|.+", re.DOTALL)
+        self.word = re.compile(letters)
+        vocabulary = self.tok.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        suffix = json.loads(self.tok.to_str())["model"].get("end_of_word_suffix")
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _one_by_one(self, new: list[str]) -> None:
+        for u, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
+            self.words[u] = np.array(e.ids, "<u4").tobytes()
+
+    def _learn_words(self, new: set[str]) -> None:
+        plain = [w for w in new if self.word.fullmatch(w)] if self.ends.any() else []
+        self._one_by_one(list(new.difference(plain)))
+        for lo in range(0, len(plain), JOINED):
+            part = plain[lo:lo + JOINED]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            end = np.flatnonzero(self.ends[ids]) + 1
+            if len(end) != len(part) or end[-1] != len(ids):
+                self._one_by_one(part)
+                continue
+            raw, at = ids.tobytes(), [0, *(4 * end).tolist()]
+            self.words.update((w, raw[x:y]) for w, x, y in zip(part, at, at[1:]))
+
+    def learn(self, new: set[str]) -> dict[str, bytes]:
+        parts = {c: self.parts.findall(c) for c in new}
+        words = set().union(*parts.values())
+        if len(self.words) + len(words) > CACHE_ENTRIES // 2:
+            self.words.clear()
+        self._learn_words(words.difference(self.words))
+        get = self.words.__getitem__
+        out = {c: get(p[0]) if len(p) == 1 else b"".join(map(get, p)) for c, p in parts.items()}
+        self.chunks.update(out)
+        return out
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
-        cut = [self.chunks.findall(t) for t in texts]
-        words = set().union(*cut)
-        n = len(self.cache)
-        new = words.difference(self.cache)
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        every = list(set().union(*cut))
+        here = dict(zip(every, map(self.chunks.get, every)))  # small, so that most look-ups stay near
+        new = {c for c, ids in here.items() if ids is None}
         if new:
-            self.learn(new)
-            if len(self.cache) < n + len(new):  # the cache started anew
-                self.learn(words.difference(self.cache))
-        get, last = self.cache.__getitem__, np.array([end], "<u4").tobytes()
+            if len(self.chunks) + len(new) > CACHE_ENTRIES:
+                self.chunks.clear()
+            here.update(self.learn(new))
+        get, last = here.__getitem__, np.array([end], "<u4").tobytes()
         return [b"".join(map(get, c)) + last for c in cut]
 
 

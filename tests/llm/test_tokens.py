@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from assay_spark.llm.pattern_pack import fit_repeats, pack_documents, plan_sequences
+from assay_spark.llm.pattern_pack import WordIds, fit_repeats, pack_documents, plan_sequences
 from assay_spark.llm.piece_codec import PieceVocabulary, encode_pieces, piece_digests
 from assay_spark.llm.token_offsets import TokenSpans, attribute, section_tokens
 
@@ -138,3 +138,23 @@ def test_section_totals(spark, docs, empty, rule):
         assert sum(r["n_tokens"] for r in rows) == times * len(v.encoding.encode_ordinary(t))
         assert sum(r["n_chars"] for r in rows) == times * len(t)
     assert section_tokens(empty, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+
+
+def test_word_ids_equal_the_library(monkeypatch):
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from assay_spark.llm import pattern_pack
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, rng = Tokenizer.from_file(path), random.Random(0)
+    some = "aB \u00e9'sSt\u00c9.,!?|#\n \t\x1c\xa0\u2003\u00df\u0130\u0131\u017fK\u030a\u00c5\u4e2d3\u00bd<|endoftext|>\u013a\u1e9e\u00ad_-"
+    texts = ["", " ", "it's word, word. word### ### don't"] + ["".join(rng.choice(some) for _ in range(rng.randint(0, 60))) for _ in range(2000)]
+    for entries in (1_500_000, 50):
+        monkeypatch.setattr(pattern_pack, "CACHE_ENTRIES", entries)
+        words = WordIds(path)
+        got = [i for k in range(0, len(texts), 100) for i in words.encode(texts[k:k + 100], 1)]
+        want = [np.array([*e.ids, 1], "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+        assert got == want
