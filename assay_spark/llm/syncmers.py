@@ -1,21 +1,19 @@
 """Operator 9: document fingerprints from closed syncmers, in DataFrame functions only.
 
-A text's k-mers are runs of ``k`` white-space words, those longer than ``LONG``
-(no-space scripts, unbroken runs) cut into characters; texts of at most
-``SHORT`` characters, which have few words, use characters throughout and have
-a second fingerprint in words (``word_fingerprint``, null for longer texts), so
-any two texts have one unit in common.  An edited text has the units of its
-original; a short and a longer text are compared in words.  A k-mer is a closed
-syncmer when the smallest hash among its inner substrings (single units) is
-that of its first or last one: the choice looks at the k-mer alone, so equal
-passages choose equal anchors wherever they stand.  The fingerprint is the list
-of distinct anchors in text order, each a 32-bit hash as eight hex digits;
-``anchors`` gives them with their unit positions for positional matching.  Two
-fingerprints' likeness is the number of shared anchors over the larger count
-(1 for two empty ones, 0 for an empty and another).
+A text's k-mers are runs of ``k`` units.  The units are the same for texts of
+any length: white-space words, those longer than ``LONG`` (no-space scripts,
+unbroken runs) cut into characters.  A k-mer is a closed syncmer when the
+smallest hash among its inner substrings (single units) is that of its first or
+last one: the choice looks at the k-mer alone, so equal passages choose equal
+anchors wherever they stand.  The fingerprint is the list of distinct anchors in
+text order, each a 32-bit hash as eight hex digits; ``anchors`` gives them with
+their unit positions for positional matching.  Two fingerprints' likeness is the
+number of shared anchors over the larger count (1 for two empty ones, 0 for an
+empty and another).
 
 A text of fewer than ``k`` units has one anchor, the hash of all of them; a
-null or empty text has none.  Equal texts have equal fingerprints.  Documents
+null or empty text has none.  A fingerprint depends on nothing but its text, so
+equal texts, edited or not, have equal fingerprints.  Documents
 follow one another by (id, text); rows without an id have no place in that
 order and count as their own successor.  Extra columns are not carried.
 """
@@ -28,22 +26,16 @@ from pyspark.sql import functions as F
 from assay_spark.llm.common import stage
 
 K = 4
-#: Texts of so many characters at most have characters as units.
-SHORT = 100
 #: Words of more characters are cut into characters.
 LONG = 24
 #: Documents per bucket of the id order, and the most buckets there are.
 BUCKET_ROWS, MAX_BUCKETS, SEGMENTS = 500, 100_000, 64
 
 
-def _is_short(text: Column) -> Column:
-    return F.length(text) <= SHORT
-
-
-def _unit_hashes(text: Column, chars: Column) -> Column:
+def _unit_hashes(text: Column) -> Column:
     words = F.split(text, "[ \\t\\n\\x0B\\f\\r]+")
     cut = F.flatten(F.transform(words, lambda w: F.when(F.length(w) > LONG, F.split(w, "")).otherwise(F.array(w))))
-    units = F.when(chars, F.split(text, "")).when(text.rlike(f"[^ \\t\\n\\x0B\\f\\r]{{{LONG + 1}}}"), cut).otherwise(words)
+    units = F.when(text.rlike(f"[^ \\t\\n\\x0B\\f\\r]{{{LONG + 1}}}"), cut).otherwise(words)
     return F.transform(F.array_remove(units, ""), lambda w: F.xxhash64(w))
 
 
@@ -75,24 +67,18 @@ def anchors(text: Column, k: int = K) -> Column:
                 .when(F.size(a) > 0, short).otherwise(F.slice(short, 1, 0)))
 
     text = F.coalesce(text, F.lit(""))
-    return _bind(_unit_hashes(text, _is_short(text)), of)
+    return _bind(_unit_hashes(text), of)
 
 
-def anchor_hashes(text: Column, k: int = K, chars: Column | None = None) -> Column:
-    """array<int>: the distinct closed syncmers in text order; in characters where ``chars`` holds (default: short texts)."""
+def anchor_hashes(text: Column, k: int = K) -> Column:
+    """array<int>: the distinct closed syncmers in text order."""
     def of(a: Column) -> Column:
         all_ = F.transform(F.sequence(F.lit(0), F.size(a) - k), lambda i: F.when(_closed(a, i, k), _kmer(a, i, k)))
         short = F.array(F.hash(a))
         return (F.when(F.size(a) >= k, F.array_distinct(F.filter(all_, lambda x: x.isNotNull())))
                 .when(F.size(a) > 0, short).otherwise(F.slice(short, 1, 0)))
 
-    text = F.coalesce(text, F.lit(""))
-    return _bind(_unit_hashes(text, _is_short(text) if chars is None else chars), of)
-
-
-def word_fingerprint(text: Column, k: int = K) -> Column:
-    """The fingerprint in words of a short text; null for others, whose own one is in words."""
-    return F.when(_is_short(text), as_string(anchor_hashes(text, k, F.lit(False))))
+    return _bind(_unit_hashes(F.coalesce(text, F.lit(""))), of)
 
 
 def as_string(hashes: Column) -> Column:
@@ -146,10 +132,9 @@ def with_next(rows: DataFrame, id_col: str, text_col: str, carry: list[str]) ->
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
-    """(id, n_chars, fingerprint, word_fingerprint) of every text."""
+    """(id, n_chars, fingerprint) of every text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(id_col, F.length(text).cast("bigint").alias("n_chars"), as_string(anchor_hashes(text, k)).alias("fingerprint"),
-                       word_fingerprint(text, k).alias("word_fingerprint"))
+    return docs.select(id_col, F.length(text).cast("bigint").alias("n_chars"), as_string(anchor_hashes(text, k)).alias("fingerprint"))
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
@@ -164,11 +149,8 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = rows.withColumn("n_chars", F.length("_t").cast("bigint")).withColumn("_q", F.floor(F.col("n_chars") / 4).cast("int"))
     rows = rows.withColumn("_e", F.concat(F.substring("_t", F.lit(1), (F.col("n_chars") - F.col("_q")).cast("int")),
                                           F.substring("next__t", F.lit(1), F.col("_q"))))
-    short, next_short, words = _is_short(F.col("_t")), _is_short(F.col("next__t")), F.lit(False)
-    rows = rows.withColumn("_g", anchor_hashes(F.col("_e"), k, short))
-    own = F.when(short & ~next_short, anchor_hashes(F.col("_t"), k, words)).otherwise(F.col("_f"))
-    following = F.when(~short & next_short, anchor_hashes(F.col("next__t"), k, words)).otherwise(F.col("next__f"))
+    rows = rows.withColumn("_g", anchor_hashes(F.col("_e"), k))
     return rows.select(
         id_col, "n_chars", F.sha2(F.col("_e").cast("binary"), 256).alias("edited_sha256"), as_string(F.col("_f")).alias("fingerprint"),
         as_string(F.col("_g")).alias("edited_fingerprint"), likeness(F.col("_f"), F.col("_g")).alias("near_edited"),
-        likeness(own, following).alias("near_next"), word_fingerprint(F.col("_t"), k).alias("word_fingerprint"))
+        likeness(F.col("_f"), F.col("next__f")).alias("near_next"))
