@@ -7,8 +7,10 @@ import types
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from assay_spark.session import checkpoint_dir
 
@@ -16,6 +18,8 @@ from assay_spark.session import checkpoint_dir
 SLICE_ROWS = 200
 #: Entries a worker's word cache may hold before it starts anew.
 CACHE_ENTRIES = 1_500_000
+#: Power of two that bounds the bits of a membership filter (8 MB).
+FILTER_BITS = 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +49,31 @@ def unstage(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def membership_filter(keys: DataFrame, col: str) -> np.ndarray:
+    """Bits that tell which hashes may be among ``keys`` (a bigint column of hashes): a Bloom filter.
+
+    It has some 16 bits a key, ``FILTER_BITS`` at most, so its size is bounded
+    however many keys there are; with more keys it lets more of the others pass.
+    """
+    n = keys.count()
+    bits = 1 << min(FILTER_BITS, max(12, (16 * n).bit_length()))
+    at = F.explode(F.array(*[F.shiftrightunsigned(col, k).bitwiseAND(F.lit(bits - 1)) for k in (0, 31)]))
+    words = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("at").bitwiseAND(F.lit(63)).cast("int"))).alias("v")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words["word"].to_numpy()] = words["v"].to_numpy().view(np.uint64)
+    return out
+
+
+def may_hold(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """False where a hash is surely not among the filter's keys."""
+    h, ok = hashes.astype(np.int64).view(np.uint64), np.ones(len(hashes), bool)
+    for k in (0, 31):
+        at = (h >> np.uint64(k)) & np.uint64(len(filter_) * 64 - 1)
+        ok &= (filter_[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return ok
+
+
 def worker_cache(key: str, make):
     """A value kept by a Python worker from task to task, until it needs another one.
 

@@ -23,8 +23,9 @@ Documents with equal shingle sets are one class.  Classes meet as follows.
 3. Recursion.  A region over ``LEAF`` sets draws random pivots of its own; each
    set goes to its nearest pivot's Voronoi cell and, by the triangle inequality,
    to every cell whose pivot is at most twice the radius further away.  Cells
-   that stay large (all distances alike, as in any metric index of high
-   dimension) are cut into blocks whose pairs are dealt to tasks.
+   are split again for as long as they shrink.  Those that do not (all distances
+   alike, as in any metric index of high dimension) are cut into blocks whose
+   pairs are dealt to tasks.
 4. Leaves are compared exactly and give a spanning forest of their links.
 
 Texts without words, null texts and null ids link with nothing (a null id has a
@@ -43,13 +44,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay_spark.llm.common import CACHE_ENTRIES, stage, text_slices, unstage, worker_cache
+from assay_spark.llm.common import CACHE_ENTRIES, may_hold, membership_filter, stage, text_slices, unstage, worker_cache
 from assay_spark.llm.components import components
 
 #: Ratio of a size class's ends, seeds tried before single shingles serve as slices.
 CLASS_RATIO, SEEDS = 1.25, 6
-#: Sets and shingles of a region that one task compares; levels of Voronoi cells; pivots per region and level.
-LEAF, LEAF_SHINGLES, ROUNDS, PIVOTS = 384, 800_000, 1, 8
+#: Sets and shingles of a region that one task compares; pivots per region and level.
+LEAF, LEAF_SHINGLES, PIVOTS = 384, 800_000, 8
+#: A cell is split again if it has at most this part of its region's sets; bits that tell levels apart (never used up at that rate).
+SHRINK, LEVELS = 0.7, 62
 #: One class in so many tells frequent shingles; how many of those hold one, and the most that are kept.
 SAMPLE_PART, FREQUENT, MOST = 10, 8, 1_000_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -224,7 +227,7 @@ def compare_leaf(g: pd.DataFrame, percent: int, level_bits: int) -> list[tuple[s
     return [(node[i], node[j]) for i, j in _forest(len(g), np.argwhere(np.triu(ok, 1)))]
 
 
-def _compare(leaves: DataFrame, percent: int) -> DataFrame:
+def _compare(leaves: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) of all leaves; leaves are dealt to buckets, each compared on its own."""
     rows = leaves.count()
     buckets = max(1, rows // 256)
@@ -235,7 +238,8 @@ def _compare(leaves: DataFrame, percent: int) -> DataFrame:
             out += compare_leaf(leaf, percent, int(leaf["levels"].iloc[0]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return leaves.withColumn("_bucket", F.pmod(F.xxhash64("leaf"), F.lit(buckets))).groupBy("_bucket").applyInPandas(run, "a string, b string")
+    dealt = leaves.withColumn("_bucket", F.pmod(F.xxhash64("leaf"), F.lit(buckets)))
+    return dealt.join(sets, "node").groupBy("_bucket").applyInPandas(run, "a string, b string")
 
 
 def _measure(percent: int, keep: list[str]):
@@ -249,59 +253,71 @@ def _measure(percent: int, keep: list[str]):
     return run
 
 
-def _split(rows: DataFrame, sizes: DataFrame, level: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _split(rows: DataFrame, sizes: DataFrame, sets: DataFrame, level: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Voronoi cells of random pivots of each region: (rows of the cells, links to pivots)."""
     r = 1 - percent / 100
     draw = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    pivots = rows.join(sizes, "region").where(draw < F.lit(float(PIVOTS)) / F.col("sets")).select(
-        "region", F.col("node").alias("pnode"), F.col("n").alias("np"), F.col("members").alias("pivot"))
-    d = rows.select("region", "node", "n", "members").join(pivots, "region").mapInPandas(
+    pivots = rows.join(sizes.select("region", "sets"), "region").where(draw < F.lit(float(PIVOTS)) / F.col("sets"))
+    pivots = pivots.join(sets, "node").select("region", F.col("node").alias("pnode"), F.col("n").alias("np"), F.col("members").alias("pivot"))
+    d = rows.select("region", "node", "n").join(sets, "node").join(pivots, "region").mapInPandas(
         _measure(percent, ["region", "node", "pnode"]), "region string, node string, pnode string, near boolean, d double")
     d = stage(d, "distances")
     first = d.groupBy("region", "node").agg(F.min(F.struct("d", "pnode")).alias("home"))
     cell = d.join(first, ["region", "node"]).where(F.col("d") <= F.col("home.d") + 2 * r + 1e-9).select(
         "region", "node", "pnode", F.col("near").cast("bigint").alias("_near"), (F.col("pnode") == F.col("home.pnode")).cast("bigint").alias("_home"))
-    made = rows.join(cell, ["region", "node"], "left").select(  # a region that drew no pivot stays as it is
-        F.concat_ws("/", "region", "pnode").alias("region"), "node", "n",
+    made = rows.join(sizes.select("region", F.col("sets").alias("_was")), "region").join(cell, ["region", "node"], "left").select(
+        F.concat_ws("/", "region", "pnode").alias("region"), "node", "n",  # a region that drew no pivot stays as it is
         F.col("near").bitwiseOR(F.shiftleft(F.coalesce("_near", F.lit(0).cast("bigint")), level)).alias("near"),
         F.col("home").bitwiseOR(F.shiftleft(F.coalesce("_home", F.lit(0).cast("bigint")), level)).alias("home"),
-        F.col("levels").bitwiseOR(F.when(F.col("pnode").isNotNull(), F.lit(1 << level)).otherwise(F.lit(0)).cast("bigint")).alias("levels"), "members")
+        F.col("levels").bitwiseOR(F.when(F.col("pnode").isNotNull(), F.lit(1 << level)).otherwise(F.lit(0)).cast("bigint")).alias("levels"),
+        F.col("_was").alias("was"))
     return stage(made, "cells"), d.where("near").select(F.col("node").alias("a"), F.col("pnode").alias("b"))
 
 
 def _sizes(rows: DataFrame) -> DataFrame:
-    s = rows.groupBy("region").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    s = rows.groupBy("region").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"), F.first("was").alias("was"))
     return s.withColumn("cells", F.greatest(F.ceil(F.col("sets") / LEAF), F.ceil(F.col("shingles") / LEAF_SHINGLES)).cast("int"))
 
 
 def _as_leaves(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col("region").alias("leaf"), F.lit(0).alias("part"), "node", "n", "near", "home", "levels", "members")
+    return rows.select(F.col("region").alias("leaf"), F.lit(0).alias("part"), "node", "n", "near", "home", "levels")
 
 
-def join_regions(rows: DataFrame, percent: int) -> list[DataFrame]:
-    """Edge tables of all links inside regions, except between sets that share a near pivot."""
+def _as_blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Blocks of regions that no pivot separates, each pair of blocks a leaf."""
+    block = rows.join(sizes.select("region", "cells"), "region").withColumn(
+        "block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("cells")).cast("int"))
+    return block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select(
+        F.concat_ws("|", "region", F.least("block", "other"), F.greatest("block", "other")).alias("leaf"),
+        (F.col("block") > F.col("other")).cast("int").alias("part"), "node", "n", "near", "home", "levels")
+
+
+def join_regions(rows: DataFrame, sets: DataFrame, percent: int) -> list[DataFrame]:
+    """Edge tables of all links inside regions, except between sets that share a near pivot.
+
+    ``rows`` are who is where (region, node, n, near); ``sets`` has the members
+    of each node.  Regions are split as long as that makes them smaller: a cell
+    of more than ``SHRINK`` of its region's sets is cut into blocks instead.
+    Members are joined where distances are taken, and to leaves.
+    """
+    zero = F.lit(0).cast("bigint")
+    rows = rows.select("region", "node", "n", "near", zero.alias("home"), zero.alias("levels"), F.lit(None).cast("bigint").alias("was"))
     edges, level = [], 1
     while True:
         sizes = stage(_sizes(rows), "sizes")
-        small = rows.join(sizes.where("cells <= 1").select("region"), "region", "left_semi")
-        edges.append(_compare(_as_leaves(small), percent))
-        large = sizes.where("cells > 1")
-        if not large.limit(1).count():
+        fits, large = F.col("cells") <= 1, F.col("cells") > 1
+        parted = F.coalesce(F.col("sets") <= F.col("was") * SHRINK, F.lit(True)) & F.lit(level < LEVELS)
+        of = lambda which: rows.join(sizes.where(which).select("region"), "region", "left_semi")
+        edges.append(_compare(_as_leaves(of(fits)), sets, percent))
+        if not sizes.where(large).limit(1).count():
             return edges
-        rows = rows.join(large.select("region"), "region", "left_semi")
-        if level > ROUNDS:
-            break
-        rows, linked = _split(rows, large, level, percent)
+        if sizes.where(large & ~parted).limit(1).count():
+            edges.append(_compare(_as_blocks(of(large & ~parted), sizes.where(large & ~parted)), sets, percent))
+        if not sizes.where(large & parted).limit(1).count():
+            return edges
+        rows, linked = _split(of(large & parted), sizes.where(large & parted), sets, level, percent)
         edges.append(linked)
         level += 1
-    # blocks of what no pivot separates, each pair of blocks a leaf
-    block = rows.join(large.select("region", "cells"), "region").withColumn(
-        "block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("cells")).cast("int"))
-    dealt = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select(
-        F.concat_ws("|", "region", F.least("block", "other"), F.greatest("block", "other")).alias("leaf"),
-        (F.col("block") > F.col("other")).cast("int").alias("part"), "node", "n", "near", "home", "levels", "members")
-    edges.append(_compare(dealt, percent))
-    return edges
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
@@ -336,7 +352,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64))], ["s"])
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, sets in _sets(batches, "text", shingle):
+        wanted = (b.filter(pa.array(may_hold(filter_.value, b.column(2).to_numpy()))) for b in batches)
+        for b, sets in _sets(wanted, "text", shingle):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f"{k[0]}:{k[1]}" for k in map(set_key, sets)]), pa.array([set_key(s)[0] for s in sets], pa.int64()),
                  pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
@@ -356,22 +373,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     met = met.withColumn("p", F.min("k1").over(Window.partitionBy("key"))).where("k1 != p")
     star = stage(met.select("k1", "p").distinct(), "star")
 
-    active = star.select("k1").unionByName(star.select(F.col("p").alias("k1"))).distinct()
-    reps = nodes.join(active, "k1").select(F.col("rep").alias("id")).distinct()
-    active_sets = linked.join(reps, "id", "left_semi").mapInArrow(members, "node string, k1 bigint, n bigint, members binary")
-    active_sets = stage(active_sets.join(active, "k1", "left_semi").groupBy("node", "k1", "n").agg(F.first("members").alias("members")), "members")
-
-    pivot = active_sets.select(F.col("k1").alias("p"), F.col("node").alias("pnode"), F.col("n").alias("np"), F.col("members").alias("pivot"))
-    cell = star.join(active_sets, "k1").join(pivot, "p").mapInPandas(
-        _measure(percent, ["pnode", "node"]), "pnode string, node string, near boolean, d double")
+    no = F.lit(False)
+    active = star.select("k1", no.alias("pivot")).unionByName(star.select(F.col("p").alias("k1"), (~no).alias("pivot")))
+    active = active.groupBy("k1").agg(F.max("pivot").alias("is_pivot"))
+    # texts stay where they are read: a filter of fixed size picks the few whose sets are shipped
+    reps = nodes.join(active, "k1").select(F.xxhash64(F.col("rep")).alias("h"))
+    filter_ = spark.sparkContext.broadcast(membership_filter(reps, "h"))
+    active_sets = linked.select("id", "text", F.xxhash64("id").alias("h")).mapInArrow(
+        members, "node string, k1 bigint, n bigint, members binary")
+    active_sets = stage(active_sets.join(active, "k1").groupBy("node", "k1", "n", "is_pivot").agg(F.first("members").alias("members")), "members")
+
+    pivot = active_sets.where("is_pivot").select(F.col("k1").alias("p"), F.col("node").alias("pnode"), F.col("n").alias("np"), F.col("members").alias("pivot"))
+    cell = star.join(active_sets.drop("is_pivot"), "k1").join(pivot, "p").mapInPandas(
+        _measure(percent, ["pnode", "node", "n"]), "pnode string, node string, n bigint, near boolean, d double")
     cell = stage(cell.withColumnRenamed("pnode", "region"), "cells")
     beyond = cell.where("NOT near").groupBy("region").agg(F.min("d").alias("least"))
     window = cell.join(beyond, "region").where(~F.col("near") | (F.col("d") >= F.col("least") - (1 - percent / 100) - 1e-9))
-    rows = window.join(active_sets, "node").select(
-        "region", "node", "n", F.col("near").cast("bigint").alias("near"), F.lit(0).cast("bigint").alias("home"),
-        F.lit(0).cast("bigint").alias("levels"), "members")
-    rows = stage(rows, "regions")
-    edges = join_regions(rows, percent)
+    rows = stage(window.select("region", "node", "n", F.col("near").cast("bigint").alias("near")), "regions")
+    edges = join_regions(rows, active_sets.select("node", "members"), percent)
     links = cell.where("near").select(F.col("node").alias("a"), F.col("region").alias("b"))
     for e in edges:
         links = links.unionByName(e)
