@@ -24,7 +24,6 @@ from assay_spark.llm.toxicity import fit_toxicity, score_toxicity
 from assay_spark.llm.toxicity import held_out as not_learned
 from assay_spark.llm.vector_graph import near_duplicates
 from assay_spark.llm.whitening import whiten_components
-from assay_spark.llm.word_lm import score_words
 from assay_spark.llm.word_runs import collapse_runs, echo_some, runs_digest, strongest_run
 
 
@@ -46,16 +45,11 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Operator 4: stupid-backoff score of every document, with counts of the other fold of all documents."""
+    """Operator 4: stupid-backoff score of every document over whole words, with counts of all other documents."""
     scored = score_documents(table(spark, sf_dir, "documents"))
     return scored.withColumn("lm_score", F.round("lm_score", 6))
 
 
-def backoff_lm_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stupid-backoff score of every document over whole words, with counts of all other documents."""
-    return score_words(table(spark, sf_dir, "documents")).withColumn("lm_score", F.round("lm_score", 6))
-
-
 def op5_pattern_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 5: all documents packed into sequences of at most 4096 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), max_len=4096, end_id=1)
@@ -143,7 +137,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_site_quality": op8_site_quality,
     "op9_syncmers": op9_syncmers,
     "op10_token_offsets": op10_token_offsets,
-    "backoff_lm_words": backoff_lm_words,
     "op11_toxic_subwords": op11_toxic_subwords,
     "op12_whitening": op12_whitening,
     "op13_word_runs": op13_word_runs,
@@ -155,24 +148,6 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 ORACLE: dict[str, str] = {
     "op4_backoff_lm": f"""
-        WITH d AS (
-            SELECT doc_id, doc_id % 2 AS fold,
-                   list_transform(regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+'), lambda x: ('0x' || substr(md5(x), 1, 5))::INT) AS ids
-            FROM documents),
-        w AS (SELECT doc_id, fold, unnest(ids) AS w, generate_subscripts(ids, 1) AS pos FROM d),
-        g AS (SELECT doc_id, fold, pos, w, lag(w) OVER (PARTITION BY doc_id ORDER BY pos) AS v FROM w),
-        c1 AS (SELECT 1 - fold AS fold, w, count(*) AS c FROM w GROUP BY ALL),
-        c2 AS (SELECT 1 - fold AS fold, v, w, count(*) AS c FROM g WHERE v IS NOT NULL GROUP BY ALL),
-        n AS (SELECT 1 - fold AS fold, count(*) AS n FROM w GROUP BY ALL),
-        s AS (SELECT g.doc_id, CASE WHEN c2.c > 0 THEN ln(c2.c) - ln(cv.c)
-                     ELSE CASE WHEN g.v IS NULL THEN 0 ELSE ln(0.4) END + ln((coalesce(cw.c, 0) + 1) / (coalesce(n.n, 0) + 1048576)) END AS s
-              FROM g LEFT JOIN c2 ON c2.fold = g.fold AND c2.v = g.v AND c2.w = g.w
-                     LEFT JOIN c1 cv ON cv.fold = g.fold AND cv.w = g.v
-                     LEFT JOIN c1 cw ON cw.fold = g.fold AND cw.w = g.w
-                     LEFT JOIN n ON n.fold = g.fold)
-        SELECT d.doc_id, count(s.s) AS n_words, round(sum(s.s) / nullif(count(s.s), 0), 6) AS lm_score
-        FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id""",
-    "backoff_lm_words": f"""
         WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
         w AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM d),
         g AS (SELECT doc_id, pos, w, lag(w) OVER (PARTITION BY doc_id ORDER BY pos) AS v FROM w),
