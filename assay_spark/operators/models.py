@@ -8,9 +8,9 @@ Two paths:
   costs one p x p accumulator per task, never its rows.  Only the p x p
   solve runs per cell, one small row each.  kNN (J8) and random
   Fourier ridge (L8) reuse the same machinery.
-- Spark ML estimators (forest, boosted trees, bagging, tree, OLS) for one
-  training table at a time; the grid loop over cells is over parameter keys,
-  each fit a distributed job.
+- Spark ML estimators (forest, boosted trees, bagging, tree, OLS, or the
+  caller's own) for one training table at a time, each fit a distributed job;
+  inside a grid, ``forests`` grows the trees of all cells in one job.
 """
 
 from __future__ import annotations
@@ -201,15 +201,24 @@ class FittedModel:
         return self.model.transform(self._prep(df))
 
 
-def fit(train: DataFrame, name: str, vec: str = "x", y: str = "y", seed: int = 42, **kw) -> FittedModel:
-    """L1: mean imputation fitted on train, then the named regressor.  The
+def _made(model, seed: int, **kw):
+    """A registered model by name, a given Spark ML estimator, or what a callable makes."""
+    if isinstance(model, str):
+        return estimator(model, seed=seed, **kw)
+    made = model if hasattr(model, "fit") else model(**kw)
+    return made.copy({made.featuresCol: "_f", made.labelCol: "_y", made.predictionCol: "_pred"})
+
+
+def fit(train: DataFrame, name, vec: str = "x", y: str = "y", seed: int = 42, **kw) -> FittedModel:
+    """L1: mean imputation fitted on train, then the regressor: a registered
+    name, an estimator or a callable that makes one.  The
     fill vector has one value per feature (bounded by the width)."""
     means = (train.select(A.entries(vec, "_i", "_v")).groupBy("_i").agg(F.avg("_v").alias("_m"))
              .orderBy("_i").collect())
     fill = [float(r["_m"]) if r["_m"] is not None else 0.0 for r in means]
     fm = FittedModel(None, fill, vec)
     d = fm._prep(train).withColumn("_y", F.col(y).cast("double"))
-    fm.model = estimator(name, seed=seed, **kw).fit(d)
+    fm.model = _made(name, seed, **kw).fit(d)
     fm.stages = [fm.model]
     return fm
 
@@ -237,34 +246,37 @@ def fit_report(train: DataFrame, test: DataFrame, name: str, id_col: str = "row_
 GROUPED = ("ols", "ridge", "knn", "rbf_ridge", "mean")
 
 
-def _evaluate_ml(cells: DataFrame, by: list, name: str, id_col: str, vec: str, y: str, split: str,
-                 seed: int, **kw) -> DataFrame:
-    """A Spark ML estimator per cell: one distributed fit per cell key (the
-    key list is the grid, collected -- bounded by the grid, not the data)."""
+def _evaluate_ml(cells: DataFrame, by: list, name, id_col: str, vec: str, y: str, split: str,
+                 seed: int, **kw) -> list[DataFrame]:
+    """Predictions of a Spark ML estimator per cell.  Trees of all cells that fit a
+    group grow in one job; larger cells, and other estimators, take one
+    distributed fit per cell key (the key list is the grid, collected --
+    bounded by the grid, not the data)."""
+    from concurrent.futures import ThreadPoolExecutor
     from functools import reduce as _reduce
 
-    from assay_spark.operators.report import regression_metrics
+    from assay_spark.operators import forests
 
-    from concurrent.futures import ThreadPoolExecutor
-
-    keys = [tuple(r) for r in cells.select(*by).distinct().collect()] if by else [()]
+    if isinstance(name, str) and name in forests.KINDS and not kw:
+        parts = [forests.grouped_trees(cells, by, name, id_col, vec, y, split, seed)]
+        keys = forests.too_large(cells, by, vec)
+    else:
+        parts, keys = [], [tuple(r) for r in cells.select(*by).distinct().collect()] if by else [()]
 
     def one(key):
         cond = _reduce(lambda a, b: a & b, [F.col(c) == F.lit(v) for c, v in zip(by, key)], F.lit(True))
         cell = cells.filter(cond)
         model = fit(cell.filter(F.col(split) == "train"), name, vec, y, seed, **kw)
-        pred = predict(model, cell.filter(F.col(split) == "test"),
-                       [*by, id_col, F.col(y).cast("double").alias("y")])
-        return regression_metrics(pred, by).withColumn("algorithm", F.lit(name))
+        return predict(model, cell.filter(F.col(split) == "test"), [*by, id_col, F.col(y).cast("double").alias("y")])
 
     # each fit is its own distributed job; submitting several at once lets
     # the scheduler interleave them instead of running small jobs one by one
     with ThreadPoolExecutor(max_workers=ML_PARALLEL_FITS) as pool:
-        parts = list(pool.map(one, keys))
-    return _reduce(lambda a, b: a.unionByName(b), parts)
+        parts += list(pool.map(one, keys))
+    return parts
 
 
-def evaluate(cells: DataFrame, by: Sequence[str], algorithms: Sequence[str] = GROUPED, id_col: str = "row_id",
+def evaluate(cells: DataFrame, by: Sequence[str], algorithms: Sequence[str] | dict = GROUPED, id_col: str = "row_id",
              vec: str = "x", y: str = "y", split: str = "split", k: int = C.KNN_K, ridge: float = 1.0,
              rff_features: int = 128, rff_length: float = 1.0, seed: int = 42, source: str = "raw",
              score_on: str = "test") -> DataFrame:
@@ -275,7 +287,10 @@ def evaluate(cells: DataFrame, by: Sequence[str], algorithms: Sequence[str] = GR
     ``score_on="train_resplit"`` reproduces the other protocol of the
     reference: the train rows alone are split again (exact 80/20 per cell)
     and the models are scored on that inner split; the real test rows are
-    not used.  The default scores the real test split."""
+    not used.  The default scores the real test split.
+
+    ``algorithms`` may be a dict: a name, and None for the registered model of
+    that name, a Spark ML estimator, or a callable that makes one."""
     from assay_spark.operators.features import impute_mean_vec
     from assay_spark.operators.kernels import knn_regression
     from assay_spark.operators.report import regression_metrics
@@ -291,17 +306,22 @@ def evaluate(cells: DataFrame, by: Sequence[str], algorithms: Sequence[str] = GR
     # the branches below run as parallel stages of one job and would each
     # recompute a cache that is not filled yet
     # L1: nulls become the mean of the cell's train rows, for every algorithm
-    cells = materialize(impute_mean_vec(cells, vec, by, F.col(split) == "train"))
+    # (looked for in the written cells, so that they are computed once)
+    cells = materialize(cells)
+    whole = impute_mean_vec(cells, vec, by, F.col(split) == "train")
+    if whole is not cells:
+        cells = materialize(whole)
+    own = {k: m for k, m in algorithms.items() if m is not None} if isinstance(algorithms, dict) else {}
     train = cells.filter(F.col(split) == "train")
     test = cells.filter(F.col(split) == "test")
     truth = test.select(*by, id_col, F.col(y).cast("double").alias("y"))
     outs = []
-    linear = [a for a in algorithms if a in ("ols", "ridge")]
+    linear = [a for a in algorithms if a in ("ols", "ridge") and a not in own]
     # one Gram table (cells x p², bounded by the grid and the width) serves
     # every linear fit; it is filled once because each fit reads it
     g = materialize(gram(train, by, vec, y)) if len(linear) > 1 else (gram(train, by, vec, y) if linear else None)
     for alg in algorithms:
-        if alg in ("ols", "ridge"):
+        if alg in ("ols", "ridge") and alg not in own:
             co = solve_gram(g, by, reg=0.0 if alg == "ols" else ridge)
             pred = predict_linear(test, co, by, vec).select(*by, id_col, F.col(y).cast("double").alias("y"), "y_hat")
         elif alg == "rbf_ridge":
@@ -312,9 +332,11 @@ def evaluate(cells: DataFrame, by: Sequence[str], algorithms: Sequence[str] = GR
             pred = predict_linear(te, co, by, "rff").select(*by, id_col, F.col(y).cast("double").alias("y"), "y_hat")
         elif alg == "knn":
             pred = knn_regression(test, train, k, by, id_col, vec, y)
-        elif alg in ML_MODELS:
-            outs.append(_evaluate_ml(cells, by, alg, id_col, vec, y, split, seed))
-            continue
+        elif alg in ML_MODELS or alg in own:
+            from functools import reduce as _reduce
+
+            parts = _evaluate_ml(cells, by, own.get(alg, alg), id_col, vec, y, split, seed)
+            pred = _reduce(lambda a, b: a.unionByName(b), parts)
         elif alg == "mean":
             mu = train.groupBy(*by).agg(F.avg(F.col(y).cast("double")).alias("y_hat")) if by else \
                 train.agg(F.avg(F.col(y).cast("double")).alias("y_hat"))
