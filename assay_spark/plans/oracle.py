@@ -641,6 +641,8 @@ ORACLE["read_cells_columns"] = f"SELECT p_partkey, 'X' AS kind, split, rec, sub,
 ORACLE["write_cells"] = f"SELECT * FROM {_PART_CELLS} WHERE act = 1"
 ORACLE["write_vectors"] = _long_sql(_V, "row_id", "x")
 ORACLE["matrix_roundtrip"] = _long_sql(f"(SELECT row_number() OVER (ORDER BY row_id) - 1 AS sample, x FROM {_V})", "sample", "x")
+ORACLE["matrix_nulls"] = _long_sql(
+    f"(SELECT row_number() OVER (ORDER BY row_id) - 1 AS sample, list_transform(x, lambda e: CASE WHEN e >= 0 THEN e END) AS x FROM {_V})", "sample", "x")
 ORACLE["from_scores"] = """
 SELECT c_custkey, r_name AS model, s.metric, CAST(s.run AS INTEGER) AS run, s.score
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey

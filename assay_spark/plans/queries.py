@@ -846,7 +846,7 @@ def compare_sources_knn(spark, sf_dir):
 
 @query("evaluate_forest_grid")
 def evaluate_forest_grid(spark, sf_dir):
-    """Forest per subsample cell (one distributed fit per cell) next to the
+    """Forest of every subsample cell (all cells in one job) next to the
     grouped models, as the reference's evaluation scripts run it."""
     res = MO.evaluate(grid_cells(spark, sf_dir), ["rec", "sub"], ["forest", "ridge"])
     return rounded(res)
@@ -955,6 +955,15 @@ def matrix_roundtrip(spark, sf_dir):
     return rounded(_long(SRC.read_matrix(spark, path), ["sample"], "x"))
 
 
+@query("matrix_nulls")
+def matrix_nulls(spark, sf_dir):
+    """A matrix with nulls (entries below 0), written in tiles of 128 samples and read back."""
+    path = _folder(spark, "matrix-nulls")
+    v = vectors(spark, sf_dir).withColumn("x", F.transform("x", lambda e: F.when(e >= 0, e)))
+    SRC.write_matrix(v, path, "row_id", "x", tile=128)
+    return rounded(_long(SRC.read_matrix(spark, path), ["sample"], "x"))
+
+
 #: Scores of the S7 example: metric -> model (a region's name) -> list.
 SCORES = {"mse": {"AFRICA": [0.5, 0.25], "ASIA": [1.5], "EUROPE": []}, "r2": {"ASIA": [0.75, 0.125], "EUROPE": [0.0625]}}
 

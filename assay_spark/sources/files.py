@@ -56,13 +56,16 @@ def read_matrix(spark: SparkSession, glob: str, sample_col: str = "sample", out:
 
     Each line must start with its readout number (``write_matrix`` writes
     it), because line order is not kept by a distributed scan.  Line =
-    ``readout,v_sample0,v_sample1,...``.
+    ``readout,v_sample0,v_sample1,...``, or ``readout:start,v,...`` for a tile
+    whose first value is that of sample ``start``.  An empty field is a null.
     """
     lines = spark.read.text(glob).filter(F.length(F.trim("value")) > 0)
-    parts = lines.select(F.split(F.col("value"), ",").alias("_p"))
-    e = parts.select(F.col("_p")[0].cast("int").alias("_r"),
-                     A.entries(F.slice("_p", 2, 1 << 30), "_s", "_v"))
-    g = e.groupBy("_s").agg(F.sort_array(F.collect_list(F.struct("_r", F.col("_v").cast("double").alias("_v")))).alias("_l"))
+    key = F.split(F.col("_p")[0], ":")
+    e = lines.select(F.split(F.col("value"), ",").alias("_p")).select(
+        key[0].cast("int").alias("_r"), F.coalesce(F.get(key, F.lit(1)).cast("long"), F.lit(0).cast("long")).alias("_o"),
+        A.entries(F.slice("_p", 2, 1 << 30), "_s", "_v"))
+    value = F.when(F.trim("_v") != "", F.col("_v").cast("double"))
+    g = e.groupBy((F.col("_o") + F.col("_s")).alias("_s")).agg(F.sort_array(F.collect_list(F.struct("_r", value.alias("_v")))).alias("_l"))
     return g.select(F.col("_s").cast("long").alias(sample_col), F.transform("_l", lambda s: s["_v"]).alias(out))
 
 
@@ -96,14 +99,15 @@ def write_vectors(df: DataFrame, path: str, mode: str = "overwrite", keys: Seque
     w.parquet(path)
 
 
-def write_matrix(df: DataFrame, path: str, sample_col: str, vec: str) -> None:
-    """S6 as text: readout-major lines ``readout,v0,v1,...`` over samples
-    ordered by id; ``read_matrix`` reads them back."""
-    from assay_spark.operators.reshape import transpose
+def write_matrix(df: DataFrame, path: str, sample_col: str, vec: str, tile: int | None = None) -> None:
+    """S6 as text: readout-major lines ``readout:start,v0,v1,...`` of at most
+    ``tile`` samples each, samples ordered by id, nulls as empty fields;
+    ``read_matrix`` reads them back."""
+    from assay_spark.operators.reshape import TILE, transpose_tiles
 
-    t = transpose(df, sample_col, vec, new_id="_r", out="_v")
-    t.select(F.concat_ws(",", F.col("_r").cast("string"),
-                         F.concat_ws(",", F.transform("_v", lambda v: v.cast("string"))))).write.mode("overwrite").text(path)
+    t = transpose_tiles(df, sample_col, vec, tile or TILE, "_r", "_o", "_v")
+    values = F.array_join(F.transform("_v", lambda v: v.cast("string")), ",", "")
+    t.select(F.concat(F.col("_r").cast("string"), F.lit(":"), F.col("_o").cast("string"), F.lit(","), values)).write.mode("overwrite").text(path)
 
 
 def from_scores(spark: SparkSession, scores: dict, source: str | None = None) -> DataFrame:
