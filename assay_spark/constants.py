@@ -31,4 +31,6 @@ ELBOW_KS = tuple(range(1, 10))
 KNN_K = 5
 FOREST_TREES = 300
 FOREST_DEPTH = 30
+SHOT_LOOPS = 3
+SHOT_COUNTS_DRAWN = (0, 10, 20, 50)
 SHOT_COUNTS = (10, 20, 50, 100, 200, 500, 1000, 2000, 5000, 10000)

@@ -38,6 +38,21 @@ def draw_int(*parts, seed: int) -> Column:
     return key_int(draw_key(*parts, seed=seed))
 
 
+def permuted(pos: Column, n: Column, *parts, seed: int, rounds: int = 24) -> Column:
+    """Where a keyed permutation of 0..n-1 puts ``pos``, for any n.
+
+    Swap-or-not rounds: x and (k - x) mod n are partners, and a keyed bit of the
+    larger of them says whether both change places.  Every round is its own
+    inverse, so distinct places stay distinct; no place is looked up or stored.
+    """
+    def swap(x: Column, i: Column) -> Column:
+        partner = F.pmod(draw_int(*parts, i, seed=seed) - x, n)
+        flip = draw_int(*parts, i, F.greatest(x, partner), seed=seed + 1) % 2 == 1
+        return F.when(flip, partner).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), pos.cast("bigint"), swap)
+
+
 def uniform(*parts, seed: int) -> Column:
     """A repeatable uniform in [0, 1) from the draw key."""
     return draw_int(*parts, seed=seed) / F.lit(float(2 ** KEY_BITS))

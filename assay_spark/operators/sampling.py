@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay_spark import constants as C
-from assay_spark.functions.keys import KEY_BITS, draw_int
+from assay_spark.functions.keys import KEY_BITS, draw_int, permuted
 
 BUCKET_BITS = 12
 
@@ -223,28 +223,21 @@ def subsamples(df: DataFrame, id_col: str, stratum: str, sizes: Iterable[int], r
     rows, then an exact stratified test/train split inside the cell.
 
     ``replace=True`` (the default, as the reference draws) may repeat a row
-    inside a cell; ``draw`` then tells the copies apart.  The rows are ranked
-    once per stratum, whatever the number of cells, and the small table of
-    drawn positions is joined to them.  ``disjoint=True`` draws without replacement *and* without overlap between the subsamples
+    inside a cell; ``draw`` then tells the copies apart.  ``replace=False``
+    takes the first places of a keyed permutation of each stratum instead, one
+    permutation per cell.  Either way the rows are ranked once per stratum,
+    whatever the number of cells, and the small table of drawn positions is
+    joined to them.  ``disjoint=True`` draws without replacement *and* without overlap between the subsamples
     of one size: rows are ranked once per (size, stratum) and rank r goes to
     subsample ceil(r / m) -- exact, one pass, no sequential removal.
-
-    Without replacement each row is tagged with every cell it may enter (a
-    projection inside the scan stage, not a join); the bucketed rank prunes
-    rows past each stratum's share before anything is sorted.
     """
     sizes = [int(r) for r in sizes]
     if disjoint:
         g = df.withColumn("rec", F.explode(F.array(*[F.lit(r) for r in sizes])))
         drawn = _disjoint_share(g, id_col, stratum, repeats, seed)
         replace = False
-    elif replace:
-        drawn = _drawn_positions(df, id_col, stratum, sizes, repeats, seed)
     else:
-        grid = F.array(*[F.struct(F.lit(r).alias("rec"), F.lit(int(s)).alias("sub"))
-                         for r in sizes for s in range(1, repeats + 1)])
-        g = df.withColumn("_cell", F.explode(grid)).select("*", "_cell.rec", "_cell.sub").drop("_cell")
-        drawn = _stratified_share(g, id_col, stratum, seed)
+        drawn = _drawn_positions(df, id_col, stratum, sizes, repeats, seed, replace)
     key_cols = [id_col] if not replace else [id_col, "draw"]
     return stratified_split(drawn, id_col, stratum, test_pct=test_pct, seed=seed + 1,
                             by=["rec", "sub"], key_cols=key_cols + ["rec", "sub"])
@@ -263,30 +256,27 @@ def _disjoint_share(g: DataFrame, id_col: str, stratum: str, repeats: int, seed:
     return r.drop("_h", "_m", "_lim", "_r", "_gn")
 
 
-def _drawn_positions(df: DataFrame, id_col: str, stratum: str, sizes: list, repeats: int, seed: int) -> DataFrame:
-    """Equal-per-stratum draws with replacement for every cell: one rank per
-    stratum, joined to the positions each (rec, sub) draws."""
+def _drawn_positions(df: DataFrame, id_col: str, stratum: str, sizes: list, repeats: int, seed: int,
+                     replace: bool) -> DataFrame:
+    """Equal-per-stratum draws for every cell: one rank per stratum, joined to
+    the positions each (rec, sub) draws.  Without replacement a stratum smaller
+    than its share is drawn whole."""
     counts = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_sn"))
     counts = counts.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy()))  # one row per stratum
     grid = F.array(*[F.struct(F.lit(r).alias("rec"), F.lit(int(s)).alias("sub")) for r in sizes for s in range(1, repeats + 1)])
     cells = counts.withColumn("_cell", F.explode(grid)).select("*", "_cell.rec", "_cell.sub").drop("_cell")
     cells = cells.withColumn("_m", (F.col("rec") / F.col("_k")).cast("int")).filter(F.col("_m") > 0)
-    draws = cells.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_m"))))
-    draws = draws.withColumn("_pos", F.lit(1) + F.pmod(draw_int(stratum, "draw", "rec", "sub", seed=seed + 7919), F.col("_sn")))
+    last = F.col("_m") if replace else F.least(F.col("_m"), F.col("_sn").cast("int"))
+    draws = cells.withColumn("draw", F.explode(F.sequence(F.lit(1), last)))
+    if replace:
+        place = F.pmod(draw_int(stratum, "draw", "rec", "sub", seed=seed + 7919), F.col("_sn"))
+    else:
+        place = permuted(F.col("draw") - 1, F.col("_sn"), stratum, "rec", "sub", seed=seed + 7919)
+    draws = draws.withColumn("_pos", F.lit(1) + place)
     ranked = rank_within(df.withColumn("_h", draw_int(id_col, seed=seed)), [stratum], "_h", [id_col], out="_pos")
     return ranked.join(draws.select(stratum, "_pos", "rec", "sub", "draw"), [stratum, "_pos"], "inner").drop("_h", "_pos")
 
 
-def _stratified_share(g: DataFrame, id_col: str, stratum: str, seed: int) -> DataFrame:
-    """``stratified_sample`` where the draw size is the per-row ``rec`` column."""
-    by = ["rec", "sub"]
-    d = g.withColumn("_h", draw_int(id_col, "rec", "sub", seed=seed))
-    share = lambda t: t.withColumn(
-        "_m", (F.col("rec") / F.count(F.lit(1)).over(Window.partitionBy(*by))).cast("long"))
-    return rank_within(d, by + [stratum], "_h", [id_col], limit="_m", out="draw",
-                       group_fn=share).drop("_h", "_m", "_gn")
-
-
 # ---------------------------------------------------------------- J6, U2
 def exclude_drawn(df: DataFrame, drawn: DataFrame, id_col: str) -> DataFrame:
     """Rows whose id was not drawn yet (keyed left-anti join)."""

@@ -206,29 +206,27 @@ r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY h, doc_
 SELECT r.doc_id, r.lang, dr.draw FROM r JOIN dr USING (lang, pos)"""
 
 
-def _grid_draw() -> str:
-    cells = "(SELECT unnest([100, 200]) AS rec) CROSS JOIN (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS sub)"
-    base = f"""
-    g AS (SELECT v.*, c.rec, c.sub, {H('row_id', 'rec', 'sub')} AS h
-          FROM (SELECT vec_id AS row_id, label AS stratum FROM embeddings) v CROSS JOIN ({cells}) c),
-    cnt AS (SELECT rec, sub, stratum, count(*) AS sn, rec // count(*) OVER (PARTITION BY rec, sub) AS m
-            FROM g GROUP BY rec, sub, stratum),
-    r AS (SELECT g.*, row_number() OVER (PARTITION BY rec, sub, stratum ORDER BY h, row_id) AS rk FROM g)"""
-    return f"""(WITH {base}
-        SELECT r.row_id, r.stratum, r.rec, r.sub, r.rk AS draw FROM r JOIN cnt USING (rec, sub, stratum)
-        WHERE r.rk <= cnt.m)"""
-
-
-def _replace_draw() -> str:
-    """The full grid with replacement: one rank per stratum, positions drawn per cell."""
+def _permuted(pos: str, n: str, parts: tuple, seed: int, rounds: int = 24) -> str:
+    """Place of ``pos`` in the keyed permutation of 0..n-1 (swap-or-not rounds)."""
+    partner = f"((({H(*parts, 'i', seed=seed)}) % {n} - x + {n}) % {n})"
+    flip = f"({H(*parts, 'i', f'greatest(x, {partner})', seed=seed + 1)}) % 2 = 1"
+    return (f"list_reduce(list_concat([CAST({pos} AS BIGINT)], range({rounds})), "
+            f"lambda x, i: CASE WHEN {flip} THEN {partner} ELSE x END)")
+
+
+def _grid_draw(replace: bool = False) -> str:
+    """The full grid: one rank per stratum, positions drawn per cell."""
     sizes, repeats = list(_C.SUBSAMPLE_SIZES), _C.SUBSAMPLE_REPEATS
+    last = "c.rec // s.k" if replace else "least(c.rec // s.k, s.sn)"
+    place = (f"{H('stratum', 'draw', 'rec', 'sub', seed=42 + 7919)} % sn" if replace
+             else _permuted("draw - 1", "sn", ("stratum", "rec", "sub"), 42 + 7919))
     return f"""(WITH v AS (SELECT vec_id AS row_id, label AS stratum FROM embeddings),
         r AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY {H('row_id')}, row_id) AS rk FROM v),
         s AS (SELECT stratum, count(*) AS sn, count(*) OVER () AS k FROM v GROUP BY stratum),
         c AS (SELECT * FROM (SELECT unnest({sizes}) AS rec) CROSS JOIN (SELECT CAST(unnest(range(1, {repeats + 1})) AS INTEGER) AS sub)),
-        dr AS (SELECT rec, sub, stratum, draw, 1 + {H('stratum', 'draw', 'rec', 'sub', seed=42 + 7919)} % sn AS rk
-               FROM (SELECT s.*, c.*, unnest(range(1, c.rec // s.k + 1)) AS draw FROM s, c))
-        SELECT r.row_id, r.stratum, dr.rec, dr.sub, dr.draw FROM r JOIN dr USING (stratum, rk))"""
+        dr AS (SELECT rec, sub, stratum, draw, 1 + {place} AS rk
+               FROM (SELECT s.*, c.*, unnest(range(1, {last} + 1)) AS draw FROM s, c))
+        SELECT r.row_id, r.stratum, dr.rec, dr.sub, CAST(dr.draw AS INTEGER) AS draw FROM r JOIN dr USING (stratum, rk))"""
 
 
 ORACLE["subsamples_grid"] = "SELECT rec, sub, row_id, stratum, draw, split FROM " + _strat_split(
@@ -238,7 +236,7 @@ ORACLE["subsamples_grid"] = "SELECT rec, sub, row_id, stratum, draw, split FROM
 ORACLE["exclude_drawn"] = f"SELECT o_orderkey, o_orderpriority FROM {_ORD_TOP} WHERE draw_rank > 1800"
 
 ORACLE["overlap_report"] = f"""
-WITH s AS (SELECT * FROM {_strat_split("SELECT * FROM " + _replace_draw(), seed=43, by="rec, sub",
+WITH s AS (SELECT * FROM {_strat_split("SELECT * FROM " + _grid_draw(replace=True), seed=43, by="rec, sub",
                                         key=("row_id", "draw", "rec", "sub"), tiebreak="row_id, draw, rec, sub")}),
 p AS (SELECT rec, sub, row_id, max(CASE WHEN split = 'train' THEN 1 ELSE 0 END) AS tr,
              max(CASE WHEN split = 'test' THEN 1 ELSE 0 END) AS te FROM s GROUP BY ALL)
@@ -332,7 +330,7 @@ FROM (SELECT row_id, step, unnest(c) AS v, generate_subscripts(c, 1) AS pos FROM
 
 ORACLE["shot_noise"] = f"""
 WITH e AS (SELECT row_id, unnest(x) AS e, generate_subscripts(x, 1) - 1 AS i FROM {_vh(18)}),
-g AS (SELECT e.*, s.shots, l.loop FROM e, (SELECT unnest([0, 10, 50]) AS shots) s, (SELECT unnest([1, 2]) AS loop) l),
+g AS (SELECT e.*, s.shots, l.loop FROM e, (SELECT unnest({list(_C.SHOT_COUNTS_DRAWN)}) AS shots) s, (SELECT unnest(range(1, {_C.SHOT_LOOPS + 1})) AS loop) l),
 dr AS (SELECT row_id, shots, loop, i, e, unnest(range(1, shots + 1)) AS j FROM g WHERE shots > 0),
 k AS (SELECT row_id, shots, loop, i, count_if(CAST({H('row_id', 'shots', 'loop', 'i', 'j')} AS DOUBLE)
              / CAST(1152921504606846976 AS DOUBLE) < (1.0 + e) / 2.0) AS k
@@ -542,12 +540,12 @@ FROM pred GROUP BY rec, sub, algorithm"""
 
 
 _DISJOINT_DRAW = f"""(WITH g AS (SELECT v.*, c.rec, {H('row_id', 'rec')} AS h
-          FROM (SELECT vec_id AS row_id, label AS stratum FROM embeddings) v CROSS JOIN (SELECT unnest([100, 200]) AS rec) c),
+          FROM (SELECT vec_id AS row_id, label AS stratum FROM embeddings) v CROSS JOIN (SELECT unnest({list(_C.SUBSAMPLE_SIZES)}) AS rec) c),
     cnt AS (SELECT rec, stratum, rec // count(*) OVER (PARTITION BY rec) AS m FROM g GROUP BY rec, stratum),
     r AS (SELECT g.*, row_number() OVER (PARTITION BY rec, stratum ORDER BY h, row_id) AS rk FROM g)
     SELECT r.row_id, r.stratum, r.rec, CAST((r.rk - 1) // cnt.m + 1 AS INTEGER) AS sub,
            r.rk - ((r.rk - 1) // cnt.m) * cnt.m AS draw
-    FROM r JOIN cnt USING (rec, stratum) WHERE cnt.m > 0 AND r.rk <= cnt.m * 5)"""
+    FROM r JOIN cnt USING (rec, stratum) WHERE cnt.m > 0 AND r.rk <= cnt.m * {_C.SUBSAMPLE_REPEATS})"""
 
 ORACLE["subsamples_disjoint"] = "SELECT rec, sub, row_id, stratum, draw, split FROM " + _strat_split(
     "SELECT * FROM " + _DISJOINT_DRAW, seed=43, by="rec, sub", key=("row_id", "rec", "sub"),
@@ -598,7 +596,7 @@ m AS (SELECT max(list_max(list_transform(x, lambda v: abs(v)))) AS s FROM s WHER
 sc AS (SELECT s.row_id, s.split, s.y, list_transform(s.x, lambda v: v * CASE WHEN m.s = 0 THEN 0.0 ELSE 1.0 / m.s END) AS x
        FROM s, m),
 e AS (SELECT row_id, split, y, unnest(x) AS e, generate_subscripts(x, 1) - 1 AS i FROM sc),
-g AS (SELECT e.*, sh.shots, l.loop FROM e, (SELECT unnest([0, 10, 50]) AS shots) sh, (SELECT unnest([1, 2]) AS loop) l),
+g AS (SELECT e.*, sh.shots, l.loop FROM e, (SELECT unnest({list(_C.SHOT_COUNTS_DRAWN)}) AS shots) sh, (SELECT unnest(range(1, {_C.SHOT_LOOPS + 1})) AS loop) l),
 dr AS (SELECT row_id, shots, loop, i, e, unnest(range(1, shots + 1)) AS j FROM g WHERE shots > 0),
 k AS (SELECT row_id, shots, loop, i, count_if(CAST({H('row_id', 'shots', 'loop', 'i', 'j')} AS DOUBLE)
              / CAST(1152921504606846976 AS DOUBLE) < (1.0 + e) / 2.0) AS k

@@ -221,8 +221,7 @@ def stratified_sample_replace(spark, sf_dir):
     return SA.stratified_sample(d, "doc_id", "lang", 100, seed=42, replace=True)
 
 
-GRID_SIZES = (100, 200)
-GRID_REPEATS = 5
+GRID_SIZES, GRID_REPEATS = C.SUBSAMPLE_SIZES, C.SUBSAMPLE_REPEATS
 
 
 @query("subsamples_grid")
@@ -338,13 +337,10 @@ def response_features(spark, sf_dir):
         F.sum(F.col("value") * (F.col("i") % per + 1)).alias("wsum"), F.min("value").alias("min"), F.max("value").alias("max")))
 
 
-SHOTS = (0, 10, 50)
-
-
 @query("shot_noise")
 def shot_noise(spark, sf_dir):
     v = ranked_vectors(spark, sf_dir, RANKED_DIMS)
-    n = FE.add_shot_noise(v, "row_id", "x", SHOTS, loops=2, seed=42)
+    n = FE.add_shot_noise(v, "row_id", "x", C.SHOT_COUNTS_DRAWN, loops=C.SHOT_LOOPS, seed=42)
     return rounded(_long(n, ["row_id", "shots", "loop"], "noisy"))
 
 
@@ -637,7 +633,7 @@ def rank_linear(spark, sf_dir):
 @query("rank_tree")
 def rank_tree(spark, sf_dir):
     s = split_vectors(spark, sf_dir).filter("split = 'train'")
-    return rounded(IM.rank_features(s, "tree", 10, numTrees=100))
+    return rounded(IM.rank_features(s, "tree", 10, numTrees=C.FOREST_TREES))
 
 
 @query("rank_permutation")
@@ -778,12 +774,11 @@ def evaluate_timed(spark, sf_dir):
 
 
 SWEEP_SHOTS = (0, *C.SHOT_COUNTS)
-SWEEP_SHOTS_EXACT = (0, 10, 50)
 
 
 def _sweep(spark, sf_dir, shots, algorithms, method) -> DataFrame:
     v = FE.scale_to(split_vectors(spark, sf_dir), "x", 1.0, fit_on=F.col("split") == "train")
-    noisy = FE.add_shot_noise(v, "row_id", "x", shots, loops=2, seed=42, out="xn", method=method)
+    noisy = FE.add_shot_noise(v, "row_id", "x", shots, loops=C.SHOT_LOOPS, seed=42, out="xn", method=method)
     cells = noisy.select("shots", "loop", "row_id", "split", F.col("xn").alias("x"), "y")
     res = MO.evaluate(cells, ["shots", "loop"], algorithms)
     return rounded(RP.shot_curve(res.withColumnRenamed("shots", "numsamp"), "numsamp", "mse", by=["algorithm"]))
@@ -803,7 +798,7 @@ def shot_sweep(spark, sf_dir):
 def shot_sweep_exact(spark, sf_dir):
     """The shot sweep on the md5-draw path (up to 50 shots) with the
     SQL-checkable models (kNN, train mean)."""
-    return _sweep(spark, sf_dir, SWEEP_SHOTS_EXACT, ["knn", "mean"], "counted")
+    return _sweep(spark, sf_dir, C.SHOT_COUNTS_DRAWN, ["knn", "mean"], "counted")
 
 
 COMPARE_SITES = 8
