@@ -77,18 +77,22 @@ def knn_join(test: DataFrame, train: DataFrame, k: int = C.KNN_K, by: Sequence[s
         tx = np.stack(t["_x"].to_numpy()).astype(float)
         tid = t["_id"].to_numpy()
         ty = t["_y"].to_numpy(dtype=float)
+        order = np.argsort(tid, kind="stable")  # column order is then id order
+        tx, tid, ty = tx[order], tid[order], ty[order]
         kk = min(k, len(t))
-        out = []
-        for lo in range(0, len(q), 64):  # bounds the (rows x block x dims) buffer
-            # summed left to right (cumsum), not pairwise: equal distances
-            # then round identically to a sequential SQL sum, so ties break
-            # by id the same way everywhere
-            d = np.cumsum((qx[lo:lo + 64, None, :] - tx[None, :, :]) ** 2, axis=2)[:, :, -1]
-            for r in range(d.shape[0]):
-                order = np.lexsort((tid, d[r]))[:kk]
-                out.append(pd.DataFrame({"_qid": q["_id"].iat[lo + r], "nn_id": tid[order],
-                                         "nn_dist2": d[r, order], "nn_y": ty[order]}))
-        res = pd.concat(out, ignore_index=True)
+        # summed dimension by dimension, left to right: equal distances then
+        # round identically to a sequential SQL sum, so ties break by id the
+        # same way everywhere, and only one chunk x block table is held
+        d = np.zeros((len(q), len(t)))
+        for j in range(tx.shape[1]):
+            d += (qx[:, j, None] - tx[None, :, j]) ** 2
+        kth = np.partition(d, kk - 1, axis=1)[:, kk - 1, None]
+        row, col = np.nonzero(~(d > kth))  # at least kk a row, more on ties
+        near = np.lexsort((col, d[row, col], row))
+        row, col = row[near], col[near]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col = row[place < kk], col[place < kk]
+        res = pd.DataFrame({"_qid": q["_id"].to_numpy()[row], "nn_id": tid[col], "nn_dist2": d[row, col], "nn_y": ty[col]})
         for c in by:
             res[c] = q[c].iat[0]
         return res[cols]

@@ -267,6 +267,9 @@ def _drawn_positions(df: DataFrame, id_col: str, stratum: str, sizes: list, repe
     cells = counts.withColumn("_cell", F.explode(grid)).select("*", "_cell.rec", "_cell.sub").drop("_cell")
     cells = cells.withColumn("_m", (F.col("rec") / F.col("_k")).cast("int")).filter(F.col("_m") > 0)
     last = F.col("_m") if replace else F.least(F.col("_m"), F.col("_sn").cast("int"))
+    # a handful of small rows grows to every draw of the grid: dealt out first
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.repartition(parts, stratum, "rec", "sub")
     draws = cells.withColumn("draw", F.explode(F.sequence(F.lit(1), last)))
     if replace:
         place = F.pmod(draw_int(stratum, "draw", "rec", "sub", seed=seed + 7919), F.col("_sn"))

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from assay_spark.functions.keys import draw_int
+from assay_spark.functions.keys import draw_int, permuted
 from assay_spark.operators import sampling as SA
 
 
@@ -122,3 +122,29 @@ def test_disjoint_subsamples(spark):
 def test_default_draw_is_with_replacement(spark):
     cells = SA.subsamples(strata200(spark), "row_id", "stratum", [100], 2, seed=1)
     assert "draw" in cells.columns and cells.groupBy("rec", "sub").count().first()["count"] == 100
+
+
+def test_keyed_permutation_is_one_for_any_size(spark):
+    sizes = [1, 2, 3, 7, 64, 100, 1001]
+    df = spark.createDataFrame([(n, i, k) for n in sizes for i in range(n) for k in (1, 2)], "n long, i long, k int")
+    got = df.select("n", "k", permuted(F.col("i"), F.col("n"), "k", seed=5).alias("p")).groupBy("n", "k").agg(
+        F.sort_array(F.collect_list("p")).alias("p"), F.collect_list("p").alias("raw")).collect()
+    assert len(got) == 2 * len(sizes)
+    assert all(r["p"] == list(range(r["n"])) for r in got)
+    by = {(r["n"], r["k"]): r["raw"] for r in got}
+    assert by[1001, 1] != by[1001, 2]
+
+
+def test_draws_without_replacement_are_even_and_capped_by_the_stratum(spark):
+    df = spark.range(60).select(F.col("id").alias("row_id"), F.when(F.col("id") < 10, 0).otherwise(1).alias("stratum"))
+    cells = SA.subsamples(df, "row_id", "stratum", [40], 200, seed=3, replace=False)
+    per = cells.groupBy("sub", "stratum").agg(F.count("*").alias("c"), F.countDistinct("row_id").alias("d")).collect()
+    assert {(r["stratum"], r["c"], r["d"]) for r in per} == {(0, 10, 10), (1, 20, 20)}
+    often = [r["count"] for r in cells.where("stratum = 1").groupBy("row_id").count().collect()]
+    assert len(often) == 50 and min(often) > 50 and max(often) < 110  # 80 expected, deviation 7
+
+
+def test_draws_need_no_exchange_per_cell(spark):
+    df = spark.range(500).select(F.col("id").alias("row_id"), (F.col("id") % 5).alias("stratum"))
+    count = lambda sizes, repeats: SA.subsamples(df, "row_id", "stratum", sizes, repeats, replace=False)._jdf.queryExecution().toString().count("Exchange")
+    assert count([100], 1) == count([100, 200, 800], 25)
