@@ -13,7 +13,10 @@ Vectors are compared within one label only.  Equal vectors are one class.
    links are cosines in double precision, so none lies below the threshold.  A
    pair met in several shards counts in the first they share.
 4. Recall is audited against brute force for a bounded number of queries over
-   all rows; below ``TARGET`` the overlap doubles and the search runs again.
+   all rows, apart for queries with up to ``FEW`` links and with more, so that a
+   large group of copies hides no lost small ones; below ``TARGET`` in either the
+   overlap doubles and the search runs again.  If the widest search stays below
+   ``LEAST``, the call fails instead of returning an incomplete result.
 
 Vectors that are null, zero or hold null or non-finite components, and rows
 without label or id, link with nothing; a null id has a null component.  Lengths
@@ -36,7 +39,9 @@ from assay_spark.llm.components import components
 SAMPLE, SHARD, PIECE, MAX_CLUSTERS = 20_000, 500, 2000, 4096
 NEAR, FAR, POOL, ALPHA = 24, 8, 64, 1.2
 BEAM, ENTRIES, CHUNK = 24, 24, 256
-AUDIT, TARGET, MAX_OVERLAP = 512, 0.97, 12
+AUDIT, TARGET, LEAST, MAX_OVERLAP = 512, 0.97, 0.9, 12
+#: Links of a query that has few of them; links that a recall is measured on, at least.
+FEW, ENOUGH = 64, 32
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -216,7 +221,11 @@ def _search(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def audit(classes: DataFrame, found: DataFrame, threshold: float, queries: int = AUDIT) -> float:
-    """Share of the links of a bounded number of queries that the search found."""
+    """Share of the links of a bounded number of queries that the search found.
+
+    The lesser share of queries with few and with many links; of all of them
+    where either kind holds too few links to tell.
+    """
     ask = classes.orderBy(F.xxhash64("node"), "node").limit(queries).toPandas()
     if not len(ask):
         return 1.0
@@ -232,8 +241,12 @@ def audit(classes: DataFrame, found: DataFrame, threshold: float, queries: int =
 
     true = classes.mapInPandas(run, "a bigint, t bigint").groupBy("a").agg(F.sum("t").alias("t")).where("t > 0")
     got = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n"))
-    r = true.join(got, "a", "left").agg(F.sum("t").alias("t"), F.sum(F.least("t", F.coalesce("n", F.lit(0)))).alias("n")).first()
-    return float(r["n"] / r["t"]) if r["t"] else 1.0
+    kinds = true.join(got, "a", "left").groupBy((F.col("t") <= FEW).alias("few")).agg(
+        F.sum("t").alias("t"), F.sum(F.least("t", F.coalesce("n", F.lit(0)))).alias("n")).collect()  # two rows at most
+    parts = [(r["n"], r["t"]) for r in kinds]
+    if any(t < ENOUGH for _, t in parts):
+        parts = [(sum(n for n, _ in parts), sum(t for _, t in parts))]
+    return min((float(n / t) for n, t in parts), default=1.0)
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding",
@@ -265,6 +278,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, id_col: str = "
         if recall >= TARGET or overlap >= MAX_OVERLAP:
             break
         overlap *= 2
+    if recall < LEAST:
+        raise RuntimeError(f"the search found {recall:.3f} of the audited links with {overlap} shards a vector; {LEAST} are required")
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
     named = classes.select("node", "size", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from assay_spark.llm import jaccard_join
+from assay_spark.llm import jaccard_join, vector_graph
 from assay_spark.llm.components import components
 from assay_spark.llm.jaccard_join import jaccard_components, slice_plan
 from assay_spark.llm.vector_graph import near_duplicates
@@ -122,3 +122,28 @@ def test_vectors_equal_brute_force(spark):
         want.setdefault(r[0], []).append((sum(a in e for e in linked), least[root[a]], least[root[a]] == r[0]))
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
     assert near_duplicates(df.where("vec_id < 0")).count() == 0
+
+
+def test_audit_tells_lost_small_groups_from_a_large_one(spark):
+    rng = np.random.default_rng(3)
+    hot = rng.normal(size=16)
+    x = [hot + rng.normal(size=16) * 1e-3 for _ in range(300)]
+    for _ in range(20):
+        v = rng.normal(size=16)
+        x += [v, v + rng.normal(size=16) * 1e-3]
+    x = [v / np.linalg.norm(v) for v in x]
+    classes = spark.createDataFrame([("1/16", k, 1, v.tolist()) for k, v in enumerate(x)], "label string, node bigint, size bigint, unit array<double>")
+    own = np.array([[a @ b >= 0.93 for b in x] for a in x]).sum(1) - 1
+    schema = "a bigint, b bigint, n bigint"
+    whole = [(k, None, int(n)) for k, n in enumerate(own)]
+    assert vector_graph.audit(classes, spark.createDataFrame(whole, schema), 0.93) == 1.0
+    assert vector_graph.audit(classes, spark.createDataFrame(whole[:300], schema), 0.93) == 0.0
+
+
+def test_a_search_that_misses_links_fails(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=8)
+    df = spark.createDataFrame([(k, (v + rng.normal(size=8) * 1e-3).tolist(), 1) for k in range(40)], "vec_id bigint, embedding array<double>, label int")
+    monkeypatch.setattr(vector_graph, "_search", lambda rows, threshold: spark.createDataFrame([], "a bigint, b bigint, n bigint"))
+    with pytest.raises(RuntimeError, match="audited links"):
+        near_duplicates(df)
