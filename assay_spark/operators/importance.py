@@ -67,36 +67,31 @@ def tree_importance(train: DataFrame, vec: str = "x", y: str = "y", seed: int =
 
 # ---------------------------------------------------------------- F13 permutation
 def permutation_importance(model, df: DataFrame, dim: int, id_col: str = "row_id", vec: str = "x",
-                           y: str = "y", seed: int = 42, bucket_rows: int = 1 << 16) -> DataFrame:
+                           y: str = "y", seed: int = 42) -> DataFrame:
     """MSE increase when feature j is replaced by its value in another row.
 
-    Rows are replicated once per feature (d copies), and inside each
-    (feature, hash bucket) two independent key orders are ranked and matched,
-    which is a uniform random permutation within the bucket.  Buckets hold
-    about ``bucket_rows`` rows, so a row is its own donor about once in that
-    many (once per feature in smaller tables), however many rows there are.
-    One ``model.transform`` scores all copies.
+    The rows are put in one random order, and each row's donor is the next one
+    (the first after the last), so no row of two or more is its own donor.  One
+    join brings the donor's vector; the ``dim`` variants of a row are made and
+    scored where it lies, so only row vectors are shuffled, whatever ``dim`` is.
+    One order serves all features.  Output (feature, importance).
     """
     from assay_spark.operators.models import predict
 
-    buckets = max(1, df.count() // bucket_rows)
-    base = predict(model, df, [id_col, F.col(y).cast("double").alias("y")]).agg(
-        F.avg((F.col("y_hat") - F.col("y")) ** 2).alias("_base"))
-    rep = df.select(id_col, vec, F.col(y).cast("double").alias("y"),
-                    F.explode(F.sequence(F.lit(0), F.lit(dim - 1))).alias("feature"))
-    rep = rep.withColumn("_bk", F.pmod(draw_int(id_col, "feature", seed=seed), F.lit(buckets)))
-    a = rep.withColumn("_h1", draw_int(id_col, "feature", seed=seed + 1))
-    a = rank_within(a, ["feature", "_bk"], "_h1", [id_col], out="_r")
-    donors = rep.select(id_col, vec, "feature", "_bk").withColumn("_h2", draw_int(id_col, "feature", seed=seed + 2))
-    donors = rank_within(donors, ["feature", "_bk"], "_h2", [id_col], out="_r")
-    donors = donors.select("feature", "_bk", "_r", F.col(vec).alias("_dv"))
-    j = a.join(donors, ["feature", "_bk", "_r"], "inner")
-    swapped = j.withColumn(vec, F.transform(vec, lambda v, i: F.when(i == F.col("feature"),
-                                                                      F.element_at("_dv", F.col("feature") + 1)).otherwise(v)))
+    rows = df.select(id_col, vec, F.col(y).cast("double").alias("y")).withColumn("_h", draw_int(id_col, seed=seed))
+    rows = rank_within(rows, [], "_h", [id_col], out="_r").drop("_h")
+    n = df.agg(F.count(F.lit(1)).alias("_n"))
+    donors = _attach(rows.select("_r", F.col(vec).alias("_dv")), n, [])
+    donors = donors.select((F.pmod(F.col("_r") - 2, F.col("_n")) + 1).alias("_r"), "_dv")
+    # feature -1 leaves the row as it is: the base error
+    pairs = rows.join(donors, "_r").withColumn("feature", F.explode(F.sequence(F.lit(-1), F.lit(dim - 1))))
+    swapped = pairs.withColumn(vec, F.transform(
+        vec, lambda v, i: F.when(i == F.col("feature"), F.get("_dv", i)).otherwise(v)))
     p = predict(model, swapped, [id_col, "feature", "y"])
     per = p.groupBy("feature").agg(F.avg((F.col("y_hat") - F.col("y")) ** 2).alias("_mse"))
-    return (_attach(per, base, []).select(F.col("feature").cast("int").alias("feature"),
-                                          (F.col("_mse") - F.col("_base")).alias("importance")))
+    base = F.max(F.when(F.col("feature") == -1, F.col("_mse"))).over(Window.partitionBy())  # dim + 1 rows
+    return per.withColumn("_base", base).where("feature >= 0").select(
+        F.col("feature").cast("int").alias("feature"), (F.col("_mse") - F.col("_base")).alias("importance"))
 
 
 def rank_features(train: DataFrame, method: str, n: int, vec: str = "x", y: str = "y", id_col: str = "row_id",

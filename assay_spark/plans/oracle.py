@@ -628,6 +628,21 @@ SELECT p.p_brand, CAST(0 AS INTEGER) AS feature, round(avg(abs(s.b * (CAST(p.p_s
 FROM part p JOIN s USING (p_brand) GROUP BY p.p_brand"""
 
 
+ORACLE["rank_permutation_pair"] = f"""
+WITH p AS (SELECT p_partkey AS row_id, CAST(p_size AS DOUBLE) AS a, CAST(p_partkey % 7 AS DOUBLE) AS b, p_retailprice AS y FROM part),
+c AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab,
+             covar_pop(a, y) AS ay, covar_pop(b, y) AS by_ FROM p),
+w AS (SELECT *, (bb * ay - ab * by_) / (aa * bb - ab * ab) AS ka, (aa * by_ - ab * ay) / (aa * bb - ab * ab) AS kb FROM c),
+r AS (SELECT *, row_number() OVER (ORDER BY {H('row_id')}, row_id) AS rk, count(*) OVER () AS n FROM p),
+d AS (SELECT r.*, o.a AS da, o.b AS db FROM r JOIN r o ON o.rk = r.rk % r.n + 1),
+e AS (SELECT avg(pow(my + ka * (a - ma) + kb * (b - mb) - y, 2)) AS base,
+             avg(pow(my + ka * (da - ma) + kb * (b - mb) - y, 2)) AS ea,
+             avg(pow(my + ka * (a - ma) + kb * (db - mb) - y, 2)) AS eb FROM d, w),
+i AS (SELECT CAST(0 AS INTEGER) AS feature, ea - base AS importance FROM e UNION ALL SELECT CAST(1 AS INTEGER), eb - base FROM e)
+SELECT feature, round(importance, 3) AS importance,
+       CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank FROM i"""
+
+
 # ------------------------------------------------------------- sources and sinks
 _LINE_COLS = ", ".join(f"round({c}, 6) AS {c}" for c in _LINE_NUM)
 ORACLE["read_wide"] = f"SELECT l_orderkey, l_linenumber, {_LINE_COLS} FROM lineitem"

@@ -642,6 +642,16 @@ def rank_permutation(spark, sf_dir):
     return rounded(IM.rank_features(s, "permutation", 10, dim=64, model="ols"))
 
 
+@query("rank_permutation_pair")
+def rank_permutation_pair(spark, sf_dir):
+    """Permutation importance of a linear model of two regressors over all parts."""
+    p = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("row_id"), F.col("p_retailprice").alias("y"),
+        F.array(F.col("p_size").cast("double"), (F.col("p_partkey") % 7).cast("double")).alias("x"))
+    imp = IM.rank_features(p, "permutation", 2, dim=2, model="ols")
+    return imp.withColumn("importance", F.round("importance", 3))
+
+
 def grid_cells(spark, sf_dir) -> DataFrame:
     """Every (rec, sub) subsample with its stratified split, features
     standardised per cell on that cell's train rows."""

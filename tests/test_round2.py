@@ -115,3 +115,18 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="share"):
         session.checkpoint_dir(Session())
+
+
+def test_permutation_importance_shuffles_rows_once_whatever_the_dimensions(spark):
+    from assay_spark.operators import importance as IM
+    from assay_spark.operators.models import fit
+    from pyspark.sql import functions as F
+
+    def exchanges(d):
+        df = spark.range(50).select(F.col("id").alias("row_id"), F.transform(F.sequence(F.lit(1), F.lit(d)), lambda i: (F.col("id") * i % 11).cast("double")).alias("x"),
+                                    F.col("id").cast("double").alias("y"))
+        imp = IM.permutation_importance(fit(df, "ols", "x", "y", 1), df, d)
+        assert imp.count() == d
+        return imp._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+    assert exchanges(2) == exchanges(9)
