@@ -22,7 +22,7 @@ from assay_spark.session import get_spark  # noqa: E402
 
 HEADLINE = [
     "flagship_knn_eval",      # split -> standardise -> kNN -> metrics
-    "subsamples_grid",        # 2 sizes x 5 repeats stratified draw + split
+    "subsamples_grid",        # 3 sizes x 25 repeats stratified draw + split
     "evaluate_grid",          # all cells x {ols, ridge, knn, mean} in one job
     "profile_describe",       # describe with exact quartiles on lineitem
     "box_stats",              # grouped exact quartiles + whiskers on events
