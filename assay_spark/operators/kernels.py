@@ -1,14 +1,15 @@
 """Distance operators: exact k-nearest neighbours, RBF kernel, centroid
 assignment (J7, J8, C2, L7).
 
-kNN is exact and never materialises the test x train pair table.  It is a
-block nested loop with bounded groups on both sides: train rows of a cell
-fall into blocks of about max(``block_rows``, sqrt(n)) rows (capped at
-MAX_BLOCK_ROWS), test rows into chunks of ``chunk_rows``; Spark shuffles
-both to (cell, chunk, block) keys, each cogroup computes its chunk x block
-distance matrix with numpy and keeps every test row's k best, and a window
-keeps the k best over blocks.  A hot cell just has more keys, so no task
-sees more than one chunk and one block.
+kNN is exact and never materialises the test x train pair table.  Groups
+are bounded on both sides: train rows of a cell fall into blocks of about
+max(``block_rows``, sqrt(n)) rows (capped at MAX_BLOCK_ROWS), test rows into
+chunks of ``chunk_rows``; Spark shuffles both to (cell, chunk, block) keys,
+each cogroup computes its chunk x block distance matrix with numpy and keeps
+every test row's k best, and a window keeps the k best over blocks.  A hot
+cell just has more keys, so no task sees more than one chunk and one block.
+In large cells the blocks belong to pivot partitions, and a test row is sent
+only to those that the triangle inequality does not rule out.
 """
 
 from __future__ import annotations
@@ -22,10 +23,14 @@ from assay_spark import constants as C
 from assay_spark.functions import arrays as A
 from assay_spark.functions.keys import draw_int
 from assay_spark.operators.sampling import _attach, _list
+from assay_spark.session import materialize
 
 MAX_BROADCAST_CENTRES = 100_000
 # hard cap on train rows packed into one block (one collected group)
 MAX_BLOCK_ROWS = 8192
+# most pivots of a cell, and the train rows of a cell from which they pay
+MAX_PIVOTS = 256
+PRUNE_ROWS = 16 * 256
 
 
 def _sizes(test: DataFrame, train: DataFrame, by: list, block_rows: int, chunk_rows: int) -> DataFrame:
@@ -38,71 +43,198 @@ def _sizes(test: DataFrame, train: DataFrame, by: list, block_rows: int, chunk_r
     # replication of test rows over blocks stays cheap
     size = F.least(F.greatest(F.lit(float(block_rows)), F.sqrt(F.col("_tn"))), F.lit(float(MAX_BLOCK_ROWS)))
     return s.select(*by, F.greatest(F.lit(1), F.ceil(F.col("_tn") / size)).cast("int").alias("_nb"),
-                    F.greatest(F.lit(1), F.ceil(F.col("_qn") / F.lit(float(chunk_rows)))).cast("int").alias("_nc"))
+                    F.greatest(F.lit(1), F.ceil(F.col("_qn") / F.lit(float(chunk_rows)))).cast("int").alias("_nc"),
+                    size.alias("_rows"))
 
 
-def knn_join(test: DataFrame, train: DataFrame, k: int = C.KNN_K, by: Sequence[str] = (), id_col: str = "row_id",
-             x: str = "x", y: str | None = "y", block_rows: int = 256, chunk_rows: int = 256) -> DataFrame:
-    """For every test row, its ``k`` nearest train rows of the same cell.
+def _zip_groups(left: DataFrame, right: DataFrame, keys: list, fn, schema: str) -> DataFrame:
+    """Cogroup by ``keys``.  They match by position; the right side's are
+    renamed because both sides may come from one DataFrame (a split)."""
+    other = right.select(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(keys)],
+                         *[c for c in right.columns if c not in keys])
+    return left.groupBy(*keys).cogroup(other.groupBy(*[f"_t{i}" for i in range(len(keys))])).applyInPandas(fn, schema)
 
-    Output: cell keys, test id, ``nn_rank`` 1..k, ``nn_id``, ``nn_dist2``
-    (squared Euclidean) and ``nn_y``.  Ties on distance go to the smaller id.
-    A test id that repeats within a cell (draws with replacement) is one
-    query; repeated train rows count as often as they occur.  Rows whose
-    vector is null or holds nulls must be imputed first.
-    """
+
+def _key_ddl(df: DataFrame, by: list) -> list:
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return [f"`{c}` {types[c]}" for c in by]
+
+
+def _table(q, t):
+    """Squared distances between two frames' vectors, summed dimension by
+    dimension from left to right: equal distances then round identically to
+    a sequential SQL sum, so ties break by id the same way everywhere, and
+    only one table is held."""
     import numpy as np
-    import pandas as pd
 
-    by = _list(by)
-    sizes = _sizes(test, train, by, block_rows, chunk_rows)
-    ycol = [F.col(y).cast("double").alias("_y")] if y is not None else [F.lit(None).cast("double").alias("_y")]
-    tr = _attach(train.select(*by, F.col(id_col).cast("long").alias("_id"), F.col(x).alias("_x"), *ycol), sizes, by)
-    tr = tr.withColumn("_blk", F.pmod(draw_int("_id", seed=17), F.col("_nb")).cast("int"))
-    tr = tr.withColumn("_chk", F.explode(F.sequence(F.lit(0), F.col("_nc") - 1))).drop("_nb", "_nc")
-    asked = test.select(*by, F.col(id_col).cast("long").alias("_id"), F.col(x).alias("_x")).dropDuplicates([*by, "_id"])
-    te = _attach(asked, sizes, by)
-    te = te.withColumn("_chk", F.pmod(draw_int("_id", seed=19), F.col("_nc")).cast("int"))
-    te = te.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))).drop("_nb", "_nc")
+    qx, tx = (np.stack(f["_x"].to_numpy()).astype(float) for f in (q, t))
+    d = np.zeros((len(qx), len(tx)))
+    for j in range(tx.shape[1]):
+        d += (qx[:, j, None] - tx[None, :, j]) ** 2
+    return d
+
+
+def _block_nearest(te: DataFrame, tr: DataFrame, by: list, keys: list, k: int) -> DataFrame:
+    """The k nearest train rows of each test row within every group of ``keys``."""
+    import numpy as np
+    import pandas as pd
 
-    key_fields = [f for f in tr.schema.fields if f.name in by]
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in key_fields] +
-                       ["_qid long", "nn_id long", "nn_dist2 double", "nn_y double"])
     cols = by + ["_qid", "nn_id", "nn_dist2", "nn_y"]
 
     def nearest(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if len(q) == 0 or len(t) == 0:
             return pd.DataFrame(columns=cols)
-        qx = np.stack(q["_x"].to_numpy()).astype(float)
-        tx = np.stack(t["_x"].to_numpy()).astype(float)
-        tid = t["_id"].to_numpy()
-        ty = t["_y"].to_numpy(dtype=float)
-        order = np.argsort(tid, kind="stable")  # column order is then id order
-        tx, tid, ty = tx[order], tid[order], ty[order]
+        t = t.sort_values("_id", kind="stable")  # column order is then id order
+        d = _table(q, t)
         kk = min(k, len(t))
-        # summed dimension by dimension, left to right: equal distances then
-        # round identically to a sequential SQL sum, so ties break by id the
-        # same way everywhere, and only one chunk x block table is held
-        d = np.zeros((len(q), len(t)))
-        for j in range(tx.shape[1]):
-            d += (qx[:, j, None] - tx[None, :, j]) ** 2
         kth = np.partition(d, kk - 1, axis=1)[:, kk - 1, None]
         row, col = np.nonzero(~(d > kth))  # at least kk a row, more on ties
         near = np.lexsort((col, d[row, col], row))
         row, col = row[near], col[near]
         place = np.arange(len(row)) - np.searchsorted(row, row)
         row, col = row[place < kk], col[place < kk]
-        res = pd.DataFrame({"_qid": q["_id"].to_numpy()[row], "nn_id": tid[col], "nn_dist2": d[row, col], "nn_y": ty[col]})
+        res = pd.DataFrame({"_qid": q["_id"].to_numpy()[row], "nn_id": t["_id"].to_numpy()[col],
+                            "nn_dist2": d[row, col], "nn_y": t["_y"].to_numpy(dtype=float)[col]})
         for c in by:
             res[c] = q[c].iat[0]
         return res[cols]
 
-    # cogroup keys match by position; the train side's are renamed because
-    # both sides may come from one DataFrame (a split)
-    trk = tr.select(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(by)], "_chk", "_blk", "_id", "_x", "_y")
-    cand = (te.groupBy(*by, "_chk", "_blk")
-              .cogroup(trk.groupBy(*[f"_t{i}" for i in range(len(by))], "_chk", "_blk"))
-              .applyInPandas(nearest, schema))
+    schema = ", ".join([*_key_ddl(tr, by), "_qid long", "nn_id long", "nn_dist2 double", "nn_y double"])
+    return _zip_groups(te.select(*keys, "_id", "_x"), tr.select(*keys, "_id", "_x", "_y"), keys, nearest, schema)
+
+
+def _all_blocks(te: DataFrame, tr: DataFrame, sizes: DataFrame, by: list, k: int) -> DataFrame:
+    """Every chunk of test rows against every block of train rows."""
+    tr = _attach(tr, sizes, by)
+    tr = tr.withColumn("_blk", F.pmod(draw_int("_id", seed=17), F.col("_nb")).cast("int"))
+    tr = tr.withColumn("_chk", F.explode(F.sequence(F.lit(0), F.col("_nc") - 1)))
+    te = _attach(te, sizes, by)
+    te = te.withColumn("_chk", F.pmod(draw_int("_id", seed=19), F.col("_nc")).cast("int"))
+    te = te.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+    return _block_nearest(te, tr, by, [*by, "_chk", "_blk"], k)
+
+
+def _asked_blocks(te: DataFrame, tr: DataFrame, by: list, k: int, chunk_rows: int) -> DataFrame:
+    """Test rows against the blocks (``_part``, ``_sub``) they name; a block
+    that many name meets them in chunks, one that none names is not sent."""
+    keys = [*by, "_part", "_sub"]
+    nc = te.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(chunk_rows))).cast("int").alias("_nc"))
+    tr = _attach(tr, nc, keys).withColumn("_chk", F.explode(F.sequence(F.lit(0), F.col("_nc") - 1)))
+    te = _attach(te, nc, keys).withColumn("_chk", F.pmod(draw_int("_id", seed=19), F.col("_nc")).cast("int"))
+    return _block_nearest(te, tr, by, [*keys, "_chk"], k)
+
+
+def _pruned_blocks(te: DataFrame, tr: DataFrame, sizes: DataFrame, by: list, k: int, pivots: int,
+                   chunk_rows: int) -> DataFrame:
+    """Candidates from the pivot partitions that can hold one.
+
+    Each cell draws up to ``pivots`` train rows; every row belongs to its
+    nearest pivot.  A first pass meets one block of a test row's own
+    partition: its k-th distance there bounds the true one from above.  A
+    partition with pivot p, whose rows lie between ``lo`` and ``hi`` from p,
+    holds nothing nearer to q than the greatest of d(q,p) - hi, lo - d(q,p)
+    and q's distance to the plane between p and its own pivot.  Only blocks
+    of partitions below the bound get a second pass.
+    """
+    import numpy as np
+    import pandas as pd
+
+    # a partition is cut into hashed blocks, so copies of one row fill many
+    cells = sizes.withColumn("_np", F.least(F.lit(int(pivots)), F.col("_nb")))
+    drawn = _attach(tr, cells, by).withColumn("_slot", F.pmod(draw_int("_id", seed=23), F.col("_np")).cast("int"))
+    piv = (drawn.groupBy(*by, "_slot").agg(F.min(F.struct(draw_int("_id", seed=29).alias("h"), "_id", "_x")).alias("_p"))
+                .select(*by, F.col("_slot").alias("_part"), F.col("_p._x").alias("_x")))
+
+    def meet(rows: DataFrame, points: DataFrame, fn, schema: list) -> DataFrame:
+        """Rows in chunks of about MAX_BLOCK_ROWS with the pivots of their cell."""
+        n = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(MAX_BLOCK_ROWS))).cast("int").alias("_nk"))
+        rows = _attach(rows, n, by).withColumn("_chk", F.pmod(draw_int("_id", seed=31), F.col("_nk")).cast("int"))
+        points = _attach(points, n, by).withColumn("_chk", F.explode(F.sequence(F.lit(0), F.col("_nk") - 1)))
+        return _zip_groups(rows.drop("_nk"), points.drop("_nk"), [*by, "_chk"], fn,
+                           ", ".join([*_key_ddl(rows, by), *schema]))
+
+    def home(rows: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        cols = by + ["_id", "_x", "_y", "_part", "_d"]
+        if len(rows) == 0 or len(points) == 0:
+            return pd.DataFrame(columns=cols)
+        d = np.sqrt(_table(rows, points))
+        at = d.argmin(axis=1)
+        return rows.assign(_part=points["_part"].to_numpy()[at], _d=d[np.arange(len(at)), at])[cols]
+
+    tr = materialize(meet(tr, piv, home, ["_id long", "_x array<double>", "_y double", "_part int", "_d double"]))
+    part = tr.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_d").alias("_lo"), F.max("_d").alias("_hi"))
+    part = _attach(part, sizes, by)
+    part = part.withColumn("_ns", F.ceil(F.col("_n") / F.col("_rows")).cast("int"))
+    tr = _attach(tr, part.select(*by, "_part", "_ns"), [*by, "_part"])
+    tr = tr.withColumn("_sub", F.pmod(draw_int("_id", seed=17), F.col("_ns")).cast("int")).drop("_ns", "_d")
+    points = _attach(piv, part.select(*by, "_part", "_lo", "_hi", "_ns"), [*by, "_part"])
+
+    def reach(rows: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        cols = by + ["_id", "_x", "_part", "_sub", "_bound"]
+        if len(rows) == 0 or len(points) == 0:
+            return pd.DataFrame(columns=cols)
+        points = points.sort_values("_part")
+        lo, hi = points["_lo"].to_numpy(), points["_hi"].to_numpy()
+        d2, apart = _table(rows, points), np.sqrt(_table(points, points))
+        d = np.sqrt(d2)
+        at = d.argmin(axis=1)
+        own = d2[np.arange(len(at)), at][:, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            # slack far above the rounding of each bound: never prune a tie
+            plane = (d2 - own - 1e-9 * (d2 + own)) / (2 * apart[at])
+        bound = np.maximum(np.maximum(d - hi, lo - d) - 1e-9 * (d + hi), np.where(np.isfinite(plane), plane, 0.0))
+        bound = np.where(np.isnan(bound), 0.0, np.maximum(bound, 0.0))
+        part = points["_part"].to_numpy()
+        dense = np.full((len(rows), part.max() + 1), np.inf)  # by partition number
+        dense[:, part] = bound
+        sub = rows["_id"].to_numpy() % points["_ns"].to_numpy()[at]
+        return rows.assign(_part=part[at], _sub=sub, _bound=list(dense))[cols]
+
+    te = materialize(meet(te, points, reach, ["_id long", "_x array<double>", "_part int", "_sub int",
+                                              "_bound array<double>"]))
+    first = materialize(_asked_blocks(te.drop("_bound"), tr, by, k, chunk_rows))
+    # fewer than k rows met: no bound, everything may be near
+    kth = first.groupBy(*by, "_qid").agg(F.count(F.lit(1)).alias("_m"), F.max("nn_dist2").alias("_far"))
+    kth = kth.select(*by, F.col("_qid").alias("_id"), F.when(F.col("_m") >= k, F.sqrt("_far")).alias("_far"))
+    more = _attach(te, kth, [*by, "_id"])
+    reached = F.filter(F.transform("_bound", lambda b, i: F.struct(i.alias("part"), b.alias("bound"))),
+                       lambda r: (r["bound"] < float("inf")) & (F.col("_far").isNull() | (r["bound"] <= F.col("_far") * (1 + 1e-9))))
+    more = more.select(*by, "_id", "_x", F.col("_part").alias("_own"), F.col("_sub").alias("_seen"),
+                       F.explode(reached["part"]).alias("_part"))
+    more = _attach(more, part.select(*by, "_part", "_ns"), [*by, "_part"])
+    more = more.withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_ns") - 1))).drop("_ns")
+    more = more.filter((F.col("_part") != F.col("_own")) | (F.col("_sub") != F.col("_seen"))).drop("_own", "_seen")
+    return first.unionByName(_asked_blocks(more, tr, by, k, chunk_rows))
+
+
+def knn_join(test: DataFrame, train: DataFrame, k: int = C.KNN_K, by: Sequence[str] = (), id_col: str = "row_id",
+             x: str = "x", y: str | None = "y", block_rows: int = 256, chunk_rows: int = 256,
+             pivots: int | None = None) -> DataFrame:
+    """For every test row, its ``k`` nearest train rows of the same cell.
+
+    Output: cell keys, test id, ``nn_rank`` 1..k, ``nn_id``, ``nn_dist2``
+    (squared Euclidean) and ``nn_y``.  Ties on distance go to the smaller id.
+    A test id that repeats within a cell (draws with replacement) is one
+    query; repeated train rows count as often as they occur.  Rows whose
+    vector is null or holds nulls must be imputed first.
+
+    ``pivots``: partitions per cell that the triangle inequality may leave
+    out; 0 compares all blocks.  None prunes with up to MAX_PIVOTS if some
+    cell has over PRUNE_ROWS train rows.  The rows returned are the same.
+    """
+    by = _list(by)
+    sizes = _sizes(test, train, by, block_rows, chunk_rows)
+    ycol = [F.col(y).cast("double").alias("_y")] if y is not None else [F.lit(None).cast("double").alias("_y")]
+    tr = train.select(*by, F.col(id_col).cast("long").alias("_id"), F.col(x).cast("array<double>").alias("_x"), *ycol)
+    te = (test.select(*by, F.col(id_col).cast("long").alias("_id"), F.col(x).cast("array<double>").alias("_x"))
+              .dropDuplicates([*by, "_id"]))
+    if pivots is None:
+        largest = train.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        pivots = MAX_PIVOTS if (largest or 0) > PRUNE_ROWS else 0
+    if pivots:
+        cand = _pruned_blocks(te, tr, sizes, by, k, pivots, chunk_rows)
+    else:
+        cand = _all_blocks(te, tr, sizes, by, k)
     w = Window.partitionBy(*by, "_qid").orderBy(F.col("nn_dist2"), F.col("nn_id"))
     c = cand.withColumn("nn_rank", F.row_number().over(w)).filter(F.col("nn_rank") <= k)
     out = [*by, F.col("_qid").alias(id_col), "nn_rank", "nn_id", "nn_dist2"]

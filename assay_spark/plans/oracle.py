@@ -365,6 +365,14 @@ p AS (SELECT t.row_id, r.row_id AS nn_id,
 nn AS (SELECT *, CAST(row_number() OVER (PARTITION BY row_id ORDER BY d, nn_id) AS INTEGER) AS nn_rank FROM p)
 SELECT row_id, nn_rank, nn_id, round(d, 6) AS nn_dist2 FROM nn WHERE nn_rank <= 5"""
 
+ORACLE["knn_join_pruned"] = """
+WITH o AS (SELECT o_orderkey AS row_id, o_orderstatus = 'P' AS asks, o_totalprice / 1000.0 AS a,
+                  date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) / 10.0 AS b FROM orders),
+p AS (SELECT t.row_id, min({'d': (t.a - r.a) * (t.a - r.a) + (t.b - r.b) * (t.b - r.b), 'i': r.row_id}, 5) AS near
+      FROM o t JOIN o r ON t.asks AND NOT r.asks GROUP BY t.row_id)
+SELECT row_id, CAST(i AS INTEGER) AS nn_rank, near[i].i AS nn_id, round(near[i].d, 6) AS nn_dist2
+FROM (SELECT row_id, near, unnest(range(1, len(near) + 1)) AS i FROM p)"""
+
 ORACLE["assign_centroids"] = f"""
 WITH d AS (SELECT stratum, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM {_V}),
 c AS (SELECT stratum AS cluster, list(mu ORDER BY i) AS cx FROM (SELECT stratum, i, avg(v) AS mu FROM d GROUP BY ALL) GROUP BY stratum),

@@ -402,6 +402,19 @@ def knn_join(spark, sf_dir):
     return rounded(K.knn_join(s.filter("split = 'test'"), s.filter("split = 'train'"), k=5, y=None))
 
 
+@query("knn_join_pruned")
+def knn_join_pruned(spark, sf_dir):
+    """For every partly shipped order the five finished or open ones nearest
+    by price and date: thousands of train rows, most of them out of reach."""
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("row_id"), "o_orderstatus",
+        F.array(F.col("o_totalprice") / 1000.0,
+                F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01")) / 10.0).alias("x"))
+    nn = K.knn_join(o.filter("o_orderstatus = 'P'"), o.filter("o_orderstatus <> 'P'"), k=5, y=None,
+                    pivots=K.MAX_PIVOTS)
+    return rounded(nn)
+
+
 def class_centroids(spark, sf_dir) -> DataFrame:
     st = FE.vector_stats(vectors(spark, sf_dir), "x", by=["stratum"])
     return st.select(F.col("stratum").alias("cluster"), F.col("_mu").alias("centroid"))
