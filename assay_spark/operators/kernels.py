@@ -25,7 +25,8 @@ from assay_spark.functions.keys import draw_int
 from assay_spark.operators.sampling import _attach, _list
 from assay_spark.session import materialize
 
-MAX_BROADCAST_CENTRES = 100_000
+# most bytes of centre vectors held as one array or one collected block
+CENTRE_BYTES = 4 << 20
 # hard cap on train rows packed into one block (one collected group)
 MAX_BLOCK_ROWS = 8192
 # most pivots of a cell, and the train rows of a cell from which they pay
@@ -255,39 +256,102 @@ def knn_regression(test: DataFrame, train: DataFrame, k: int = C.KNN_K, by: Sequ
     return truth.join(pred, by + [id_col], "left")
 
 
+def _centre_blocks(centres: DataFrame, x: str) -> int:
+    """Blocks the centres need so that none passes CENTRE_BYTES or MAX_BLOCK_ROWS."""
+    n, width = centres.agg(F.count(F.lit(1)), F.max(F.size(x))).first()
+    per = max(1, min(MAX_BLOCK_ROWS, CENTRE_BYTES // (8 * max(1, width or 1))))
+    return max(1, -(-n // per))
+
+
+def _meet_centres(rows: DataFrame, centres: DataFrame, blocks: int, fn, schema: str, chunk_rows: int = 256) -> DataFrame:
+    """Every chunk of ``rows`` (_id, _x) with every block of ``centres`` (_c, _x)."""
+    chunks = max(1, -(-rows.count() // chunk_rows))
+    rows = rows.withColumn("_chk", F.pmod(F.xxhash64("_id"), F.lit(chunks)).cast("int"))
+    rows = rows.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    centres = centres.withColumn("_blk", F.pmod(F.xxhash64("_c"), F.lit(blocks)).cast("int"))
+    centres = centres.withColumn("_chk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    return _zip_groups(rows, centres, ["_chk", "_blk"], fn, schema)
+
+
+def _packed(centres: DataFrame, key, x: str) -> DataFrame:
+    return centres.agg(F.sort_array(F.collect_list(F.struct(key.alias("c"), F.col(x).alias("v")))).alias("_cents"))
+
+
 def rbf_kernel(df: DataFrame, centres: DataFrame, length: float, id_col: str = "row_id",
-               x: str = "x", centre_id: str = "centre_id", max_centres: int = MAX_BROADCAST_CENTRES) -> DataFrame:
-    """Kernel table k(a, c) = exp(-|a - c|² / (2 l²)) between every row and a
-    bounded set of centres (landmarks, inducing points, another split's
-    sample).  The centre side is broadcast only after its row count is
-    checked against ``max_centres``; output has rows x centres entries.
+               x: str = "x", centre_id: str = "centre_id") -> DataFrame:
+    """Kernel table k(a, c) = exp(-|a - c|² / (2 l²)) between every row and
+    every centre (landmarks, inducing points, another split's sample).
+    Output: row id, ``centre_id``, ``k``; rows x centres entries.
+
+    Centres that fit one block (measured) travel as one array and no row is
+    shuffled; more are dealt in blocks that meet chunks of rows.
     """
-    n_c = centres.count()
-    if n_c > max_centres:
-        raise ValueError(f"{n_c} centres exceed the broadcast bound {max_centres}; "
-                         "draw a bounded centre set first (sample_n)")
-    packed = centres.agg(F.sort_array(F.collect_list(
-        F.struct(F.col(centre_id).alias("c"), F.col(x).alias("v")))).alias("_cents"))
-    d = _attach(df.select(id_col, F.col(x).alias("_ax")), packed, [])
-    g = F.lit(-1.0 / (2.0 * float(length) ** 2))
-    kv = F.transform("_cents", lambda t: F.struct(t["c"].alias("centre_id"),
-                                                  F.exp(A.sq_dist(F.col("_ax"), t["v"]) * g).alias("k")))
-    return d.select(id_col, F.inline(kv))
+    import numpy as np
+    import pandas as pd
+
+    g = -1.0 / (2.0 * float(length) ** 2)
+    blocks = _centre_blocks(centres, x)
+    if blocks == 1:
+        d = _attach(df.select(id_col, F.col(x).alias("_ax")), _packed(centres, F.col(centre_id), x), [])
+        kv = F.transform("_cents", lambda t: F.struct(t["c"].alias("centre_id"),
+                                                      F.exp(A.sq_dist(F.col("_ax"), t["v"]) * F.lit(g)).alias("k")))
+        return d.select(id_col, F.inline(kv))
+
+    rows = df.select(F.col(id_col).alias("_id"), F.col(x).cast("array<double>").alias("_x"))
+    cents = centres.select(F.col(centre_id).alias("_c"), F.col(x).cast("array<double>").alias("_x"))
+
+    def kernel(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if len(q) == 0 or len(t) == 0:
+            return pd.DataFrame(columns=["_id", "_cs", "_ks"])
+        ids = t["_c"].to_numpy()
+        return pd.DataFrame({"_id": q["_id"], "_cs": [ids] * len(q), "_ks": list(np.exp(_table(q, t) * g))})
+
+    types = {f.name: f.dataType.simpleString() for f in [*rows.schema.fields, *cents.schema.fields]}
+    # a vector that is null has null entries with every centre
+    known = _meet_centres(rows.filter("_x IS NOT NULL"), cents, blocks, kernel,
+                          f"_id {types['_id']}, _cs array<{types['_c']}>, _ks array<double>")
+    out = known.select(F.col("_id").alias(id_col), F.inline(F.arrays_zip(F.col("_cs").alias("centre_id"), F.col("_ks").alias("k"))))
+    unknown = _meet_centres(rows.filter("_x IS NULL"), cents, blocks,
+                            lambda q, t: pd.DataFrame({"_id": q["_id"], "_cs": [t["_c"].to_numpy()] * len(q)}),
+                            f"_id {types['_id']}, _cs array<{types['_c']}>")
+    return out.unionByName(unknown.select(F.col("_id").alias(id_col), F.explode("_cs").alias("centre_id"),
+                                          F.lit(None).cast("double").alias("k")))
 
 
 def assign(df: DataFrame, centroids: DataFrame, x: str = "x", cluster: str = "cluster",
-           centroid_x: str = "centroid", max_centroids: int = MAX_BROADCAST_CENTRES) -> DataFrame:
-    """Nearest given centroid per row (ties to the smaller cluster id).
+           centroid_x: str = "centroid") -> DataFrame:
+    """Nearest given centroid per row (ties to the smaller cluster id); null
+    for a vector that is null.
 
-    Centroids are packed into one array (bounded, checked) and scanned with
-    array functions, so the rows are never joined or shuffled.
+    Centroids that fit one block (measured) are scanned as one array, so the
+    rows are never joined or shuffled; more are dealt in blocks that meet
+    chunks of rows, and each row keeps the least of its blocks' answers.
     """
-    n_c = centroids.count()
-    if n_c > max_centroids:
-        raise ValueError(f"{n_c} centroids exceed the bound {max_centroids}")
-    packed = centroids.agg(F.sort_array(F.collect_list(
-        F.struct(F.col(cluster).cast("int").alias("c"), F.col(centroid_x).alias("v")))).alias("_cents"))
-    d = _attach(df, packed, [])
-    best = F.array_min(F.transform(F.col("_cents"),
-                                   lambda t: F.struct(A.sq_dist(F.col(x), t["v"]).alias("d"), t["c"].alias("c"))))
-    return d.withColumn(cluster, best["c"]).withColumn("dist2", best["d"]).drop("_cents")
+    import numpy as np
+    import pandas as pd
+
+    blocks = _centre_blocks(centroids, centroid_x)
+    if blocks == 1:
+        d = _attach(df, _packed(centroids, F.col(cluster).cast("int"), centroid_x), [])
+        best = F.array_min(F.transform(F.col("_cents"),
+                                       lambda t: F.struct(A.sq_dist(F.col(x), t["v"]).alias("d"), t["c"].alias("c"))))
+        best = F.when(F.col(x).isNotNull(), best)
+        return d.withColumns({cluster: best["c"], "dist2": best["d"]}).drop("_cents")
+
+    # a checkpoint fixes the row numbers that the answers come back by
+    rows = materialize(df.withColumn("_rid", F.monotonically_increasing_id()))
+    asks = rows.filter(F.col(x).isNotNull()).select(F.col("_rid").alias("_id"), F.col(x).cast("array<double>").alias("_x"))
+    cents = centroids.select(F.col(cluster).cast("int").alias("_c"), F.col(centroid_x).cast("array<double>").alias("_x"))
+
+    def least(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if len(q) == 0 or len(t) == 0:
+            return pd.DataFrame(columns=["_id", "_d", "_c"])
+        t = t.sort_values("_c", kind="stable")
+        d = _table(q, t)
+        at = np.where(np.isnan(d), np.inf, d).argmin(axis=1)
+        return pd.DataFrame({"_id": q["_id"], "_d": d[np.arange(len(at)), at], "_c": t["_c"].to_numpy()[at]})
+
+    best = (_meet_centres(asks, cents, blocks, least, "_id long, _d double, _c int")
+            .groupBy(F.col("_id").alias("_rid")).agg(F.min(F.struct("_d", "_c")).alias("_b")))
+    out = rows.drop(cluster, "dist2").join(best, "_rid", "left")
+    return out.withColumns({cluster: F.col("_b._c"), "dist2": F.col("_b._d")}).drop("_rid", "_b")

@@ -71,3 +71,37 @@ def test_pruned_knn_sends_fewer_rows_than_all_blocks(spark, n, monkeypatch):
     all_rows, sent[:] = sum(sent), []
     K.knn_join(te, tr, k=5, y=None, block_rows=64, chunk_rows=64, pivots=64).count()
     assert len(sent) == 2 and sum(sent) < all_rows / 2
+
+
+def test_two_hundred_thousand_centres(spark):
+    n = 200_000
+    # a line of centres, every point's nearest one is known
+    cents = spark.range(n).select(F.col("id").cast("int").alias("cluster"),
+                                  F.array(F.col("id").cast("double"), F.lit(0.0)).alias("centroid"))
+    rows = spark.createDataFrame([(1, [3.2, 1.0]), (2, [199_999.9, 0.0]), (3, [100.5, 0.0]), (4, None)],
+                                 "row_id long, x array<double>")
+    got = {r["row_id"]: (r["cluster"], r["dist2"]) for r in K.assign(rows, cents).collect()}
+    assert got[1] == (3, pytest.approx(1.04)) and got[2] == (199_999, pytest.approx(0.81))
+    assert got[3] == (100, 0.25) and got[4] == (None, None)
+
+    kern = K.rbf_kernel(rows, cents.select(F.col("cluster").alias("centre_id"), F.col("centroid").alias("x")), 2.0)
+    per = {r["row_id"]: r for r in kern.groupBy("row_id").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("centre_id").alias("c"), F.max_by("centre_id", "k").alias("top"),
+        F.sum("k").alias("s"), F.count("k").alias("known")).collect()}
+    assert all(r["n"] == r["c"] == n for r in per.values()) and len(per) == 4
+    assert per[1]["top"] == 3 and per[2]["top"] == 199_999 and per[4]["known"] == 0
+    x = np.arange(n)
+    assert per[1]["s"] == pytest.approx(np.exp(-((3.2 - x) ** 2 + 1.0) / 8.0).sum())
+
+
+@pytest.mark.parametrize("bytes_", [64, 4 << 20])
+def test_blocks_of_centres_answer_as_one(spark, monkeypatch, bytes_):
+    monkeypatch.setattr(K, "CENTRE_BYTES", bytes_)
+    rows = spark.createDataFrame([("p", 1, [0.0, 0.0]), ("q", 2, [5.0, 5.0]), ("q", 2, [5.0, 5.0]), ("n", 3, None)],
+                                 "name string, row_id long, x array<double>")
+    cents = spark.createDataFrame([(i, [float(i), float(i)]) for i in range(9)] + [(9, [5.0, 5.0])],
+                                  "cluster int, centroid array<double>")
+    got = sorted((r["name"], r["cluster"], r["dist2"]) for r in K.assign(rows, cents).collect() if r["name"] != "n")
+    assert got == [("p", 0, 0.0), ("q", 5, 0.0), ("q", 5, 0.0)]
+    k = K.rbf_kernel(rows, cents.select(F.col("cluster").alias("centre_id"), F.col("centroid").alias("x")), 1.0).collect()
+    assert len(k) == 40 and sum(r["k"] is None for r in k) == 10
