@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from assay_spark import constants as C
 from assay_spark.functions import arrays as A
 from assay_spark.functions.keys import KEY_BITS, draw_int
-from assay_spark.operators.sampling import _attach, _list
+from assay_spark.operators.sampling import _attach, _attach_stats, _list
 
 
 def _fit_rows(df: DataFrame, fit_on: Column | None) -> DataFrame:
@@ -53,7 +53,7 @@ def standardize(df: DataFrame, vec: str, by: Sequence[str] = (), fit_on: Column
     by = _list(by)
     out = out or vec
     st = vector_stats(df, vec, by, fit_on).drop("_n")
-    d = _attach(df, st, by)
+    d = _attach_stats(df, st, by)
     z = F.zip_with(F.zip_with(F.col(vec), F.col("_mu"), lambda x, m: x - m), F.col("_sd"),
                    lambda c, s: F.when(s == 0, F.lit(0.0)).otherwise(c / s))
     return d.withColumn(out, z).drop("_mu", "_sd")
@@ -68,7 +68,7 @@ def standardize_cols(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
     for c in cols:
         aggs += [F.avg(c).alias(f"_mu_{c}"), F.stddev_pop(c).alias(f"_sd_{c}")]
     st = src.groupBy(*by).agg(*aggs) if by else src.agg(*aggs)
-    d = _attach(df, st, by)
+    d = _attach_stats(df, st, by)
     for c in cols:
         d = d.withColumn(c + suffix, F.when(F.col(f"_sd_{c}") == 0, F.lit(0.0))
                          .otherwise((F.col(c) - F.col(f"_mu_{c}")) / F.col(f"_sd_{c}")))
@@ -83,7 +83,7 @@ def impute_mean(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (),
     src = _fit_rows(df, fit_on)
     aggs = [F.avg(c).alias(f"_fill_{c}") for c in cols]
     st = src.groupBy(*by).agg(*aggs) if by else src.agg(*aggs)
-    d = _attach(df, st, by)
+    d = _attach_stats(df, st, by)
     for c in cols:
         d = d.withColumn(c, F.coalesce(F.col(c), F.col(f"_fill_{c}")))
     return d.drop(*[f"_fill_{c}" for c in cols])
@@ -100,7 +100,7 @@ def impute_mean_vec(df: DataFrame, vec: str, by: Sequence[str] = (), fit_on: Col
     src = _fit_rows(df, fit_on).select(*by, A.entries(vec, "_i", "_x"))
     st = src.groupBy(*by, "_i").agg(F.avg("_x").alias("_m"))
     st = st.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_i", "_m"))).alias("_ms"))
-    d = _attach(df, st, by, "left")
+    d = _attach_stats(df, st, by, "left")
     return d.withColumn(vec, F.transform(F.col(vec), lambda x, i: F.coalesce(
         x, F.get(F.col("_ms"), i)["_m"], F.lit(0.0)))).drop("_ms")
 
@@ -122,7 +122,7 @@ def scale_to(df: DataFrame, vec: str, bound: float = C.SCALE_BOUND, by: Sequence
     by = _list(by)
     out = out or vec
     s = max_abs(df, vec, by, fit_on).withColumnRenamed("max_abs", "_s")
-    d = _attach(df, s, by)
+    d = _attach_stats(df, s, by)
     f = F.when(F.col("_s") == 0, F.lit(0.0)).otherwise(F.lit(float(bound)) / F.col("_s"))
     return d.withColumn(out, F.transform(F.col(vec), lambda v: v * f)).drop("_s")
 

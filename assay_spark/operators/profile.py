@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from assay_spark import constants as C
 from assay_spark.functions.moments import kurt_adj, skew_adj
-from assay_spark.operators.sampling import _attach, _list
+from assay_spark.operators.sampling import _attach, _attach_stats, _list
 
 
 # ---------------------------------------------------------------- A4
@@ -50,7 +50,7 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[s
     more_names = [c for c in head.columns if c not in by + ["_n", "_iv"]]
     iv = head.select(*by, "_n", *[F.col("_iv")[2 * i].alias(f"_lo{i}") for i in range(len(qs))],
                      *[F.col("_iv")[2 * i + 1].alias(f"_hi{i}") for i in range(len(qs))])
-    rows = _attach(d, iv.drop("_n"), by)
+    rows = _attach_stats(d, iv.drop("_n"), by)
     # per row and wanted q: kind 0 below the interval, 1 inside, 2 above
     per_q = F.explode(F.array(*[
         F.struct(F.lit(i).alias("qi"),
@@ -78,8 +78,8 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[s
     pos = (F.col("_n") - 1) * F.col("_t.q")
     tq = tq.select(*by, F.col("_t.qi").alias("qi"), F.col("_t.lohi").alias("lohi"), (pos - F.floor(pos)).alias("_frac"),
                    (F.when(F.col("_t.lohi") == 0, F.floor(pos)).otherwise(F.ceil(pos)) + 1).cast("long").alias("_r"))
-    tq = tq.join(edge, by + ["qi"], "left").withColumn("_rin", F.col("_r") - F.coalesce(F.col("_below"), F.lit(0)))
-    hit = (tq.join(cand, by + ["qi"], "inner")
+    tq = _attach(tq, edge, by + ["qi"], "left").withColumn("_rin", F.col("_r") - F.coalesce(F.col("_below"), F.lit(0)))
+    hit = (_attach(tq, cand, by + ["qi"])
              .filter((F.col("_prev") < F.col("_rin")) & (F.col("_rin") <= F.col("_cum")))
              .select(*by, "qi", "lohi", F.col("v").alias("_hv")))
     # the sketch can place a wanted rank at most one rank outside its interval
@@ -87,7 +87,7 @@ def exact_quantiles(df: DataFrame, col: str, qs: Sequence[float], by: Sequence[s
     val = (F.when(F.col("_rin") == 0, F.col("_max_below"))
             .when(F.col("_rin") == F.coalesce(F.col("_inside"), F.lit(0)) + 1, F.col("_min_above"))
             .otherwise(F.col("_hv")))
-    tv = tq.join(hit, by + ["qi", "lohi"], "left").withColumn("_tv", val)
+    tv = _attach(tq, hit, by + ["qi", "lohi"], "left").withColumn("_tv", val)
     piv = tv.groupBy(*by, "qi").agg(
         F.max(F.when(F.col("lohi") == 0, F.col("_tv"))).alias("_lo"),
         F.max(F.when(F.col("lohi") == 1, F.col("_tv"))).alias("_hi"),
@@ -150,14 +150,14 @@ def histogram(df: DataFrame, col: str, bins: int = C.HISTOGRAM_BINS, by: Sequenc
     mm = df.groupBy(*by).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi")) if by else \
         df.agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
     mm = mm.withColumn("_w", (F.col("_hi") - F.col("_lo")) / F.lit(float(bins)))
-    d = _attach(df.filter(F.col(col).isNotNull()), mm, by)
+    d = _attach_stats(df.filter(F.col(col).isNotNull()), mm, by)
     b = F.when(F.col("_w") == 0, F.lit(0)).otherwise(
         F.least(F.floor((F.col(col) - F.col("_lo")) / F.col("_w")), F.lit(bins - 1))).cast("int")
     counts = d.groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     grid = mm.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     grid = grid.select(*by, "bin", (F.col("_lo") + F.col("bin") * F.col("_w")).alias("lo"),
                        (F.col("_lo") + (F.col("bin") + 1) * F.col("_w")).alias("hi"))
-    return grid.join(counts, by + ["bin"], "left").withColumn("count", F.coalesce(F.col("count"), F.lit(0)).cast("long"))
+    return _attach(grid, counts, by + ["bin"], "left").withColumn("count", F.coalesce(F.col("count"), F.lit(0)).cast("long"))
 
 
 # ---------------------------------------------------------------- A11
@@ -169,12 +169,12 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str]) -> DataFrame:
         *by, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     q = q.withColumn("_iqr", F.col("q3") - F.col("q1"))
     q = q.withColumn("_lf", F.col("q1") - 1.5 * F.col("_iqr")).withColumn("_uf", F.col("q3") + 1.5 * F.col("_iqr"))
-    d = _attach(df.select(*by, col), q.select(*by, "_lf", "_uf"), by)
+    d = _attach_stats(df.select(*by, col), q.select(*by, "_lf", "_uf"), by)
     inside = (F.col(col) >= F.col("_lf")) & (F.col(col) <= F.col("_uf"))
     w = d.groupBy(*by).agg(F.min(F.when(inside, F.col(col))).alias("whisker_lo"),
                            F.max(F.when(inside, F.col(col))).alias("whisker_hi"),
                            F.count_if(~inside).alias("outliers"))
-    return q.drop("_iqr", "_lf", "_uf").join(w, by, "inner")
+    return _attach(q.drop("_iqr", "_lf", "_uf"), w, by)
 
 
 # ---------------------------------------------------------------- A9

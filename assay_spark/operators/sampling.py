@@ -21,6 +21,7 @@ from typing import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assay_spark import constants as C
 from assay_spark.functions.keys import KEY_BITS, draw_int, permuted
@@ -75,7 +76,7 @@ def rank_within(df: DataFrame, by: Sequence[str], order_col: str, tiebreak: Sequ
             # offsets directly could plan a shuffle of every row when the
             # groups x buckets table is too big to broadcast.)
             last = counts.groupBy(*by).agg(F.max("_b").alias("_bmax"))
-            d = _attach(d, last, by).filter(F.col("_b") <= F.col("_bmax")).drop("_bmax")
+            d = _attach_stats(d, last, by).filter(F.col("_b") <= F.col("_bmax")).drop("_bmax")
     renamed = {k: f"_k{i}" for i, k in enumerate(by)}
     counts = counts.select(*[F.col(k).alias(v) for k, v in renamed.items()],
                            F.col("_b").alias("_cb"), "_before", *extra)
@@ -142,6 +143,24 @@ def _attach(d: DataFrame, small: DataFrame, by: list, how: str = "inner") -> Dat
     return d.join(renamed, cond, how).drop(*[f"_g{i}" for i in range(len(by))])
 
 
+# places a group's rows are dealt to when statistics are joined onto them
+STAT_SALTS = 32
+
+
+def _attach_stats(d: DataFrame, small: DataFrame, by: list, how: str = "inner") -> DataFrame:
+    """``_attach`` for statistics of groups that may hold most rows: where the
+    join is not a broadcast, a group's rows go to STAT_SALTS places, each with
+    a copy of its one statistics row.  The salt depends on the input partition
+    and the row, so copies of one row spread and a task that is run again
+    deals its rows alike."""
+    if not by:
+        return _attach(d, small, by, how)
+    plain = [f.name for f in d.schema.fields if isinstance(f.dataType, (T.NumericType, T.StringType, T.DateType, T.TimestampType))]
+    salt = F.pmod(F.xxhash64(F.spark_partition_id(), *plain), F.lit(STAT_SALTS)).cast("int")
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(STAT_SALTS - 1))))
+    return _attach(d.withColumn("_salt", salt), copies, [*by, "_salt"], how).drop("_salt")
+
+
 def allocate(counts: DataFrame, by: list, stratum: str, n_col: str, test_pct: int) -> DataFrame:
     """Largest-remainder allocation of ``ceil(test_pct * n / 100)`` test rows
     over strata, proportional to stratum size.  Ties on the remainder go to

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from assay_spark import constants as C
 from assay_spark.functions import arrays as A
-from assay_spark.operators.sampling import _attach, _list
+from assay_spark.operators.sampling import _attach, _attach_stats, _list
 
 
 # ---------------------------------------------------------------- P1, P2, P3
@@ -75,7 +75,7 @@ def zscore_flag(df: DataFrame, col: str, t: float = C.ZSCORE_THRESHOLD, by: Sequ
     by = _list(by)
     aggs = [F.avg(col).alias("_mu"), F.stddev_pop(col).alias("_sd")]
     st = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-    d = _attach(df, st, by)
+    d = _attach_stats(df, st, by)
     z = F.abs((F.col(col) - F.col("_mu")) / F.col("_sd"))
     d = d.withColumn("zscore", z).withColumn(out, F.coalesce(F.col("zscore") > F.lit(float(t)), F.lit(False)))
     d = d.drop("_mu", "_sd")
@@ -141,7 +141,7 @@ def topcode(df: DataFrame, col: str, upper_q: float = C.TOPCODE_QUANTILE, floor:
     from assay_spark.operators.profile import exact_quantiles
 
     st = exact_quantiles(df, col, [upper_q], by).select(*by, F.col("q0").alias("_q"))
-    d = _attach(df, st, by)
+    d = _attach_stats(df, st, by)
     v = F.least(F.col(col), F.col("_q"))
     if floor is not None:
         v = F.greatest(F.lit(float(floor)), v)
