@@ -34,7 +34,8 @@ def vector_stats(df: DataFrame, vec: str, by: Sequence[str] = (), fit_on: Column
     by = _list(by)
     src = _fit_rows(df, fit_on).select(*by, array_to_vector(F.col(vec)).alias("_v"))
     summ = Summarizer.metrics("mean", "variance", "count").summary(F.col("_v")).alias("_s")
-    st = (src.groupBy(*by).agg(summ) if by else src.agg(summ))
+    # a constant key: over no rows a summary without one fails, this gives no row
+    st = src.groupBy(*(by or [F.lit(0).alias("_all")])).agg(summ)
     n = F.col("_s.count").cast("double")
     return st.select(
         *by,

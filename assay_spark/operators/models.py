@@ -30,6 +30,7 @@ from assay_spark.session import materialize
 
 # ---------------------------------------------------------------- L9
 GRAM_CHUNK = 1 << 15  # values per emitted partial row (256 KB of doubles)
+GRAM_BYTES = 256 << 20  # most bytes of partial sums a task holds
 
 
 def gram(df: DataFrame, by: Sequence[str], vec: str = "x", y: str = "y", intercept: bool = True) -> DataFrame:
@@ -38,7 +39,8 @@ def gram(df: DataFrame, by: Sequence[str], vec: str = "x", y: str = "y", interce
 
     Each task folds its rows into one partial [n, y'y, X'X, X'y] per group
     with a BLAS product over Arrow batches -- no per-row p² arrays, so a
-    1710-wide embedding costs one 1710² accumulator per task and group.  The
+    1710-wide embedding costs one 1710² accumulator per task and group; a
+    task that holds over GRAM_BYTES of them hands them on and begins anew.  The
     partial is emitted in chunks of ``GRAM_CHUNK`` values; Spark sums chunks
     per (group, chunk) and reassembles each group's p² values once.  No row,
     buffer or vector ever holds more than one chunk until the final
@@ -53,8 +55,11 @@ def gram(df: DataFrame, by: Sequence[str], vec: str = "x", y: str = "y", interce
     schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in key_fields] +
                        ["_j int", "_p int", "_v array<double>"])
 
+    most = GRAM_BYTES
+
     def partials(batches):
         acc: dict = {}
+        held = 0
         for pdf in batches:
             if len(pdf) == 0:
                 continue
@@ -71,7 +76,15 @@ def gram(df: DataFrame, by: Sequence[str], vec: str = "x", y: str = "y", interce
                     acc[key] = (a[0] + part[0], a[1] + part[1], a[2] + part[2], a[3] + part[3])
                 else:
                     acc[key] = part
-        for key, (n, syy, xtx, xty) in acc.items():
+                    held += part[2].nbytes
+                if held > most:
+                    yield from hand_on(acc)
+                    held = 0
+        yield from hand_on(acc)
+
+    def hand_on(acc):
+        while acc:
+            key, (n, syy, xtx, xty) = acc.popitem()
             flat = np.concatenate([[float(n), syy], xtx.ravel(), xty])
             rows = [dict(zip(by, key), _j=j, _p=int(xty.shape[0]), _v=flat[o:o + GRAM_CHUNK].tolist())
                     for j, o in enumerate(range(0, flat.shape[0], GRAM_CHUNK))]

@@ -190,16 +190,72 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         for k, (a, b) in enumerate(pairs)])).alias("_r")).select("_r.*")
 
 
+# dimensions of a tile's side, and the tiles a task holds before handing them on
+TILE = 128
+HELD_TILES = 1024
+
+
+def gram_tiles(df: DataFrame, vec: str) -> DataFrame:
+    """X'X of a vector column in tiles: (bi, bj, w, v) with bi <= bj, v the
+    row-major product of dimension blocks bi and bj, w the latter's width.
+
+    Each task folds its rows into tiles and hands them on when it holds
+    HELD_TILES of them; Spark adds them up tile by tile, so neither a task
+    nor the driver needs the whole matrix.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    cols = ["bi", "bj", "w", "v"]
+    side, most = TILE, HELD_TILES
+
+    def tiles(batches):
+        held: dict = {}
+
+        def out():
+            rows = [(i, j, t.shape[1], t.ravel()) for (i, j), t in held.items()]
+            held.clear()
+            return pd.DataFrame(rows, columns=cols)
+
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            x = np.stack(pdf["_x"].to_numpy()).astype(float)
+            edges = range(0, x.shape[1], side)
+            for i, a in enumerate(edges):
+                for j, b in list(enumerate(edges))[i:]:
+                    t = x[:, a:a + side].T @ x[:, b:b + side]
+                    held[i, j] = held[i, j] + t if (i, j) in held else t
+                    if len(held) >= most:
+                        yield out()
+        if held:
+            yield out()
+
+    part = (df.filter(F.col(vec).isNotNull()).select(F.col(vec).cast("array<double>").alias("_x"))
+              .mapInPandas(tiles, "bi int, bj int, w int, v array<double>"))
+    return (part.groupBy("bi", "bj", "w").agg(Summarizer.sum(array_to_vector("v")).alias("_s"))
+                .select("bi", "bj", "w", vector_to_array("_s").alias("v")))
+
+
 def corr_matrix_vec(df: DataFrame, vec: str) -> DataFrame:
-    """Correlation between the dimensions of a vector column: a distributed
-    Gram aggregate (ML ``Correlation``); the d x d result is returned long."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.stat import Correlation
-
-    m = Correlation.corr(df.select(array_to_vector(vec).alias("_v")), "_v").head()[0].toArray()
-    d = m.shape[0]
-    rows = [(i, j, float(m[i, j])) for i in range(d) for j in range(i, d)]
-    return df.sparkSession.createDataFrame(rows, "i int, j int, corr double")
+    """Correlation between the dimensions of a vector column, long (i <= j):
+    Gram tiles of the centred rows, each scaled by the diagonals of its two
+    blocks.  Null where a dimension is constant; null vectors do not count."""
+    from assay_spark.operators.features import vector_stats
+
+    d = df.filter(F.col(vec).isNotNull()).select(F.col(vec).cast("array<double>").alias("_x"))
+    d = _attach(d, vector_stats(d, "_x").select("_mu"), [])
+    t = gram_tiles(d.select(F.zip_with("_x", "_mu", lambda x, m: x - m).alias("_x")), "_x")
+    own = t.filter("bi = bj").select("bi", F.transform(
+        F.sequence(F.lit(0), F.col("w") - 1), lambda k: F.element_at("v", (k * F.col("w") + k + 1).cast("int"))).alias("_ss"))
+    t = t.join(own.withColumnRenamed("_ss", "_si"), "bi").join(own.select(F.col("bi").alias("bj"), F.col("_ss").alias("_sj")), "bj")
+    e = t.select("bi", "bj", "w", "_si", "_sj", F.posexplode("v").alias("_k", "_c"))
+    e = e.withColumns({"_r": F.expr("_k div w").cast("int"), "_q": F.expr("_k % w")})
+    e = e.select((F.col("bi") * TILE + F.col("_r")).alias("i"), (F.col("bj") * TILE + F.col("_q")).alias("j"), "_c",
+                 F.sqrt(F.element_at("_si", F.col("_r") + 1)).alias("_a"), F.sqrt(F.element_at("_sj", F.col("_q") + 1)).alias("_b"))
+    return e.filter("i <= j").select("i", "j", F.try_divide(F.col("_c"), F.col("_a") * F.col("_b")).alias("corr"))
 
 
 # ---------------------------------------------------------------- A13

@@ -365,6 +365,11 @@ p AS (SELECT t.row_id, r.row_id AS nn_id,
 nn AS (SELECT *, CAST(row_number() OVER (PARTITION BY row_id ORDER BY d, nn_id) AS INTEGER) AS nn_rank FROM p)
 SELECT row_id, nn_rank, nn_id, round(d, 6) AS nn_dist2 FROM nn WHERE nn_rank <= 5"""
 
+ORACLE["corr_matrix_vec"] = f"""
+WITH d AS (SELECT row_id, CAST(generate_subscripts(x, 1) - 1 AS INTEGER) AS i, unnest(x) AS v FROM {_V})
+SELECT a.i, b.i AS j, round(corr(a.v, b.v), 6) AS corr FROM d a JOIN d b ON a.row_id = b.row_id AND a.i <= b.i
+GROUP BY a.i, b.i"""
+
 ORACLE["knn_join_pruned"] = """
 WITH o AS (SELECT o_orderkey AS row_id, o_orderstatus = 'P' AS asks, o_totalprice / 1000.0 AS a,
                   date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) / 10.0 AS b FROM orders),

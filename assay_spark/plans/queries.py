@@ -141,6 +141,11 @@ def corr_matrix(spark, sf_dir):
     return rounded(PR.corr_matrix(table(spark, sf_dir, "lineitem"), LINE_NUM))
 
 
+@query("corr_matrix_vec")
+def corr_matrix_vec(spark, sf_dir):
+    return rounded(PR.corr_matrix_vec(vectors(spark, sf_dir), "x"))
+
+
 SEGMENT_LABELS = {"AUTOMOBILE": "Auto", "BUILDING": "Building", "FURNITURE": "Furniture", "MACHINERY": "Machinery"}
 
 

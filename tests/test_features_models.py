@@ -192,3 +192,20 @@ def test_gram_spans_several_chunks(spark):
     b = np.linalg.lstsq(np.column_stack([np.ones(300), m]), y, rcond=None)[0]
     assert co["n"] == 300 and co["intercept"] == pytest.approx(b[0], abs=1e-6)
     assert co["coef"] == pytest.approx(list(b[1:]), abs=1e-6)
+
+
+def test_gram_that_is_handed_on_early_is_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(int(i % 5), [float(v) for v in rng.normal(size=6)], float(rng.normal())) for i in range(200)]
+    df = spark.createDataFrame(rows, "g int, x array<double>, y double").repartition(2)
+
+    def coefficients():
+        return {r["g"]: r["coef"] for r in MO.solve_gram(MO.gram(df, ["g"]), ["g"]).collect()}
+
+    whole = coefficients()
+    monkeypatch.setattr(MO, "GRAM_BYTES", 2 * 7 * 7 * 8)  # two accumulators
+    early = coefficients()
+    for g in range(5):
+        x = np.array([[1.0, *r[1]] for r in rows if r[0] == g])
+        want = np.linalg.lstsq(x, np.array([r[2] for r in rows if r[0] == g]), rcond=None)[0][1:]
+        assert np.allclose(whole[g], want) and np.allclose(early[g], want)

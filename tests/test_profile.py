@@ -108,3 +108,22 @@ def test_exact_quantile_property(spark, vals, q, acc):
     df = spark.createDataFrame([(float(v),) for v in vals], "v double")
     got = PR.exact_quantiles(df, "v", [q], accuracy=acc).first()["q0"]
     assert got == pytest.approx(float(np.quantile(np.array(vals, dtype=float), q)), rel=1e-9, abs=1e-9)
+
+
+def test_corr_of_many_dimensions_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr(PR, "HELD_TILES", 3)  # tiles are handed on many times
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 300)) @ rng.normal(size=(300, 300)) + 1e3
+    x[:, 7] = 5.0  # a constant dimension
+    rows = [([float(v) for v in r],) for r in x] + [(None,)]
+    got = {(r["i"], r["j"]): r["corr"] for r in
+           PR.corr_matrix_vec(spark.createDataFrame(rows, "x array<double>").repartition(3), "x").collect()}
+    assert len(got) == 300 * 301 // 2
+    with np.errstate(all="ignore"):
+        want = np.corrcoef(x.T)
+    for (i, j), c in got.items():
+        if 7 in (i, j):
+            assert c is None
+        else:
+            assert c == pytest.approx(want[i, j], abs=1e-9)
+    assert PR.corr_matrix_vec(spark.createDataFrame([], "x array<double>"), "x").collect() == []
