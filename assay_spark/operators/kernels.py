@@ -2,13 +2,14 @@
 assignment (J7, J8, C2, L7).
 
 kNN is exact and never materialises the test x train pair table.  Groups
-are bounded on both sides: train rows of a cell fall into blocks of about
-max(``block_rows``, sqrt(n)) rows (capped at MAX_BLOCK_ROWS), test rows into
-chunks of ``chunk_rows``; Spark shuffles both to (cell, chunk, block) keys,
-each cogroup computes its chunk x block distance matrix with numpy and keeps
-every test row's k best, and a window keeps the k best over blocks.  A hot
-cell just has more keys, so no task sees more than one chunk and one block.
-In large cells the blocks belong to pivot partitions, and a test row is sent
+are bounded on both sides: train rows of a cell fall into blocks, test rows
+into chunks, both of GROUP_BYTES or GROUP_ROWS rows at most; Spark shuffles
+both to (cell, chunk, block) keys, each cogroup walks its chunk x block
+distances in tiles of bounded size and keeps every test row's k best, and a
+window keeps the k best over blocks.  A hot cell just has more keys, so no
+task sees more than one chunk and one block; rows are copied once per group
+they meet, so groups are as large as memory allows, not small.
+With pivots the blocks belong to pivot partitions, and a test row is sent
 only to those that the triangle inequality does not rule out.
 """
 
@@ -27,25 +28,39 @@ from assay_spark.session import materialize
 
 # most bytes of centre vectors held as one array or one collected block
 CENTRE_BYTES = 4 << 20
-# hard cap on train rows packed into one block (one collected group)
+# hard cap on rows that meet the pivots or the centres in one group
 MAX_BLOCK_ROWS = 8192
-# most pivots of a cell, and the train rows of a cell from which they pay
+# most vector bytes and rows of a train block or test chunk, and the blocks
+# that a cell is cut into below that
+GROUP_BYTES = 16 << 20
+GROUP_ROWS = 32768
+CELL_BLOCKS = 8
+# distances held at once, and the width from which a matrix product finds candidates
+TILE = 1 << 22
+PRODUCT_WIDTH = 4
+# most pivots of a cell, the train rows of a cell from which they pay, and the
+# width up to which they do: in more dimensions they rule out next to nothing
 MAX_PIVOTS = 256
 PRUNE_ROWS = 16 * 256
+PRUNE_WIDTH = 8
 
 
-def _sizes(test: DataFrame, train: DataFrame, by: list, block_rows: int, chunk_rows: int) -> DataFrame:
-    """Per cell: number of train blocks and test chunks."""
-    tn = train.groupBy(*by).agg(F.count(F.lit(1)).alias("_tn"))
-    qn = test.groupBy(*by).agg(F.count(F.lit(1)).alias("_qn"))
+def _sizes(te: DataFrame, tr: DataFrame, by: list, block_rows: int, chunk_rows: int) -> DataFrame:
+    """Per cell: train rows, width, number of pivots, train blocks and test
+    chunks, and the rows they hold at most."""
+    tn = tr.groupBy(*by).agg(F.count(F.lit(1)).alias("_tn"), F.max(F.size("_x")).alias("_w"))
+    qn = te.groupBy(*by).agg(F.count(F.lit(1)).alias("_qn"))
     s = tn.join(qn, by, "inner") if by else _attach(tn, qn, [])
-    # ~sqrt(n) rows per block (at least block_rows, at most MAX_BLOCK_ROWS):
-    # enough blocks to spread a cell over many tasks, few enough that the
-    # replication of test rows over blocks stays cheap
-    size = F.least(F.greatest(F.lit(float(block_rows)), F.sqrt(F.col("_tn"))), F.lit(float(MAX_BLOCK_ROWS)))
-    return s.select(*by, F.greatest(F.lit(1), F.ceil(F.col("_tn") / size)).cast("int").alias("_nb"),
-                    F.greatest(F.lit(1), F.ceil(F.col("_qn") / F.lit(float(chunk_rows)))).cast("int").alias("_nc"),
-                    size.alias("_rows"))
+    most = F.greatest(F.lit(1.0), F.least(F.lit(float(GROUP_ROWS)),
+                                          F.floor(F.lit(float(GROUP_BYTES)) / (8 * (F.greatest("_w", F.lit(0)) + 8)))))
+    # a row is copied once per group it meets: a cell is cut into CELL_BLOCKS
+    # blocks, enough to spread it, and into more only where they grow too large
+    size = F.least(F.greatest(F.lit(float(block_rows)), F.ceil(F.col("_tn") / CELL_BLOCKS)), most)
+    chunk = F.greatest(F.least(F.lit(float(chunk_rows)), most), F.lit(1.0))
+    pivots = F.ceil(F.col("_tn") / F.lit(float(block_rows))).cast("int").alias("_np")
+    return s.select(*by, "_tn", "_w", pivots, F.greatest(F.lit(1), F.ceil(F.col("_tn") / size)).cast("int").alias("_nb"),
+                    F.greatest(F.lit(1), F.ceil(F.col("_qn") / chunk)).cast("int").alias("_nc"),
+                    size.alias("_rows"), chunk.alias("_chunk"))
 
 
 def _zip_groups(left: DataFrame, right: DataFrame, keys: list, fn, schema: str) -> DataFrame:
@@ -75,9 +90,87 @@ def _table(q, t):
     return d
 
 
-def _block_nearest(te: DataFrame, tr: DataFrame, by: list, keys: list, k: int) -> DataFrame:
-    """The k nearest train rows of each test row within every group of ``keys``."""
+def _tile_least(x, tx, kk: int):
+    """(row, column, squared distance) of every entry that may be among its
+    row's ``kk`` least; the distances are those of ``_table``.
+
+    In many dimensions a matrix product finds the candidates: whatever its
+    rounding may hide is a candidate too, and all candidates are measured
+    again, dimension by dimension.
+    """
     import numpy as np
+
+    width = tx.shape[1]
+    a, b = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", tx, tx)
+    if width > PRODUCT_WIDTH and a.max() < 1e300 and b.max() < 1e300:
+        d = x @ tx.T
+        d *= -2.0
+        d += a[:, None]
+        d += b
+        slack = 1e-15 * (width + 8) * (a + b.max()) + 1e-290
+        row, col = np.nonzero(d <= (np.partition(d, kk - 1, axis=1)[:, kk - 1] + 4 * slack)[:, None])
+        del d
+        dist = np.zeros(len(row))
+        for j in range(width):
+            dist += (x[row, j] - tx[col, j]) ** 2
+        return row, col, dist
+    d = np.zeros((len(x), len(tx)))
+    for j in range(width):
+        d += (x[:, j, None] - tx[None, :, j]) ** 2
+    row, col = np.nonzero(~(d > np.partition(d, kk - 1, axis=1)[:, kk - 1, None]))  # at least kk a row, more on ties
+    return row, col, d[row, col]
+
+
+def _least(q, t, k: int):
+    """(row, column, squared distance) of every test row's k least entries,
+    ties to the smaller column, none beyond the row's ``_far``, if it has one.
+
+    In few dimensions both sides are walked along their widest one, and a
+    tile of test rows meets only the train rows within its reach there.
+    """
+    import numpy as np
+
+    qx, tx = (np.stack(f["_x"].to_numpy()).astype(float) for f in (q, t))
+    far = q["_far"].to_numpy(dtype=float) if "_far" in q else np.full(len(q), np.inf)
+    far = np.where(np.isnan(far), np.inf, far)
+    walk = 0 < tx.shape[1] <= PRUNE_WIDTH and np.isfinite(tx).all() and np.isfinite(qx).all()
+    order, at = np.arange(len(tx)), np.arange(len(qx))
+    if walk:
+        axis = np.ptp(tx, axis=0).argmax()
+        order, at = np.argsort(tx[:, axis], kind="stable"), np.argsort(qx[:, axis], kind="stable")
+        tx = tx[order]
+        line = tx[:, axis]
+    step, out = min(256, max(1, TILE // len(tx))) if walk else max(1, TILE // len(tx)), []
+    for start in range(0, len(qx), step):
+        rows = at[start:start + step]
+        x, lo, hi = qx[rows], 0, len(tx)
+        if walk:
+            ends = x[0, axis], x[-1, axis]
+            lo, hi = np.searchsorted(line, ends)
+            lo, hi = max(0, min(lo - 2 * k, len(tx) - k)), min(len(tx), hi + 2 * k)
+            reach = far[rows]
+            if hi - lo >= k:  # some k rows: the k least are no further away
+                d = np.zeros((len(x), hi - lo))
+                for j in range(tx.shape[1]):
+                    d += (x[:, j, None] - tx[None, lo:hi, j]) ** 2
+                reach = np.minimum(reach, np.partition(d, k - 1, axis=1)[:, k - 1])
+            reach = np.sqrt(reach.max()) * (1 + 1e-9) + 1e-12 * (abs(ends[0]) + abs(ends[1]))
+            lo, hi = np.searchsorted(line, ends[0] - reach), np.searchsorted(line, ends[1] + reach, side="right")
+        kk = min(k, hi - lo)
+        if not kk:
+            continue
+        row, col, dist = _tile_least(x, tx[lo:hi], kk)
+        col = order[lo + col]
+        near = np.lexsort((col, dist, row))
+        row, col, dist = row[near], col[near], dist[near]
+        keep = (np.arange(len(row)) - np.searchsorted(row, row) < kk) & ~(dist > far[rows[row]])
+        out.append((rows[row[keep]], col[keep], dist[keep]))
+    return tuple(np.concatenate(p) for p in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def _block_nearest(te: DataFrame, tr: DataFrame, by: list, keys: list, k: int) -> DataFrame:
+    """The k nearest train rows of each test row within every group of
+    ``keys``, except those beyond its ``_far`` (squared), if it has one."""
     import pandas as pd
 
     cols = by + ["_qid", "nn_id", "nn_dist2", "nn_y"]
@@ -86,47 +179,46 @@ def _block_nearest(te: DataFrame, tr: DataFrame, by: list, keys: list, k: int) -
         if len(q) == 0 or len(t) == 0:
             return pd.DataFrame(columns=cols)
         t = t.sort_values("_id", kind="stable")  # column order is then id order
-        d = _table(q, t)
-        kk = min(k, len(t))
-        kth = np.partition(d, kk - 1, axis=1)[:, kk - 1, None]
-        row, col = np.nonzero(~(d > kth))  # at least kk a row, more on ties
-        near = np.lexsort((col, d[row, col], row))
-        row, col = row[near], col[near]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        row, col = row[place < kk], col[place < kk]
+        row, col, dist = _least(q, t, k)
         res = pd.DataFrame({"_qid": q["_id"].to_numpy()[row], "nn_id": t["_id"].to_numpy()[col],
-                            "nn_dist2": d[row, col], "nn_y": t["_y"].to_numpy(dtype=float)[col]})
+                            "nn_dist2": dist, "nn_y": t["_y"].to_numpy(dtype=float)[col]})
         for c in by:
             res[c] = q[c].iat[0]
         return res[cols]
 
     schema = ", ".join([*_key_ddl(tr, by), "_qid long", "nn_id long", "nn_dist2 double", "nn_y double"])
-    return _zip_groups(te.select(*keys, "_id", "_x"), tr.select(*keys, "_id", "_x", "_y"), keys, nearest, schema)
+    far = ["_far"] if "_far" in te.columns else []
+    return _zip_groups(te.select(*keys, "_id", "_x", *far), tr.select(*keys, "_id", "_x", "_y"), keys, nearest, schema)
+
+
+def _few(d: DataFrame, small: DataFrame, by: list) -> DataFrame:
+    """``_attach`` for a table bounded by the grid of cells: the rows are not shuffled for it."""
+    return _attach(d, F.broadcast(small) if by else small, by)
 
 
 def _all_blocks(te: DataFrame, tr: DataFrame, sizes: DataFrame, by: list, k: int) -> DataFrame:
     """Every chunk of test rows against every block of train rows."""
-    tr = _attach(tr, sizes, by)
+    tr = _few(tr, sizes, by)
     tr = tr.withColumn("_blk", F.pmod(draw_int("_id", seed=17), F.col("_nb")).cast("int"))
     tr = tr.withColumn("_chk", F.explode(F.sequence(F.lit(0), F.col("_nc") - 1)))
-    te = _attach(te, sizes, by)
+    te = _few(te, sizes, by)
     te = te.withColumn("_chk", F.pmod(draw_int("_id", seed=19), F.col("_nc")).cast("int"))
     te = te.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
     return _block_nearest(te, tr, by, [*by, "_chk", "_blk"], k)
 
 
-def _asked_blocks(te: DataFrame, tr: DataFrame, by: list, k: int, chunk_rows: int) -> DataFrame:
+def _asked_blocks(te: DataFrame, tr: DataFrame, sizes: DataFrame, by: list, k: int) -> DataFrame:
     """Test rows against the blocks (``_part``, ``_sub``) they name; a block
     that many name meets them in chunks, one that none names is not sent."""
     keys = [*by, "_part", "_sub"]
-    nc = te.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(chunk_rows))).cast("int").alias("_nc"))
-    tr = _attach(tr, nc, keys).withColumn("_chk", F.explode(F.sequence(F.lit(0), F.col("_nc") - 1)))
-    te = _attach(te, nc, keys).withColumn("_chk", F.pmod(draw_int("_id", seed=19), F.col("_nc")).cast("int"))
+    nc = _few(te.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), sizes.select(*by, "_chunk"), by)
+    nc = nc.select(*keys, F.ceil(F.col("_n") / F.col("_chunk")).cast("int").alias("_nc"))
+    tr = _few(tr, nc, keys).withColumn("_chk", F.explode(F.sequence(F.lit(0), F.col("_nc") - 1)))
+    te = _few(te, nc, keys).withColumn("_chk", F.pmod(draw_int("_id", seed=19), F.col("_nc")).cast("int"))
     return _block_nearest(te, tr, by, [*keys, "_chk"], k)
 
 
-def _pruned_blocks(te: DataFrame, tr: DataFrame, sizes: DataFrame, by: list, k: int, pivots: int,
-                   chunk_rows: int) -> DataFrame:
+def _pruned_blocks(te: DataFrame, tr: DataFrame, sizes: DataFrame, by: list, k: int, pivots: int) -> DataFrame:
     """Candidates from the pivot partitions that can hold one.
 
     Each cell draws up to ``pivots`` train rows; every row belongs to its
@@ -135,22 +227,27 @@ def _pruned_blocks(te: DataFrame, tr: DataFrame, sizes: DataFrame, by: list, k:
     partition with pivot p, whose rows lie between ``lo`` and ``hi`` from p,
     holds nothing nearer to q than the greatest of d(q,p) - hi, lo - d(q,p)
     and q's distance to the plane between p and its own pivot.  Only blocks
-    of partitions below the bound get a second pass.
+    of partitions below the bound get a second pass; a test row meets the
+    pivots again for it, so no list of its bounds is ever stored.
     """
     import numpy as np
     import pandas as pd
 
+    # many branches read these: computed once, and what made them (draws,
+    # scalar subqueries) stays out of the joins below
+    tr, te, sizes = materialize(tr), materialize(te), materialize(sizes)
     # a partition is cut into hashed blocks, so copies of one row fill many
-    cells = sizes.withColumn("_np", F.least(F.lit(int(pivots)), F.col("_nb")))
-    drawn = _attach(tr, cells, by).withColumn("_slot", F.pmod(draw_int("_id", seed=23), F.col("_np")).cast("int"))
+    cells = sizes.withColumn("_np", F.least(F.lit(int(pivots)), F.greatest("_nb", "_np")))
+    drawn = _few(tr, cells, by).withColumn("_slot", F.pmod(draw_int("_id", seed=23), F.col("_np")).cast("int"))
     piv = (drawn.groupBy(*by, "_slot").agg(F.min(F.struct(draw_int("_id", seed=29).alias("h"), "_id", "_x")).alias("_p"))
                 .select(*by, F.col("_slot").alias("_part"), F.col("_p._x").alias("_x")))
+    piv = materialize(piv)
 
     def meet(rows: DataFrame, points: DataFrame, fn, schema: list) -> DataFrame:
         """Rows in chunks of about MAX_BLOCK_ROWS with the pivots of their cell."""
         n = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(MAX_BLOCK_ROWS))).cast("int").alias("_nk"))
-        rows = _attach(rows, n, by).withColumn("_chk", F.pmod(draw_int("_id", seed=31), F.col("_nk")).cast("int"))
-        points = _attach(points, n, by).withColumn("_chk", F.explode(F.sequence(F.lit(0), F.col("_nk") - 1)))
+        rows = _few(rows, n, by).withColumn("_chk", F.pmod(draw_int("_id", seed=31), F.col("_nk")).cast("int"))
+        points = _few(points, n, by).withColumn("_chk", F.explode(F.sequence(F.lit(0), F.col("_nk") - 1)))
         return _zip_groups(rows.drop("_nk"), points.drop("_nk"), [*by, "_chk"], fn,
                            ", ".join([*_key_ddl(rows, by), *schema]))
 
@@ -158,58 +255,59 @@ def _pruned_blocks(te: DataFrame, tr: DataFrame, sizes: DataFrame, by: list, k:
         cols = by + ["_id", "_x", "_y", "_part", "_d"]
         if len(rows) == 0 or len(points) == 0:
             return pd.DataFrame(columns=cols)
+        points = points.sort_values("_part")
         d = np.sqrt(_table(rows, points))
         at = d.argmin(axis=1)
         return rows.assign(_part=points["_part"].to_numpy()[at], _d=d[np.arange(len(at)), at])[cols]
 
-    tr = materialize(meet(tr, piv, home, ["_id long", "_x array<double>", "_y double", "_part int", "_d double"]))
+    placed = ["_id long", "_x array<double>", "_y double", "_part int", "_d double"]
+    tr = materialize(meet(tr, piv, home, placed))
     part = tr.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_d").alias("_lo"), F.max("_d").alias("_hi"))
-    part = _attach(part, sizes, by)
-    part = part.withColumn("_ns", F.ceil(F.col("_n") / F.col("_rows")).cast("int"))
-    tr = _attach(tr, part.select(*by, "_part", "_ns"), [*by, "_part"])
+    part = _few(part, sizes, by)
+    part = materialize(part.select(*by, "_part", "_lo", "_hi", F.ceil(F.col("_n") / F.col("_rows")).cast("int").alias("_ns")))
+    blocks = part.select(*by, "_part", "_ns")
+    tr = _few(tr, blocks, [*by, "_part"])
     tr = tr.withColumn("_sub", F.pmod(draw_int("_id", seed=17), F.col("_ns")).cast("int")).drop("_ns", "_d")
-    points = _attach(piv, part.select(*by, "_part", "_lo", "_hi", "_ns"), [*by, "_part"])
+    points = materialize(_few(piv, part, [*by, "_part"]))
 
     def reach(rows: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        cols = by + ["_id", "_x", "_part", "_sub", "_bound"]
+        cols = by + ["_id", "_x", "_far", "_own", "_seen", "_parts"]
         if len(rows) == 0 or len(points) == 0:
             return pd.DataFrame(columns=cols)
         points = points.sort_values("_part")
         lo, hi = points["_lo"].to_numpy(), points["_hi"].to_numpy()
         d2, apart = _table(rows, points), np.sqrt(_table(points, points))
         d = np.sqrt(d2)
-        at = d.argmin(axis=1)
+        part = points["_part"].to_numpy()
+        at = np.searchsorted(part, rows["_part"].to_numpy())
         own = d2[np.arange(len(at)), at][:, None]
         with np.errstate(divide="ignore", invalid="ignore"):
             # slack far above the rounding of each bound: never prune a tie
             plane = (d2 - own - 1e-9 * (d2 + own)) / (2 * apart[at])
         bound = np.maximum(np.maximum(d - hi, lo - d) - 1e-9 * (d + hi), np.where(np.isfinite(plane), plane, 0.0))
-        bound = np.where(np.isnan(bound), 0.0, np.maximum(bound, 0.0))
-        part = points["_part"].to_numpy()
-        dense = np.full((len(rows), part.max() + 1), np.inf)  # by partition number
-        dense[:, part] = bound
-        sub = rows["_id"].to_numpy() % points["_ns"].to_numpy()[at]
-        return rows.assign(_part=part[at], _sub=sub, _bound=list(dense))[cols]
-
-    te = materialize(meet(te, points, reach, ["_id long", "_x array<double>", "_part int", "_sub int",
-                                              "_bound array<double>"]))
-    first = materialize(_asked_blocks(te.drop("_bound"), tr, by, k, chunk_rows))
-    # fewer than k rows met: no bound, everything may be near
+        # fewer than k rows met: no bound, everything may be near
+        limit = np.sqrt(rows["_far"].to_numpy(dtype=float)) * (1 + 1e-9)
+        near = ~(bound > limit[:, None])
+        return rows.assign(_own=part[at], _seen=rows["_sub"], _parts=[part[r] for r in near])[cols]
+
+    te = te.withColumn("_y", F.lit(None).cast("double"))
+    te = materialize(meet(te, points.select(*by, "_part", "_x"), home, placed))
+    te = _few(te.drop("_y", "_d"), blocks, [*by, "_part"])
+    te = te.withColumn("_sub", F.coalesce(F.pmod("_id", F.col("_ns")), F.lit(0)).cast("int")).drop("_ns")
+    first = materialize(_asked_blocks(te, tr, sizes, by, k))
     kth = first.groupBy(*by, "_qid").agg(F.count(F.lit(1)).alias("_m"), F.max("nn_dist2").alias("_far"))
-    kth = kth.select(*by, F.col("_qid").alias("_id"), F.when(F.col("_m") >= k, F.sqrt("_far")).alias("_far"))
-    more = _attach(te, kth, [*by, "_id"])
-    reached = F.filter(F.transform("_bound", lambda b, i: F.struct(i.alias("part"), b.alias("bound"))),
-                       lambda r: (r["bound"] < float("inf")) & (F.col("_far").isNull() | (r["bound"] <= F.col("_far") * (1 + 1e-9))))
-    more = more.select(*by, "_id", "_x", F.col("_part").alias("_own"), F.col("_sub").alias("_seen"),
-                       F.explode(reached["part"]).alias("_part"))
-    more = _attach(more, part.select(*by, "_part", "_ns"), [*by, "_part"])
+    kth = kth.select(*by, F.col("_qid").alias("_id"), F.when(F.col("_m") >= k, F.col("_far")).alias("_far"))
+    more = meet(_attach(te, kth, [*by, "_id"], "left"), points, reach,
+                ["_id long", "_x array<double>", "_far double", "_own int", "_seen int", "_parts array<int>"])
+    more = materialize(more).withColumn("_part", F.explode("_parts")).drop("_parts")
+    more = _few(more, blocks, [*by, "_part"])
     more = more.withColumn("_sub", F.explode(F.sequence(F.lit(0), F.col("_ns") - 1))).drop("_ns")
     more = more.filter((F.col("_part") != F.col("_own")) | (F.col("_sub") != F.col("_seen"))).drop("_own", "_seen")
-    return first.unionByName(_asked_blocks(more, tr, by, k, chunk_rows))
+    return first.unionByName(_asked_blocks(more, tr, sizes, by, k))
 
 
 def knn_join(test: DataFrame, train: DataFrame, k: int = C.KNN_K, by: Sequence[str] = (), id_col: str = "row_id",
-             x: str = "x", y: str | None = "y", block_rows: int = 256, chunk_rows: int = 256,
+             x: str = "x", y: str | None = "y", block_rows: int = 256, chunk_rows: int = GROUP_ROWS,
              pivots: int | None = None) -> DataFrame:
     """For every test row, its ``k`` nearest train rows of the same cell.
 
@@ -221,19 +319,20 @@ def knn_join(test: DataFrame, train: DataFrame, k: int = C.KNN_K, by: Sequence[s
 
     ``pivots``: partitions per cell that the triangle inequality may leave
     out; 0 compares all blocks.  None prunes with up to MAX_PIVOTS if some
-    cell has over PRUNE_ROWS train rows.  The rows returned are the same.
+    cell has over PRUNE_ROWS train rows and vectors have PRUNE_WIDTH entries
+    at most.  The rows returned are the same.
     """
     by = _list(by)
-    sizes = _sizes(test, train, by, block_rows, chunk_rows)
     ycol = [F.col(y).cast("double").alias("_y")] if y is not None else [F.lit(None).cast("double").alias("_y")]
     tr = train.select(*by, F.col(id_col).cast("long").alias("_id"), F.col(x).cast("array<double>").alias("_x"), *ycol)
     te = (test.select(*by, F.col(id_col).cast("long").alias("_id"), F.col(x).cast("array<double>").alias("_x"))
               .dropDuplicates([*by, "_id"]))
+    sizes = _sizes(te, tr, by, block_rows, chunk_rows)
     if pivots is None:
-        largest = train.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        pivots = MAX_PIVOTS if (largest or 0) > PRUNE_ROWS else 0
+        largest, width = sizes.agg(F.max("_tn"), F.max("_w")).first()
+        pivots = MAX_PIVOTS if (largest or 0) > PRUNE_ROWS and width <= PRUNE_WIDTH else 0
     if pivots:
-        cand = _pruned_blocks(te, tr, sizes, by, k, pivots, chunk_rows)
+        cand = _pruned_blocks(te, tr, sizes, by, k, pivots)
     else:
         cand = _all_blocks(te, tr, sizes, by, k)
     w = Window.partitionBy(*by, "_qid").orderBy(F.col("nn_dist2"), F.col("nn_id"))
@@ -246,7 +345,7 @@ def knn_join(test: DataFrame, train: DataFrame, k: int = C.KNN_K, by: Sequence[s
 
 def knn_regression(test: DataFrame, train: DataFrame, k: int = C.KNN_K, by: Sequence[str] = (),
                    id_col: str = "row_id", x: str = "x", y: str = "y", block_rows: int = 256,
-                   chunk_rows: int = 256) -> DataFrame:
+                   chunk_rows: int = GROUP_ROWS) -> DataFrame:
     """k-NN regression (uniform weights): y_hat = mean of the k neighbours' y.
     Output: cell keys, id, y (truth), y_hat."""
     by = _list(by)

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,67 @@ def test_pruned_knn_sends_fewer_rows_than_all_blocks(spark, n, monkeypatch):
     assert len(sent) == 2 and sum(sent) < all_rows / 2
 
 
+@pytest.mark.parametrize("width", [1, 2, 5, 12])
+@pytest.mark.parametrize("k", [1, 4, 3000])
+def test_least_entries_equal_the_whole_table(width, k):
+    rng = np.random.default_rng(width)
+    def frame(n):  # far from the origin, with ties and copies
+        x = 1e3 + np.round(rng.normal(size=(n, width)), 1)
+        x[n - n // 4:] = x[0]
+        return pd.DataFrame({"_id": np.arange(n), "_x": list(x)})
+
+    q, t = frame(700), frame(2500)
+    d = K._table(q, t)
+    want = np.argsort(d, axis=1, kind="stable")[:, :k]
+    row, col, dist = K._least(q, t, k)
+    got = np.lexsort((col, dist, row))
+    assert (row[got].reshape(want.shape) == np.arange(700)[:, None]).all()
+    assert (col[got].reshape(want.shape) == want).all()
+    assert (dist == d[row, col]).all()
+    far = np.sort(d, axis=1)[:, 2]
+    row, col, dist = K._least(q.assign(_far=far), t, k)
+    assert set(zip(row, col)) == {(r, c) for r in range(700) for c in want[r] if d[r, c] <= far[r]}
+
+
+def test_least_entries_with_unknown_and_endless_values():
+    q = pd.DataFrame({"_id": [0, 1], "_x": [np.array([0.0, 1.0]), np.array([np.nan, 0.0])]})
+    t = pd.DataFrame({"_id": [0, 1, 2], "_x": [np.array([np.inf, 0.0]), np.array([0.0, 0.0]), np.array([0.0, 2.0])]})
+    row, col, dist = K._least(q, t, 2)
+    assert sorted(zip(row.tolist(), col.tolist())) == [(0, 1), (0, 2), (1, 0), (1, 1)]
+
+
+def test_pruned_knn_of_a_split_that_is_not_computed_yet(spark):
+    from assay_spark.operators.sampling import split_exact
+
+    rows = points(np.random.default_rng(6), 900, 0)
+    s = split_exact(spark.createDataFrame(rows, "row_id long, x array<double>"), "row_id", 20, seed=42)
+    test, train = s.filter("split = 'test'"), s.filter("split = 'train'")
+    got = K.knn_join(test, train, k=3, y=None, pivots=4)
+    sides = [[(r["row_id"], r["x"]) for r in d.collect()] for d in (test, train)]
+    assert found(got.collect()) == nearest(*sides, 3)
+
+
+def test_rows_are_copied_a_bounded_number_of_times(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    plain, sent = K._block_nearest, []
+
+    def counted(te, tr, by, keys, k):
+        sent.append(te.count() + tr.count())
+        return plain(te, tr, by, keys, k)
+
+    monkeypatch.setattr(K, "_block_nearest", counted)
+    for pivots in (0, None):
+        copies = []
+        for n in (3000, 9000):
+            te, tr = (spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(rng.normal(size=(m, 2)))],
+                                            "row_id long, x array<double>") for m in (n, n))
+            sent.clear()
+            K.knn_join(te, tr, k=5, y=None, pivots=pivots)
+            copies.append(sum(sent) / n)
+        # each chunk of 256 test rows used to ask for a copy of every train row: 12 and 36
+        assert max(copies) <= 10
+
+
 def test_two_hundred_thousand_centres(spark):
     n = 200_000
     # a line of centres, every point's nearest one is known
