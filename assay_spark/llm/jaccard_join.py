@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay_spark.llm.common import CACHE_ENTRIES, may_hold, membership_filter, stage, text_slices, unstage, worker_cache
+from assay_spark.llm.common import may_hold, membership_filter, stage, text_slices, unstage, worker_cache
 from assay_spark.llm.components import components
 
 #: Ratio of a size class's ends, seeds tried before single shingles serve as slices.
@@ -55,6 +55,8 @@ LEAF, LEAF_SHINGLES, PIVOTS = 384, 800_000, 8
 SHRINK, LEVELS = 0.7, 62
 #: One class in so many tells frequent shingles; how many of those hold one, and the most that are kept.
 SAMPLE_PART, FREQUENT, MOST = 10, 8, 1_000_000
+#: Words whose hashes a worker remembers: a hash is cheap to take again, and idle workers keep theirs.
+WORD_ENTRIES = 400_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -75,7 +77,7 @@ class WordHashes:
 
         cache = self.cache
         new = set(words).difference(cache)
-        if len(cache) + len(new) > CACHE_ENTRIES:
+        if len(cache) + len(new) > WORD_ENTRIES:
             cache.clear()
             new = set(words)
         for w in new:

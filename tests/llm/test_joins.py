@@ -147,3 +147,15 @@ def test_a_search_that_misses_links_fails(spark, monkeypatch):
     monkeypatch.setattr(vector_graph, "_search", lambda rows, threshold: spark.createDataFrame([], "a bigint, b bigint, n bigint"))
     with pytest.raises(RuntimeError, match="audited links"):
         near_duplicates(df)
+
+
+def test_word_hashes_hold_a_bounded_number_of_words():
+    from assay_spark.llm.jaccard_join import WordHashes
+
+    h = WordHashes()
+    for lot in range(12):
+        words = [b"w%d" % i for i in range(lot * 50_000, lot * 50_000 + 50_000)]
+        assert len(h.of(words)) == 50_000
+        assert len(h.cache) <= 450_000
+    again = WordHashes().of([b"w7", b"w599999"])
+    assert (h.of([b"w7", b"w599999"]) == again).all()
