@@ -8,9 +8,10 @@ Two paths:
   costs one p x p accumulator per task, never its rows.  Only the p x p
   solve runs per cell, one small row each.  kNN (J8) and random
   Fourier ridge (L8) reuse the same machinery.
-- Spark ML estimators (forest, boosted trees, bagging, tree, OLS, or the
-  caller's own) for one training table at a time, each fit a distributed job;
-  inside a grid, ``forests`` grows the trees of all cells in one job.
+- One training table at a time, each fit a distributed job: Spark ML estimators
+  (boosted trees, tree, OLS, or the caller's own), and forests and bagged trees
+  grown by ``ensembles``; inside a grid, ``forests`` grows the trees of all
+  cells in one job.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from assay_spark import constants as C
 from assay_spark.functions import arrays as A
+from assay_spark.operators import ensembles
 from assay_spark.operators.sampling import _attach, _list
 from assay_spark.session import materialize
 
@@ -224,14 +226,18 @@ def _made(model, seed: int, **kw):
 
 def fit(train: DataFrame, name, vec: str = "x", y: str = "y", seed: int = 42, **kw) -> FittedModel:
     """L1: mean imputation fitted on train, then the regressor: a registered
-    name, an estimator or a callable that makes one.  The
+    name, an estimator or a callable that makes one.  Forests and bagged trees
+    named so are grown by ``ensembles``, all else by Spark ML.  The
     fill vector has one value per feature (bounded by the width)."""
     means = (train.select(A.entries(vec, "_i", "_v")).groupBy("_i").agg(F.avg("_v").alias("_m"))
              .orderBy("_i").collect())
     fill = [float(r["_m"]) if r["_m"] is not None else 0.0 for r in means]
     fm = FittedModel(None, fill, vec)
     d = fm._prep(train).withColumn("_y", F.col(y).cast("double"))
-    fm.model = _made(name, seed, **kw).fit(d)
+    if isinstance(name, str) and name in ensembles.KINDS:
+        fm.model = ensembles.fit_ensemble(d, name, seed, kw.get("numTrees"), kw.get("maxDepth"))
+    else:
+        fm.model = _made(name, seed, **kw).fit(d)
     fm.stages = [fm.model]
     return fm
 
