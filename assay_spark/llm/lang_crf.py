@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay_spark.llm.common import CACHE_ENTRIES, text_slices, worker_cache
+from assay_spark.llm.common import text_slices, worker_cache
 
 FEATURES = 1 << 15
 #: Characters kept of each end of a very long word, for its features.
 WORD_END = 12
+#: Words whose emissions a worker remembers, words whose features are taken at once, and characters of a slice.
+WORD_ENTRIES, FEATURE_WORDS, SLICE_CHARS = 200_000, 4_000, 1_000_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -122,7 +124,7 @@ class LanguageModel:
         return np.concatenate([word_features(words), lex[:, None]], 1)
 
     def emissions(self, words: list[str]) -> np.ndarray:
-        out = [self.weights[self.features(words[k:k + 20_000])].sum(1) for k in range(0, len(words), 20_000)]
+        out = [self.weights[self.features(words[k:k + FEATURE_WORDS])].sum(1) for k in range(0, len(words), FEATURE_WORDS)]
         return np.concatenate(out) if out else np.zeros((0, len(self.langs)))
 
     def posteriors(self, lines: list[list[str]]) -> np.ndarray:
@@ -130,13 +132,15 @@ class LanguageModel:
         store = worker_cache(self.key, lambda: {"at": {}, "e": np.zeros((0, len(self.langs)))})
         words = set().union(*lines)
         new = list(words.difference(store["at"]))
-        if len(store["at"]) + len(new) > CACHE_ENTRIES:
+        if len(store["at"]) + len(new) > WORD_ENTRIES:
             store["at"].clear()
             store["e"], new = store["e"][:0], list(words)
         if new:
             e = self.emissions(new)
             if len(store["at"]) + len(new) > len(store["e"]):
-                grown = np.zeros((2 * (len(store["at"]) + len(new)), len(self.langs)))
+                # room for as many words as may be held; one slice may need more
+                most = max(WORD_ENTRIES, len(store["at"]) + len(new))
+                grown = np.zeros((min(most, 2 * (len(store["at"]) + len(new))), len(self.langs)))
                 grown[:len(store["at"])] = store["e"][:len(store["at"])]
                 store["e"] = grown
             store["e"][len(store["at"]):len(store["at"]) + len(new)] = np.exp(e - e.max(1, keepdims=True))
@@ -230,7 +234,7 @@ def fit_language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def _judged(batches: Iterator[pa.RecordBatch], model: LanguageModel, text_col: str):
     """(slice, predictions, scores, words) of slices of documents."""
-    for b, texts in text_slices(batches, text_col, rows=1000):
+    for b, texts in text_slices(batches, text_col, rows=1000, chars=SLICE_CHARS):
         lines = [lines_of(t) for t in texts]
         per_doc = np.array([sum(map(len, x)) for x in lines])
         pred, score = ["und"] * len(texts), np.zeros(len(texts))

@@ -2,6 +2,7 @@
 import hashlib
 import math
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -216,3 +217,17 @@ def test_edits_over_many_buckets(spark):
 def test_syncmers_run_without_python(spark, docs):
     plan = fingerprint_edits(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_language_words_held_are_bounded():
+    from assay_spark.llm import lang_crf
+
+    rng = np.random.default_rng(0)
+    model = lang_crf.LanguageModel(["a", "b"], rng.normal(size=(lang_crf.FEATURES + 3, 2)), np.zeros((2, 2)), {})
+    lots = [[[f"w{lot}x{i}" for i in range(40_000)]] for lot in range(8)]
+    first = model.posteriors(lots[0][:1])
+    for lot in lots[1:]:
+        model.posteriors(lot)
+    held = next(v for k, v in sys.modules["_assay_llm_worker"].values.items() if k[2] == model.key)  # what the worker holds
+    assert len(held["at"]) <= 200_000 and len(held["e"]) <= 200_000
+    assert np.array_equal(model.posteriors(lots[0][:1]), first)  # forgotten words are taken again
