@@ -70,17 +70,19 @@ def row_weights(rid: np.ndarray, tree: int, seed: int) -> np.ndarray:
 
 
 def looked_at(nodes: int, d: int, look: int, rng) -> np.ndarray:
-    """The features, ascending, that each of the nodes may be split by."""
+    """The features that each of the nodes may be split by: all in order, or some in random order, so that ties favour none."""
     if look >= d:
         return np.broadcast_to(np.arange(d), (nodes, d))
-    return np.sort(np.argpartition(rng.random((nodes, d)), look - 1, axis=1)[:, :look], axis=1)
+    draw = rng.random((nodes, d))
+    some = np.argpartition(draw, look - 1, axis=1)[:, :look]
+    return np.take_along_axis(some, np.argsort(np.take_along_axis(draw, some, 1), axis=1), 1)
 
 
 def best_splits(codes, row, start, w, wy, chosen):
     """(feature, bin, gain) of each node's best split, gain 0 where there is none.
 
     ``row``, ``w`` and ``wy`` list the nodes' rows, node by node from ``start``;
-    ``wy`` adds up to 0 in each node.  Ties go to the first feature and bin.
+    ``wy`` adds up to 0 in each node.  Ties go to the feature listed first in ``chosen``, and its first bin.
     """
     nodes, look, m = len(start), chosen.shape[1], len(row)
     count = np.diff(np.append(start, m))

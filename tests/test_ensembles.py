@@ -98,3 +98,14 @@ def test_odd_rows(spark):
     assert same.transform(df.where("row_id < 0")).count() == 0
     twice = same.transform(df.unionByName(df))
     assert twice.count() == 60 and twice.columns == [*df.columns, "_pred"]
+
+
+def test_ties_favour_no_feature():
+    """Nodes of two rows split equally well by most features: a forest's importances must not lean to the first ones."""
+    rng = np.random.default_rng(0)
+    codes, y = rng.integers(0, 32, (400, 12)).astype(np.uint8), rng.normal(size=400)
+    gains = sum(EN.grow(codes, y, EN.row_weights(np.arange(400), t, 1), 30, 4, np.random.default_rng(t))["gains"] for t in range(60))
+    half = gains[:6].sum() / gains.sum()
+    assert 0.48 < half < 0.52
+    a = EN.looked_at(5000, 12, 4, rng)
+    assert all(len(set(r)) == 4 for r in a.tolist()) and (np.abs(np.bincount(a[:, 0], minlength=12) / 5000 - 1 / 12) < 0.02).all()
