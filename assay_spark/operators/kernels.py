@@ -3,8 +3,8 @@ assignment (J7, J8, C2, L7).
 
 kNN is exact and never materialises the test x train pair table.  Groups
 are bounded on both sides: train rows of a cell fall into blocks, test rows
-into chunks, both of GROUP_BYTES or GROUP_ROWS rows at most; Spark shuffles
-both to (cell, chunk, block) keys, each cogroup walks its chunk x block
+into chunks, of BLOCK_BYTES or BLOCK_ROWS and GROUP_BYTES or GROUP_ROWS at most;
+Spark shuffles both, packed, to (cell, chunk, block) keys, each cogroup walks its chunk x block
 distances in tiles of bounded size and keeps every test row's k best, and a
 window keeps the k best over blocks.  A hot cell just has more keys, so no
 task sees more than one chunk and one block; rows are copied once per group
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from assay_spark import constants as C
 from assay_spark.functions import arrays as A
+from assay_spark.functions import packed as P
 from assay_spark.functions.keys import draw_int
 from assay_spark.operators.sampling import _attach, _list
 from assay_spark.session import materialize
@@ -30,11 +31,11 @@ from assay_spark.session import materialize
 CENTRE_BYTES = 4 << 20
 # hard cap on rows that meet the pivots or the centres in one group
 MAX_BLOCK_ROWS = 8192
-# most vector bytes and rows of a train block or test chunk, and the blocks
-# that a cell is cut into below that
-GROUP_BYTES = 16 << 20
-GROUP_ROWS = 32768
-CELL_BLOCKS = 8
+# most vector bytes and rows of a test chunk and of a train block, and the blocks
+# that a cell, and all cells together, are cut into below that
+GROUP_BYTES, BLOCK_BYTES = 16 << 20, 64 << 20
+GROUP_ROWS, BLOCK_ROWS = 32768, 131072
+CELL_BLOCKS, GRID_BLOCKS = 8, 32
 # distances held at once, and the width from which a matrix product finds candidates
 TILE = 1 << 22
 PRODUCT_WIDTH = 4
@@ -51,12 +52,17 @@ def _sizes(te: DataFrame, tr: DataFrame, by: list, block_rows: int, chunk_rows:
     tn = tr.groupBy(*by).agg(F.count(F.lit(1)).alias("_tn"), F.max(F.size("_x")).alias("_w"))
     qn = te.groupBy(*by).agg(F.count(F.lit(1)).alias("_qn"))
     s = tn.join(qn, by, "inner") if by else _attach(tn, qn, [])
-    most = F.greatest(F.lit(1.0), F.least(F.lit(float(GROUP_ROWS)),
-                                          F.floor(F.lit(float(GROUP_BYTES)) / (8 * (F.greatest("_w", F.lit(0)) + 8)))))
+    def most(rows: int, size: int):
+        wide = 8 * (F.greatest("_w", F.lit(0)) + 8)
+        return F.greatest(F.lit(1.0), F.least(F.lit(float(rows)), F.floor(F.lit(float(size)) / wide)))
+
     # a row is copied once per group it meets: a cell is cut into CELL_BLOCKS
-    # blocks, enough to spread it, and into more only where they grow too large
-    size = F.least(F.greatest(F.lit(float(block_rows)), F.ceil(F.col("_tn") / CELL_BLOCKS)), most)
-    chunk = F.greatest(F.least(F.lit(float(chunk_rows)), most), F.lit(1.0))
+    # blocks, enough to spread it, into fewer where other cells spread the work,
+    # and into more only where they grow too large
+    s = s.withColumn("_all", F.sum("_tn").over(Window.partitionBy(F.lit(0))))
+    size = F.greatest(F.lit(float(block_rows)), F.ceil(F.col("_tn") / CELL_BLOCKS), F.ceil(F.col("_all") / GRID_BLOCKS))
+    size = F.least(size, most(BLOCK_ROWS, BLOCK_BYTES))
+    chunk = F.greatest(F.least(F.lit(float(chunk_rows)), most(GROUP_ROWS, GROUP_BYTES)), F.lit(1.0))
     pivots = F.ceil(F.col("_tn") / F.lit(float(block_rows))).cast("int").alias("_np")
     return s.select(*by, "_tn", "_w", pivots, F.greatest(F.lit(1), F.ceil(F.col("_tn") / size)).cast("int").alias("_nb"),
                     F.greatest(F.lit(1), F.ceil(F.col("_qn") / chunk)).cast("int").alias("_nc"),
@@ -131,7 +137,13 @@ def _least(q, t, k: int):
     import numpy as np
 
     qx, tx = (np.stack(f["_x"].to_numpy()).astype(float) for f in (q, t))
-    far = q["_far"].to_numpy(dtype=float) if "_far" in q else np.full(len(q), np.inf)
+    return _least_rows(qx, tx, k, q["_far"].to_numpy(dtype=float) if "_far" in q else np.full(len(q), np.inf))
+
+
+def _least_rows(qx, tx, k: int, far):
+    """``_least`` of two matrices."""
+    import numpy as np
+
     far = np.where(np.isnan(far), np.inf, far)
     walk = 0 < tx.shape[1] <= PRUNE_WIDTH and np.isfinite(tx).all() and np.isfinite(qx).all()
     order, at = np.arange(len(tx)), np.arange(len(qx))
@@ -171,6 +183,7 @@ def _least(q, t, k: int):
 def _block_nearest(te: DataFrame, tr: DataFrame, by: list, keys: list, k: int) -> DataFrame:
     """The k nearest train rows of each test row within every group of
     ``keys``, except those beyond its ``_far`` (squared), if it has one."""
+    import numpy as np
     import pandas as pd
 
     cols = by + ["_qid", "nn_id", "nn_dist2", "nn_y"]
@@ -178,17 +191,25 @@ def _block_nearest(te: DataFrame, tr: DataFrame, by: list, keys: list, k: int) -
     def nearest(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         if len(q) == 0 or len(t) == 0:
             return pd.DataFrame(columns=cols)
-        t = t.sort_values("_id", kind="stable")  # column order is then id order
-        row, col, dist = _least(q, t, k)
-        res = pd.DataFrame({"_qid": q["_id"].to_numpy()[row], "nn_id": t["_id"].to_numpy()[col],
-                            "nn_dist2": dist, "nn_y": t["_y"].to_numpy(dtype=float)[col]})
+        qid, tid, ty = P.column(q, "_id"), P.column(t, "_id"), P.column(t, "_y").astype(float)
+        qx, tx = P.matrix(q, len(qid)), P.matrix(t, len(tid))
+        limit = P.column(q, "_far").astype(float) if "_far" in q else np.full(len(qid), np.inf)
+        if len(np.unique(qid)) < len(qid):  # a repeated test id is one query, the same one in every block
+            at = np.lexsort((*qx.T[::-1], qid))
+            at = at[np.unique(qid[at], return_index=True)[1]]
+            qid, qx, limit = qid[at], qx[at], limit[at]
+        at = np.argsort(tid, kind="stable")  # column order is then id order
+        tid, tx, ty = tid[at], tx[at], ty[at]
+        row, col, dist = _least_rows(qx, tx, k, limit)
+        res = pd.DataFrame({"_qid": qid[row], "nn_id": tid[col], "nn_dist2": dist, "nn_y": ty[col]})
         for c in by:
             res[c] = q[c].iat[0]
         return res[cols]
 
     schema = ", ".join([*_key_ddl(tr, by), "_qid long", "nn_id long", "nn_dist2 double", "nn_y double"])
     far = ["_far"] if "_far" in te.columns else []
-    return _zip_groups(te.select(*keys, "_id", "_x", *far), tr.select(*keys, "_id", "_x", "_y"), keys, nearest, schema)
+    # rows travel packed: many cells of few distinct values are few bytes
+    return _zip_groups(P.pack(te, keys, "_x", ["_id", *far]), P.pack(tr, keys, "_x", ["_id", "_y"]), keys, nearest, schema)
 
 
 def _few(d: DataFrame, small: DataFrame, by: list) -> DataFrame:
@@ -235,7 +256,7 @@ def _pruned_blocks(te: DataFrame, tr: DataFrame, sizes: DataFrame, by: list, k:
 
     # many branches read these: computed once, and what made them (draws,
     # scalar subqueries) stays out of the joins below
-    tr, te, sizes = materialize(tr), materialize(te), materialize(sizes)
+    tr, te = materialize(tr), materialize(te)
     # a partition is cut into hashed blocks, so copies of one row fill many
     cells = sizes.withColumn("_np", F.least(F.lit(int(pivots)), F.greatest("_nb", "_np")))
     drawn = _few(tr, cells, by).withColumn("_slot", F.pmod(draw_int("_id", seed=23), F.col("_np")).cast("int"))
@@ -325,14 +346,13 @@ def knn_join(test: DataFrame, train: DataFrame, k: int = C.KNN_K, by: Sequence[s
     by = _list(by)
     ycol = [F.col(y).cast("double").alias("_y")] if y is not None else [F.lit(None).cast("double").alias("_y")]
     tr = train.select(*by, F.col(id_col).cast("long").alias("_id"), F.col(x).cast("array<double>").alias("_x"), *ycol)
-    te = (test.select(*by, F.col(id_col).cast("long").alias("_id"), F.col(x).cast("array<double>").alias("_x"))
-              .dropDuplicates([*by, "_id"]))
-    sizes = _sizes(te, tr, by, block_rows, chunk_rows)
+    te = test.select(*by, F.col(id_col).cast("long").alias("_id"), F.col(x).cast("array<double>").alias("_x"))
+    sizes = materialize(_sizes(te, tr, by, block_rows, chunk_rows))  # one row a cell, read by every branch
     if pivots is None:
         largest, width = sizes.agg(F.max("_tn"), F.max("_w")).first()
         pivots = MAX_PIVOTS if (largest or 0) > PRUNE_ROWS and width <= PRUNE_WIDTH else 0
     if pivots:
-        cand = _pruned_blocks(te, tr, sizes, by, k, pivots)
+        cand = _pruned_blocks(te.dropDuplicates([*by, "_id"]), tr, sizes, by, k, pivots)
     else:
         cand = _all_blocks(te, tr, sizes, by, k)
     w = Window.partitionBy(*by, "_qid").orderBy(F.col("nn_dist2"), F.col("nn_id"))

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from assay_spark import constants as C
 from assay_spark.functions import arrays as A
+from assay_spark.functions import packed as P
 from assay_spark.operators import ensembles
 from assay_spark.operators.sampling import _attach, _list
 from assay_spark.session import materialize
@@ -295,10 +296,28 @@ def _evaluate_ml(cells: DataFrame, by: list, name, id_col: str, vec: str, y: str
     return parts
 
 
+class _Stored:
+    """Cells written once, ``packed`` or as they are, and the reads of them: a
+    split's rows, or those without vectors."""
+
+    def __init__(self, cells: DataFrame, keys: list, vec: str, packed: bool):
+        self.like, self.keys, self.vec, self.packed = cells.withColumn(vec, F.col(vec).cast("array<double>")), keys, vec, packed
+        self.rest = [c for c in cells.columns if c not in keys and c != vec]
+        self.df = materialize(P.pack(self.like, keys, vec, self.rest) if packed else cells)
+
+    def rows(self, cond=None, vectors: bool = True) -> DataFrame:
+        df = self.df if cond is None else self.df.filter(cond)
+        if not self.packed:
+            return df
+        if vectors:
+            return P.unpack(df, self.like, self.keys, self.vec, self.rest)
+        return P.without_vectors(df, self.keys, self.rest)
+
+
 def evaluate(cells: DataFrame, by: Sequence[str], algorithms: Sequence[str] | dict = GROUPED, id_col: str = "row_id",
              vec: str = "x", y: str = "y", split: str = "split", k: int = C.KNN_K, ridge: float = 1.0,
              rff_features: int = 128, rff_length: float = 1.0, seed: int = 42, source: str = "raw",
-             score_on: str = "test") -> DataFrame:
+             score_on: str = "test", packed: bool = False) -> DataFrame:
     """G1: every cell x algorithm fitted on the cell's train rows and scored
     on its test rows, all in one job.  Output (RESULTS): cell keys, source,
     algorithm, mse, mae, r2, n.
@@ -309,7 +328,10 @@ def evaluate(cells: DataFrame, by: Sequence[str], algorithms: Sequence[str] | di
     not used.  The default scores the real test split.
 
     ``algorithms`` may be a dict: a name, and None for the registered model of
-    that name, a Spark ML estimator, or a callable that makes one."""
+    that name, a Spark ML estimator, or a callable that makes one.
+
+    ``packed`` stores the cells packed (``functions.packed``), which is less
+    where their vectors hold few distinct values."""
     from assay_spark.operators.features import impute_mean_vec
     from assay_spark.operators.kernels import knn_regression
     from assay_spark.operators.report import regression_metrics
@@ -326,14 +348,16 @@ def evaluate(cells: DataFrame, by: Sequence[str], algorithms: Sequence[str] | di
     # recompute a cache that is not filled yet
     # L1: nulls become the mean of the cell's train rows, for every algorithm
     # (looked for in the written cells, so that they are computed once)
-    cells = materialize(cells)
+    stored = _Stored(cells, [*by, split], vec, packed)
+    cells = stored.rows()
     whole = impute_mean_vec(cells, vec, by, F.col(split) == "train")
     if whole is not cells:
-        cells = materialize(whole)
+        stored = _Stored(whole, [*by, split], vec, packed)
+        cells = stored.rows()
     own = {k: m for k, m in algorithms.items() if m is not None} if isinstance(algorithms, dict) else {}
-    train = cells.filter(F.col(split) == "train")
-    test = cells.filter(F.col(split) == "test")
-    truth = test.select(*by, id_col, F.col(y).cast("double").alias("y"))
+    in_train, in_test = F.col(split) == "train", F.col(split) == "test"
+    train, test = stored.rows(in_train), stored.rows(in_test)
+    truth = stored.rows(in_test, vectors=False).select(*by, id_col, F.col(y).cast("double").alias("y"))
     outs = []
     linear = [a for a in algorithms if a in ("ols", "ridge") and a not in own]
     # one Gram table (cells x p², bounded by the grid and the width) serves
@@ -342,7 +366,8 @@ def evaluate(cells: DataFrame, by: Sequence[str], algorithms: Sequence[str] | di
     for alg in algorithms:
         if alg in ("ols", "ridge") and alg not in own:
             co = solve_gram(g, by, reg=0.0 if alg == "ols" else ridge)
-            pred = predict_linear(test, co, by, vec).select(*by, id_col, F.col(y).cast("double").alias("y"), "y_hat")
+            # one row a cell of the grid: the test rows are not shuffled for it
+            pred = predict_linear(test, F.broadcast(co) if by else co, by, vec).select(*by, id_col, F.col(y).cast("double").alias("y"), "y_hat")
         elif alg == "rbf_ridge":
             dim = cells.select(F.max(F.size(vec))).first()[0]
             tr = fourier_features(train, vec, dim, rff_features, rff_length, seed)
@@ -357,8 +382,8 @@ def evaluate(cells: DataFrame, by: Sequence[str], algorithms: Sequence[str] | di
             parts = _evaluate_ml(cells, by, own.get(alg, alg), id_col, vec, y, split, seed)
             pred = _reduce(lambda a, b: a.unionByName(b), parts)
         elif alg == "mean":
-            mu = train.groupBy(*by).agg(F.avg(F.col(y).cast("double")).alias("y_hat")) if by else \
-                train.agg(F.avg(F.col(y).cast("double")).alias("y_hat"))
+            seen, mu = stored.rows(in_train, vectors=False), F.avg(F.col(y).cast("double")).alias("y_hat")
+            mu = F.broadcast(seen.groupBy(*by).agg(mu)) if by else seen.agg(mu)
             pred = _attach(truth, mu, by, "left")
         else:
             raise ValueError(f"unknown grouped algorithm {alg}")

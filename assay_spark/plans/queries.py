@@ -802,13 +802,17 @@ def evaluate_timed(spark, sf_dir):
 
 
 SWEEP_SHOTS = (0, *C.SHOT_COUNTS)
+SWEEP_ROWS = 4096  # table rows that one task makes cells of
 
 
 def _sweep(spark, sf_dir, shots, algorithms, method) -> DataFrame:
     v = FE.scale_to(split_vectors(spark, sf_dir), "x", 1.0, fit_on=F.col("split") == "train")
+    # a row makes cells x draws of work: the rows are spread by count, not by their bytes
+    parts = max(spark.sparkContext.defaultParallelism, -(-vectors(spark, sf_dir).count() // SWEEP_ROWS))
+    v = v.repartition(parts)
     noisy = FE.add_shot_noise(v, "row_id", "x", shots, loops=C.SHOT_LOOPS, seed=42, out="xn", method=method)
     cells = noisy.select("shots", "loop", "row_id", "split", F.col("xn").alias("x"), "y")
-    res = MO.evaluate(cells, ["shots", "loop"], algorithms)
+    res = MO.evaluate(cells, ["shots", "loop"], algorithms, packed=True)
     return rounded(RP.shot_curve(res.withColumnRenamed("shots", "numsamp"), "numsamp", "mse", by=["algorithm"]))
 
 
