@@ -33,11 +33,11 @@ def test_packed_rows_come_back_as_they_were(spark, size, monkeypatch):
     assert sorted(map(tuple, rest), key=key) == sorted((r[:3] for r in rows), key=key)
 
 
-def cells(spark, n, shots, loops=3):
+def cells(spark, n, shots, loops=3, method="binomial"):
     rng = np.random.default_rng(3)
     rows = [(i, [float(v) for v in rng.uniform(-1, 1, 16)], float(i % 7), "test" if i % 5 == 0 else "train") for i in range(n)]
     df = spark.createDataFrame(rows, "row_id long, x array<double>, y double, split string").repartition(2)
-    c = FE.add_shot_noise(df, "row_id", "x", shots, loops=loops, out="xn", method="binomial")
+    c = FE.add_shot_noise(df, "row_id", "x", shots, loops=loops, out="xn", method=method)
     return c.select("shots", "loop", "row_id", "split", F.col("xn").alias("x"), "y")
 
 
@@ -46,8 +46,9 @@ def written(df):
     return df.agg(F.sum(F.length("_v") + F.coalesce(F.length("_at"), F.lit(0)))).first()[0]
 
 
-def test_cells_of_few_values_are_stored_and_sent_in_few_bytes(spark, monkeypatch):
-    c, sent, stored = cells(spark, 800, (10, 50)), [], []
+@pytest.mark.parametrize("method, shots", [("binomial", (10, 50)), ("counted", (4, 9))])
+def test_cells_of_few_values_are_stored_and_sent_in_few_bytes(spark, monkeypatch, method, shots):
+    c, sent, stored = cells(spark, 800, shots, method=method), [], []
     plain, store = K._zip_groups, MO.materialize
 
     def counted(left, right, keys, fn, schema):
