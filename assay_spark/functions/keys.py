@@ -6,10 +6,15 @@ The DuckDB twin of ``draw_key``/``key_int`` is::
 
     md5(concat_ws('|', CAST(id AS VARCHAR), ..., '<seed>'))
     ('0x' || substr(k, 1, 15))::BIGINT
+
+``draw_ints`` is the numpy twin, for tasks that need many draws of one row.
 """
 
 from __future__ import annotations
 
+import math
+from typing import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,3 +61,66 @@ def permuted(pos: Column, n: Column, *parts, seed: int, rounds: int = 24) -> Col
 def uniform(*parts, seed: int) -> Column:
     """A repeatable uniform in [0, 1) from the draw key."""
     return draw_int(*parts, seed=seed) / F.lit(float(2 ** KEY_BITS))
+
+
+# ---------------------------------------------------------------- many draws of one row (RFC 1321)
+_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+_TURNS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_STEPS = ((1, 0), (5, 1), (3, 5), (7, 0))  # which word each step of a round adds
+_SINES = [int(abs(math.sin(i + 1)) * 2 ** 32) for i in range(64)]
+
+
+def _texts(texts: Sequence[bytes], at: int, size: int):
+    """Texts of one length as rows of ``size`` bytes, from byte ``at`` on."""
+    import numpy as np
+
+    out = np.zeros((len(texts), size), np.uint8)
+    n = len(texts[0])
+    out[:, at:at + n] = np.frombuffer(b"".join(texts), np.uint8).reshape(len(texts), n)
+    return out
+
+
+def draw_ints(left: Sequence[bytes], right: Sequence[bytes]):
+    """``key_int`` of the md5 of every left text followed by every right one:
+    a uint64 table.  All left texts have one length, all right ones as well."""
+    import numpy as np
+
+    n, m = len(left[0]), len(left[0]) + len(right[0])
+    size = -(-(m + 9) // 64) * 64
+    tail = _texts(right, n, size)
+    tail[:, m] = 0x80
+    tail[:, size - 8:] = np.frombuffer((8 * m).to_bytes(8, "little"), np.uint8)
+    head, tail = (np.ascontiguousarray(t.view("<u4").T) for t in (_texts(left, 0, size), tail))
+    # a word of left or of right text alone is one row or one column of the table
+    words = [h[:, None] if 4 * w + 4 <= n else t if 4 * w >= n else h[:, None] | t
+             for w, (h, t) in enumerate(zip(head, tail))]
+    shape = (len(left), len(right))
+    state, spare = [np.full(shape, v, np.uint32) for v in _START], np.empty(shape, np.uint32)
+    for block in range(0, len(words), 16):
+        (a, b, c, d), f = (v.copy() for v in state), np.empty(shape, np.uint32)
+        for i in range(64):
+            r = i // 16
+            if r < 2:  # the bits of x where z is set, those of y elsewhere
+                x, y, z = (c, d, b) if r == 0 else (b, c, d)
+                np.bitwise_xor(x, y, out=f)
+                f &= z
+                f ^= y
+            elif r == 2:
+                np.bitwise_xor(b, c, out=f)
+                f ^= d
+            else:
+                np.bitwise_not(d, out=f)
+                f |= b
+                f ^= c
+            f += a
+            f += words[block + (_STEPS[r][0] * i + _STEPS[r][1]) % 16] + np.uint32(_SINES[i])
+            turn = _TURNS[r][i % 4]
+            np.left_shift(f, np.uint32(turn), out=spare)
+            f >>= np.uint32(32 - turn)
+            f |= spare
+            f += b
+            a, b, c, d, f = d, f, b, c, a
+        for v, w in zip(state, (a, b, c, d)):
+            v += w
+    first, second = (v.byteswap().astype(np.uint64) for v in state[:2])
+    return (first << np.uint64(32) | second) >> np.uint64(64 - KEY_BITS)

@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from assay_spark import constants as C
 from assay_spark.functions import arrays as A
-from assay_spark.functions.keys import KEY_BITS, draw_int
+from assay_spark.functions.keys import KEY_BITS, draw_ints
 from assay_spark.operators.sampling import _attach, _attach_stats, _list
 
+DRAWS = 1 << 15  # counted draws that are hashed at once
+
 
 def _fit_rows(df: DataFrame, fit_on: Column | None) -> DataFrame:
     return df if fit_on is None else df.filter(fit_on)
@@ -229,7 +231,7 @@ def add_shot_noise(df: DataFrame, id_col: str, vec: str, shots: Sequence[int], l
     binomial.  n = 0 keeps e.  One output row per (row, shots, loop).
 
     One method serves the whole call, whatever the shot counts.  ``counted``:
-    k counts md5-uniforms below p, in JVM expressions (reproducible in SQL;
+    k counts md5-uniforms below p, drawn in tables by numpy (reproducible in SQL;
     the work grows with n).  ``binomial``: a vectorised pandas UDF draws k
     from a binomial seeded by the whole 64-bit row id, shots and loop.
     """
@@ -241,19 +243,62 @@ def add_shot_noise(df: DataFrame, id_col: str, vec: str, shots: Sequence[int], l
     if method == "binomial":
         return g.withColumn(out, _binomial_udf(seed)(F.col(id_col), F.col("shots"), F.col("loop"), F.col(vec)))
 
-    def k_small(e, i):
-        p = (F.lit(1.0) + e) / F.lit(2.0)
-        draws = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.col("shots"), F.lit(1))),
-            lambda j: F.when(draw_int(F.col(id_col), F.col("shots"), F.col("loop"), i, j, seed=seed)
-                             / F.lit(float(2 ** KEY_BITS)) < p, 1).otherwise(0))
-        return F.aggregate(draws, F.lit(0), lambda a, b: a + b)
-
-    exact_expr = F.transform(F.col(vec), lambda e, i: F.lit(2.0) * k_small(e, i) / F.col("shots") - 1.0)
-    res = F.when(F.col("shots") == 0, F.col(vec)).otherwise(exact_expr)
+    # no draw is below the chance of a null entry, every one is below NaN
+    chance = F.transform(F.col(vec).cast("array<double>"), lambda e: F.coalesce((F.lit(1.0) + e) / F.lit(2.0), F.lit(0.0)))
+    key = F.concat_ws("|", F.col(id_col).cast("string"), F.col("shots"), F.col("loop"))
+    res = F.when(F.col("shots") == 0, F.col(vec)).otherwise(_counted_udf(seed)(key, F.col("shots"), chance))
     return g.withColumn(out, res)
 
 
+def _counts(keys, chances, n: int, seed: int):
+    """Per key and entry, how many of its ``n`` draws are below the entry's chance."""
+    import numpy as np
+
+    k, width = np.zeros(chances.shape), chances.shape[1]
+    limit = chances * float(2 ** KEY_BITS)
+
+    def spans(lo, hi):  # numbers of equally many digits
+        while lo < hi:
+            end = min(hi, 10 ** len(str(lo)))
+            yield lo, end
+            lo = end
+
+    for lo, hi in spans(0, width):
+        for first, last in spans(1, n + 1):
+            step = max(1, DRAWS // (hi - lo))
+            for j in range(first, last, step):
+                end = min(last, j + step)
+                tails = [f"|{i}|{t}|{seed}".encode() for i in range(lo, hi) for t in range(j, end)]
+                rows = max(1, DRAWS // len(tails))
+                for at in range(0, len(keys), rows):
+                    u = draw_ints(keys[at:at + rows], tails).astype(float).reshape(-1, hi - lo, end - j)
+                    k[at:at + rows, lo:hi] += np.count_nonzero(~(u >= limit[at:at + rows, lo:hi, None]), axis=2)
+    return k
+
+
+def _counted_udf(seed: int):
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.functions import pandas_udf
+
+    def noisy(keys, shots, chances):
+        out = [None] * len(keys)
+        texts = [k.encode() for k in keys]
+        groups = {}
+        for at, (t, n, p) in enumerate(zip(texts, shots, chances)):
+            if n != 0 and p is not None:
+                groups.setdefault((len(t), n, len(p)), []).append(at)
+        for (_, n, _), rows in groups.items():
+            p = np.stack([chances.iat[at] for at in rows]).astype(float)
+            k = _counts([texts[at] for at in rows], p, max(int(n), 1), seed)
+            for at, x in zip(rows, 2.0 * k / n - 1.0):
+                out[at] = x
+        return pd.Series(out, dtype=object)
+
+    noisy.__annotations__ = {"keys": pd.Series, "shots": pd.Series, "chances": pd.Series, "return": pd.Series}
+    return pandas_udf("array<double>")(noisy)
+
+
 def _binomial_udf(seed: int):
     import numpy as np
     import pandas as pd
