@@ -8,6 +8,7 @@ The DuckDB twin of ``draw_key``/``key_int`` is::
     ('0x' || substr(k, 1, 15))::BIGINT
 
 ``draw_ints`` is the numpy twin, for tasks that need many draws of one row.
+``generators`` are numpy's own, for many rows that have one each.
 """
 
 from __future__ import annotations
@@ -124,3 +125,65 @@ def draw_ints(left: Sequence[bytes], right: Sequence[bytes]):
             v += w
     first, second = (v.byteswap().astype(np.uint64) for v in state[:2])
     return (first << np.uint64(32) | second) >> np.uint64(64 - KEY_BITS)
+
+
+# ---------------------------------------------------------------- one numpy generator per row
+_POOL, _WORD = 4, 0xFFFFFFFF
+
+
+def _hashes(start: int, factor: int):
+    """The successive hashes of numpy's ``SeedSequence``, over arrays of 32-bit words."""
+    import numpy as np
+
+    const = start
+
+    def hashed(x):
+        nonlocal const
+        x = x ^ np.uint32(const)
+        const = const * factor & _WORD
+        x = x * np.uint32(const)
+        return x ^ (x >> np.uint32(16))
+
+    return hashed
+
+
+def seed_words(entropy: Sequence):
+    """Rows of the four 64-bit words that ``SeedSequence`` of each row's
+    ``entropy`` gives to a generator: arrays of 32-bit words, one for each place,
+    or single ones that all rows share."""
+    import numpy as np
+
+    words = [w.astype(np.uint32) for w in np.broadcast_arrays(*entropy)]
+    hashed = _hashes(0x43B0D7E5, 0x931E8875)
+
+    def mix(x, y):
+        z = x * np.uint32(0xCA01F9DD) - y * np.uint32(0x4973F715)
+        return z ^ (z >> np.uint32(16))
+
+    none = np.zeros_like(words[0])
+    pool = [hashed(words[i] if i < len(words) else none) for i in range(_POOL)]
+    for src in range(_POOL):
+        for dst in range(_POOL):
+            if src != dst:
+                pool[dst] = mix(pool[dst], hashed(pool[src]))
+    for w in words[_POOL:]:
+        for dst in range(_POOL):
+            pool[dst] = mix(pool[dst], hashed(w))
+    hashed = _hashes(0x8B51F9DD, 0x58F38DED)
+    out = np.stack([hashed(pool[i % _POOL]) for i in range(2 * _POOL)], axis=1)
+    return np.ascontiguousarray(out).view("<u8").astype(np.uint64)
+
+
+def generators(entropy: Sequence):
+    """``numpy.random.default_rng`` of each row's ``entropy``, given as for
+    ``seed_words``: the words of all rows are hashed at once."""
+    import numpy as np
+    from numpy.random.bit_generator import ISeedSequence
+
+    class Words(ISeedSequence):
+        def generate_state(self, n_words, dtype=np.uint32):
+            return self.words
+
+    at = Words()
+    for at.words in seed_words(entropy):
+        yield np.random.Generator(np.random.PCG64(at))

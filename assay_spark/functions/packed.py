@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 
 BATCH_BYTES = 32 << 20  # of rows that are packed at once
+CODES = 1 << 16  # most distinct values that have numbers
 
 
 def _ddl(df: DataFrame, names: Sequence[str], wrap: str = "{}") -> list:
@@ -38,12 +39,17 @@ def _group_numbers(columns, n: int):
 
 def _entries_packed(flat) -> tuple[bytes, bytes | None]:
     import numpy as np
+    import pyarrow as pa
 
-    values, at = np.unique(flat.view(np.int64), return_inverse=True)  # by bits: -0.0 is not 0.0
-    if len(values) <= 1 << 16:
-        coded = zlib.compress(at.astype(np.uint8 if len(values) <= 1 << 8 else np.uint16).tobytes(), 1)
-        if values.nbytes + len(coded) < flat.nbytes:
-            return values.tobytes(), coded
+    bits = pa.array(flat.view(np.int64))  # by bits: -0.0 is not 0.0
+    first = bits.slice(0, 2 * CODES).dictionary_encode()
+    if len(first.dictionary) <= CODES:  # else all of them are too many as well
+        coded = first if len(first) == len(bits) else bits.dictionary_encode()
+        values, at = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        if len(values) <= CODES:
+            packed = zlib.compress(at.astype(np.uint8 if len(values) <= 1 << 8 else np.uint16).tobytes(), 1)
+            if values.nbytes + len(packed) < flat.nbytes:
+                return values.tobytes(), packed
     return flat.tobytes(), None
 
 

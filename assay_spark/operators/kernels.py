@@ -5,7 +5,8 @@ kNN is exact and never materialises the test x train pair table.  Groups
 are bounded on both sides: train rows of a cell fall into blocks, test rows
 into chunks, of BLOCK_BYTES or BLOCK_ROWS and GROUP_BYTES or GROUP_ROWS at most;
 Spark shuffles both, packed, to (cell, chunk, block) keys, each cogroup walks its chunk x block
-distances in tiles of bounded size and keeps every test row's k best, and a
+distances in tiles of bounded size (in many dimensions single-precision products, from
+which the few that may be near are measured again) and keeps every test row's k best, and a
 window keeps the k best over blocks.  A hot cell just has more keys, so no
 task sees more than one chunk and one block; rows are copied once per group
 they meet, so groups are as large as memory allows, not small.
@@ -39,6 +40,15 @@ CELL_BLOCKS, GRID_BLOCKS = 8, 32
 # distances held at once, and the width from which a matrix product finds candidates
 TILE = 1 << 22
 PRODUCT_WIDTH = 4
+# rows and columns of a product that stays in the processor's cache, and vector entries
+# of the candidates that are measured at once
+PRODUCT_ROWS, PRODUCT_COLS = 1024, 1024
+MEASURED = 1 << 16
+# squared distance from the mean train row, in those of the furthest one, up to which
+# single precision serves
+FAR_OFF = 1e4
+# distances that are work enough for a task of its own
+TASK_PAIRS = 1 << 26
 # most pivots of a cell, the train rows of a cell from which they pay, and the
 # width up to which they do: in more dimensions they rule out next to nothing
 MAX_PIVOTS = 256
@@ -64,7 +74,7 @@ def _sizes(te: DataFrame, tr: DataFrame, by: list, block_rows: int, chunk_rows:
     size = F.least(size, most(BLOCK_ROWS, BLOCK_BYTES))
     chunk = F.greatest(F.least(F.lit(float(chunk_rows)), most(GROUP_ROWS, GROUP_BYTES)), F.lit(1.0))
     pivots = F.ceil(F.col("_tn") / F.lit(float(block_rows))).cast("int").alias("_np")
-    return s.select(*by, "_tn", "_w", pivots, F.greatest(F.lit(1), F.ceil(F.col("_tn") / size)).cast("int").alias("_nb"),
+    return s.select(*by, "_tn", "_qn", "_w", pivots, F.greatest(F.lit(1), F.ceil(F.col("_tn") / size)).cast("int").alias("_nb"),
                     F.greatest(F.lit(1), F.ceil(F.col("_qn") / chunk)).cast("int").alias("_nc"),
                     size.alias("_rows"), chunk.alias("_chunk"))
 
@@ -140,20 +150,150 @@ def _least(q, t, k: int):
     return _least_rows(qx, tx, k, q["_far"].to_numpy(dtype=float) if "_far" in q else np.full(len(q), np.inf))
 
 
+def _first_copies(x, k: int):
+    """Numbers of the rows that fewer than ``k`` equal ones precede."""
+    import numpy as np
+
+    code = np.unique(np.ascontiguousarray(x + 0.0).view(f"V{8 * x.shape[1]}").ravel(), return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    return np.sort(order[np.arange(len(code)) - np.searchsorted(code, code) < k])
+
+
+def _set_places(mask):
+    """Places of the few set entries of a contiguous mask: its words first, then their bytes."""
+    import numpy as np
+
+    if mask.size % 8:
+        return np.flatnonzero(mask)
+    words = np.flatnonzero(mask.reshape(-1).view(np.uint64) != 0)
+    word, at = np.nonzero(mask.reshape(-1, 8)[words])
+    return words[word] * 8 + at
+
+
+def _exact(qx, tx, row, col):
+    """Squared distances of the listed pairs, summed as those of ``_table``."""
+    import numpy as np
+
+    dist, step = np.zeros(len(row)), max(1, MEASURED // qx.shape[1])
+    for at in range(0, len(row), step):
+        apart = qx[row[at:at + step]]
+        apart -= tx[col[at:at + step]]
+        apart *= apart
+        dist[at:at + step] = np.cumsum(apart, axis=1, out=apart)[:, -1]  # from left to right
+    return dist
+
+
+def _least_wide(qx, tx, k: int, far):
+    """``_least`` of two matrices of many dimensions, no limit being NaN, after
+    the numbers of the test rows that are left out: those not finite or far off
+    the train rows, or all if the train rows are not finite, too large or too small.
+
+    A product in single precision says which distances may be among the least:
+    with the centred and scaled rows q and t, and e above all rounding,
+    q.t - (1 - 2e) t.t/2 is at least ((1 - e) q.q - d)/2 wherever q and t are no
+    further apart than d.  d is the k-th least so far; it is settled anew
+    whenever the columns met have doubled, so only few entries a row are ever
+    measured, as those of ``_table``.  Products are small enough for the cache.
+    """
+    import numpy as np
+
+    n, width = tx.shape
+    with np.errstate(over="ignore", invalid="ignore"):
+        mid = tx.mean(axis=0)
+        q, t = qx - mid, tx - mid
+        a, b = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", t, t)
+    top = b.max()
+    met = a <= FAR_OFF * top if 1e-280 < top < 1e290 else np.zeros(len(a), bool)
+    rest, met = np.flatnonzero(~met), np.flatnonzero(met)
+    if not len(met):
+        return rest, np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    if len(rest):
+        qx, q, a, far = qx[met], q[met], a[met], far[met]
+    e = (width + 8) * 2.0 ** -23
+    a, b, limit = a / top, b / top, far / top
+    q /= np.sqrt(top)
+    t /= np.sqrt(top)
+    q = np.hstack([q.astype(np.float32), np.ones((len(q), 1), np.float32)])
+    t, wide = np.empty((width + 1, n), np.float32), t
+    t[:width], t[width] = wide.T, (2 * e - 1) * b / 2
+    del wide
+    ahead, most, out = b.max(), max(1, TILE // 8), []
+    tile = min(PRODUCT_ROWS, len(q)), max(PRODUCT_COLS, 2 * k)
+    products, masks = np.empty(tile, np.float32), np.empty(tile, bool)  # one memory for all tiles
+
+    for start in range(0, len(q), PRODUCT_ROWS):
+        x, a_x = q[start:start + PRODUCT_ROWS], a[start:start + PRODUCT_ROWS]
+        kth = limit[start:start + PRODUCT_ROWS].copy()  # scaled
+
+        def least():
+            """From where on the product says near, rounded down."""
+            h = ((1 - e) * a_x - kth * (1 + 4e-15 * (width + 8)) - 1e-36 * width) / 2
+            return np.nextafter(h.astype(np.float32), np.float32(-np.inf))[:, None]
+
+        row, col, dist = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+
+        def settled(found):
+            """The k least so far and those ``found``; the k-th becomes the bound."""
+            nonlocal row, col, dist, kth
+            r, c = (np.concatenate(p) for p in zip(*found))
+            d = _exact(qx, tx, r + start, c)
+            held = np.bincount(row, minlength=len(x))
+            # columns rise: one as far as the k-th held so far comes after it
+            last = np.full(len(x), np.inf)
+            full = np.flatnonzero(held >= k)
+            last[full] = dist[np.searchsorted(row, full) + k - 1]
+            keep = (d < last[r]) & ~(d > far[start + r])
+            r, c, d = (np.concatenate(p) for p in ((row, r[keep]), (col, c[keep]), (dist, d[keep])))
+            near = np.lexsort((c, d, r))
+            near = near[np.arange(len(r)) - np.searchsorted(r[near], r[near]) < k]
+            row, col, dist = r[near], c[near], d[near]
+            full = np.flatnonzero(np.bincount(row, minlength=len(x)) >= k)
+            kth[full] = np.minimum(kth[full], dist[np.searchsorted(row, full) + k - 1] / top)
+
+        lo, span, bound = 0, min(n, max(PRODUCT_COLS, 2 * k)), least()
+        while lo < n:
+            end, found, size = min(n, lo + span), [], 0
+            while lo < end:
+                hi = min(end, lo + (span if lo == 0 else PRODUCT_COLS))
+                g, near = (m.reshape(-1)[:len(x) * (hi - lo)].reshape(len(x), hi - lo) for m in (products, masks))
+                np.matmul(x, t[:, lo:hi], out=g)
+                if lo == 0 and hi >= k:  # some k entries: the k least are no further away
+                    some = np.partition(g, hi - k, axis=1)[:, hi - k].astype(float) - 2 * e * (a_x + ahead)
+                    bound = np.maximum(bound, np.nextafter(some.astype(np.float32), np.float32(-np.inf))[:, None])
+                np.greater_equal(g, bound, out=near)
+                r, c = np.divmod(_set_places(near), hi - lo)
+                found.append((r, c + lo))
+                size, lo = size + len(r), hi
+                if size > most:
+                    settled(found)
+                    found, size, bound = [], 0, least()
+            if size:
+                settled(found)
+            bound, span = least(), lo
+        out.append((met[row + start], col, dist))
+    return rest, *(np.concatenate(p) for p in zip(*out))
+
+
 def _least_rows(qx, tx, k: int, far):
     """``_least`` of two matrices."""
     import numpy as np
 
     far = np.where(np.isnan(far), np.inf, far)
+    order, at, out = np.arange(len(tx)), np.arange(len(qx)), []
+    if tx.shape[1] > PRUNE_WIDTH and len(qx) and len(tx):
+        order = _first_copies(tx, k)  # of equal rows only the first k can be among the k least
+        tx = tx[order] if len(order) < len(tx) else tx
+        at, row, col, dist = _least_wide(qx, tx, k, far)
+        out.append((row, order[col], dist))
     walk = 0 < tx.shape[1] <= PRUNE_WIDTH and np.isfinite(tx).all() and np.isfinite(qx).all()
-    order, at = np.arange(len(tx)), np.arange(len(qx))
     if walk:
         axis = np.ptp(tx, axis=0).argmax()
         order, at = np.argsort(tx[:, axis], kind="stable"), np.argsort(qx[:, axis], kind="stable")
         tx = tx[order]
         line = tx[:, axis]
-    step, out = min(256, max(1, TILE // len(tx))) if walk else max(1, TILE // len(tx)), []
-    for start in range(0, len(qx), step):
+    step = min(256, max(1, TILE // len(tx))) if walk else max(1, TILE // len(tx))
+    for start in range(0, len(at), step):
         rows = at[start:start + step]
         x, lo, hi = qx[rows], 0, len(tx)
         if walk:
@@ -180,9 +320,25 @@ def _least_rows(qx, tx, k: int, far):
     return tuple(np.concatenate(p) for p in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
 
 
-def _block_nearest(te: DataFrame, tr: DataFrame, by: list, keys: list, k: int) -> DataFrame:
+class _Sent:
+    """Rows of one side on their way to the groups they meet, packed."""
+
+    def __init__(self, rows: DataFrame, keys: list, rest: list):
+        self.packed = P.pack(rows, keys, "_x", ["_id", *(c for c in rest if c in rows.columns)])
+
+    def copied(self, name: str, number: str) -> "_Sent":
+        """A copy for each ``name`` below ``number``: packed rows are copied, not single ones."""
+        self.packed = self.packed.withColumn(name, F.explode(F.sequence(F.lit(0), F.col(number) - 1))).drop(number)
+        return self
+
+    def count(self) -> int:
+        return self.packed.agg(F.sum(F.size("_id"))).first()[0] or 0
+
+
+def _block_nearest(te: _Sent, tr: _Sent, by: list, keys: list, k: int) -> DataFrame:
     """The k nearest train rows of each test row within every group of
-    ``keys``, except those beyond its ``_far`` (squared), if it has one."""
+    ``keys``, except those beyond its ``_far`` (squared), if it has one.
+    Rows travel packed: many cells of few distinct values are few bytes."""
     import numpy as np
     import pandas as pd
 
@@ -206,10 +362,8 @@ def _block_nearest(te: DataFrame, tr: DataFrame, by: list, keys: list, k: int) -
             res[c] = q[c].iat[0]
         return res[cols]
 
-    schema = ", ".join([*_key_ddl(tr, by), "_qid long", "nn_id long", "nn_dist2 double", "nn_y double"])
-    far = ["_far"] if "_far" in te.columns else []
-    # rows travel packed: many cells of few distinct values are few bytes
-    return _zip_groups(P.pack(te, keys, "_x", ["_id", *far]), P.pack(tr, keys, "_x", ["_id", "_y"]), keys, nearest, schema)
+    schema = ", ".join([*_key_ddl(tr.packed, by), "_qid long", "nn_id long", "nn_dist2 double", "nn_y double"])
+    return _zip_groups(te.packed, tr.packed, keys, nearest, schema)
 
 
 def _few(d: DataFrame, small: DataFrame, by: list) -> DataFrame:
@@ -217,15 +371,25 @@ def _few(d: DataFrame, small: DataFrame, by: list) -> DataFrame:
     return _attach(d, F.broadcast(small) if by else small, by)
 
 
+def _tasks(sizes: DataFrame) -> int:
+    """Tasks that the groups of all cells are worth: two a group, so that few
+    share one, if each has TASK_PAIRS distances."""
+    groups, pairs = sizes.agg(F.sum(F.col("_nb") * F.col("_nc")), F.sum(F.col("_tn") * F.col("_qn").cast("double"))).first()
+    return int(min(2 * (groups or 0), (pairs or 0) // TASK_PAIRS))
+
+
 def _all_blocks(te: DataFrame, tr: DataFrame, sizes: DataFrame, by: list, k: int) -> DataFrame:
-    """Every chunk of test rows against every block of train rows."""
-    tr = _few(tr, sizes, by)
-    tr = tr.withColumn("_blk", F.pmod(draw_int("_id", seed=17), F.col("_nb")).cast("int"))
-    tr = tr.withColumn("_chk", F.explode(F.sequence(F.lit(0), F.col("_nc") - 1)))
-    te = _few(te, sizes, by)
-    te = te.withColumn("_chk", F.pmod(draw_int("_id", seed=19), F.col("_nc")).cast("int"))
-    te = te.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-    return _block_nearest(te, tr, by, [*by, "_chk", "_blk"], k)
+    """Every chunk of test rows against every block of train rows; rows are
+    packed before they are copied to the groups they meet."""
+    tr = _few(tr, sizes, by).withColumn("_blk", F.pmod(draw_int("_id", seed=17), F.col("_nb")).cast("int"))
+    tr = _Sent(tr, [*by, "_blk", "_nc"], ["_y"]).copied("_chk", "_nc")
+    te = _few(te, sizes, by).withColumn("_chk", F.pmod(draw_int("_id", seed=19), F.col("_nc")).cast("int"))
+    te = _Sent(te, [*by, "_chk", "_nb"], ["_far"]).copied("_blk", "_nb")
+    keys, tasks = [*by, "_chk", "_blk"], _tasks(sizes)
+    if tasks > sizes.sparkSession.sparkContext.defaultParallelism:  # packed groups are few bytes of much work: not to be merged
+        for side in (te, tr):
+            side.packed = side.packed.repartition(tasks, *keys)
+    return _block_nearest(te, tr, by, keys, k)
 
 
 def _asked_blocks(te: DataFrame, tr: DataFrame, sizes: DataFrame, by: list, k: int) -> DataFrame:
@@ -236,7 +400,8 @@ def _asked_blocks(te: DataFrame, tr: DataFrame, sizes: DataFrame, by: list, k: i
     nc = nc.select(*keys, F.ceil(F.col("_n") / F.col("_chunk")).cast("int").alias("_nc"))
     tr = _few(tr, nc, keys).withColumn("_chk", F.explode(F.sequence(F.lit(0), F.col("_nc") - 1)))
     te = _few(te, nc, keys).withColumn("_chk", F.pmod(draw_int("_id", seed=19), F.col("_nc")).cast("int"))
-    return _block_nearest(te, tr, by, [*keys, "_chk"], k)
+    keys = [*keys, "_chk"]
+    return _block_nearest(_Sent(te, keys, ["_far"]), _Sent(tr, keys, ["_y"]), by, keys, k)
 
 
 def _pruned_blocks(te: DataFrame, tr: DataFrame, sizes: DataFrame, by: list, k: int, pivots: int) -> DataFrame:
